@@ -10,6 +10,11 @@ CATS = ["data", "software_engineering", "qa", "analytics", "design"]
 COVERAGE = "(SELECT count(*) FROM salary_rows) * 100.0 / (SELECT count(*) FROM structured_rows)"
 
 
+def steady(df, *cols):
+    """Interpolated values to six decimals: engines differ in the last bit."""
+    return df.withColumns({c: F.round(c, 6) for c in cols})
+
+
 def pct(part: str, total: str) -> str:
     return f"CASE WHEN {total} > 0 THEN CAST({part} AS DOUBLE) / {total} * 100 ELSE 0.0 END"
 
@@ -117,22 +122,23 @@ def _(i):
 
 
 @query("agg_salary_iqr", """
-WITH s AS (SELECT category_filled, count(salary_avg_clean) AS n_values, quantile_cont(salary_avg_clean, 0.25) AS q25,
-  quantile_cont(salary_avg_clean, 0.5) AS median, quantile_cont(salary_avg_clean, 0.75) AS q75
+WITH s AS (SELECT category_filled, count(salary_avg_clean) AS n_values, round(quantile_cont(salary_avg_clean, 0.25), 6) AS q25,
+  quantile_cont(salary_avg_clean, 0.5) AS median, round(quantile_cont(salary_avg_clean, 0.75), 6) AS q75
   FROM salary_rows WHERE category_filled <> '' GROUP BY 1)
 SELECT *, median - (SELECT quantile_cont(salary_avg_clean, 0.5) FROM salary_rows) AS diff_vs_market,
-  q75 - median AS error_plus, median - q25 AS error_minus FROM s""")
+  round(q75 - median, 6) AS error_plus, round(median - q25, 6) AS error_minus FROM s""")
 def _(i):
-    return a.salary_iqr(i.view("salary_rows"), "category_filled")
+    return steady(a.salary_iqr(i.view("salary_rows"), "category_filled"), "q25", "q75", "error_plus", "error_minus")
 
 
 @query("agg_salary_box", """
 SELECT coalesce(level_filled, '') AS level_filled, coalesce(city_norm, '') AS city_norm, count(salary_avg_clean) AS n_values,
-  min(salary_avg_clean) AS v_min, quantile_cont(salary_avg_clean, 0.25) AS q25, quantile_cont(salary_avg_clean, 0.5) AS median,
-  quantile_cont(salary_avg_clean, 0.75) AS q75, max(salary_avg_clean) AS v_max
+  min(salary_avg_clean) AS v_min, round(quantile_cont(salary_avg_clean, 0.25), 6) AS q25, quantile_cont(salary_avg_clean, 0.5) AS median,
+  round(quantile_cont(salary_avg_clean, 0.75), 6) AS q75, max(salary_avg_clean) AS v_max
 FROM salary_rows WHERE category_filled = 'data' GROUP BY 1, 2""")
 def _(i):
-    return a.five_numbers(i.view("salary_rows").filter("category_filled = 'data'"), ["level_filled", "city_norm"], "salary_avg_clean")
+    rows = i.view("salary_rows").filter("category_filled = 'data'")
+    return steady(a.five_numbers(rows, ["level_filled", "city_norm"], "salary_avg_clean"), "q25", "q75")
 
 
 @query("agg_salary_heatmap", "SELECT level_filled, " + ", ".join(
@@ -168,11 +174,11 @@ def _(i):
 
 
 @query("agg_salary_benchmark", f"""
-SELECT category_filled, level_filled, count(salary_avg_clean) AS n_values, quantile_cont(salary_avg_clean, 0.25) AS q25,
-  quantile_cont(salary_avg_clean, 0.5) AS median, quantile_cont(salary_avg_clean, 0.75) AS q75, {COVER} AS salary_coverage_pct
+SELECT category_filled, level_filled, count(salary_avg_clean) AS n_values, round(quantile_cont(salary_avg_clean, 0.25), 6) AS q25,
+  quantile_cont(salary_avg_clean, 0.5) AS median, round(quantile_cont(salary_avg_clean, 0.75), 6) AS q75, {COVER} AS salary_coverage_pct
 FROM salary_rows WHERE category_filled IS NOT NULL AND level_filled IS NOT NULL GROUP BY 1, 2""")
 def _(i):
-    return a.benchmark(i.view("structured_rows"), i.view("salary_rows"))
+    return steady(a.benchmark(i.view("structured_rows"), i.view("salary_rows")), "q25", "q75")
 
 
 @query("agg_role_salary", """
