@@ -8,26 +8,29 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postmill.functions import vocab as v
-from postmill.functions.text import blank_to_null, contains_any, is_meaningful, lookup, normalize_key, squeeze
+from postmill.functions.text import (
+    blank_to_null, contains_any, distinct_ignore_case, is_meaningful, let, lookup, normalize_key, squeeze,
+)
 
 
 def first_hit(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: Column | None = None) -> Column:
     """Value of the first rule one of whose words occurs in the text."""
-    out = F.lit(None).cast("string") if default is None else default
-    for value, words in reversed(rules):
-        out = F.when(contains_any(text, words), F.lit(value)).otherwise(out)
-    return out
+    def chain(t: Column) -> Column:
+        out = F.lit(None).cast("string") if default is None else default
+        for value, words in reversed(rules):
+            out = F.when(contains_any(t, words), F.lit(value)).otherwise(out)
+        return out
+
+    return let(text, chain)
 
 
 def _enum_key(text: Column) -> Column:
-    key = F.replace(normalize_key(text), F.lit(" "), F.lit("_"))
-    return F.when(~key.isin(v.MISSING_WORDS), key)
+    return let(F.replace(normalize_key(text), F.lit(" "), F.lit("_")), lambda key: F.when(~key.isin(v.MISSING_WORDS), key))
 
 
 def _enum(text: Column, aliases: dict[str, str], allowed: Sequence[str]) -> Column:
-    key = _enum_key(text)
-    value = F.coalesce(lookup(key, aliases), key)
-    return F.when(value.isin(list(allowed)), value)
+    named = let(_enum_key(text), lambda key: F.coalesce(lookup(key, aliases), key))
+    return let(named, lambda value: F.when(value.isin(list(allowed)), value))
 
 
 def category(text: Column) -> Column:
@@ -43,8 +46,7 @@ def employment(text: Column) -> Column:
 
 
 def english_level(text: Column) -> Column:
-    key = _enum_key(text)
-    return F.when(key.isin(v.ENGLISH_LEVELS), key)
+    return let(_enum_key(text), lambda key: F.when(key.isin(v.ENGLISH_LEVELS), key))
 
 
 def employment_text(text: Column) -> Column:
@@ -64,8 +66,10 @@ def work_format_infer(*texts: Column) -> Column:
 
 
 def city(text: Column) -> Column:
-    clean = F.lower(squeeze(text))
-    return F.when(~clean.isin(v.MISSING_WORDS), first_hit(clean, v.CITY_WORDS, F.lit("other")))
+    return let(
+        F.lower(squeeze(text)),
+        lambda t: F.when(~t.isin(v.MISSING_WORDS), first_hit(t, v.CITY_WORDS, F.lit("other"))),
+    )
 
 
 def currency(text: Column, fallback: Column | None = None, rules=None) -> Column:
@@ -98,7 +102,10 @@ def _bounds(lo: Column, hi: Column) -> Column:
 
 def experience(text: Column) -> Column:
     """Years asked for, as struct<min, max>; the first rule that matches decides."""
-    t = F.lower(squeeze(text))
+    return let(F.lower(squeeze(text)), _years_asked)
+
+
+def _years_asked(t: Column) -> Column:
     none = F.lit(None).cast("int")
     no_exp = contains_any(t, ["нет опыта", "no experience"])
     more = F.regexp_extract(t, f"(?:более|more than|from)\\s*(\\d+)\\s*{YEARS}", 1).try_cast("int")
@@ -120,7 +127,7 @@ def experience(text: Column) -> Column:
         .otherwise(_bounds(one, one))
     )
     return (
-        F.when(F.length(F.coalesce(text, F.lit(""))) < 2, _bounds(none, none))
+        F.when(F.length(t) < 2, _bounds(none, none))
         .when(no_exp, _bounds(F.lit(0), F.lit(0)))
         .when(more.isNotNull(), _bounds(more, none))
         .when(f_ok, f_val)
@@ -134,11 +141,13 @@ def experience(text: Column) -> Column:
 
 def english_signals(*texts: Column) -> Column:
     """struct<mention, required, level> over several texts; the highest level token wins."""
-    t = F.lower(squeeze(F.concat_ws(" ", *texts)))
-    mention = contains_any(t, v.ENGLISH_WORDS)
-    required = mention & contains_any(t, v.ENGLISH_REQUIRED_WORDS)
-    lvl = first_hit(t, [(x.upper(), [x]) for x in ("c2", "c1", "b2", "b1", "a2", "a1")])
-    return F.struct(mention.alias("mention"), required.alias("required"), lvl.alias("level"))
+    def read(t: Column) -> Column:
+        mention = contains_any(t, v.ENGLISH_WORDS)
+        required = mention & contains_any(t, v.ENGLISH_REQUIRED_WORDS)
+        lvl = first_hit(t, [(x.upper(), [x]) for x in ("c2", "c1", "b2", "b1", "a2", "a1")])
+        return F.struct(mention.alias("mention"), required.alias("required"), lvl.alias("level"))
+
+    return let(F.lower(squeeze(F.concat_ws(" ", *texts))), read)
 
 
 def average(lo: Column, hi: Column) -> Column:
@@ -149,20 +158,27 @@ def average(lo: Column, hi: Column) -> Column:
 
 def salary_text_simple(text: Column) -> Column:
     """First salary parser: struct<from, to, avg, currency>. Word tests hit inside words, as published."""
-    t = F.lower(squeeze(text))
+    return let(F.lower(squeeze(text)), _simple_salary)
+
+
+def _simple_salary(t: Column) -> Column:
     absent = t.isin("", "не указана", "not specified", "n/a")
     found = F.transform(
         F.regexp_extract_all(t, F.lit("(\\d[\\d ]+)"), F.lit(1)), lambda x: F.replace(x, F.lit(" "), F.lit("")).try_cast("long")
     )
-    numbers = F.filter(found, lambda x: x.isNotNull())
-    n = F.size(numbers)
-    a, b = F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
-    upper_only = (n == 1) & contains_any(t, ["до", "to"]) & ~contains_any(t, ["от", "from"])
-    lo = F.when(n >= 2, F.least(a, b)).when((n == 1) & ~upper_only, a)
-    hi = F.when(n >= 2, F.greatest(a, b)).when(upper_only, a)
+    upper_word = contains_any(t, ["до", "to"]) & ~contains_any(t, ["от", "from"])
+
+    def bounds(numbers: Column) -> Column:
+        n, a, b = F.size(numbers), F.get(numbers, F.lit(0)), F.get(numbers, F.lit(1))
+        upper_only = (n == 1) & upper_word
+        return F.struct(
+            F.when(~absent & (n >= 2), F.least(a, b)).when(~absent & (n == 1) & ~upper_only, a).alias("lo"),
+            F.when(~absent & (n >= 2), F.greatest(a, b)).when(~absent & upper_only, a).alias("hi"),
+        )
+
     code = F.when(absent, F.lit("UNKNOWN")).otherwise(first_hit(t, v.CURRENCY_WORDS_SIMPLE, F.lit("UNKNOWN")))
-    lo, hi = F.when(~absent, lo), F.when(~absent, hi)
-    return F.struct(lo.alias("from"), hi.alias("to"), average(lo, hi).alias("avg"), code.alias("currency"))
+    return let(let(F.filter(found, lambda x: x.isNotNull()), bounds), lambda s: F.struct(
+        s["lo"].alias("from"), s["hi"].alias("to"), average(s["lo"], s["hi"]).alias("avg"), code.alias("currency")))
 
 
 def url_id(url: Column, prefix: str) -> Column:
@@ -176,26 +192,24 @@ def url_id(url: Column, prefix: str) -> Column:
 
 def canonical_skill(skill: Column, programming: Column) -> Column:
     """Canonical spelling; ``js`` needs a programming context; short upper-case words stay."""
-    raw = squeeze(skill)
-    low = F.lower(raw)
-    upper_short = (F.length(raw) <= 4) & (F.upper(raw) == raw) & (low != raw)
-    return F.when(
-        is_meaningful(skill, 1),
-        F.coalesce(
+    def name(raw: Column) -> Column:
+        low = F.lower(raw)
+        upper_short = (F.length(raw) <= 4) & (F.upper(raw) == raw) & (low != raw)
+        return F.when(~low.isin(v.MISSING_WORDS), F.coalesce(
             lookup(low, v.SKILL_ALIASES),
             F.when(low == "js", F.when(programming, F.lit("JavaScript")).otherwise(F.lit("JS"))),
             F.when(upper_short, raw),
             lookup(low, v.SKILL_TITLES),
             raw,
-        ),
-    )
+        ))
 
+    return let(squeeze(skill), name)
 
-def canonical_skills(items: Column, programming: Column) -> Column:
-    from postmill.functions.text import distinct_ignore_case
 
-    named = F.transform(items, lambda x: canonical_skill(x, programming))
-    return distinct_ignore_case(F.filter(named, lambda x: x.isNotNull()))
+def canonical_skills(items: Column, programming: Column) -> Column:
+    """Canonical names of a list, distinct ignoring case; the context flag is worked out once."""
+    return let(programming, lambda js: distinct_ignore_case(
+        F.filter(F.transform(items, lambda x: canonical_skill(x, js)), lambda x: x.isNotNull())))
 
 
 def programming_context(context: Column) -> Column:
@@ -204,22 +218,35 @@ def programming_context(context: Column) -> Column:
 
 def top_family(skills: Column) -> Column:
     """Most common family of a list; ties go to the family seen first."""
-    fam = F.transform(skills, lambda s: F.coalesce(lookup(s, v.SKILL_FAMILIES), F.lit("other")))
-    counted = F.transform(
-        F.array_distinct(fam),
-        lambda f: F.struct(
-            F.size(F.filter(fam, lambda g: g == f)).alias("n"),
-            (-F.array_position(fam, f)).alias("p"),
-            f.alias("f"),
-        ),
-    )
-    return F.when(F.size(skills) > 0, F.array_max(counted)["f"])
+    def most_common(fam: Column) -> Column:
+        counted = F.transform(F.array_distinct(fam), lambda f: F.struct(
+            F.size(F.filter(fam, lambda g: g == f)).alias("n"), (-F.array_position(fam, f)).alias("p"), f.alias("f")))
+        return F.array_max(counted)["f"]
+
+    return let(F.transform(skills, lambda s: F.coalesce(lookup(s, v.SKILL_FAMILIES), F.lit("other"))), most_common)
 
 
 def infer_category(existing: Column, text: Column, skills: Column) -> Column:
     """struct<value, source, confidence>: additive keyword scores, best at least 4 and 2 ahead."""
-    low = F.lower(text)
-    low_skills = F.transform(skills, lambda s: F.lower(s))
+    scored = let(F.lower(text), lambda low: let(F.transform(skills, lambda s: F.lower(s)), lambda ss: _category_scores(low, ss)))
+
+    def result(value: Column, source: Column, conf: Column) -> Column:
+        return F.struct(value.alias("value"), source.alias("source"), conf.alias("confidence"))
+
+    def decide(ranked: Column) -> Column:
+        best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
+        high = best["s"] >= 6
+        return F.when((best["s"] >= 4) & (best["s"] - second["s"] >= 2), result(
+            best["c"],
+            F.when(high, F.lit("rule_based_high")).otherwise(F.lit("rule_based_medium")),
+            F.when(high, F.lit(0.9)).otherwise(F.lit(0.78)),
+        )).otherwise(result(F.lit(None).cast("string"), F.lit("unresolved"), F.lit(0.0)))
+
+    return F.when(is_meaningful(existing), result(existing, F.lit("existing_valid"), F.lit(1.0))).otherwise(let(scored, decide))
+
+
+def _category_scores(low: Column, low_skills: Column) -> Column:
+    """Categories by score, then by rule order: array<struct<s, o, c>>."""
     points: dict[str, Column] = {}
     order = [c for c, _, _ in v.CATEGORY_TEXT_RULES]
     for cat, weight, words in v.CATEGORY_TEXT_RULES:
@@ -227,25 +254,9 @@ def infer_category(existing: Column, text: Column, skills: Column) -> Column:
     for cat, weight, words in v.CATEGORY_SKILL_RULES:
         hit = F.arrays_overlap(low_skills, F.array(*[F.lit(w) for w in words]))
         points[cat] = points[cat] + F.when(hit, F.lit(weight)).otherwise(F.lit(0))
-    ranked = F.sort_array(
+    return F.sort_array(
         F.array(*[F.struct(points[c].alias("s"), F.lit(-i).alias("o"), F.lit(c).alias("c")) for i, c in enumerate(order)]), asc=False
     )
-    best, second = F.get(ranked, F.lit(0)), F.get(ranked, F.lit(1))
-    ok = (best["s"] >= 4) & (best["s"] - second["s"] >= 2)
-    high = best["s"] >= 6
-
-    def result(value: Column, source: Column, conf: Column) -> Column:
-        return F.struct(value.alias("value"), source.alias("source"), conf.alias("confidence"))
-
-    return (
-        F.when(is_meaningful(existing), result(existing, F.lit("existing_valid"), F.lit(1.0)))
-        .when(ok, result(
-            best["c"],
-            F.when(high, F.lit("rule_based_high")).otherwise(F.lit("rule_based_medium")),
-            F.when(high, F.lit(0.9)).otherwise(F.lit(0.78)),
-        ))
-        .otherwise(result(F.lit(None).cast("string"), F.lit("unresolved"), F.lit(0.0)))
-    )
 
 
 INTERN = r"(?iU)\b(intern|internship|trainee)\b|стаж[её]р|стажировка"
@@ -256,7 +267,11 @@ SENIOR = r"(?iU)\b(senior|sr)\b"
 
 def infer_level(existing: Column, title: Column, text: Column, experience_min: Column) -> Column:
     """struct<value, source, confidence>: existing, then title, text and experience rules in order."""
-    t, x, e = F.lower(F.coalesce(title, F.lit(""))), F.lower(F.coalesce(text, F.lit(""))), experience_min.cast("double")
+    low = lambda y: F.lower(F.coalesce(y, F.lit("")))
+    return let(low(title), lambda t: let(low(text), lambda x: _level(existing, t, x, experience_min.cast("double"))))
+
+
+def _level(existing: Column, t: Column, x: Column, e: Column) -> Column:
     rules = [
         (is_meaningful(existing), existing, "existing_valid", 1.0),
         (t.rlike(INTERN), "intern", "title_rule_high", 0.95),

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.text import distinct_ignore_case, is_meaningful, squeeze
+from postmill.functions.text import distinct_ignore_case, is_meaningful, let, squeeze
 
 EMPTY = "array<string>"
 
@@ -22,7 +22,10 @@ def parse_list(text: Column) -> Column:
     A lone JSON or literal value is a list of one. Items are trimmed, blanks go,
     later spellings of the same item go.
     """
-    body = F.trim(text)
+    return let(F.trim(text), _parse_list)
+
+
+def _parse_list(body: Column) -> Column:
     absent = F.lower(body).isin("", "nan", "none", "null") | body.isNull()
     as_json = F.from_json(body, "array<string>")
     is_list = F.startswith(body, F.lit("[")) & F.endswith(body, F.lit("]"))
@@ -50,7 +53,10 @@ def combine_lists(cols: Sequence[Column]) -> Column:
 
 def parse_json_items(text: Column) -> Column:
     """JSON list of meaningful items; a JSON string is split on ``; , / |``; anything else is empty."""
-    body = squeeze(text)
+    return let(squeeze(text), _parse_json_items)
+
+
+def _parse_json_items(body: Column) -> Column:
     as_list = F.from_json(body, EMPTY)
     one = F.regexp_extract(body, '^"(.*)"$', 1)
     items = (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from postmill.functions.text import contains_any, squeeze
+from postmill.functions.text import let, squeeze
 from postmill.functions.vocab import SALARY_OUTLIER
 
 # Patterns of the salary readers.
@@ -78,7 +78,10 @@ def amounts_v1(text: Column) -> Column:
 
 def locale_number(text: Column) -> Column:
     """Number with blanks, commas or dots as thousands or decimal signs."""
-    compact = F.regexp_replace(text, "[€$£₸\\s\\u00A0]", "")
+    return let(F.regexp_replace(text, "[€$£₸\\s\\u00A0]", ""), _locale_number)
+
+
+def _locale_number(compact: Column) -> Column:
     no_comma, no_dot = F.replace(compact, F.lit(","), F.lit("")), F.replace(compact, F.lit("."), F.lit(""))
     bare = F.regexp_replace(compact, "[.,]", "")
     has_comma, has_dot = F.contains(compact, F.lit(",")), F.contains(compact, F.lit("."))
@@ -126,12 +129,11 @@ def amount_tokens(text: Column) -> Column:
 
     start = F.struct(F.array().cast(TOKEN).alias("out"), F.lit("").alias("pending"))
     kept = F.aggregate(read, start, keep, lambda acc: acc["out"])
-    return _merge_units(_spread_units(kept))
+    return let(let(kept, _spread_units), _merge_units)
 
 
 def _joins(gap: Column) -> Column:
-    g = F.lower(squeeze(gap))
-    return g.rlike(RANGE_SEPARATOR) | g.isin("", "and", "&", ",", "/")
+    return let(F.lower(squeeze(gap)), lambda g: g.rlike(RANGE_SEPARATOR) | g.isin("", "and", "&", ",", "/"))
 
 
 def _spread_units(tokens: Column) -> Column:
@@ -171,27 +173,27 @@ def _merge_units(tokens: Column) -> Column:
 
 def periods(text: Column) -> Column:
     """Pay periods named in a text, in the order hour, day, year, month."""
-    t = F.lower(squeeze(text))
-    return F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(name)) for name, p in PERIODS]))
+    return let(F.lower(squeeze(text)), lambda t: F.array_compact(F.array(*[F.when(t.rlike(p), F.lit(name)) for name, p in PERIODS])))
 
 
 def contact_signal(text: Column) -> Column:
     """E-mail, or a phone number next to a contact word or with a plus."""
-    t = squeeze(text)
-    phone = F.regexp_extract(t, PHONE, 0)
-    return t.rlike(EMAIL) | ((phone != "") & (t.rlike(CONTACT_WORD) | F.contains(phone, F.lit("+"))))
+    def signal(t: Column) -> Column:
+        phone = F.regexp_extract(t, PHONE, 0)
+        return t.rlike(EMAIL) | ((phone != "") & (t.rlike(CONTACT_WORD) | F.contains(phone, F.lit("+"))))
+
+    return let(squeeze(text), signal)
 
 
 def review_class(text: Column, n_tokens: Column, found: Column) -> Column:
     """Why a salary text needs a person, or null."""
-    t = F.lower(squeeze(text))
-    return (
-        F.when(contact_signal(text), F.lit("contact_or_noise"))
+    return let(F.lower(squeeze(text)), lambda t: (
+        F.when(contact_signal(t), F.lit("contact_or_noise"))
         .when(F.size(found) > 1, F.lit("mixed_salary_periods"))
         .when((n_tokens >= 3) & t.rlike(BONUS_WORD), F.lit("base_salary_plus_bonus_mix"))
         .when((n_tokens >= 2) & t.rlike(VARIANT_WORD) & t.rlike(VARIANT_JOIN), F.lit("multi_variant_compensation"))
         .when(n_tokens > 2, F.lit("too_many_amounts"))
-    )
+    ))
 
 
 EDGE = " ,;:-"
@@ -199,8 +201,10 @@ EDGE = " ,;:-"
 
 def _cut(text: Column, pattern: str, after: int) -> Column:
     """Text before the first match when that lies beyond ``after`` characters."""
-    start = F.regexp_instr(text, F.lit(pattern)) - 1
-    return F.when(start > after, F.btrim(F.substring(text, F.lit(1), start), F.lit(EDGE))).otherwise(text)
+    def at(t: Column, start: Column) -> Column:
+        return F.when(start > after, F.btrim(F.substring(t, F.lit(1), start), F.lit(EDGE))).otherwise(t)
+
+    return let(text, lambda t: let(F.regexp_instr(t, F.lit(pattern)) - 1, lambda start: at(t, start)))
 
 
 def trim_clause(text: Column, max_len: int = 220) -> Column:
@@ -212,7 +216,3 @@ def trim_clause(text: Column, max_len: int = 220) -> Column:
 
 def usable_amount(value: Column) -> Column:
     return F.when((value > 0) & (value <= SALARY_OUTLIER), value)
-
-
-def has_any(text: Column, words: list[str]) -> Column:
-    return contains_any(text, words)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +14,11 @@ SPACE = "[\\s\\u00A0\\u0085\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u
 KEY_CHARS = "[^0-9a-zа-яё]+"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one blank; ends are trimmed; null becomes ''."""
     return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " "))
@@ -32,8 +37,7 @@ def contains_any(text: Column, words: Iterable[str]) -> Column:
 
 
 def is_meaningful(text: Column, min_len: int = 2) -> Column:
-    clean = squeeze(text)
-    return (clean != "") & ~F.lower(clean).isin(MISSING_WORDS) & (F.length(clean) >= min_len)
+    return let(squeeze(text), lambda t: (F.length(t) >= max(min_len, 1)) & ~F.lower(t).isin(MISSING_WORDS))
 
 
 def is_missing_like(text: Column) -> Column:
@@ -57,8 +61,7 @@ def unescape(text: Column) -> Column:
 
 def standardize_missing(text: Column) -> Column:
     """Unescaped and squeezed text, null where it is a missing word."""
-    clean = squeeze(unescape(text))
-    return F.when(~F.lower(clean).isin(MISSING_WORDS), clean)
+    return let(squeeze(unescape(text)), lambda t: F.when(~F.lower(t).isin(MISSING_WORDS), t))
 
 
 def normalize_key(text: Column) -> Column:
@@ -76,8 +79,13 @@ def clean_html(text: Column) -> Column:
 
 def distinct_ignore_case(items: Column) -> Column:
     """First spelling of each item, in order."""
-    keys = F.transform(items, lambda x: F.lower(x))
-    return F.filter(items, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)
+    def first_of_key(xs: Column) -> Column:
+        return let(
+            F.transform(xs, lambda x: F.lower(x)),
+            lambda keys: F.filter(xs, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1),
+        )
+
+    return let(items, first_of_key)
 
 
 def strip_chars(text: Column, chars: str) -> Column:

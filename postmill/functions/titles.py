@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from postmill.functions import vocab as v
 from postmill.functions.classify import city
 from postmill.functions.money import PHONE_LOOSE
-from postmill.functions.text import SPACE, blank_to_null, contains_any, is_meaningful, lookup, normalize_key, squeeze, unescape
+from postmill.functions.text import SPACE, blank_to_null, contains_any, is_meaningful, let, lookup, normalize_key, squeeze, unescape
 
 DASHES = " -–—"
 
@@ -35,45 +35,50 @@ def clean_title(text: Column) -> Column:
 
 def title_variant(title: Column) -> Column:
     """Collapse to a standard title unless the text carries stack or seniority detail."""
-    out = title
-    for name, pattern in reversed(v.TITLE_VARIANTS):
-        out = F.when(title.rlike("(?iU)" + pattern), F.lit(name)).otherwise(out)
-    keep = contains_any(F.lower(title), v.TITLE_KEEP_WORDS)
-    return F.when(is_meaningful(title, 2), F.when(keep, title).otherwise(out))
+    def variant(t: Column) -> Column:
+        out = t
+        for name, pattern in reversed(v.TITLE_VARIANTS):
+            out = F.when(t.rlike("(?iU)" + pattern), F.lit(name)).otherwise(out)
+        keep = let(F.lower(t), lambda low: contains_any(low, v.TITLE_KEEP_WORDS))
+        return F.when(is_meaningful(t, 2), F.when(keep, t).otherwise(out))
+
+    return let(title, variant)
 
 
 def title_ok(text: Column) -> Column:
-    t = squeeze(text)
-    low = F.lower(t)
-    bad = (
-        low.isin(v.TITLE_BAD_WORDS)
-        | ((words(t) == 1) & low.isin(v.TITLE_BAD_ALONE))
-        | contains_any(low, v.TITLE_BAD_PARTS)
-        | starts_with_any(low, v.TITLE_BAD_STARTS)
-    )
-    return is_meaningful(text, 3) & ~bad
+    def ok(low: Column) -> Column:
+        bad = (
+            low.isin(v.TITLE_BAD_WORDS)
+            | ((words(low) == 1) & low.isin(v.TITLE_BAD_ALONE))
+            | contains_any(low, v.TITLE_BAD_PARTS)
+            | starts_with_any(low, v.TITLE_BAD_STARTS)
+        )
+        return (F.length(low) >= 3) & ~low.isin(v.MISSING_WORDS) & ~bad
+
+    return let(F.lower(squeeze(text)), ok)
 
 
 def header_title(text: Column) -> Column:
-    cleaned = clean_title(text)
-    t = F.trim(F.regexp_replace(squeeze(cleaned), r"(?iU)\s+(?:АО|ТОО|ИП|JSC|LLP)\b.*$", ""))
-    t = F.btrim(F.regexp_replace(t, r"(?iU)\b(казахстан|г\.)\b.*$", ""), F.lit(DASHES + ","))
-    return F.when(title_ok(cleaned) & title_ok(t), t)
+    def tail_cut(cleaned: Column) -> Column:
+        t = F.trim(F.regexp_replace(squeeze(cleaned), r"(?iU)\s+(?:АО|ТОО|ИП|JSC|LLP)\b.*$", ""))
+        t = F.btrim(F.regexp_replace(t, r"(?iU)\b(казахстан|г\.)\b.*$", ""), F.lit(DASHES + ","))
+        return let(t, lambda x: F.when(title_ok(cleaned) & title_ok(x), x))
+
+    return let(clean_title(text), tail_cut)
 
 
 # ---- companies -------------------------------------------------------------------
 
 def clean_company(text: Column) -> Column:
-    t = F.regexp_replace(squeeze(text), r"(?iu)^(компания|company)\s*[:\-]\s*", "")
-    t = F.btrim(t, F.lit(DASHES))
-    return F.when(is_meaningful(text, 2), F.coalesce(lookup(normalize_key(t), v.COMPANY_ALIASES), t))
+    t = F.btrim(F.regexp_replace(squeeze(text), r"(?iu)^(компания|company)\s*[:\-]\s*", ""), F.lit(DASHES))
+    named = let(t, lambda x: F.coalesce(lookup(normalize_key(x), v.COMPANY_ALIASES), x))
+    return F.when(is_meaningful(text, 2), named)
 
 
 def header_company(text: Column) -> Column:
-    cleaned = clean_company(text)
-    t = F.trim(F.regexp_replace(squeeze(cleaned), r"(?iU)\s+(ищет|в команду|на позицию|требуется)\b.*$", ""))
+    t = F.trim(F.regexp_replace(squeeze(clean_company(text)), r"(?iU)\s+(ищет|в команду|на позицию|требуется)\b.*$", ""))
     t = F.trim(F.regexp_replace(t, r"(?i)\s+https?://\S+$", ""))
-    return F.when(is_meaningful(cleaned, 2) & is_meaningful(t, 2) & (words(t) <= 12), t)
+    return let(t, lambda x: F.when(is_meaningful(x, 2) & (words(x) <= 12), x))
 
 
 def company_suspicious(text: Column) -> Column:
@@ -103,15 +108,19 @@ def clean_description(text: Column) -> Column:
 
     A result under 20 characters falls back to the squeezed original.
     """
-    original = unescape(text)
+    return let(text, lambda x: let(unescape(x), lambda original: _clean_description(x, original)))
+
+
+def _clean_description(text: Column, original: Column) -> Column:
     t = F.translate(original, "\r", "\n")
     for pattern in ("<[^>]+>", URL, EMAIL_ADDRESS, HANDLE, HASHTAG):
         t = F.regexp_replace(t, pattern, " ")
     lines = F.filter(F.transform(F.split(t, "\n+"), lambda x: squeeze(x)), lambda x: x != "")
     contact = rf"(?iU)\b{v.CONTACT_WORDS}\b"
-    kept = F.filter(lines, lambda x: ~(x.rlike(contact) & (
+    kept_lines = F.filter(lines, lambda x: ~(x.rlike(contact) & (
         x.rlike(r"\+?\d[\d\-\s()]{7,}\d") | x.rlike(EMAIL_ADDRESS) | x.rlike(HANDLE) | x.rlike(r"(?i)https?://\S+|www\.\S+"))))
-    t = F.when(F.size(kept) > 0, F.array_join(kept, "\n")).otherwise(t)
+    no_lines = t
+    t = let(kept_lines, lambda kept: F.when(F.size(kept) > 0, F.array_join(kept, "\n")).otherwise(no_lines))
     t = F.regexp_replace(t, rf"(?iU)\b{v.CONTACT_CLAUSE_WORDS}\b[:\s\-]{{0,5}}[^\n.;]{{0,180}}", " ")
     t = F.regexp_replace(t, PHONE_LOOSE, " ")
     t = F.regexp_replace(t, EMOJI, " ")
@@ -120,15 +129,20 @@ def clean_description(text: Column) -> Column:
     t = F.regexp_replace(t, "[•▪◾◆▶➤✔✅]+|[|]{2,}", " ")
     t = F.regexp_replace(t, f"{SPACE}*([,:;]){SPACE}*", "$1 ")
     t = F.btrim(F.regexp_replace(t, f"{SPACE}+", " "), F.lit(" -–—\n\t"))
-    plain = squeeze(original)
-    final = F.when(is_meaningful(t, 20), t).otherwise(plain)
-    ok = is_meaningful(text, 5)
-    return F.struct(
-        F.when(ok, blank_to_null(final)).alias("text"),
-        (ok & (final != plain)).alias("changed"),
-        F.when(ok, F.length(final)).otherwise(0).cast("long").alias("length"),
-        F.when(ok, F.greatest(F.length(original) - F.length(final), F.lit(0))).otherwise(0).cast("long").alias("removed"),
+
+    def result(plain: Column, final: Column) -> Column:
+        return F.struct(
+            blank_to_null(final).alias("text"), (final != plain).alias("changed"), F.length(final).cast("long").alias("length"),
+            F.greatest(F.length(original) - F.length(final), F.lit(0)).cast("long").alias("removed"),
+        )
+
+    nothing = F.struct(
+        F.lit(None).cast("string").alias("text"), F.lit(False).alias("changed"),
+        F.lit(0).cast("long").alias("length"), F.lit(0).cast("long").alias("removed"),
     )
+    cleaned = let(squeeze(original), lambda plain: let(
+        let(t, lambda x: F.when(is_meaningful(x, 20), x).otherwise(plain)), lambda final: result(plain, final)))
+    return F.when(is_meaningful(text, 5), cleaned).otherwise(nothing)
 
 
 # ---- headers -------------------------------------------------------------------------
@@ -141,9 +155,8 @@ SECTION_WORDS = (
 
 def header_window(text: Column, max_len: int = 900) -> Column:
     """First four lines up to the first section word, squeezed, at most ``max_len`` characters."""
-    t = F.translate(text, "\r", "\n")
-    at = F.regexp_instr(t, F.lit(SECTION_WORDS))
-    head = F.when(at > 0, F.substring(t, F.lit(1), at - 1)).otherwise(t)
+    head = let(F.translate(text, "\r", "\n"), lambda t: let(
+        F.regexp_instr(t, F.lit(SECTION_WORDS)), lambda at: F.when(at > 0, F.substring(t, F.lit(1), at - 1)).otherwise(t)))
     lines = F.slice(F.split(head, "\n"), 1, 4)
     one = F.array_join(F.filter(F.transform(lines, lambda x: squeeze(x)), lambda x: x != ""), " ")
     return F.when(is_meaningful(text, 10), F.substring(one, 1, max_len)).otherwise(F.lit(""))
@@ -220,8 +233,7 @@ def header_fields(header: Column, name: Column) -> dict[str, Column]:
 
 
 def header_city(text: Column) -> Column:
-    found = city(text)
-    return F.when(is_meaningful(found, 3), found)
+    return city(text)
 
 
 TITLE_IN_TEXT = [
@@ -232,12 +244,9 @@ TITLE_IN_TEXT = [
 
 def title_from_description(text: Column, parsed_title: Column) -> Column:
     """Title named in a description: header, then two phrases, then a short first sentence with a role word."""
+    valid = lambda t: let(clean_title(t), lambda x: F.when(title_ok(x), x))
     options = [F.when(title_ok(parsed_title), parsed_title)]
-    for pattern in TITLE_IN_TEXT:
-        candidate = clean_title(F.regexp_extract(text, pattern, 1))
-        options.append(F.when(text.rlike(pattern) & title_ok(candidate), candidate))
-    sentence = F.get(F.split(text, "[.!?\\n]", 2), F.lit(0))
-    candidate = clean_title(sentence)
-    short = (words(squeeze(sentence)) <= 10) & contains_any(F.lower(sentence), v.TITLE_SENTENCE_WORDS)
-    options.append(F.when(short & title_ok(candidate), candidate))
+    options += [valid(F.regexp_extract(text, pattern, 1)) for pattern in TITLE_IN_TEXT]
+    options.append(let(F.get(F.split(text, "[.!?\\n]", 2), F.lit(0)), lambda s: F.when(
+        (words(squeeze(s)) <= 10) & contains_any(F.lower(s), v.TITLE_SENTENCE_WORDS), valid(s))))
     return F.when(is_meaningful(text, 20), F.coalesce(*options))

@@ -15,7 +15,7 @@ from postmill.functions.lists import parse_json_items
 from postmill.functions.text import (
     is_meaningful, is_missing_like, is_missing_list, lookup, normalize_key, squeeze, standardize_missing,
 )
-from postmill.operators.spread import attach_group, head_per_key
+from postmill.operators.spread import attach_group, head_per_key, seal
 
 c = F.col
 
@@ -28,7 +28,7 @@ def null_missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 
 
 def with_description(df: DataFrame, text: str = "description") -> DataFrame:
-    return df.withColumn("_d", t.clean_description(c(text))).withColumns({
+    return seal(df.withColumn("_d", t.clean_description(c(text))), {
         "description_clean_v2": c("_d.text"), "description_clean_changed": c("_d.changed"),
         "description_clean_len": c("_d.length"), "description_clean_removed_chars": c("_d.removed"),
     }).drop("_d")
@@ -36,10 +36,11 @@ def with_description(df: DataFrame, text: str = "description") -> DataFrame:
 
 def parse_header(df: DataFrame, text: str = "description_clean_v2") -> DataFrame:
     """Header pattern, its confidence, and the cleaned title, company and city."""
-    staged = df.withColumn("_h", t.header_window(c(text))).withColumn("header_parse_pattern", t.header_pattern(c("_h")))
+    staged = df.withColumn("_h", t.header_window(c(text)))
+    staged = seal(staged, {"header_parse_pattern": t.header_pattern(c("_h"))})
     fields = t.header_fields(c("_h"), c("header_parse_pattern"))
     raw = staged.withColumns({f"_{n}": col for n, col in fields.items()})
-    return raw.withColumns({
+    return seal(raw, {
         "header_extracted_title": t.header_title(c("_title")),
         "header_extracted_company": t.header_company(c("_company")),
         "header_extracted_city": t.header_city(c("_city")),
@@ -48,7 +49,7 @@ def parse_header(df: DataFrame, text: str = "description_clean_v2") -> DataFrame
 
 
 def normalise_enums(df: DataFrame) -> DataFrame:
-    return df.withColumns({
+    return seal(df, {
         "english_level_norm": k.english_level(c("english_level")),
         "category_norm": k.category(c("category")), "level_norm": k.level(c("level")),
         "employment_norm": k.employment(c("employment")), "work_format_norm": k.work_format(c("work_format")),
@@ -80,7 +81,7 @@ def final_title(df: DataFrame) -> DataFrame:
         F.when(source == "raw_title", c("title_clean")).when(source == "title_normalized", c("_tn"))
         .when(source == "header_parse", c("_th")).when(source == "description_rule", c("_td"))
     )
-    return staged.withColumn("_pick", chosen).withColumns({
+    return seal(staged.withColumn("_pick", chosen), {
         "title_final": t.title_variant(c("_pick")), "title_is_inferred": ~source.isin("raw_title", "missing"),
     }).drop("_tn", "_th", "_td", "_pick")
 
@@ -92,7 +93,7 @@ def final_company(df: DataFrame) -> DataFrame:
     staged = staged.withColumn("_pick", F.when(c("_has"), c("_cc")).otherwise(c("_ch")))
     staged = staged.withColumn("company_is_suspicious", F.coalesce(t.company_suspicious(c("_pick")), F.lit(False)))
     usable = ~c("company_is_suspicious") & is_meaningful(c("_pick"), 2)
-    return staged.withColumns({
+    return seal(staged, {
         "company_clean": F.when(usable, c("_pick")),
         "company_source_v2": F.when(c("company_is_suspicious"), "dropped_suspicious").when(c("_has"), "cleaned_existing")
         .when(is_meaningful(c("_ch"), 2), "header_parse").otherwise("missing"),
@@ -111,23 +112,23 @@ def canon_skills(df: DataFrame, context: str = "_context") -> DataFrame:
     """Canonical skill lists; all = hard, tech, soft in that order; count and top family."""
     js = k.programming_context(c(context))
     lists = {f"{x}_clean": k.canonical_skills(c(x), js) for x in ("hard_skills", "soft_skills", "tech_stack")}
-    staged = df.withColumns(lists)
+    staged = seal(df, lists)
     every = k.canonical_skills(F.concat("hard_skills_clean", "tech_stack_clean", "soft_skills_clean"), js)
     staged = staged.withColumn("skills_all_clean", every)
-    return staged.withColumns({
+    return seal(staged, {
         "skills_count": F.size("skills_all_clean").cast("long"), "top_skill_family": k.top_family(c("skills_all_clean")),
     })
 
 
 def infer_category(df: DataFrame, context: str = "_context") -> DataFrame:
-    return df.withColumn("_c", k.infer_category(c("category_norm"), c(context), c("skills_all_clean"))).withColumns({
+    return seal(df.withColumn("_c", k.infer_category(c("category_norm"), c(context), c("skills_all_clean"))), {
         "category_filled": c("_c.value"), "category_source_v2": c("_c.source"), "category_confidence_v2": c("_c.confidence"),
     }).drop("_c")
 
 
 def infer_level(df: DataFrame, context: str = "_context") -> DataFrame:
     titles = F.concat_ws(" ", *[F.when(is_meaningful(c(x)), F.lower(squeeze(c(x)))) for x in ("title", "title_normalized", "title_final")])
-    return df.withColumn("_l", k.infer_level(c("level_norm"), titles, c(context), c("experience_min"))).withColumns({
+    return seal(df.withColumn("_l", k.infer_level(c("level_norm"), titles, c(context), c("experience_min"))), {
         "level_filled": c("_l.value"), "level_source_v2": c("_l.source"), "level_confidence_v2": c("_l.confidence"),
     }).drop("_l")
 

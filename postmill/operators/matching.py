@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.text import contains_any, squeeze
+from postmill.functions.text import contains_any, let, squeeze
 from postmill.operators.spread import attach_group, head_per_key, keep_first
+from postmill.session import ensure_checkpoint_dir
 
 c = F.col
 
@@ -61,7 +62,8 @@ def match(
     ``cands`` has one row per (cand_id[, part]); with parts (roles, say) a candidate
     only meets postings of its part. Exact, without comparing all pairs:
 
-    * equal skill sets are matched once, for candidates and for postings;
+    * equal skill sets are matched once, for candidates and for postings (both kept in
+      the checkpoint folder, as several steps read them);
     * a bounded probe of posting sets gives each candidate set a score it can surely
       reach ``top_n`` times; only posting sets that can score as much are compared,
       found by an equi join on their rarest skills (length and prefix filter);
@@ -79,7 +81,8 @@ def match(
         "id", "part", "salary_avg_clean", F.coalesce("skills", empty).alias("skills"))
     p = p.withColumn("keys", F.array_sort(F.array_distinct(F.transform("skills", lambda x: F.lower(x))))).withColumns({
         "skills_count": F.size("skills").cast("long"), "psig": F.xxhash64("part", "keys")})
-    heads = head_per_key(p, ["part", "psig"], best_first, top_n, "in_sig")
+    ensure_checkpoint_dir(postings.sparkSession)
+    heads = head_per_key(p, ["part", "psig"], best_first, top_n, "in_sig").checkpoint()
     psets = heads.filter("in_sig = 1").select(
         "part", "psig", c("keys").alias("pkeys"), F.size("keys").alias("pn"), c("salary_avg_clean").alias("best_salary"),
         c("skills_count").alias("best_count"), c("id").alias("best_id")).filter("pn > 0")
@@ -91,12 +94,15 @@ def match(
     csets = keep_first(cs.select("part", "csig", "ckeys"), ["csig"], [F.asc("csig")]).withColumn("cn", F.size("ckeys"))
 
     # A score each candidate set reaches top_n times: the top_n-th best over a bounded probe per part.
+    # Parts are a closed set of roles, so the probes are one small value.
     probe = head_per_key(psets, ["part"], [F.desc("pn"), F.asc("psig")], PROBE, "probe_no")
-    probes = probe.groupBy("part").agg(F.collect_list("pkeys").alias("probe"))
-    scores = F.sort_array(F.transform("probe", lambda k: _jaccard(
+    probes = probe.groupBy("part").agg(F.collect_list("pkeys").alias("sets"))
+    by_part = probes.agg(F.map_from_entries(F.collect_list(F.struct("part", "sets")))).scalar()
+    scores = F.sort_array(F.transform(F.try_element_at(c("_m"), c("part")), lambda k: _jaccard(
         F.size(F.array_intersect(k, c("ckeys"))), F.size(k), c("cn"))), asc=False)
-    csets = csets.join(probes, "part", "left").withColumn(
-        "floor", F.coalesce(F.get(scores, F.lit(top_n - 1)), F.lit(0.0))).drop("probe")
+    # Heavy on few bytes: a fixed number of partitions keeps it from being run in one task.
+    csets = csets.repartition(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "csig").withColumn("_m", by_part).withColumn(
+        "floor", F.coalesce(F.get(scores, F.lit(top_n - 1)), F.lit(0.0))).drop("_m").checkpoint()
 
     # Rare skills first; a posting set that reaches the floor shares one of its leading skills.
     exploded = psets.select("part", "psig", "pn", F.explode("pkeys").alias("key"))
@@ -140,15 +146,14 @@ def mean_match(matches: DataFrame) -> DataFrame:
 
 def skill_gap(df: DataFrame, have: str, want: str) -> DataFrame:
     """matched, missing and extra skills (sorted; spelling of the target), and the matched share of the target."""
-    low = lambda x: F.lower(x)
-    h, w = F.transform(have, low), F.transform(want, low)
-    matched = F.filter(want, lambda x: F.array_contains(h, F.lower(x)))
-    return df.withColumns({
-        "matched": F.array_sort(F.array_distinct(matched)),
-        "missing": F.array_sort(F.array_distinct(F.filter(want, lambda x: ~F.array_contains(h, F.lower(x))))),
-        "extra": F.array_sort(F.array_distinct(F.filter(have, lambda x: ~F.array_contains(w, F.lower(x))))),
-        "gap_score": F.when(F.size(want) > 0, F.size(F.array_distinct(matched)) / F.size(want) * 100).otherwise(F.lit(0.0)),
-    })
+    def sift(items: str, against: str, inside: bool) -> Column:
+        keys = F.transform(against, lambda x: F.lower(x))
+        return F.array_sort(F.array_distinct(let(keys, lambda ks: F.filter(
+            items, lambda x: F.array_contains(ks, F.lower(x)) == F.lit(inside)))))
+
+    out = df.withColumns({
+        "matched": sift(want, have, True), "missing": sift(want, have, False), "extra": sift(have, want, False)})
+    return out.withColumn("gap_score", F.when(F.size(want) > 0, F.size("matched") / F.size(want) * 100).otherwise(F.lit(0.0)))
 
 
 # ---- résumés ------------------------------------------------------------------------------------

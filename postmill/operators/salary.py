@@ -9,6 +9,7 @@ from postmill.functions import money as m
 from postmill.functions.classify import average, currency
 from postmill.functions.text import is_meaningful, squeeze
 from postmill.functions.vocab import CURRENCIES_V1, CURRENCIES_V3, CURRENCY_WORDS_V3, SALARY_OUTLIER
+from postmill.operators.spread import seal
 
 FLAGS = "array<string>"
 
@@ -97,8 +98,8 @@ def salary_clean_v1(df: DataFrame) -> DataFrame:
     final_from = F.when(~c("_leak"), F.when(swap, c("_t0")).otherwise(c("_f0")))
     final_to = F.when(~c("_leak"), F.when(swap, c("_f0")).otherwise(c("_t0")))
     valid_currency = true(c("_cur").isin(CURRENCIES_V1))
-    a = a.withColumns({
-        "salary_from_clean": final_from, "salary_to_clean": final_to,
+    a = seal(a, {
+        "salary_from_clean": final_from, "salary_to_clean": final_to, "salary_avg_clean": average(final_from, final_to),
         "currency_clean": F.when(valid_currency, c("_cur")),
         "salary_parse_quality": quality,
         "salary_is_suspicious": c("_leak") | c("_outlier") | c("_zero"),
@@ -108,7 +109,6 @@ def salary_clean_v1(df: DataFrame) -> DataFrame:
             (c("_leak"), "contact_leak_detected"), (~c("_leak") & swap, "salary_range_swapped_v2")))),
         "salary_parse_source": c("_cand.source"),
     })
-    a = a.withColumn("salary_avg_clean", average(c("salary_from_clean"), c("salary_to_clean")))
     return a.drop("_cand", "_t", "_cur", "_leak", "_am", "_pf", "_pt", "_q", "_ef", "_et", "_pf2", "_pt2", "_q2", "_outlier", "_zero", "_fx", "_f0", "_t0")
 
 
@@ -218,8 +218,9 @@ def salary_repair_v3(df: DataFrame) -> DataFrame:
     empty = c("_f1").isNull() & c("_t1").isNull()
     zero = F.when(c("_review"), c("_zero")).otherwise(c("_zero") & empty)
     suspicious = c("_review") | outlier | zero
-    return a.withColumns({
+    return seal(a, {
         "salary_from_clean": F.when(~c("_review"), c("_f1")), "salary_to_clean": F.when(~c("_review"), c("_t1")),
+        "salary_avg_clean": F.when(~c("_review"), average(c("_f1"), c("_t1"))),
         "currency_clean": F.when(valid, c("_cur")),
         "salary_parse_quality": F.when(c("_queued"), c("_quality")).when(c("_clash"), "manual_review_complex_v2")
         .when(empty, "missing").otherwise(c("_q1")),
@@ -244,7 +245,7 @@ def salary_repair_v3(df: DataFrame) -> DataFrame:
         "salary_manual_review_flag": c("_review"),
         "salary_manual_review_category": F.when(c("_queued"), c("_class")).when(c("_clash"), "source_conflict_major"),
         "salary_from_candidate_v2": c("_p_cand_from"), "salary_to_candidate_v2": c("_p_cand_to"),
-    }).withColumn("salary_avg_clean", average(c("salary_from_clean"), c("salary_to_clean"))).drop(
+    }).drop(
         "_cand", "_ctext", "_src", "_cur", "_ef", "_et", "_zero", "_out", "_phone", "_ignored", "_lone", "_from", "_to", "_quality",
         "_class", "_conf", "_conflict", "_review", "_queued", "_clash", "_f0", "_t0", "_basis", "_q1", "_f1", "_t1", "_swap",
         "_p_review", "_p_cand_from", "_p_cand_to", "_p_from", "_p_to", "_p_quality", "_p_period", "_p_confidence")

@@ -7,7 +7,7 @@ read from counts of distinct values instead of from collected rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +20,17 @@ SALTS = 64
 CELLS_PER_OCTAVE = 64
 
 
+def seal(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
+    """``withColumns`` whose results later filters cannot unfold.
+
+    A filter on a computed column is normally rewritten into the expressions the
+    column comes from. Over a long chain of rules that rewriting grows without end,
+    so the columns leave through a generator, which filters stay above of.
+    """
+    keep = [name for name in df.columns if name not in cols]
+    return df.select(*keep, F.inline(F.array(F.struct(*[col.alias(name) for name, col in cols.items()]))))
+
+
 def first_ids(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """One row per key: the smallest value of the unique ``order`` column."""
     return df.groupBy(*keys).agg(F.min(order).alias(order)).select(order)

@@ -24,7 +24,8 @@ W = r"[\p{L}\p{N}_]"
 
 @query("match_vocab_text", rf"""
 WITH k AS (SELECT lower(trim(skill)) AS key, skill FROM doc_vocab WHERE length(skill) > 2 OR lower(skill) IN ('ai','bi','ci','ml','nlp','qa','ui','ux','go','c#','c++','1c','hr')),
-h AS (SELECT doc_id, skill, key FROM documents, k WHERE regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(key) || '($|[^\p{{L}}\p{{N}}_])')),
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents),
+h AS (SELECT doc_id, skill, key FROM w JOIN k ON word = regexp_extract(key, '[\p{{L}}\p{{N}}_]+') JOIN documents USING (doc_id) WHERE regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(key) || '($|[^\p{{L}}\p{{N}}_])')),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(key) DESC, key) AS hit_no FROM h)
 SELECT doc_id, skill, hit_no FROM r WHERE hit_no <= 40""")
 def _(i):
@@ -34,7 +35,8 @@ def _(i):
 
 @query("resume_summary", rf"""
 WITH k AS (SELECT lower(trim(skill)) AS key, skill FROM doc_vocab WHERE length(skill) > 2),
-h AS (SELECT doc_id, string_agg(skill, '|' ORDER BY length(key) DESC, key) AS s FROM documents, k
+w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents),
+h AS (SELECT doc_id, string_agg(skill, '|' ORDER BY length(key) DESC, key) AS s FROM w JOIN k ON word = regexp_extract(key, '[\p{{L}}\p{{N}}_]+') JOIN documents USING (doc_id)
   WHERE regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(key) || '($|[^\p{{L}}\p{{N}}_])') GROUP BY 1),
 d AS (SELECT doc_id, regexp_replace(text, '^\s+|\s+$', '', 'g') AS t FROM documents)
 SELECT doc_id, coalesce(s, '') AS skills, try_cast(nullif(regexp_extract(t, '(?i)(\d+)\+?\s*(?:years|year|лет|года|год)', 1), '') AS BIGINT) AS years_experience,
