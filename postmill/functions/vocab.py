@@ -282,3 +282,92 @@ PROMO_PHRASES = [
     r"\bоткликайтесь\b",
     r"\bждем ваше резюме\b",
 ]
+
+# Extraction records: category aliases by category, and words searched in order when no alias fits.
+EXTRACTION_CATEGORY_ALIASES = {
+    "software_engineering": [
+        "backend", "backend_developer", "backend_engineer", "frontend", "frontend_developer", "frontend_engineer", "fullstack",
+        "full_stack", "fullstack_developer", "mobile", "android", "ios", "software", "software_engineer", "software_developer",
+        "web_development", "web", "engineering"],
+    "data": [
+        "data_engineer", "data_analyst", "data_scientist", "ml", "ai", "ml_engineer", "machine_learning",
+        "machine_learning_engineer", "artificial_intelligence", "bi", "bi_analyst", "business_intelligence"],
+    "qa": ["test", "testing", "quality_assurance", "test_automation", "sdet"],
+    "devops": ["sre", "platform", "platform_engineering", "cloud", "cloud_engineering", "infrastructure", "infra"],
+    "product": ["product_manager", "product_owner"],
+    "management": [
+        "project_management", "project_manager", "engineering_manager", "delivery_manager", "team_lead", "leadership"],
+    "analytics": ["business_analyst", "system_analyst", "systems_analyst", "product_analyst", "analyst"],
+    "design": ["ux", "ui", "ui_ux", "ux_ui", "product_design", "product_designer", "graphic_design", "motion_design"],
+    "security": ["cybersecurity", "information_security", "infosec", "soc"],
+    "support": ["customer_support", "technical_support", "helpdesk", "service_desk"],
+    "marketing": ["smm", "performance_marketing", "digital_marketing", "growth"],
+    "sales": ["sales_manager", "business_development", "account_executive"],
+    "hr": ["recruiting", "recruiter", "talent_acquisition"],
+    "finance": ["accounting", "accountant", "financial_analyst", "finops"],
+}
+EXTRACTION_CATEGORY_WORDS = [
+    ("software_engineering", [
+        "backend", "frontend", "fullstack", "mobile", "software", "developer", "programmer", "java", "python", "golang", "php",
+        "dotnet", "csharp", "react", "angular", "vue"]),
+    ("data", ["data", "ml", "machine_learning", "ai", "analytics_engineer", "bi"]),
+    ("qa", ["qa", "test", "testing", "sdet"]),
+    ("devops", ["devops", "sre", "platform", "cloud", "infra", "infrastructure"]),
+    ("product", ["product"]),
+    ("management", ["manager", "lead", "delivery"]),
+    ("analytics", ["analyst", "analysis"]),
+    ("design", ["design", "designer", "ux", "ui"]),
+    ("security", ["security", "cyber", "infosec"]),
+    ("support", ["support", "helpdesk", "service_desk"]),
+    ("marketing", ["marketing", "smm", "growth"]),
+    ("sales", ["sales", "business_development"]),
+    ("hr", ["hr", "recruit"]),
+    ("finance", ["finance", "account", "finops"]),
+]
+EXTRACTION_ENGLISH_ALIASES = {
+    "upper-intermediate": "b2",
+    "upper_intermediate": "b2",
+    "intermediate": "b1",
+    "pre-intermediate": "a2",
+    "pre_intermediate": "a2",
+    "advanced": "c1",
+    "elementary": "a2",
+    "beginner": "a1",
+}
+EXTRACTION_PERIOD_ALIASES = {
+    "час": "hour",
+    "в_час": "hour",
+    "hour": "hour",
+    "hourly": "hour",
+    "week": "week",
+    "weekly": "week",
+    "weekend": "week",
+    "month": "month",
+    "monthly": "month",
+    "месяц": "month",
+    "m": "month",
+    "year": "year",
+    "annual": "year",
+    "yearly": "year",
+    "год": "year",
+}
+EXTRACTION_CURRENCIES = ["KZT", "USD", "EUR", "RUB"]
+PREFILL_WORK_FORMAT_WORDS = [
+    ("hybrid", ["гибрид", "hybrid"]),
+    ("remote", ["удален", "remote", "дистанцион", "work from home", "home office"]),
+    ("office", ["onsite", "on-site", "офис", "office", "в офисе"]),
+]
+PREFILL_CURRENCY_WORDS = [
+    ("KZT", ["KZT", "ТГ", "₸", "ТЕНГЕ"]),
+    ("USD", ["USD", "$"]),
+    ("EUR", ["EUR", "€"]),
+    ("RUB", ["RUB", "RUR", "РУБ"]),
+]
+PREFILL_LABELS = {
+    "company": "компания|company",
+    "city": "город|city|location|локация",
+    "employment": "занятость|employment",
+    "work_format": "формат|work format|format",
+    "salary_raw": "зарплата|salary",
+    "experience": "опыт|experience",
+}
