@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
@@ -9,8 +10,8 @@ from pyspark.sql import functions as F
 
 from postmill.functions.vocab import MISSING_WORDS, TRUE_WORDS
 
-# Every kind of white space, spelled out so that no Unicode regex flag is needed.
-SPACE = "[\\s\\u00A0\\u0085\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000]"
+# Every kind of white space, no-break blanks included.
+SPACES = "(?U)\\s+"
 KEY_CHARS = "[^0-9a-zа-яё]+"
 
 
@@ -21,7 +22,7 @@ def let(value: Column, use: Callable[[Column], Column]) -> Column:
 
 def squeeze(text: Column) -> Column:
     """Runs of white space become one blank; ends are trimmed; null becomes ''."""
-    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), f"{SPACE}+", " "))
+    return F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " "))
 
 
 def blank_to_null(text: Column) -> Column:
@@ -29,11 +30,8 @@ def blank_to_null(text: Column) -> Column:
 
 
 def contains_any(text: Column, words: Iterable[str]) -> Column:
-    """Plain substring test against several words."""
-    hit = F.lit(False)
-    for word in words:
-        hit = hit | F.contains(text, F.lit(word))
-    return hit
+    """Plain substring test against several words, as one pattern of quoted words."""
+    return text.rlike("|".join(re.escape(word) for word in words))
 
 
 def is_meaningful(text: Column, min_len: int = 2) -> Column:
@@ -48,15 +46,22 @@ def is_missing_list(items: Column) -> Column:
     return items.isNull() | (F.size(items) == 0)
 
 
+ENTITIES = [
+    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#039;", "'"), ("&#39;", "'"), ("&#34;", '"'),
+    ("&#160;", " "), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&ndash;", "–"), ("&bull;", "•"), ("&hellip;", "…"),
+    ("&rsquo;", "’"), ("&#8217;", "’"), ("&#38;", "&"), ("&amp;", "&"),
+]
+
+
 def unescape(text: Column) -> Column:
     """HTML entities: the common named ones and numeric references of the usual punctuation."""
-    for entity, char in (
-        ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#039;", "'"), ("&#39;", "'"),
-        ("&#34;", '"'), ("&#160;", " "), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&ndash;", "–"),
-        ("&bull;", "•"), ("&hellip;", "…"), ("&rsquo;", "’"), ("&#8217;", "’"), ("&#38;", "&"), ("&amp;", "&"),
-    ):
-        text = F.replace(text, F.lit(entity), F.lit(char))
-    return text
+    def decode(t: Column) -> Column:
+        out = t
+        for entity, char in ENTITIES:
+            out = F.replace(out, F.lit(entity), F.lit(char))
+        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
+
+    return let(text, decode)
 
 
 def standardize_missing(text: Column) -> Column:

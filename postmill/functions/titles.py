@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from postmill.functions import vocab as v
 from postmill.functions.classify import city
 from postmill.functions.money import PHONE_LOOSE
-from postmill.functions.text import SPACE, blank_to_null, contains_any, is_meaningful, let, lookup, normalize_key, squeeze, unescape
+from postmill.functions.text import SPACES, blank_to_null, contains_any, is_meaningful, let, lookup, normalize_key, squeeze, unescape
 
 DASHES = " -–—"
 
@@ -111,10 +113,15 @@ def clean_description(text: Column) -> Column:
     return let(text, lambda x: let(unescape(x), lambda original: _clean_description(x, original)))
 
 
+def _blank_out(pattern: str, sign: str, text: Column) -> Column:
+    return F.when(F.contains(text, F.lit(sign)), F.regexp_replace(text, pattern, " ")).otherwise(text)
+
+
 def _clean_description(text: Column, original: Column) -> Column:
     t = F.translate(original, "\r", "\n")
-    for pattern in ("<[^>]+>", URL, EMAIL_ADDRESS, HANDLE, HASHTAG):
-        t = F.regexp_replace(t, pattern, " ")
+    # The cheap substring test spares most texts the pattern.
+    for pattern, sign in (("<[^>]+>", "<"), (URL, "."), (EMAIL_ADDRESS, "@"), (HANDLE, "@"), (HASHTAG, "#")):
+        t = let(t, partial(_blank_out, pattern, sign))
     lines = F.filter(F.transform(F.split(t, "\n+"), lambda x: squeeze(x)), lambda x: x != "")
     contact = rf"(?iU)\b{v.CONTACT_WORDS}\b"
     kept_lines = F.filter(lines, lambda x: ~(x.rlike(contact) & (
@@ -124,11 +131,10 @@ def _clean_description(text: Column, original: Column) -> Column:
     t = F.regexp_replace(t, rf"(?iU)\b{v.CONTACT_CLAUSE_WORDS}\b[:\s\-]{{0,5}}[^\n.;]{{0,180}}", " ")
     t = F.regexp_replace(t, PHONE_LOOSE, " ")
     t = F.regexp_replace(t, EMOJI, " ")
-    for phrase in v.PROMO_PHRASES:
-        t = F.regexp_replace(t, "(?iU)" + phrase, " ")
+    t = F.regexp_replace(t, "(?iU)" + "|".join(v.PROMO_PHRASES), " ")
     t = F.regexp_replace(t, "[•▪◾◆▶➤✔✅]+|[|]{2,}", " ")
-    t = F.regexp_replace(t, f"{SPACE}*([,:;]){SPACE}*", "$1 ")
-    t = F.btrim(F.regexp_replace(t, f"{SPACE}+", " "), F.lit(" -–—\n\t"))
+    t = F.regexp_replace(t, "(?U)\\s*([,:;])\\s*", "$1 ")
+    t = F.btrim(F.regexp_replace(t, SPACES, " "), F.lit(" -–—\n\t"))
 
     def result(plain: Column, final: Column) -> Column:
         return F.struct(
