@@ -16,6 +16,7 @@ from postmill.functions.text import (
     is_meaningful, is_missing_like, is_missing_list, lookup, normalize_key, squeeze, standardize_missing,
 )
 from postmill.operators.spread import attach_group, head_per_key, seal
+from postmill.session import ensure_checkpoint_dir
 
 c = F.col
 
@@ -197,17 +198,22 @@ def priority(df: DataFrame, strings: Sequence[str], lists: Sequence[str] = ()) -
 def keep_best(df: DataFrame, key: str, score: str, order: str, repeat: str | None = None) -> DataFrame:
     """Group size, group id, duplicate flag, and whether a row is kept (alone, or best of its group).
 
-    The best row per key comes from a combined aggregate and is matched on the
-    unique order column; only the group size travels by key, with hot keys salted.
+    Keys and scores are kept once in the checkpoint folder; all group work runs on
+    those few columns. The best row per key comes from a combined aggregate and is
+    matched on the unique order column; only the group size travels by key, with
+    hot keys salted. Full rows are joined back on the order column.
     """
-    best = df.groupBy(key).agg(F.min_by(order, F.struct(-c(score), c(order))).alias(order)).select(order, F.lit(True).alias("_best"))
-    sized = attach_group(df, [key], [F.count(F.lit(1)).alias("group_size")], order)
-    again = F.lit(False) if repeat is None else F.coalesce(c(repeat), F.lit(False))
-    out = sized.join(best, order, "left").withColumns({
-        "same_role_duplicate_group": F.when(c("group_size") > 1, c(key)),
-        "is_duplicate_v2": (c("group_size") > 1) | again,
-    })
-    return out.withColumn("dedup_keep_for_analytics", ~c("is_duplicate_v2") | c("_best").isNotNull()).drop("_best")
+    ensure_checkpoint_dir(df.sparkSession)
+    slim = df.select(order, key, score, (F.lit(False) if repeat is None else F.coalesce(c(repeat), F.lit(False))).alias("_again")).checkpoint()
+    best = slim.groupBy(key).agg(F.min_by(order, F.struct(-c(score), c(order))).alias(order)).select(order, F.lit(True).alias("_best"))
+    sized = attach_group(slim, [key], [F.count(F.lit(1)).alias("group_size")], order)
+    dup = (c("group_size") > 1) | c("_again")
+    flags = sized.join(best, order, "left").select(
+        order, "group_size",
+        F.when(c("group_size") > 1, c(key)).alias("same_role_duplicate_group"),
+        dup.alias("is_duplicate_v2"), (~dup | c("_best").isNotNull()).alias("dedup_keep_for_analytics"),
+    )
+    return df.join(flags, order)
 
 
 def quality_tier(df: DataFrame) -> DataFrame:
@@ -263,7 +269,7 @@ def skills_mart(df: DataFrame) -> DataFrame:
 # ---- the whole curation --------------------------------------------------------------
 
 def curate(df: DataFrame, order: str = "seq") -> DataFrame:
-    """Silver → gold: one lazy plan; only the dedup shuffles. ``order`` is a unique row order."""
+    """Silver → gold. The rules run in one pass without a shuffle; only the dedup shuffles. ``order`` is a unique row order."""
     from postmill.operators.salary import salary_repair_v3
 
     lists = {x: parse_json_items(c(x)) for x in ("hard_skills", "soft_skills", "tech_stack")}
@@ -274,7 +280,10 @@ def curate(df: DataFrame, order: str = "seq") -> DataFrame:
     a = a.withColumn("dedup_key_v2", dedup_key(
         c("title_final"), c("company_clean"), c("city_norm"), c("category_filled"), c("description_clean_v2"), c("posted_at")))
     strings = ["title_final", "company_clean", "city_norm", "category_filled", "level_filled", "requirements_clean", "responsibilities_clean"]
-    a = keep_best(priority(a, strings, ["hard_skills_clean"]), "dedup_key_v2", "dedup_priority_score", order, "is_duplicate")
+    # The rules are dear and the dedup reads its input more than once: keep their result.
+    ensure_checkpoint_dir(df.sparkSession)
+    a = priority(a, strings, ["hard_skills_clean"]).checkpoint()
+    a = keep_best(a, "dedup_key_v2", "dedup_priority_score", order, "is_duplicate")
     return usability(quality_tier(a))
 
 

@@ -29,7 +29,7 @@ h AS (SELECT doc_id, skill, key FROM w JOIN k ON word = regexp_extract(key, '[\p
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(key) DESC, key) AS hit_no FROM h)
 SELECT doc_id, skill, hit_no FROM r WHERE hit_no <= 40""")
 def _(i):
-    out = m.find_skills(i.table("documents"), "doc_id", "text", i.view("doc_vocab"), 40)
+    out = m.find_skills(i.spread("documents"), "doc_id", "text", i.view("doc_vocab"), 40)
     return out.withColumn("hit_no", c("hit_no").cast("long"))
 
 

@@ -138,7 +138,7 @@ UNION ALL SELECT 'matched_rows', '', count(*) FILTER (WHERE id % 13 <> 11) FROM
 UNION ALL SELECT 'still_bad_rows', '', count(*) FILTER (WHERE title_final IS NULL OR company_clean IS NULL) FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker')
 UNION ALL SELECT 'examples', p, least(count(*), 5) FROM (SELECT CASE id % 13 WHEN 9 THEN 2 ELSE id % 13 END::VARCHAR AS p FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker') AND id % 13 <> 11) GROUP BY p""")
 def _(i):
-    parsed = curate.parse_header(i.view("header_ads")).join(i.sql("SELECT id, title_final, company_clean FROM postings"), "id")
+    parsed = curate.parse_header(i.spread("header_ads")).join(i.sql("SELECT id, title_final, company_clean FROM postings"), "id")
     audit = curate.header_audit(parsed, "id")
     one = audit["summary"].select(F.inline(F.array(*[
         F.struct(F.lit(x).alias("measure"), F.lit("").alias("value"), c(x).alias("n")) for x in ("chat_rows", "matched_rows", "still_bad_rows")])))

@@ -70,7 +70,7 @@ CLEAN_STEPS = [
 @query("text_clean_description")
 def _(i):
     """Checked on fixed texts in the tests: the look-behind rules have no equal in the checking dialect."""
-    out = i.table("documents").withColumn("d", t.clean_description(c("text")))
+    out = i.spread("documents").withColumn("d", t.clean_description(c("text")))
     return out.select("doc_id", F.md5("d.text").alias("h"), "d.changed", "d.length", "d.removed")
 
 
@@ -245,7 +245,7 @@ EXPECT_HEADER = f"{HD_COLS[1]} AS header_parse_pattern, {HD_COLS[2]}::DOUBLE AS
 
 @query("header_parse", f"SELECT id, {EXPECT_HEADER} FROM postings")
 def _(i):
-    return curate.parse_header(i.view("header_ads")).select(
+    return curate.parse_header(i.spread("header_ads")).select(
         "id", "header_parse_pattern", "header_parse_confidence", "header_extracted_title", "header_extracted_company", "header_extracted_city")
 
 
