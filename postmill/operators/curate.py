@@ -338,7 +338,7 @@ def quality_report(before: DataFrame, after: DataFrame, before_cols: Sequence[st
 
 
 def profile_columns(df: DataFrame, json_cols: Sequence[str] = ()) -> DataFrame:
-    """Per column: type, missing-like share, distinct values (approximate), smallest value, JSON validity; one pass."""
+    """Per column: type, missing-like count and share, smallest value, JSON validity; one pass over the rows."""
     aggs, rows = [F.count(F.lit(1)).alias("_n")], []
     for i, f in enumerate(df.schema):
         text = c(f.name).cast("string")
@@ -355,6 +355,15 @@ def profile_columns(df: DataFrame, json_cols: Sequence[str] = ()) -> DataFrame:
     return df.agg(*aggs).select(F.inline(F.array(*rows)))
 
 
+def column_samples(df: DataFrame, cols: Sequence[str], order: str, n: int = 5) -> DataFrame:
+    """First ``n`` values of every column in row order: (column, samples). Partitions send ``n`` rows per column."""
+    pairs = F.array(*[F.struct(F.lit(x).alias("column"), c(x).cast("string").alias("value")) for x in cols])
+    rows = df.select(c(order).alias("_o"), F.inline(pairs)).filter(c("value").isNotNull())
+    heads = head_per_key(rows, ["column"], [F.asc("_o")], n, "_i")
+    listed = heads.groupBy("column").agg(F.array_sort(F.collect_list(F.struct("_i", "value"))).alias("_s"))
+    return listed.select("column", c("_s.value").alias("samples"))
+
+
 def column_values(df: DataFrame, cols: Sequence[str], max_distinct: int = 40, n: int = 15) -> DataFrame:
     """Most frequent values of every column with few distinct ones: (column, value, n_rows)."""
     pairs = F.array(*[F.struct(F.lit(x).alias("column"), F.coalesce(c(x).cast("string"), F.lit("<NA>")).alias("value")) for x in cols])

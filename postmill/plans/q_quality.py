@@ -132,6 +132,26 @@ def _(i):
     return curate.profile_columns(df, ["props", "raw"])
 
 
+@query("profile_column_values", """
+WITH l AS (SELECT unnest(['source', 'level_filled', 'quality_tier', 'company_clean']) AS "column", unnest([source, level_filled, quality_tier, company_clean]) AS value FROM postings),
+k AS (SELECT "column", coalesce(value, '<NA>') AS value, count(*) AS n_rows FROM l GROUP BY 1, 2),
+f AS (SELECT "column" FROM k GROUP BY 1 HAVING count(*) FILTER (WHERE value <> '<NA>') <= 40),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY n_rows DESC, value) AS value_rank FROM k)
+SELECT r."column", value, n_rows, value_rank FROM r JOIN f USING ("column") WHERE value_rank <= 15""")
+def _(i):
+    out = curate.column_values(i.view("postings"), ["source", "level_filled", "quality_tier", "company_clean"])
+    return out.withColumn("value_rank", c("value_rank").cast("long"))
+
+
+@query("profile_column_samples", """
+WITH l AS (SELECT id, unnest(['title_final', 'level_filled', 'company_clean']) AS "column", unnest([title_final, level_filled, company_clean]) AS value FROM postings),
+r AS (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY id) AS i FROM l WHERE value IS NOT NULL)
+SELECT "column", string_agg(value, '|' ORDER BY i) AS samples FROM r WHERE i <= 5 GROUP BY 1""")
+def _(i):
+    out = curate.column_samples(i.view("postings"), ["title_final", "level_filled", "company_clean"], "id")
+    return out.select("column", F.array_join("samples", "|").alias("samples"))
+
+
 @query("header_audit", """
 SELECT 'chat_rows' AS measure, '' AS value, count(*) AS n FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker')
 UNION ALL SELECT 'matched_rows', '', count(*) FILTER (WHERE id % 13 <> 11) FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker')
