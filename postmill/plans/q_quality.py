@@ -43,7 +43,7 @@ STRINGS = ["title_final", "company_clean", "city_norm", "category_filled", "leve
 
 
 def deduped(i):
-    df = i.view("gold_in").withColumns({
+    df = i.spread("gold_in").withColumns({
         "skills_count": c("skills_count").cast("long"), "dedup_key_v2": curate.dedup_key(
             c("title_final"), c("company_clean"), c("city_norm"), c("category_filled"), c("description_clean_v2"), c("posted_at"))})
     return curate.keep_best(curate.priority(df, STRINGS), "dedup_key_v2", "dedup_priority_score", "id", "is_duplicate")
@@ -60,7 +60,7 @@ def _(i):
 
 @query("completeness_score", f"WITH {KEYED.strip()} SELECT id, CAST(completeness_score AS BIGINT) AS completeness_score, round(score, 6) AS dedup_priority_score FROM s")
 def _(i):
-    df = curate.priority(i.view("gold_in"), STRINGS)
+    df = curate.priority(i.spread("gold_in"), STRINGS)
     return df.select("id", c("completeness_score").cast("long").alias("completeness_score"), F.round("dedup_priority_score", 6).alias("dedup_priority_score"))
 
 
@@ -119,7 +119,7 @@ UNION ALL {count_sql('cleaning', ['salary_is_suspicious', 'salary_contact_leak_f
 UNION ALL SELECT 'tier', x, CAST(count(*) FILTER (WHERE quality_tier = x) AS DOUBLE) FROM u, (VALUES ('A'), ('B'), ('C'), ('D')) z(x) GROUP BY x
 UNION ALL SELECT 'rows', 'after', CAST(count(*) AS DOUBLE) FROM u UNION ALL SELECT 'rows', 'before', CAST(count(*) AS DOUBLE) FROM gold_in""")
 def _(i):
-    return curate.quality_report(i.view("gold_in"), tiered(i), REPORT_COLS, REPORT_COLS)
+    return curate.quality_report(i.spread("gold_in"), tiered(i), REPORT_COLS, REPORT_COLS)
 
 
 @query("profile_columns", """
