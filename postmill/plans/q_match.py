@@ -133,7 +133,7 @@ SELECT p.id, CASE WHEN salary_from_clean IS NULL OR market IS NULL OR salary_fro
 def _(i):
     from postmill.operators.spread import exact_median
     market = exact_median(i.view("salary_rows").filter("category_filled IS NOT NULL"), ["category_filled"], "salary_avg_clean", "market")
-    both = i.sql("SELECT id, category_filled, salary_from_clean FROM postings").join(F.broadcast(market.select("category_filled", "market")), "category_filled", "left")
+    both = i.sql("SELECT id, category_filled, salary_from_clean FROM postings").join(market.select("category_filled", "market"), "category_filled", "left")
     return both.select("id", m.salary_position(c("salary_from_clean"), c("market")).alias("status"))
 
 

@@ -51,3 +51,18 @@ def test_number_rows(spark, rows):
     want = rows.sort_values(["k", "id"], ascending=[False, True])
     assert got["row_no"].tolist() == list(range(len(rows)))
     assert got["id"].tolist() == want["id"].tolist()
+
+
+@pytest.mark.parametrize("partitions", [1, 200])
+def test_same_result_at_any_shuffle_width(spark, rows, partitions):
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(partitions))
+    try:
+        df = spark.createDataFrame(rows).withColumn("v", F.nanvl("v", F.lit(None))).repartition(3)
+        medians = spread.exact_median(df, ["k"], "v", "m").toPandas().set_index("k")["m"]
+        heads = spread.head_per_key(df, ["k"], [F.desc("v"), F.asc("id")], 2).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert np.allclose(medians.sort_index(), rows.dropna().groupby("k")["v"].median().sort_index())
+    want = rows.sort_values(["v", "id"], ascending=[False, True]).groupby("k").head(2)
+    assert sorted(heads["id"]) == sorted(want["id"])
