@@ -6,6 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from postmill.llm import centroid_langid, neighbour_quality, ordinal_toxicity
+from postmill.llm.mixing import mix_sources, mixing_sql
+from postmill.llm.norm_topk import top_inner_products, topk_sql
 from postmill.llm.phrase_automata import dedup_phrases
 from postmill.llm.suffix_dedup import dedup_substrings
 
@@ -27,11 +30,39 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+@_query("op1_neighbour_quality")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return neighbour_quality.score_quality(docs, neighbour_quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+@_query("op2_ordinal_toxicity")
+def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return ordinal_toxicity.score_toxicity(docs, ordinal_toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @_query("op4_suffix_array_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+@_query("op6_centroid_langid")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return centroid_langid.identify(docs, centroid_langid.train(docs, docs, "lang"), reject=False)
+
+
 @_query("op7_phrase_automata")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_phrases(table(spark, sf_dir, "documents"))
+
+
+@_query("op9_source_mixing", mixing_sql())
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
+@_query("op10_norm_sorted_topk", topk_sql())
+def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_inner_products(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")

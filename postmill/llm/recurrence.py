@@ -31,6 +31,8 @@ from postmill.llm.text_arrays import bytes_of, byte_runs, gather, pieces, rolled
 SHARDS_PER_PARTITION = 4
 #: Low bits of a hash that are sent; the shard's number carries further ones.
 SENT_BITS = 40
+#: Bytes of stretches that a task gathers before it sends them.
+SENT_BYTES = 3 << 20
 _LOW = np.uint64((1 << SENT_BITS) - 1)
 ROUTE = pa.schema([("shard", pa.int32()), ("known", pa.bool_()), ("packed", pa.binary())])
 HITS = "doc_id long, code long, kind int"
@@ -183,6 +185,9 @@ def _stretches(windows: Windows, shards: int):
                     x, y = i, j + windows.size - 1
                 text = gather(piece, x, y)
                 out.append((ids[a:b][doc], vers[a:b][doc], code, i - first[doc], j - i, y - x, text))
+                if sum(len(c[-1]) for c in out) >= SENT_BYTES:
+                    yield from _sent([np.concatenate(c) for c in zip(*out, strict=True)], windows, shards)
+                    out = []
             if out:
                 yield from _sent([np.concatenate(c) for c in zip(*out, strict=True)], windows, shards)
 
@@ -287,14 +292,18 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, windows: Windows, later
     """
     shards = SHARDS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
+    # Without a needless alias, both joins below have the same shuffle of the texts, and Spark does it once.
+    same = dict(docs.select(id_col).dtypes) == {"doc_id": "bigint"}
+    base = docs.select("doc_id" if same else F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
     whole = base.select("doc_id", F.xxhash64("text").alias("ver"), "text")
+    alone = whole.where("doc_id IS NULL")
+    base, whole = base.where("doc_id IS NOT NULL"), whole.where("doc_id IS NOT NULL")
 
-    digest = base.where("doc_id IS NOT NULL").select("doc_id", F.xxhash64("text").alias("ver"), F.unhex(F.md5("text")).alias("digest"))
+    digest = base.select("doc_id", F.xxhash64("text").alias("ver"), F.unhex(F.md5("text")).alias("digest"))
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = digest.join(first, "digest").where("doc_id > first").select("doc_id", "ver").distinct()
 
-    routed = base.where("doc_id IS NOT NULL").mapInArrow(_route(windows, shards), "shard int, known boolean, packed binary")
+    routed = base.mapInArrow(_route(windows, shards), "shard int, known boolean, packed binary")
     hits = routed.groupBy("shard").applyInArrow(_shared, HITS)
     asked = (
         hits.unionByName(copies.select("doc_id", F.col("ver").alias("code"), F.lit(1).alias("kind")))
@@ -309,7 +318,9 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, windows: Windows, later
         .groupBy("doc_id")
         .agg(F.collect_list("ver").alias("vers"), F.collect_list("i").alias("froms"), F.collect_list("j").alias("tos"))
     )
-    return whole.join(told, "doc_id", "left").mapInArrow(_finish(finish, schema), schema)
+    nothing = F.array().cast("array<bigint>")
+    rows = whole.join(told, "doc_id", "left").unionByName(alone.select("*", *(nothing.alias(c) for c in ("vers", "froms", "tos"))))
+    return rows.mapInArrow(_finish(finish, schema), schema)
 
 
 def merged(i: np.ndarray, j: np.ndarray) -> list[tuple[int, int]]:
