@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from postmill.llm import centroid_langid, neighbour_quality, ordinal_toxicity, queries
 
 SF = "/root/testdata/sf0.01"
-ODD = [(1, None, "x"), (2, "", "x"), (3, " \n\t", "x"), (None, "The of and.", "x"), (4, "12345 !!! ###", "x"), (5, "Ñrr " * 200_000, "x"), (6, "日本語", "x"), (6, "日本語", "x")]
+ODD = [(1, None, "x"), (2, "", "x"), (3, " \n\t", "x"), (None, "The of and.", "x"), (4, "12345 !!! ###", "x"), (5, "Que los ciónadora de las " * 40_000, "x"), (6, "日本語", "x"), (6, "日本語", "x")]
 
 
 @pytest.fixture(scope="module")
@@ -58,7 +58,6 @@ def test_toxicity(spark, tables, odd):
     docs, labels = tables
     got = queries.QUERIES["op2_ordinal_toxicity"](spark, SF).join(labels, "doc_id").toPandas()
     assert set(got.grade) <= {0, 1, 2} and got.severity.between(0, 2).all()
-    test = got[got.toxic_y.notna()] if "toxic_y" in got else got
     model = ordinal_toxicity.train(docs, labels)
     scored = ordinal_toxicity.score_toxicity(docs, model).withColumnRenamed("toxic", "said").join(labels, "doc_id").toPandas()
     test = scored[scored.held_out]
