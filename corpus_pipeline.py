@@ -1,19 +1,85 @@
-"""The training-data pipeline: from ``documents`` to a clean, deduplicated, decontaminated, mixed corpus."""
+"""The training-data pipeline: from ``documents`` to a clean, deduplicated, decontaminated, mixed corpus.
+
+Each stage reads what its predecessor kept, as a written table, and calls one operator of ``postmill.llm``. Ids, sources and
+languages pass through. All stages but the last return the columns they got. Stages tell rows apart by id and, where an id has
+several texts, by the text's hash, so repeated rows share their fate; rows without id are kept by the near-duplicate stage,
+and judged by their text in the others. Null texts count as empty. An empty table passes as an empty table.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from postmill.llm import neighbour_quality
+from postmill.llm.lsh_forest import near_duplicates
+from postmill.llm.mixing import mix_sources
+from postmill.llm.queries import table
+from postmill.llm.spaced_seeds import find_leaks
+from postmill.llm.suffix_dedup import dedup_substrings
+from postmill.sources.tables import scratch_path
+
+_VERSION = "_text_version"
+
+
+def _versioned(docs: DataFrame) -> DataFrame:
+    return docs.withColumn(_VERSION, F.xxhash64(F.coalesce("text", F.lit(""))))
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts (score of 0.3 or more), scored by their text alone."""
+    model = neighbour_quality.train(docs, table(spark, sf_dir, "labels"))
+    return neighbour_quality.filter_quality(docs, model)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates; one row, where rows repeat an id and its text."""
+    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
+    left = docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    # Rows that repeat an id are copies of one document.
+    with_id = _versioned(left.where("doc_id IS NOT NULL")).dropDuplicates(["doc_id", _VERSION]).drop(_VERSION)
+    return with_id.unionByName(left.where("doc_id IS NULL"))
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 50-byte strings that an earlier one has; those that lose their last word go."""
+    left = dedup_substrings(docs, rewrite=True).where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak no benchmark item."""
+    rows = _versioned(docs)
+    leaks = find_leaks(rows, table(spark, sf_dir, "benchmark"), row=F.col(_VERSION))
+    leaking = leaks.select(F.col("doc_id").alias("_leaking"), F.col("row").alias("_row")).distinct()
+    return rows.join(leaking, F.col("_leaking").eqNullSafe(F.col("doc_id")) & (F.col("_row") == F.col(_VERSION)), "left_anti").drop(_VERSION)
+
+
+def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the mix takes, with their size, their source's size and target, and the words taken (repeats counted)."""
+    return mix_sources(docs, carry=("source", "lang", "text")).where("taken > 0")
+
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality", quality),
+    ("near_dedup", near_dedup),
+    ("substring_dedup", substring_dedup),
+    ("decontaminate", decontaminate),
+    ("mix", mix),
+]
 
 #: SQL cannot express the stages (classifier, signatures, spaced seeds); tests hold them against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir.rstrip('/')}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """All stages over ``documents``, each result written as Parquet in the shared folder and read again."""
+    docs = table(spark, sf_dir, "documents")
+    folder = scratch_path(spark, "corpus-pipeline")
+    for name, stage in STAGES:
+        path = f"{folder}/{name}"
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return docs

@@ -72,8 +72,8 @@ def _cut(rows: DataFrame) -> DataFrame:
     return boundary(inside.groupBy("nth", "room", "got", "hash").agg(F.sum("size").alias("words")), "hash").select("nth", F.col("hash").alias("cut"), "got")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """doc_id, size, source_size, target, taken for each row of ``docs``.
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, size, source_size, target, taken for each row of ``docs``, and its columns named in ``carry``.
 
     size counts the words of the text (null: 0). target is that of the row's source (``source_targets``; null is a source). Every
     document is taken floor(target / source_size) times, and once more if its hash is below its source's threshold, the largest
@@ -84,10 +84,12 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
-    sizes = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), document_hash(id_col).alias("hash"),
-        F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-    ).checkpoint()
+    words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long")
+    measured = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("of"), document_hash(id_col).alias("hash"), words.alias("size"),
+        F.struct(F.lit(0).alias("_"), *carry).alias("carried"),
+    )
+    sizes = measured.select("doc_id", F.col("of").alias("source"), "hash", "size").checkpoint()
     plan = (
         source_targets(sizes, weights, most)
         .withColumn("base", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0))
@@ -110,8 +112,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", source_col: str = "sour
     for n in range(2, ROUNDS + 1):
         once |= (F.col("hash") >= F.col(f"cut{n - 1}")) & (F.col("size") <= F.col(f"room{n}")) & (F.col("hash") < F.col(f"cut{n}")) & (F.col(f"room{n}") > 0)
     taken = F.col("size") * (F.col("base") + F.when(once, 1).otherwise(0))
-    plan = plan.withColumnRenamed("source", "of")
-    return sizes.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    rows = measured if carry else sizes.withColumnRenamed("source", "of")
+    return rows.join(plan, F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "size", "source_size", "target", taken.cast("long").alias("taken"), *(F.col("carried")[c].alias(c) for c in carry))
 
 
 def mixing_sql(weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> str:

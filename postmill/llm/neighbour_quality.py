@@ -97,3 +97,14 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     scored = rows.mapInArrow(run, "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", F.when(F.col("score") >= GOOD_FROM, 1).otherwise(0))
+
+
+def filter_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", least: float = GOOD_FROM) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text scores ``least`` or more; null texts are scored as empty."""
+
+    def run(batches):
+        for batch in batches:
+            good = [s >= least for _, _, counts in counted(batch.column(text_col), _counts) for s in model.scores(counts)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postmill.llm import centroid_langid, neighbour_quality, ordinal_toxicity
+from postmill.llm.lsh_forest import near_duplicates
+from postmill.llm.mincut_html import extract_pages
 from postmill.llm.mixing import mix_sources, mixing_sql
 from postmill.llm.norm_topk import top_inner_products, topk_sql
 from postmill.llm.phrase_automata import dedup_phrases
+from postmill.llm.spaced_seeds import find_leaks
 from postmill.llm.suffix_dedup import dedup_substrings
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -42,11 +45,21 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_toxicity.score_toxicity(docs, ordinal_toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@_query("op3_lsh_forest")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @_query("op4_suffix_array_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
 
+@_query("op5_spaced_seeds")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
 @_query("op6_centroid_langid")
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
@@ -58,6 +71,11 @@ def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_phrases(table(spark, sf_dir, "documents"))
 
 
+@_query("op8_mincut_html")
+def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 @_query("op9_source_mixing", mixing_sql())
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))

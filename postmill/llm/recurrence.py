@@ -282,20 +282,20 @@ def _find(windows: Windows, later: Callable[[Stretches], np.ndarray]):
     return run
 
 
-def repeats(docs: DataFrame, id_col: str, text_col: str, windows: Windows, later: Callable[[Stretches], np.ndarray], finish: Callable, schema: str) -> DataFrame:
+def repeats(docs: DataFrame, id_col: str, text_col: str, windows: Windows, later: Callable[[Stretches], np.ndarray], finish: Callable, schema: str, carry: tuple[str, ...] = ()) -> DataFrame:
     """Each row of ``docs`` with what ``finish`` makes of its text and the items that earlier documents have too.
 
     ``later(stretches)`` marks the windows of a shard that a document with a smaller id has. ``finish(text, copy, runs)`` gets
     the bytes of a text, whether a smaller id has that whole text, and the merged runs of items [i, j); it returns the values
-    of ``schema``. A null text is empty. A null id is neither smaller nor larger than others: such a row keeps all its text
+    of ``schema``. Columns named in ``carry`` come along in a struct, ``carried``. A null text is empty. A null id is neither smaller nor larger than others: such a row keeps all its text
     and takes nothing from others. Rows with one id do not count against each other, whatever their texts.
     """
     shards = SHARDS_PER_PARTITION * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     text: Column = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     # Without a needless alias, both joins below have the same shuffle of the texts, and Spark does it once.
     same = dict(docs.select(id_col).dtypes) == {"doc_id": "bigint"}
-    base = docs.select("doc_id" if same else F.col(id_col).cast("long").alias("doc_id"), text.alias("text"))
-    whole = base.select("doc_id", F.xxhash64("text").alias("ver"), "text")
+    base = docs.select("doc_id" if same else F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *([F.struct(*carry).alias("carried")] if carry else []))
+    whole = base.select("doc_id", F.xxhash64("text").alias("ver"), "text", *base.columns[2:])
     alone = whole.where("doc_id IS NULL")
     base, whole = base.where("doc_id IS NOT NULL"), whole.where("doc_id IS NOT NULL")
 
@@ -303,7 +303,7 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, windows: Windows, later
     first = digest.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     copies = digest.join(first, "digest").where("doc_id > first").select("doc_id", "ver").distinct()
 
-    routed = base.mapInArrow(_route(windows, shards), "shard int, known boolean, packed binary")
+    routed = base.select("doc_id", "text").mapInArrow(_route(windows, shards), "shard int, known boolean, packed binary")
     hits = routed.groupBy("shard").applyInArrow(_shared, HITS)
     asked = (
         hits.unionByName(copies.select("doc_id", F.col("ver").alias("code"), F.lit(1).alias("kind")))
@@ -320,6 +320,8 @@ def repeats(docs: DataFrame, id_col: str, text_col: str, windows: Windows, later
     )
     nothing = F.array().cast("array<bigint>")
     rows = whole.join(told, "doc_id", "left").unionByName(alone.select("*", *(nothing.alias(c) for c in ("vers", "froms", "tos"))))
+    if carry:
+        schema += ", carried " + base.schema["carried"].dataType.simpleString()
     return rows.mapInArrow(_finish(finish, schema), schema)
 
 
@@ -357,7 +359,8 @@ def _finish(finish: Callable, schema: str):
                     copy = bool((i < 0).any())
                     runs = merged(i[i >= 0], j[i >= 0])
                 rows.append((doc_id, *finish(text, copy, runs)))
-            yield pa.record_batch([pa.array([r[c] for r in rows], f.type) for c, f in enumerate(arrow)], schema=arrow)
+            made = [pa.array([r[c] for r in rows], f.type) for c, f in enumerate(arrow) if f.name != "carried"]
+            yield pa.record_batch(made + [batch.column("carried")] * (len(arrow) - len(made)), names=arrow.names)
 
     return run
 
