@@ -360,7 +360,8 @@ def _finish(finish: Callable, schema: str):
                     runs = merged(i[i >= 0], j[i >= 0])
                 rows.append((doc_id, *finish(text, copy, runs)))
             made = [pa.array([r[c] for r in rows], f.type) for c, f in enumerate(arrow) if f.name != "carried"]
-            yield pa.record_batch(made + [batch.column("carried")] * (len(arrow) - len(made)), names=arrow.names)
+            carried = [batch.column("carried")] if "carried" in arrow.names else []
+            yield pa.record_batch(made + carried, names=arrow.names)
 
     return run
 
