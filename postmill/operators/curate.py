@@ -147,10 +147,14 @@ def internship(df: DataFrame, context: str = "_context") -> DataFrame:
 
 # ---- dedup and quality -------------------------------------------------------------
 
-def text_key(text: Column) -> Column:
-    """Twelve hex digits of the normalised leading 500 characters, 'none' for no text."""
-    return F.when(F.coalesce(text, F.lit("")) == "", "none").otherwise(
-        F.substring(F.md5(F.substring(normalize_key(text), 1, 500)), 1, 12))
+def text_key(text: Column, lead: int | None = None, digits: int | None = None) -> Column:
+    """Hash of the normalised text, 'none' for no text.
+
+    The published key takes the first 500 characters and 12 hex digits (``lead``, ``digits``), which joins distinct texts.
+    """
+    body = normalize_key(text) if lead is None else F.substring(normalize_key(text), 1, lead)
+    key = F.md5(body) if digits is None else F.substring(F.md5(body), 1, digits)
+    return F.when(F.coalesce(text, F.lit("")) == "", "none").otherwise(key)
 
 
 def week_bucket(ts: Column) -> Column:
@@ -201,7 +205,8 @@ def keep_best(df: DataFrame, key: str, score: str, order: str, repeat: str | Non
     Keys and scores are kept once in the checkpoint folder; all group work runs on
     those few columns. The best row per key comes from a combined aggregate and is
     matched on the unique order column; only the group size travels by key, with
-    hot keys salted. Full rows are joined back on the order column.
+    hot keys salted. Full rows are joined back on the order column; a row without
+    order value belongs to no group and is kept.
     """
     ensure_checkpoint_dir(df.sparkSession)
     slim = df.select(order, key, score, (F.lit(False) if repeat is None else F.coalesce(c(repeat), F.lit(False))).alias("_again")).checkpoint()
@@ -213,7 +218,9 @@ def keep_best(df: DataFrame, key: str, score: str, order: str, repeat: str | Non
         F.when(c("group_size") > 1, c(key)).alias("same_role_duplicate_group"),
         dup.alias("is_duplicate_v2"), (~dup | c("_best").isNotNull()).alias("dedup_keep_for_analytics"),
     )
-    return df.join(flags, order)
+    alone = {"group_size": F.coalesce("group_size", F.lit(1)), "is_duplicate_v2": F.coalesce("is_duplicate_v2", F.lit(False)),
+             "dedup_keep_for_analytics": F.coalesce("dedup_keep_for_analytics", F.lit(True))}
+    return df.join(flags, order, "left").withColumns(alone)
 
 
 def quality_tier(df: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from postmill.functions.text import contains_any, let, squeeze
@@ -25,8 +25,8 @@ def vocabulary_keys(vocab: DataFrame) -> DataFrame:
     return one.select("skill", "key", F.regexp_extract("key", f"{WORD}+", 0).alias("word"), (~c("key").rlike(f"^{WORD}+$")).alias("compound"))
 
 
-def find_skills(docs: DataFrame, doc_id: str, text: str, vocab: DataFrame, max_hits: int = 40) -> DataFrame:
-    """(doc_id, skill): skills found as whole words, longest first, at most ``max_hits`` per document.
+def find_skills(docs: DataFrame, doc_id: str, text: str, vocab: DataFrame, max_hits: int | None = None) -> DataFrame:
+    """(doc_id, skill): skills found as whole words, longest first, with their number; the first ``max_hits`` if given (40 are published).
 
     Distinct words of a text meet the first word of each skill in an equi join.
     A one-word skill is then found; longer ones are verified on the text, which
@@ -43,7 +43,11 @@ def find_skills(docs: DataFrame, doc_id: str, text: str, vocab: DataFrame, max_h
     pattern = F.concat(F.lit(f"(?<!{WORD})\\Q"), c("key"), F.lit(f"\\E(?!{WORD})"))
     checked = hits.filter("compound").join(docs.select(doc_id, low.alias("_t")), doc_id).filter(F.regexp_like("_t", pattern)).drop("_t")
     found = sure.unionByName(checked)
-    ranked = head_per_key(found, [doc_id], [F.desc(F.length("key")), F.asc("key")], max_hits, "hit_no")
+    longest = [F.desc(F.length("key")), F.asc("key")]
+    if max_hits is None:
+        ranked = found.withColumn("hit_no", F.row_number().over(Window.partitionBy(doc_id).orderBy(*longest)))
+    else:
+        ranked = head_per_key(found, [doc_id], longest, max_hits, "hit_no")
     return ranked.select(doc_id, "skill", "hit_no")
 
 

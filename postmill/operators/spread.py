@@ -15,9 +15,9 @@ from pyspark.sql import functions as F
 from postmill.session import ensure_checkpoint_dir
 
 HOT_SHARE = 1024      # a key is hot above 1/1024 of all rows: at most 1024 hot keys
-HOT_MIN_ROWS = 100_000
 SALTS = 64
 CELLS_PER_OCTAVE = 64
+FINE_CELLS = 4096
 
 
 def seal(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
@@ -69,7 +69,7 @@ def attach_group(df: DataFrame, keys: Sequence[str], aggs: Sequence[Column], spr
     """
     stats = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *aggs)
     total = stats.agg(F.sum("_n")).scalar()
-    is_hot = F.col("_n") > F.greatest(total / F.lit(HOT_SHARE), F.lit(float(HOT_MIN_ROWS)))
+    is_hot = F.col("_n") > total / F.lit(HOT_SHARE)
     hot = stats.filter(is_hot).select(*keys, F.lit(True).alias("_hot"))
     salted = df.join(F.broadcast(hot), list(keys), "left").withColumn(
         "_salt",
@@ -115,14 +115,16 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     """Exact linear-interpolated quantiles per key.
 
     Rows become (key, distinct value, count), combined map-side. Counts per
-    narrow value band give the band that holds each wanted rank; only those bands
-    are ordered. No task ever sees a whole group. Keys must not be null; keys with
-    no value give no row.
+    narrow value band give the band that holds each wanted rank; such a band is
+    cut into FINE_CELLS even parts between its smallest and largest value, and
+    only the parts that hold a wanted rank are ordered. No task ever sees a whole
+    group. Null and NaN are no values. Keys must not be null; keys with no value
+    give no row.
     """
     keys = list(keys)
     v = F.col(value).cast("double")
     counts = (
-        df.filter(F.col(value).isNotNull())
+        df.filter(F.col(value).isNotNull() & ~F.isnan(v))
         .select(*keys, v.alias("_v"))
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_c"))
@@ -131,7 +133,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     by_key = Window.partitionBy(*keys)
     cells = (
         counts.groupBy(*keys, "_cell")
-        .agg(F.sum("_c").alias("_cc"))
+        .agg(F.sum("_c").alias("_cc"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
         .withColumn("_end", F.sum("_cc").over(by_key.orderBy("_cell")))
         .withColumn("_n", F.sum("_cc").over(by_key))
         .withColumn("_before", F.col("_end") - F.col("_cc"))
@@ -145,11 +147,23 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         for rank in (F.floor(position(p)), F.ceil(position(p))):
             inside = (rank >= F.col("_before")) & (rank < F.col("_end"))
             wanted = inside if wanted is None else wanted | inside
-    cells = cells.filter(wanted).select(*keys, "_cell", "_before", "_n")
-
-    in_cell = Window.partitionBy(*keys, "_cell").orderBy("_v")
+    cells = cells.filter(wanted).select(*keys, "_cell", "_before", "_n", "_from", "_to")
+
+    width = (F.col("_to") - F.col("_from")) / FINE_CELLS
+    part = F.floor((F.col("_v") - F.col("_from")) / width)
+    inner = counts.join(cells, [*keys, "_cell"]).withColumn("_part", F.when(width.between(1e-300, 1e300), part).otherwise(0))
+    by_cell = Window.partitionBy(*keys, "_cell").orderBy("_part")
+    parts = (
+        inner.groupBy(*keys, "_cell", "_part", "_n", F.col("_before").alias("_outer"))
+        .agg(F.sum("_c").alias("_pc"))
+        .withColumn("_end", F.col("_outer") + F.sum("_pc").over(by_cell))
+        .withColumn("_before", F.col("_end") - F.col("_pc"))
+        .filter(wanted)
+        .select(*keys, "_cell", "_part", "_before")
+    )
+    in_cell = Window.partitionBy(*keys, "_cell", "_part").orderBy("_v")
     placed = (
-        counts.join(cells, [*keys, "_cell"])
+        inner.drop("_before").join(parts, [*keys, "_cell", "_part"])
         .withColumn("_hi", F.col("_before") + F.sum("_c").over(in_cell))
         .withColumn("_lo", F.col("_hi") - F.col("_c"))
     )

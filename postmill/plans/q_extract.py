@@ -50,7 +50,7 @@ HIGH = {"company": "0, 2", "city": "0, 2", "employment": "0, 4", "work_format":
     f"CASE WHEN {x} IS NULL THEN 'missing' WHEN v IN ({HIGH[f] or '-1'}) THEN 'high_confidence' ELSE 'medium_confidence' END AS {f}_conf" for f, x in PREFILL_EXPECTED.items()
     if f not in ("experience_max", "experience_min")) + " FROM chat_ads")
 def _(i):
-    out = e.prefill(i.spread("chat_ads"), "text")
+    out = e.prefill(i.dealt("chat_ads", "id"), "text")
     return out.select("id", *[c("prefill")[f]["value"].alias(f) for f in PREFILL_EXPECTED],
                       *[c("prefill")[f]["confidence"].alias(f"{f}_conf") for f in PREFILL_EXPECTED if not f.startswith("experience")])
 
@@ -69,7 +69,7 @@ WHOLE = "NOT (v = 5 AND n % 2 = 0)"
 @query("extraction_validate", "SELECT id, " + ", ".join(f"{x} AS {f}" for f, x in CHECKED.items()) + f""", {m({1: "'k8s|js'"}, "''")} AS hard_skills, true AS extraction_ok
 FROM chat_ads WHERE {WHOLE} UNION ALL SELECT id, {', '.join('NULL' for _ in CHECKED)}, NULL, false FROM chat_ads WHERE NOT ({WHOLE})""")
 def _(i):
-    out = e.validate_extraction(i.spread("chat_ads"), "record")
+    out = e.validate_extraction(i.dealt("chat_ads", "id"), "record")
     ok = c("extraction_ok")
     return out.select("id", *[F.when(ok, c(f"extraction.{f}")).alias(f) for f in CHECKED],
                       F.when(ok, F.array_join("extraction.hard_skills", "|")).alias("hard_skills"), "extraction_ok")
@@ -77,7 +77,7 @@ def _(i):
 
 def checked(i):
     """Records the strict schema accepts."""
-    return e.validate_extraction(i.spread("chat_ads"), "record").filter("extraction_ok")
+    return e.validate_extraction(i.dealt("chat_ads", "id"), "record").filter("extraction_ok")
 
 
 @query("extraction_sanitize", f"""

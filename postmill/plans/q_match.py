@@ -27,9 +27,9 @@ WITH k AS (SELECT lower(trim(skill)) AS key, skill FROM doc_vocab WHERE length(s
 w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) AS word FROM documents),
 h AS (SELECT doc_id, skill, key FROM w JOIN k ON word = regexp_extract(key, '[\p{{L}}\p{{N}}_]+') JOIN documents USING (doc_id) WHERE regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || regexp_escape(key) || '($|[^\p{{L}}\p{{N}}_])')),
 r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length(key) DESC, key) AS hit_no FROM h)
-SELECT doc_id, skill, hit_no FROM r WHERE hit_no <= 40""")
+SELECT doc_id, skill, hit_no FROM r""")
 def _(i):
-    out = m.find_skills(i.spread("documents"), "doc_id", "text", i.view("doc_vocab"), 40)
+    out = m.find_skills(i.dealt("documents", "doc_id"), "doc_id", "text", i.view("doc_vocab"))
     return out.withColumn("hit_no", c("hit_no").cast("long"))
 
 

@@ -27,7 +27,7 @@ WEEK = "strftime(date_trunc('week', posted_at), '%Y-%m-%d') || '/' || strftime(d
 KEYED = f"""
 k AS (SELECT *, md5(CASE WHEN {T} <> '' AND {C} <> '' THEN {T} || '|' || {C} || '|' || coalesce(city_norm, 'unknown') || '|' || coalesce(category_filled, 'unknown') || '|' || {WEEK}
   ELSE {T} || '|' || coalesce(city_norm, 'unknown') || '|' || coalesce(category_filled, 'unknown') || '|'
-    || CASE WHEN description_clean_v2 IS NULL THEN 'none' ELSE substr(md5(substr({D}, 1, 500)), 1, 12) END || '|' || {WEEK} END) AS dedup_key_v2,
+    || CASE WHEN description_clean_v2 IS NULL THEN 'none' ELSE md5({D}) END || '|' || {WEEK} END) AS dedup_key_v2,
   (title_final <> '')::INT + (company_clean IS NOT NULL)::INT + (city_norm IS NOT NULL)::INT + (category_filled IS NOT NULL)::INT + (level_filled IS NOT NULL)::INT
     + (requirements_clean IS NOT NULL)::INT + (responsibilities_clean <> 'unknown')::INT AS completeness_score FROM gold_in),
 s AS (SELECT *, CAST(CASE source WHEN 'hh_kz' THEN 400 WHEN 'kaspi_jobs' THEN 300 WHEN 'kolesa_jobs' THEN 300 WHEN 'Freedom Broker' THEN 200 ELSE 100 END + CASE WHEN llm_review_flag THEN 0 ELSE 20 END
@@ -43,7 +43,7 @@ STRINGS = ["title_final", "company_clean", "city_norm", "category_filled", "leve
 
 
 def deduped(i):
-    df = i.spread("gold_in").withColumns({
+    df = i.dealt("gold_in", "id").withColumns({
         "skills_count": c("skills_count").cast("long"), "dedup_key_v2": curate.dedup_key(
             c("title_final"), c("company_clean"), c("city_norm"), c("category_filled"), c("description_clean_v2"), c("posted_at"))})
     return curate.keep_best(curate.priority(df, STRINGS), "dedup_key_v2", "dedup_priority_score", "id", "is_duplicate")
@@ -60,7 +60,7 @@ def _(i):
 
 @query("completeness_score", f"WITH {KEYED.strip()} SELECT id, CAST(completeness_score AS BIGINT) AS completeness_score, round(score, 6) AS dedup_priority_score FROM s")
 def _(i):
-    df = curate.priority(i.spread("gold_in"), STRINGS)
+    df = curate.priority(i.dealt("gold_in", "id"), STRINGS)
     return df.select("id", c("completeness_score").cast("long").alias("completeness_score"), F.round("dedup_priority_score", 6).alias("dedup_priority_score"))
 
 
@@ -119,7 +119,7 @@ UNION ALL {count_sql('cleaning', ['salary_is_suspicious', 'salary_contact_leak_f
 UNION ALL SELECT 'tier', x, CAST(count(*) FILTER (WHERE quality_tier = x) AS DOUBLE) FROM u, (VALUES ('A'), ('B'), ('C'), ('D')) z(x) GROUP BY x
 UNION ALL SELECT 'rows', 'after', CAST(count(*) AS DOUBLE) FROM u UNION ALL SELECT 'rows', 'before', CAST(count(*) AS DOUBLE) FROM gold_in""")
 def _(i):
-    return curate.quality_report(i.spread("gold_in"), tiered(i), REPORT_COLS, REPORT_COLS)
+    return curate.quality_report(i.dealt("gold_in", "id"), tiered(i), REPORT_COLS, REPORT_COLS)
 
 
 @query("profile_columns", """
@@ -158,7 +158,7 @@ UNION ALL SELECT 'matched_rows', '', count(*) FILTER (WHERE id % 13 <> 11) FROM
 UNION ALL SELECT 'still_bad_rows', '', count(*) FILTER (WHERE title_final IS NULL OR company_clean IS NULL) FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker')
 UNION ALL SELECT 'examples', p, least(count(*), 5) FROM (SELECT CASE id % 13 WHEN 9 THEN 2 ELSE id % 13 END::VARCHAR AS p FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker') AND id % 13 <> 11) GROUP BY p""")
 def _(i):
-    parsed = curate.parse_header(i.spread("header_ads")).join(i.sql("SELECT id, title_final, company_clean FROM postings"), "id")
+    parsed = curate.parse_header(i.dealt("header_ads", "id")).join(i.sql("SELECT id, title_final, company_clean FROM postings"), "id")
     audit = curate.header_audit(parsed, "id")
     one = audit["summary"].select(F.inline(F.array(*[
         F.struct(F.lit(x).alias("measure"), F.lit("").alias("value"), c(x).alias("n")) for x in ("chat_rows", "matched_rows", "still_bad_rows")])))

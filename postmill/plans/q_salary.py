@@ -45,7 +45,7 @@ WITH x AS (SELECT id, v, a, b, CAST({by_branch(SIMPLE_FROM)} AS BIGINT) AS lo, C
   FROM salary_ads)
 SELECT id, lo AS salary_from, hi AS salary_to, CASE WHEN lo IS NOT NULL AND hi IS NOT NULL THEN (lo + hi) / 2 ELSE coalesce(lo, hi) END::DOUBLE AS salary_avg, currency FROM x""")
 def _(i):
-    out = i.spread("salary_ads").withColumn("s", k.salary_text_simple(c("salary_raw")))
+    out = i.dealt("salary_ads", "id").withColumn("s", k.salary_text_simple(c("salary_raw")))
     return out.select("id", c("s.from").alias("salary_from"), c("s.to").alias("salary_to"), c("s.avg").alias("salary_avg"), c("s.currency").alias("currency"))
 
 
@@ -74,7 +74,7 @@ SELECT id, f AS salary_from_clean, t AS salary_to_clean, CASE WHEN f IS NOT NULL
               16: "'zero_value'"}, "''")} AS fix_flags,
   CASE WHEN v = 13 THEN 'missing' WHEN v = 14 THEN 'description_keyword' ELSE 'salary_raw' END AS salary_parse_source FROM x""")
 def _(i):
-    out = s.salary_clean_v1(i.spread("salary_ads"))
+    out = s.salary_clean_v1(i.dealt("salary_ads", "id"))
     return out.select(
         "id", "salary_from_clean", "salary_to_clean", "salary_avg_clean", "salary_parse_quality", "currency_clean", "salary_is_suspicious", "salary_outlier_flag",
         "salary_contact_leak_flag", "salary_zero_flag", "salary_usable_for_analytics", F.array_join("salary_fix_flags", ",").alias("fix_flags"), "salary_parse_source")
@@ -88,7 +88,7 @@ TOKENS = {0: "a * 1000 || ',' || b * 1000", 1: "'' || a * 1000", 2: "'' || a * 1
 @query("salary_amount_tokens", f"SELECT id, {by_branch(TOKENS)} AS amounts FROM salary_ads")
 def _(i):
     values = F.transform(m.amount_tokens(c("salary_raw")), lambda t: F.regexp_replace(F.format_string("%.1f", t["value"]), "\\.0$", ""))
-    return i.spread("salary_ads").select("id", F.when(c("salary_raw").isNotNull(), F.array_join(values, ",")).alias("amounts"))
+    return i.dealt("salary_ads", "id").select("id", F.when(c("salary_raw").isNotNull(), F.array_join(values, ",")).alias("amounts"))
 
 
 @query("salary_candidate_text", r"""
@@ -108,7 +108,7 @@ def _(i):
 @query("salary_periods", f"""
 SELECT id, {by_branch({6: "'month'", 9: "'hour,day'", 14: "NULL", 17: "'year'"}, "''")} AS periods FROM salary_ads""")
 def _(i):
-    return i.spread("salary_ads").select("id", F.when(c("salary_raw").isNotNull(), F.array_join(m.periods(c("salary_raw")), ",")).alias("periods"))
+    return i.dealt("salary_ads", "id").select("id", F.when(c("salary_raw").isNotNull(), F.array_join(m.periods(c("salary_raw")), ",")).alias("periods"))
 
 
 REVIEW = {7: "'contact_or_noise'", 9: "'mixed_salary_periods'", 10: "'base_salary_plus_bonus_mix'", 11: "'multi_variant_compensation'", 12: "'too_many_amounts'"}
@@ -116,7 +116,7 @@ REVIEW = {7: "'contact_or_noise'", 9: "'mixed_salary_periods'", 10: "'base_salar
 
 @query("salary_review_class", f"SELECT id, {by_branch(REVIEW)} AS review_class, v IN (7, 9, 10, 11, 12) AS needs_review FROM salary_ads")
 def _(i):
-    df = i.spread("salary_ads").withColumns({"n": F.size(m.amount_tokens(c("salary_raw"))), "p": m.periods(c("salary_raw"))})
+    df = i.dealt("salary_ads", "id").withColumns({"n": F.size(m.amount_tokens(c("salary_raw"))), "p": m.periods(c("salary_raw"))})
     out = df.withColumn("review_class", m.review_class(c("salary_raw"), c("n"), c("p")))
     return out.select("id", "review_class", c("review_class").isNotNull().alias("needs_review"))
 
@@ -143,7 +143,7 @@ SELECT id, f AS salary_from_clean, t AS salary_to_clean, CASE WHEN f IS NOT NULL
     WHEN f IS NULL AND t IS NULL THEN 'missing' ELSE 'text_parsed' END AS salary_source_basis_v2,
   v = 1 AS salary_source_conflict_flag, review AS salary_manual_review_flag, review_category AS salary_manual_review_category FROM r""")
 def _(i):
-    out = s.salary_repair_v3(i.spread("salary_ads"))
+    out = s.salary_repair_v3(i.dealt("salary_ads", "id"))
     return out.select(
         "id", "salary_from_clean", "salary_to_clean", "salary_avg_clean", "currency_clean", "salary_parse_quality", "salary_is_suspicious",
         "salary_contact_leak_flag", "salary_zero_flag", "salary_usable_for_analytics", F.array_join("salary_fix_flags", ",").alias("fix_flags"),
@@ -152,7 +152,7 @@ def _(i):
 
 
 def repaired(i):
-    out = s.salary_repair_v3(i.spread("salary_ads"))
+    out = s.salary_repair_v3(i.dealt("salary_ads", "id"))
     return out.withColumn("usable_for_salary_analytics", c("salary_usable_for_analytics") & c("dedup_keep_for_analytics"))
 
 

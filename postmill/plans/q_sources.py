@@ -66,13 +66,11 @@ def _(i):
 @query("scan_encoding_fallback", "SELECT doc_id, md5('Вакансия №' || doc_id || ' ' || source) AS body_md5 FROM documents")
 def _(i):
     """The same text as UTF-8, as UTF-8 with a byte order mark and as windows-1251 bytes, decoded back."""
-    i.spark.conf.set("spark.sql.legacy.javaCharsets", "true")
     df = i.sql("SELECT doc_id, 'Вакансия №' || doc_id || ' ' || source AS body FROM documents").withColumn(
         "content",
         F.when(c("doc_id") % 3 == 0, F.encode("body", "UTF-8"))
         .when(c("doc_id") % 3 == 1, F.encode(F.concat(F.lit("\uFEFF"), c("body")), "UTF-8"))
-        .otherwise(F.encode("body", "windows-1251")))
-    i.spark.conf.set("spark.sql.legacy.javaCharsets", "false")
+        .otherwise(tables.encode_cyrillic(c("body"))))
     return tables.decode_text(i.spark, df, "content", "decoded").select("doc_id", F.md5("decoded").alias("body_md5"))
 
 

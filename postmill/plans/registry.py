@@ -26,14 +26,10 @@ class Inputs:
     def view(self, name: str) -> DataFrame:
         return self.sql(f"SELECT * FROM {name}")
 
-    def spread(self, name: str) -> DataFrame:
-        """A table or view for heavy text work, dealt over the cores when its files are fewer than those.
-
-        A table of many files is read in as many tasks anyway, so it is left alone.
-        """
+    def dealt(self, name: str, key: str) -> DataFrame:
+        """A table or view for heavy text work, dealt anew by a key so that long texts and few files don't make few tasks."""
         df = self.table(name) if name in base_tables else self.view(name)
-        cores = self.spark.sparkContext.defaultParallelism
-        return df.repartition(cores) if len(df.inputFiles()) < cores else df
+        return df.repartition(key)
 
     def sql(self, body: str) -> DataFrame:
         text = with_views(body)

@@ -27,13 +27,16 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Folder for ``DataFrame.checkpoint``.
 
     The shared folder named by ``spark.checkpoint.dir`` wins. Only a session
-    that names none (tests, a laptop) gets a folder of its own.
+    that names none (tests, a laptop) gets a folder of its own, and only with a
+    local master: executors on other machines could not read it.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     shared = sc.getConf().get("spark.checkpoint.dir")
+    if not shared and not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     target = shared or tempfile.mkdtemp(prefix="postmill-checkpoint-")
     sc.setCheckpointDir(target)
     return target

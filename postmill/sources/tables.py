@@ -75,17 +75,26 @@ def channel_of_file(file_name: Column) -> Column:
     return F.nullif(F.regexp_extract(file_name, "(-?\\d+)_[^/]*$", 1), F.lit(""))
 
 
+#: The characters of the upper half of windows-1251 and of Latin-1, which is read byte by byte; one byte is not assigned.
+_CYRILLIC = bytes(range(128, 256)).decode("windows-1251", "replace").replace("\ufffd", "\x98")
+_LATIN = bytes(range(128, 256)).decode("latin-1")
+
+
+def decode_cyrillic(content: Column) -> Column:
+    """windows-1251 bytes → text."""
+    return F.translate(F.decode(content, "ISO-8859-1"), _LATIN, _CYRILLIC)
+
+
+def encode_cyrillic(text: Column) -> Column:
+    """Text → windows-1251 bytes, for texts of its characters."""
+    return F.encode(F.translate(text, _CYRILLIC, _LATIN), "ISO-8859-1")
+
+
 def decode_text(spark: SparkSession, df: DataFrame, content: str, out: str) -> DataFrame:
     """Bytes → text: UTF-8, UTF-8 with a byte order mark, else windows-1251."""
-    key = "spark.sql.legacy.javaCharsets"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        valid = F.is_valid_utf8(F.col(content).cast("string"))
-        text = F.when(valid, F.decode(content, "UTF-8")).otherwise(F.decode(content, "windows-1251"))
-        return df.withColumn(out, F.regexp_replace(text, "^\\uFEFF", ""))
-    finally:
-        spark.conf.set(key, before)
+    valid = F.is_valid_utf8(F.col(content).cast("string"))
+    text = F.when(valid, F.decode(content, "UTF-8")).otherwise(decode_cyrillic(F.col(content)))
+    return df.withColumn(out, F.regexp_replace(text, "^\\uFEFF", ""))
 
 
 def scan_any_charset(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
@@ -206,8 +215,12 @@ def export_csv(df: DataFrame, path: str, where: Column | str | None = None) -> i
 
 
 def export_unified(df: DataFrame, path: str) -> None:
-    """Parquet by source, sorted so that category and level filters skip row groups."""
-    df.sortWithinPartitions("category", "level").write.mode("overwrite").partitionBy("source").parquet(path)
+    """Parquet by source; each file is sorted by category and level, so that filters on them skip files and row groups.
+
+    Rows are dealt by ranges of the same columns, so a source has few files, and a large one several.
+    """
+    order = ["source", "category", "level"]
+    df.repartitionByRange(*order).sortWithinPartitions(*order).write.mode("overwrite").partitionBy("source").parquet(path)
 
 
 def export_all(frames: Mapping[str, DataFrame], path: str) -> None:

@@ -133,9 +133,13 @@ def hash_text(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-zа-я0-9]+", " "))
 
 
-def fingerprint(title: Column, company: Column, city: Column, text: Column) -> Column:
-    """First-pass duplicate hash: title, company, city and the leading 400 characters of the text."""
-    return F.md5(F.concat_ws(" | ", hash_text(title), hash_text(company), hash_text(city), hash_text(F.substring(text, 1, 400))))
+def fingerprint(title: Column, company: Column, city: Column, text: Column, lead: int | None = None) -> Column:
+    """First-pass duplicate hash: title, company, city and the whole text.
+
+    ``lead`` cuts the text to its first characters; the published hash has 400, which joins postings that only begin alike.
+    """
+    body = text if lead is None else F.substring(text, 1, lead)
+    return F.md5(F.concat_ws(" | ", hash_text(title), hash_text(company), hash_text(city), hash_text(body)))
 
 
 def finalize(df: DataFrame, scraped_at: Column) -> DataFrame:

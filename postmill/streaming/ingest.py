@@ -15,22 +15,31 @@ def read_arrivals(spark: SparkSession, path: str, schema: T.StructType) -> DataF
     return spark.readStream.schema(schema).parquet(path)
 
 
-def stream_upsert(arrivals: DataFrame, out_dir: str, checkpoint: str, keys: list[str], ts: str, days: int = 7) -> StreamingQuery:
-    """Start the ingest: repeats of a key within the watermark are dropped, each batch lands in its own folder.
+def stream_upsert(arrivals: DataFrame, out_dir: str, checkpoint: str, ts: str) -> StreamingQuery:
+    """Start the ingest: every version of a row lands, in its batch's folder and under the date of its event.
 
-    A batch replaces its folder, so a replay after a lost executor changes nothing.
-    Rewriting the table per batch is avoided; ``current`` resolves keys on read.
+    Only exact repeats within a batch are dropped, as a later edit of a key must win. A batch replaces its folder, so a
+    replay after a lost executor changes nothing. Rewriting the table per batch is avoided; ``current`` resolves keys on
+    read, from the dates it needs.
     """
-    rows = arrivals.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, f"{days} days").dropDuplicatesWithinWatermark(keys)
+    rows = arrivals.withColumn(ts, F.col(ts).cast("timestamp"))
 
     def land(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out_dir}/batch_id={batch_id}")
+        dated = batch.dropDuplicates().withColumn("event_date", F.to_date(ts))
+        dated.repartition("event_date").write.mode("overwrite").partitionBy("event_date").parquet(f"{out_dir}/batch_id={batch_id}")
 
     return rows.writeStream.foreachBatch(land).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def current(spark: SparkSession, out_dir: str, keys: list[str], ts: str, order: str, days: int | None = 7) -> DataFrame:
-    """Latest row per key of the landed batches, without rows older than ``days`` before the newest."""
+    """Latest row per key of the landed batches, by ``order`` and then by batch, without rows older than ``days`` before the newest.
+
+    With ``days``, only folders of the dates that can count are read, and those of rows without a time; older versions of a
+    row that has a later one in them don't matter.
+    """
     landed = spark.read.parquet(out_dir)
-    latest = keep_first(landed, keys, [F.desc(order)]).drop("batch_id")
+    if days is not None:
+        newest = landed.agg(F.max("event_date")).scalar()
+        landed = landed.filter(F.col("event_date").isNull() | (F.col("event_date") >= F.date_sub(newest, days)))
+    latest = keep_first(landed, keys, [F.desc_nulls_last(order), F.desc("batch_id")]).drop("batch_id", "event_date")
     return latest if days is None else expire(latest, ts, landed.agg(F.max(ts)).scalar(), days)

@@ -29,8 +29,7 @@ def test_exact_quantiles(spark, rows):
     assert whole["m"] == pytest.approx(rows["v"].median())
 
 
-def test_attach_group_with_hot_key(spark, rows, monkeypatch):
-    monkeypatch.setattr(spread, "HOT_MIN_ROWS", 10)
+def test_attach_group_with_hot_key(spark, rows):
     df = spark.createDataFrame(rows[["id", "k"]])
     got = spread.attach_group(df, ["k"], [F.count(F.lit(1)).alias("n"), F.max("id").alias("top")], "id").toPandas()
     assert len(got) == len(rows)
@@ -66,3 +65,23 @@ def test_same_result_at_any_shuffle_width(spark, rows, partitions):
     assert np.allclose(medians.sort_index(), rows.dropna().groupby("k")["v"].median().sort_index())
     want = rows.sort_values(["v", "id"], ascending=[False, True]).groupby("k").head(2)
     assert sorted(heads["id"]) == sorted(want["id"])
+
+
+def test_quantiles_of_odd_values(spark):
+    nan, inf = float("nan"), float("inf")
+    rows = [("nan", float(v)) for v in (1, 2, 3, 4, 5)] + [("nan", nan)] * 3 + [("nan", None)]
+    rows += [("inf", v) for v in (-inf, -2.5, -1.0, 0.0, inf)] + [("same", 7.0)] * 9 + [("none", nan)]
+    got = {r.k: r for r in spread.exact_quantiles(spark.createDataFrame(rows, "k string, v double"), ["k"], "v", {"q": 0.25, "m": 0.5}).collect()}
+    assert {k: (r.m, r.n_values) for k, r in got.items()} == {"nan": (3.0, 5), "inf": (-1.0, 5), "same": (7.0, 9)}
+    assert got["nan"].q == 2.0 and got["inf"].q == -2.5
+
+
+def test_quantiles_in_a_narrow_band(spark):
+    """All values within a hundredth: no window orders more than a small part of them."""
+    values = 1.7e9 + np.random.default_rng(5).random(100_000) * 1e6
+    df = spark.createDataFrame(pd.DataFrame({"v": values}))
+    got = spread.exact_quantiles(df, [], "v", {"q1": 0.25, "m": 0.5, "q3": 0.75}).first()
+    assert np.allclose([got.q1, got.m, got.q3], np.quantile(values, [0.25, 0.5, 0.75]), rtol=0, atol=1e-6)
+    cells = np.floor(spread.CELLS_PER_OCTAVE * np.log2(1 + values))
+    share = max(np.bincount(((values[cells == c] - values[cells == c].min()) / (np.ptp(values[cells == c]) / spread.FINE_CELLS)).astype(int)).max() for c in np.unique(cells))
+    assert share < 100
