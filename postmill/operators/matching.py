@@ -57,6 +57,22 @@ def _jaccard(both: Column, a: Column, b: Column) -> Column:
     return both / (a + b - both)
 
 
+def _set_id(part: str, keys: str) -> Column:
+    """Name of a part's skill set, safe to stand for it: SHA-256 of its JSON text."""
+    return F.sha2(F.to_json(F.struct(c(part).alias("p"), c(keys).alias("k"))), 256)
+
+
+def narrow_postings(postings: DataFrame, level: str | None = None, city: str | None = None, work_format: str | None = None, salary_min: float | None = None) -> DataFrame:
+    """Postings that a candidate wants to see; a posting without a salary passes ``salary_min``."""
+    wanted = {"level_filled": level, "city_norm": city, "work_format_norm": work_format}
+    for name, value in wanted.items():
+        if value:
+            postings = postings.filter(c(name) == value)
+    if salary_min is not None:
+        postings = postings.filter(c("salary_avg_clean").isNull() | (c("salary_avg_clean") >= salary_min))
+    return postings
+
+
 def match(
     cands: DataFrame, cand_skills: DataFrame, postings: DataFrame, posting_skills: DataFrame,
     top_n: int, cand_part: str | None = None, posting_part: str | None = None,
@@ -84,7 +100,7 @@ def match(
     p = postings.withColumn("part", part_p).filter(c("part").isNotNull()).join(spelled, "id", "left").select(
         "id", "part", "salary_avg_clean", F.coalesce("skills", empty).alias("skills"))
     p = p.withColumn("keys", F.array_sort(F.array_distinct(F.transform("skills", lambda x: F.lower(x))))).withColumns({
-        "skills_count": F.size("skills").cast("long"), "psig": F.xxhash64("part", "keys")})
+        "skills_count": F.size("skills").cast("long"), "psig": _set_id("part", "keys")})
     ensure_checkpoint_dir(postings.sparkSession)
     heads = head_per_key(p, ["part", "psig"], best_first, top_n, "in_sig").checkpoint()
     psets = heads.filter("in_sig = 1").select(
@@ -94,7 +110,7 @@ def match(
     # Candidates with their set; equal sets are matched once.
     cs = cands.withColumn("part", part_c).join(
         cand_skills.select("cand_id", F.lower("skill").alias("key")).groupBy("cand_id").agg(F.sort_array(F.collect_set("key")).alias("ckeys")),
-        "cand_id", "left").withColumn("ckeys", F.coalesce("ckeys", empty)).withColumn("csig", F.xxhash64("part", "ckeys"))
+        "cand_id", "left").withColumn("ckeys", F.coalesce("ckeys", empty)).withColumn("csig", _set_id("part", "ckeys"))
     csets = keep_first(cs.select("part", "csig", "ckeys"), ["csig"], [F.asc("csig")]).withColumn("cn", F.size("ckeys"))
 
     # A score each candidate set reaches top_n times: the top_n-th best over a bounded probe per part.
@@ -113,7 +129,7 @@ def match(
     by_rarity = attach_group(exploded, ["key"], [F.count(F.lit(1)).alias("freq")], "psig")
     ranked = by_rarity.groupBy("part", "psig", "pn").agg(F.sort_array(F.collect_list(F.struct("freq", "key"))).alias("o"))
     index = ranked.select("part", "psig", "pn", F.posexplode("o.key").alias("pos", "key")).withColumn(
-        "salt", F.pmod("psig", F.lit(8)).cast("int"))
+        "salt", F.pmod(F.xxhash64("psig"), F.lit(8)).cast("int"))
     wants = csets.select("part", "csig", "cn", "floor", F.explode("ckeys").alias("key")).withColumn(
         "salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
     need = F.greatest(F.ceil(c("floor") * (c("cn") + c("pn")) / (1 + c("floor")) - 1e-9), F.lit(1))

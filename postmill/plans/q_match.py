@@ -86,6 +86,15 @@ def _(i):
     return shown(m.match(cands, i.view("candidate_skills"), i.view("base_rows"), i.view("posting_skills"), 5, "role", "category_filled"))
 
 
+@query("match_filtered", MATCH_SQL.format(
+    cs="candidate_skills", pj="", part="''", n=5, n2=10, cands="SELECT DISTINCT o_custkey AS cand_id, '' AS part FROM orders",
+    rows="(SELECT * FROM base_rows WHERE level_filled = 'middle' AND city_norm = 'almaty' AND work_format_norm = 'hybrid' AND (salary_avg_clean IS NULL OR salary_avg_clean >= 200000))"))
+def _(i):
+    cands = i.sql("SELECT DISTINCT o_custkey AS cand_id FROM orders")
+    wanted = m.narrow_postings(i.view("base_rows"), level="middle", city="almaty", work_format="hybrid", salary_min=200_000)
+    return shown(m.match(cands, i.view("candidate_skills"), wanted, i.view("posting_skills"), 5))
+
+
 # Each customer's skills against the 20 most wanted skills of the category its account falls in.
 FIXTURES["role_targets"] = """
 SELECT category_filled, skill FROM (SELECT category_filled, skill, row_number() OVER (PARTITION BY category_filled ORDER BY count(*) DESC, skill) AS rn
