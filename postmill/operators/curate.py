@@ -209,7 +209,7 @@ def keep_best(df: DataFrame, key: str, score: str, order: str, repeat: str | Non
     order value belongs to no group and is kept.
     """
     ensure_checkpoint_dir(df.sparkSession)
-    slim = df.select(order, key, score, (F.lit(False) if repeat is None else F.coalesce(c(repeat), F.lit(False))).alias("_again")).checkpoint()
+    slim = df.filter(c(order).isNotNull()).select(order, key, score, (F.lit(False) if repeat is None else F.coalesce(c(repeat), F.lit(False))).alias("_again")).checkpoint()
     best = slim.groupBy(key).agg(F.min_by(order, F.struct(-c(score), c(order))).alias(order)).select(order, F.lit(True).alias("_best"))
     sized = attach_group(slim, [key], [F.count(F.lit(1)).alias("group_size")], order)
     dup = (c("group_size") > 1) | c("_again")
