@@ -17,7 +17,7 @@ HEADLINE = [
     "duplicate_overview", "agg_market_kpis", "agg_category_level_map", "agg_salary_iqr", "agg_salary_benchmark", "agg_premium_flag",
     "agg_skill_stats", "agg_skill_cooccurrence", "agg_company_summary", "facet_filter", "job_listing_page", "enrichment_batches",
     "upsert_by_key", "checkpoint_latest", "dedup_second_pass", "quality_report", "text_clean_description", "header_parse",
-    "salary_repair_v3", "match_vocab_text", "skill_gap_sets", "prefill_extract", "activity_summary",
+    "salary_repair_v3", "match_vocab_text", "match_candidates", "topk_by_role", "skill_gap_sets", "prefill_extract", "activity_summary",
 ]
 
 

@@ -315,8 +315,14 @@ def coverage(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(x).alias("column"), c(x).alias("coverage_pct")) for x in cols])))
 
 
-def quality_report(before: DataFrame, after: DataFrame, before_cols: Sequence[str], after_cols: Sequence[str]) -> DataFrame:
-    """One long report (section, measure, value) from one pass over each side."""
+def quality_report(
+    before: DataFrame, after: DataFrame, before_cols: Sequence[str], after_cols: Sequence[str],
+    skills_before: DataFrame | None = None, skills_after: DataFrame | None = None,
+) -> DataFrame:
+    """One long report (section, measure, value) from one pass over each side.
+
+    ``skills_before`` and ``skills_after`` hold a ``skill`` per row; their distinct skills are counted.
+    """
     count = lambda cond: F.sum(F.coalesce(cond, F.lit(False)).cast("long")).cast("double")
     after_aggs = {("coverage_after", x): _share(present(after, x)) for x in after_cols}
     for name in ("usable_for_salary_analytics", "usable_for_skill_analytics", "usable_for_employer_analytics", "usable_for_category_analytics"):
@@ -341,7 +347,11 @@ def quality_report(before: DataFrame, after: DataFrame, before_cols: Sequence[st
             for i, (s, m) in enumerate(aggs)
         ])))
 
-    return long_form(before, before_aggs).unionByName(long_form(after, after_aggs))
+    out = long_form(before, before_aggs).unionByName(long_form(after, after_aggs))
+    for name, skills in (("before", skills_before), ("after", skills_after)):
+        if skills is not None:
+            out = out.unionByName(long_form(skills.select("skill").distinct(), {("unique_hard_skills", name): F.count("skill").cast("double")}))
+    return out
 
 
 def profile_columns(df: DataFrame, json_cols: Sequence[str] = ()) -> DataFrame:

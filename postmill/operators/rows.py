@@ -176,13 +176,16 @@ def scaled_targets(desired: Mapping[str, int], size: int) -> dict[str, int]:
 def stratified_sample(df: DataFrame, row_id: str, size: int = 300, targets: Mapping[str, int] = STRATA_TARGETS, seed: int = 42) -> DataFrame:
     """Seeded sample over three strata, topped up from the rest to ``size``.
 
-    Rows are drawn by a hash of id and seed, so the draw is repeatable. Only three
-    counts come to the driver; each partition sends at most ``size`` rows per stratum.
+    Rows are drawn by the MD5 of id and seed, so the draw is repeatable anywhere. Each
+    partition sends at most ``size`` rows per stratum. Only targets that exceed ``size``
+    together need the strata's counts, three numbers, while the plan is made.
     """
     kind = F.when(c("source_priority") == 0, "chat").when(c("source_priority") == 1, "api").otherwise("other")
-    drawn = df.withColumns({"stratum": kind, "draw": F.xxhash64(c(row_id), F.lit(seed))})
-    one = drawn.agg(*[F.count(F.when(c("stratum") == s, 1)).alias(s) for s in targets]).first()
-    quotas = scaled_targets({s: min(n, one[s]) for s, n in targets.items()}, size)
+    drawn = df.withColumns({"stratum": kind, "draw": F.md5(F.concat_ws(":", c(row_id).cast("string"), F.lit(str(seed))))})
+    quotas = dict(targets)
+    if sum(quotas.values()) > size:
+        one = drawn.agg(*[F.count(F.when(c("stratum") == s, 1)).alias(s) for s in targets]).first()
+        quotas = scaled_targets({s: min(n, one[s]) for s, n in targets.items()}, size)
     heads = head_per_key(drawn, ["stratum"], [F.asc("draw"), F.asc(row_id)], size, "draw_no")
     # All the sample can need lies in these heads: the quota rows, and the next ``size`` of each stratum.
     ranked = heads.withColumn("is_quota", c("draw_no") <= lookup(c("stratum"), quotas))

@@ -110,6 +110,12 @@ def count_sql(section: str, names: list[str]) -> str:
     return " UNION ALL ".join(f"SELECT '{section}', '{x}', CAST(count(*) FILTER (WHERE {x}) AS DOUBLE) FROM u" for x in names)
 
 
+# Skills as written: a third of the mentions in capitals, a fifth with blanks around.
+FIXTURES["raw_hard"] = """
+SELECT CASE WHEN id % 5 = 0 THEN ' ' ELSE '' END || CASE WHEN id % 3 = 0 THEN upper(skill) ELSE skill END AS skill FROM skill_rows WHERE skill_type = 'hard_skill'
+"""
+
+
 @query("quality_report", f"""
 WITH {KEYED.strip()}, u AS (SELECT *, {USABLE} FROM q)
 {coverage_sql('gold_in', 'coverage_before')} UNION ALL {coverage_sql('u', 'coverage_after')}
@@ -117,9 +123,12 @@ UNION ALL {count_sql('usability', ['usable_for_salary_analytics', 'usable_for_sk
 UNION ALL {count_sql('dedup', ['is_duplicate', 'is_duplicate_v2', 'dedup_keep_for_analytics'])}
 UNION ALL {count_sql('cleaning', ['salary_is_suspicious', 'salary_contact_leak_flag', 'salary_usable_for_analytics', 'company_is_suspicious'])}
 UNION ALL SELECT 'tier', x, CAST(count(*) FILTER (WHERE quality_tier = x) AS DOUBLE) FROM u, (VALUES ('A'), ('B'), ('C'), ('D')) z(x) GROUP BY x
+UNION ALL SELECT 'unique_hard_skills', 'before', CAST(count(DISTINCT skill) AS DOUBLE) FROM raw_hard UNION ALL SELECT 'unique_hard_skills', 'after', CAST(count(DISTINCT lower(trim(skill))) AS DOUBLE) FROM raw_hard
 UNION ALL SELECT 'rows', 'after', CAST(count(*) AS DOUBLE) FROM u UNION ALL SELECT 'rows', 'before', CAST(count(*) AS DOUBLE) FROM gold_in""")
 def _(i):
-    return curate.quality_report(i.dealt("gold_in", "id"), tiered(i), REPORT_COLS, REPORT_COLS)
+    raw = i.view("raw_hard")
+    clean = raw.select(F.lower(F.trim("skill")).alias("skill"))
+    return curate.quality_report(i.dealt("gold_in", "id"), tiered(i), REPORT_COLS, REPORT_COLS, raw, clean)
 
 
 @query("profile_columns", """

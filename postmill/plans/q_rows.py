@@ -185,7 +185,11 @@ def _(i):
     return out.select("doc_id", "source", c("description_length").cast("long").alias("description_length"), c("source_priority").cast("long").alias("source_priority"))
 
 
-@query("stratified_sample")
+@query("stratified_sample", """
+WITH d AS (SELECT doc_id, source, description_length, CASE source_priority WHEN 0 THEN 'chat' WHEN 1 THEN 'api' ELSE 'other' END AS stratum, md5(doc_id || ':42') AS draw FROM doc_candidates),
+n AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY draw, doc_id) AS nth FROM d)
+SELECT doc_id, source, stratum, description_length FROM n
+ORDER BY CASE WHEN nth <= CASE stratum WHEN 'chat' THEN 200 WHEN 'api' THEN 70 ELSE 30 END THEN 0 ELSE 1 END, draw, doc_id LIMIT 300""")
 def _(i):
     return rows.stratified_sample(rows.candidates(flagged_docs(i)), "doc_id", 300).select("doc_id", "source", "stratum", "description_length")
 
