@@ -165,7 +165,9 @@ def _(i):
 SELECT 'chat_rows' AS measure, '' AS value, count(*) AS n FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker')
 UNION ALL SELECT 'matched_rows', '', count(*) FILTER (WHERE id % 13 <> 11) FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker')
 UNION ALL SELECT 'still_bad_rows', '', count(*) FILTER (WHERE title_final IS NULL OR company_clean IS NULL) FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker')
-UNION ALL SELECT 'examples', p, least(count(*), 5) FROM (SELECT CASE id % 13 WHEN 9 THEN 2 ELSE id % 13 END::VARCHAR AS p FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker') AND id % 13 <> 11) GROUP BY p""")
+UNION ALL SELECT 'examples', p, least(count(*), 5) FROM (SELECT CASE id % 13 WHEN 9 THEN 2 ELSE id % 13 END::VARCHAR AS p FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker') AND id % 13 <> 11) GROUP BY p
+UNION ALL SELECT 'samples', CAST(id AS VARCHAR), 1 FROM (SELECT id FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker') AND (title_final IS NULL OR company_clean IS NULL) ORDER BY id LIMIT 50)
+UNION ALL SELECT 'unresolved_rows_in_top_30', '', CASE WHEN count(*) > 0 THEN 1 ELSE 0 END FROM postings WHERE source IN ('Work IT KZ', 'Freedom Broker') AND (title_final IS NULL OR company_clean IS NULL)""")
 def _(i):
     parsed = curate.parse_header(i.dealt("header_ads", "id")).join(i.sql("SELECT id, title_final, company_clean FROM postings"), "id")
     audit = curate.header_audit(parsed, "id")
@@ -173,4 +175,8 @@ def _(i):
         F.struct(F.lit(x).alias("measure"), F.lit("").alias("value"), c(x).alias("n")) for x in ("chat_rows", "matched_rows", "still_bad_rows")])))
     kind = F.min(F.when(c("id") % 13 == 9, 2).otherwise(c("id") % 13)).cast("string")
     per = audit["examples"].groupBy("header_parse_pattern").agg(kind.alias("value"), F.count(F.lit(1)).alias("n"))
-    return one.unionByName(per.select(F.lit("examples").alias("measure"), "value", "n"))
+    samples = audit["samples"].select(F.lit("samples").alias("measure"), c("id").cast("string").alias("value"), F.lit(1).cast("long").alias("n"))
+    # How many rows a header has depends on its wording; here it counts that the list is there, in order and of at most 30.
+    sound = (F.count(F.lit(1)) <= 30) & (F.count(F.lit(1)) > 0)
+    top = audit["unresolved"].agg(sound.cast("long").alias("n")).select(F.lit("unresolved_rows_in_top_30").alias("measure"), F.lit("").alias("value"), "n")
+    return one.unionByName(per.select(F.lit("examples").alias("measure"), "value", "n")).unionByName(samples).unionByName(top)
