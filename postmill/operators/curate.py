@@ -218,6 +218,8 @@ def keep_best(df: DataFrame, key: str, score: str, order: str, repeat: str | Non
         F.when(c("group_size") > 1, c(key)).alias("same_role_duplicate_group"),
         dup.alias("is_duplicate_v2"), (~dup | c("_best").isNotNull()).alias("dedup_keep_for_analytics"),
     )
+    # Most rows are alone in their group: only the others meet the full rows.
+    flags = flags.filter("group_size > 1 OR is_duplicate_v2")
     alone = {"group_size": F.coalesce("group_size", F.lit(1)), "is_duplicate_v2": F.coalesce("is_duplicate_v2", F.lit(False)),
              "dedup_keep_for_analytics": F.coalesce("dedup_keep_for_analytics", F.lit(True))}
     return df.join(flags, order, "left").withColumns(alone)

@@ -86,7 +86,7 @@ def match(
       the checkpoint folder, as several steps read them);
     * a bounded probe of posting sets gives each candidate set a score it can surely
       reach ``top_n`` times; only posting sets that can score as much are compared,
-      found by an equi join on their rarest skills (length and prefix filter);
+      found by an equi join on the rarest skills of both (length and prefix filter);
     * candidates short of matches are filled with the best postings of score 0,
       of which twice ``top_n`` per part are enough.
     """
@@ -130,8 +130,14 @@ def match(
     ranked = by_rarity.groupBy("part", "psig", "pn").agg(F.sort_array(F.collect_list(F.struct("freq", "key"))).alias("o"))
     index = ranked.select("part", "psig", "pn", F.posexplode("o.key").alias("pos", "key")).withColumn(
         "salt", F.pmod(F.xxhash64("psig"), F.lit(8)).cast("int"))
-    wants = csets.select("part", "csig", "cn", "floor", F.explode("ckeys").alias("key")).withColumn(
-        "salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
+    # The same holds on the candidate's side, in the same order of skills; those that no posting has come first, and go.
+    freqs = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
+    asked = csets.select("part", "csig", "cn", "floor", F.explode("ckeys").alias("key")).join(freqs, "key", "left")
+    order = F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "key")))
+    least = F.greatest(F.ceil(c("floor") * c("cn") - 1e-9), F.lit(1))
+    leading = asked.groupBy("part", "csig", "cn", "floor").agg(order.alias("o")).select("part", "csig", "cn", "floor", F.posexplode("o").alias("cpos", "k"))
+    wants = leading.filter((c("cpos") <= c("cn") - least) & (c("k.freq") > 0)).select(
+        "part", "csig", "cn", "floor", c("k.key").alias("key")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
     need = F.greatest(F.ceil(c("floor") * (c("cn") + c("pn")) / (1 + c("floor")) - 1e-9), F.lit(1))
     can_reach = (c("pn") >= c("floor") * c("cn") - 1e-9) & (c("pn") * c("floor") <= c("cn") + 1e-9) & (c("pos") <= c("pn") - need)
     pairs = index.join(wants, ["part", "key", "salt"]).filter(can_reach).select("csig", "psig").distinct()
