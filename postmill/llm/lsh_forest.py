@@ -270,3 +270,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = signed.select("doc_id", "n_shingles").join(found.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     component = F.coalesce("component", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))
+
+
+def near_duplicates_sql() -> str:
+    """DuckDB SQL for ``near_duplicates`` over ``documents`` with distinct ids: all pairs that share a shingle, on small tables."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    k = SHINGLE_WORDS
+    return rf"""
+WITH RECURSIVE t AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, w, unnest(CASE WHEN len(w) >= {k} THEN range(1, len(w) - {k - 2}) WHEN len(w) > 0 THEN [1::BIGINT] ELSE [] END) AS i FROM t),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + {k - 1}], ' ') AS shingle FROM u),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= {LINK} * (x.n + y.n - c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach AS (SELECT doc_id AS node, doc_id AS origin FROM n UNION SELECT e.b, r.origin FROM reach r JOIN e ON e.a = r.node),
+c AS (SELECT node, min(origin) AS component_id FROM reach GROUP BY node)
+SELECT t.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, t.doc_id) AS component_id, coalesce(component_id, t.doc_id) = t.doc_id AS kept
+FROM t LEFT JOIN n ON n.doc_id = t.doc_id LEFT JOIN c ON c.node = t.doc_id"""

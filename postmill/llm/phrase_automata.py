@@ -101,3 +101,25 @@ def dedup_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     return repeats(docs, id_col, text_col, Windows(WINDOW_WORDS, 5, words=True), later_windows, finish, schema)
+
+
+def phrases_sql(size: int = WINDOW_WORDS) -> str:
+    """DuckDB SQL for ``dedup_phrases`` over ``documents`` with distinct ids: every window of words, on small tables."""
+    return rf"""
+WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+u AS (SELECT doc_id, w, unnest(range(1, len(w) - {size - 2})) AS i FROM t),
+x AS (SELECT doc_id, i, md5(array_to_string(w[i:i + {size - 1}], ' ')) AS k FROM u),
+m AS (SELECT k, min(doc_id) AS first FROM x GROUP BY k),
+hit AS (SELECT doc_id, i, i + {size} AS j FROM x JOIN m USING (k) WHERE doc_id > first),
+edge AS (SELECT *, CASE WHEN i <= lag(j) OVER (PARTITION BY doc_id ORDER BY i) THEN 0 ELSE 1 END AS new FROM hit),
+numbered AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM edge),
+r AS (SELECT doc_id, run, min(i) AS i, max(j) AS j FROM numbered GROUP BY 1, 2),
+p AS (
+  SELECT doc_id, run, coalesce(lag(j) OVER (PARTITION BY doc_id ORDER BY run), 1) AS a, i AS b FROM r
+  UNION ALL SELECT doc_id, max(run) + 1, max(j), NULL FROM r GROUP BY doc_id),
+q AS (SELECT doc_id, run, array_to_string(w[a:coalesce(b - 1, len(w))], ' ') AS piece FROM p JOIN t USING (doc_id) WHERE a <= coalesce(b - 1, len(w))),
+k AS (SELECT doc_id, string_agg(piece, ' ' ORDER BY run) AS rest FROM q GROUP BY doc_id),
+s AS (SELECT doc_id, sum(j - i) AS n_removed FROM r GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed,
+  sha256(CASE WHEN n_removed IS NULL THEN array_to_string(w, ' ') ELSE coalesce(rest, '') END) AS kept_sha256
+FROM t LEFT JOIN s USING (doc_id) LEFT JOIN k USING (doc_id)"""

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from postmill.llm import centroid_langid, neighbour_quality, ordinal_toxicity
-from postmill.llm.lsh_forest import near_duplicates
+from postmill.llm.lsh_forest import near_duplicates, near_duplicates_sql
 from postmill.llm.mincut_html import extract_pages
 from postmill.llm.mixing import mix_sources, mixing_sql
 from postmill.llm.norm_topk import top_inner_products, topk_sql
-from postmill.llm.phrase_automata import dedup_phrases
+from postmill.llm.phrase_automata import dedup_phrases, phrases_sql
 from postmill.llm.spaced_seeds import find_leaks
-from postmill.llm.suffix_dedup import dedup_substrings
+from postmill.llm.suffix_dedup import dedup_substrings, substrings_sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -45,12 +45,12 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ordinal_toxicity.score_toxicity(docs, ordinal_toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
-@_query("op3_lsh_forest")
+@_query("op3_lsh_forest", near_duplicates_sql())
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@_query("op4_suffix_array_dedup")
+@_query("op4_suffix_array_dedup", substrings_sql())
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_substrings(table(spark, sf_dir, "documents"))
 
@@ -66,7 +66,7 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return centroid_langid.identify(docs, centroid_langid.train(docs, docs, "lang"), reject=False)
 
 
-@_query("op7_phrase_automata")
+@_query("op7_phrase_automata", phrases_sql())
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_phrases(table(spark, sf_dir, "documents"))
 

@@ -44,3 +44,24 @@ def test_targets_and_limits(spark, rows):
 @pytest.mark.parametrize("rows_", [[], [(1, None, None, "x")], [(1, "a b", "s", "x")], [(1, "", "s", "x"), (2, "a " * 50, "t", "x")]])
 def test_small(spark, rows_):
     assert mixed(spark, rows_) == by_sql(spark, rows_)
+
+
+def test_targets_by_repeated_resharing(spark, rng):
+    """Shares by weight; whatever exceeds three times a source is shared again among the others, until nothing does."""
+    from postmill.llm.mixing import source_targets
+
+    for _ in range(6):
+        sizes = {f"s{n:02}": rng.choice([0, 1, 7, 50, 400, 9000]) for n in range(rng.randint(1, 9))}
+        weight = {s: (5, 2, 1)[n % 3] for n, s in enumerate(sorted(sizes))}
+        target, open_, left = dict.fromkeys(sizes, 0.0), set(sizes), float(sum(sizes.values()))
+        while left > 1e-9 and open_:
+            heavy = sum(weight[s] for s in open_)
+            for s in open_:
+                target[s] += left * weight[s] / heavy
+            left = sum(max(0.0, target[s] - 3 * sizes[s]) for s in open_)
+            for s in list(open_):
+                if target[s] >= 3 * sizes[s]:
+                    target[s] = 3.0 * sizes[s]
+                    open_.discard(s)
+        got = source_targets(spark.createDataFrame(list(sizes.items()), "source string, size long")).collect()
+        assert {r.source: pytest.approx(r.target) for r in got} == target
