@@ -16,8 +16,7 @@ from postmill.session import ensure_checkpoint_dir
 
 HOT_SHARE = 1024      # a key is hot above 1/1024 of all rows: at most 1024 hot keys
 SALTS = 64
-CELLS_PER_OCTAVE = 64
-FINE_CELLS = 4096
+CELLS_PER_OCTAVE = 1 << 14
 
 
 def seal(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
@@ -106,7 +105,7 @@ def number_rows(df: DataFrame, order: Sequence[Column], out: str = "row_no") ->
 
 
 def _cell(value: Column) -> Column:
-    """Monotone bucket of a double: about one percent wide, a few thousand in all."""
+    """Monotone bucket of a double: about 1/24000 wide, 2^14 for each doubling."""
     size = F.floor(F.lit(float(CELLS_PER_OCTAVE)) * F.log2(F.lit(1.0) + F.abs(value)))
     return F.when(value < 0, -size).otherwise(size)
 
@@ -115,10 +114,9 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     """Exact linear-interpolated quantiles per key.
 
     Rows become (key, distinct value, count), combined map-side. Counts per
-    narrow value band give the band that holds each wanted rank; such a band is
-    cut into FINE_CELLS even parts between its smallest and largest value, and
-    only the parts that hold a wanted rank are ordered. No task ever sees a whole
-    group. Null and NaN are no values. Keys must not be null; keys with no value
+    value band, about 1/24000 wide, give the band that holds each wanted rank;
+    only those bands are ordered. No task ever sees a whole group, and a key has
+    at most some hundred thousand bands over the values that money takes. Null and NaN are no values. Keys must not be null; keys with no value
     give no row.
     """
     keys = list(keys)
@@ -133,7 +131,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
     by_key = Window.partitionBy(*keys)
     cells = (
         counts.groupBy(*keys, "_cell")
-        .agg(F.sum("_c").alias("_cc"), F.min("_v").alias("_from"), F.max("_v").alias("_to"))
+        .agg(F.sum("_c").alias("_cc"))
         .withColumn("_end", F.sum("_cc").over(by_key.orderBy("_cell")))
         .withColumn("_n", F.sum("_cc").over(by_key))
         .withColumn("_before", F.col("_end") - F.col("_cc"))
@@ -147,23 +145,11 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: dict[
         for rank in (F.floor(position(p)), F.ceil(position(p))):
             inside = (rank >= F.col("_before")) & (rank < F.col("_end"))
             wanted = inside if wanted is None else wanted | inside
-    cells = cells.filter(wanted).select(*keys, "_cell", "_before", "_n", "_from", "_to")
-
-    width = (F.col("_to") - F.col("_from")) / FINE_CELLS
-    part = F.floor((F.col("_v") - F.col("_from")) / width)
-    inner = counts.join(cells, [*keys, "_cell"]).withColumn("_part", F.when(width.between(1e-300, 1e300), part).otherwise(0))
-    by_cell = Window.partitionBy(*keys, "_cell").orderBy("_part")
-    parts = (
-        inner.groupBy(*keys, "_cell", "_part", "_n", F.col("_before").alias("_outer"))
-        .agg(F.sum("_c").alias("_pc"))
-        .withColumn("_end", F.col("_outer") + F.sum("_pc").over(by_cell))
-        .withColumn("_before", F.col("_end") - F.col("_pc"))
-        .filter(wanted)
-        .select(*keys, "_cell", "_part", "_before")
-    )
-    in_cell = Window.partitionBy(*keys, "_cell", "_part").orderBy("_v")
+    cells = cells.filter(wanted).select(*keys, "_cell", "_before", "_n")
+
+    in_cell = Window.partitionBy(*keys, "_cell").orderBy("_v")
     placed = (
-        inner.drop("_before").join(parts, [*keys, "_cell", "_part"])
+        counts.join(cells, [*keys, "_cell"])
         .withColumn("_hi", F.col("_before") + F.sum("_c").over(in_cell))
         .withColumn("_lo", F.col("_hi") - F.col("_c"))
     )

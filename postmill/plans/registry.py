@@ -29,7 +29,7 @@ class Inputs:
     def dealt(self, name: str, key: str) -> DataFrame:
         """A table or view for heavy text work, dealt anew by a key so that long texts and few files don't make few tasks."""
         df = self.table(name) if name in base_tables else self.view(name)
-        return df.repartition(key)
+        return df.repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), key)
 
     def sql(self, body: str) -> DataFrame:
         text = with_views(body)
