@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -114,21 +114,25 @@ def _likely(sig_a: np.ndarray, sig_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarr
     return np.where(100 * np.minimum(n_a, n_b) >= LINK * np.maximum(n_a, n_b), share, 0.0)
 
 
-def _neighbours(batches):
-    """Pairs of likely links among the sets of each region; a partition's rows come sorted by region."""
-    held: list[pa.RecordBatch] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        region = batch.column("region").to_numpy()
-        last = int(np.searchsorted(region == region[-1], True)) if region[0] != region[-1] else 0
-        if last:
-            held[-1] = batch.slice(0, last)
-            yield from _pairs(pa.Table.from_batches(held))
-            held = [batch.slice(last)]
-    if held:
-        yield from _pairs(pa.Table.from_batches(held))
+def _by_region(pairs: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
+    """``pairs`` over whole regions; a partition's rows come sorted by region."""
+
+    def run(batches):
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            region = batch.column("region").to_numpy()
+            last = int(np.searchsorted(region == region[-1], True)) if region[0] != region[-1] else 0
+            if last:
+                held[-1] = batch.slice(0, last)
+                yield from pairs(pa.Table.from_batches(held))
+                held = [batch.slice(last)]
+        if held:
+            yield from pairs(pa.Table.from_batches(held))
+
+    return run
 
 
 def _pairs(rows: pa.Table):
@@ -161,6 +165,30 @@ def _pairs(rows: pa.Table):
         yield pa.record_batch({"chunk": chunk[some], "a": a[some], "b": b[some], "kind": kind[some]})
 
 
+def _across(rows: pa.Table):
+    """Pairs of likely links between unlike components in each region: all its sets, or those of two blocks with each other."""
+    region, node, n, component, side, block = (rows.column(c).to_numpy() for c in ("region", "node", "n", "component", "side", "block"))
+    sig = _matrix(rows.column("sig"))
+    order = np.lexsort((node, region))
+    region, node, n, component, side, block, sig = (x[order] for x in (region, node, n, component, side, block, sig))
+    heads = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
+    for lo, hi in zip(heads.tolist(), np.append(heads[1:], len(region)).tolist(), strict=True):
+        apart = block[lo] >= 0
+        left = np.flatnonzero(side[lo:hi] == 0) + lo if apart else np.arange(lo, hi)
+        right = np.flatnonzero(side[lo:hi] == 1) + lo if apart else left
+        a, b = [], []
+        for k, i in enumerate(left.tolist()):
+            j = right if apart else right[k + 1 :]
+            j = j[component[j] != component[i]]
+            j = j[100 * np.minimum(n[j], n[i]) >= LINK * np.maximum(n[j], n[i])]
+            j = j[(sig[j] == sig[i]).mean(1) >= LIKELY]
+            a.append(np.maximum(node[j], node[i]))
+            b.append(np.minimum(node[j], node[i]))
+        if sum(map(len, a)):
+            a, b = np.concatenate(a), np.concatenate(b)
+            yield pa.record_batch({"chunk": np.full(len(a), region[lo]), "a": a, "b": b, "kind": np.ones(len(a), np.int32)})
+
+
 def _sets(batches):
     """The set of each text, for each chunk in which it is compared."""
     for batch in batches:
@@ -208,6 +236,25 @@ def _confirmed(batches):
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+def _links(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """Those of the pairs ``edges`` that the full sets confirm."""
+    compared = edges.select("chunk", F.col("a").alias("doc_id")).union(edges.select("chunk", "b")).distinct()
+    sets = rows.join(compared, "doc_id").select("chunk", "doc_id", "text").mapInArrow(_sets, EDGES + ", packed binary")
+    met = sets.union(edges.withColumn("packed", F.lit(None).cast("binary")))
+    return met.repartition("chunk").sortWithinPartitions("chunk", "kind", "a", "b").mapInArrow(_confirmed, "a long, b long")
+
+
+def _cells(rows: DataFrame) -> DataFrame:
+    """Rows of regions, those of more than REGION sets once for each cell of two blocks; every two sets of a region share a cell."""
+    blocks = F.ceil(F.col("size") / REGION).cast("int")
+    mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
+    cell = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(mine, k).alias("p"), F.greatest(mine, k).alias("q"))))
+    dealt = rows.withColumn("mine", mine).withColumn("cell", cell)
+    region = F.when(F.col("size") <= REGION, F.col("region")).otherwise(F.xxhash64("region", "cell"))
+    block = F.when(F.col("cell.p") == F.col("cell.q"), -1).otherwise(F.col("mine"))
+    return dealt.select(region.alias("region"), "node", "component", (F.col("mine") == F.col("cell.q")).cast("int").alias("side"), block.alias("block"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
@@ -220,7 +267,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Equal sets are one node. A node has a 64-value signature, which TREES orders sort from different starting points. Nodes that
     agree in the first four values of an order form a region; regions of more than REGION nodes are split by more values, in
     the end by a hash, and keep their smallest node as a common neighbour. Within a region, in sorted order, a node is compared with
-    its REACH next ones (all, in most regions). A pair of similarity s shares a region of depth 4 with probability 1 - (1 - s^4)^16,
+    its REACH next ones. After these links, all nodes of a region of depth 4 that are in unlike components are compared, whatever its
+    size: a large one in cells of two blocks of about REGION nodes. A pair of similarity s shares a region of depth 4 with probability 1 - (1 - s^4)^16,
     which at 0.85 is 0.999993. Pairs whose signatures agree in 62 % are confirmed on the full sets, which meet in chunks
     named after the regions' smallest nodes, so that a group's sets are sent together.
     """
@@ -233,10 +281,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = classes.select("node", "n", "sig").checkpoint()
 
     part = nodes.select("node", "sig").mapInArrow(_regions(DEPTHS[0]), "region long, tree int, node long")
-    groups, hubs, salt = None, None, F.lit(0).cast("long")
+    groups, hubs, whole, salt = None, None, None, F.lit(0).cast("long")
     for depth in DEPTHS:
         sizes = part.groupBy("region").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
         crowded = part.join(sizes, "region").checkpoint()
+        whole = crowded if depth == DEPTHS[0] else whole
         small = crowded.where(F.col("size") <= REGION).select("region", "tree", "node", salt.alias("salt"))
         groups = small if groups is None else groups.union(small)
         large = crowded.where(F.col("size") > REGION)
@@ -254,15 +303,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         deeper = DEPTHS[DEPTHS.index(depth) + 1]
         part = large.select("tree", "node").join(nodes, "node").select("node", "tree", "sig").mapInArrow(_regions(deeper), "region long, tree int, node long")
     full = groups.join(nodes, "node").select("region", "tree", "node", "n", "salt", "sig")
-    edges = full.repartition("region").sortWithinPartitions("region").mapInArrow(_neighbours, EDGES)
+    edges = full.repartition("region").sortWithinPartitions("region").mapInArrow(_by_region(_pairs), EDGES)
     if hubs is not None:
         edges = edges.union(hubs)
     edges = edges.groupBy("chunk", "a", "b").agg(F.min("kind").alias("kind")).checkpoint()
 
-    compared = edges.select("chunk", F.col("a").alias("doc_id")).union(edges.select("chunk", "b")).distinct()
-    sets = rows.join(compared, "doc_id").select("chunk", "doc_id", "text").mapInArrow(_sets, EDGES + ", packed binary")
-    met = sets.union(edges.withColumn("packed", F.lit(None).cast("binary")))
-    links = met.repartition("chunk").sortWithinPartitions("chunk", "kind", "a", "b").mapInArrow(_confirmed, "a long, b long")
+    links = _links(rows, edges).checkpoint()
+    # What the orders and splits above left apart: pairs of unlike components in the regions of the first depth, all of them.
+    found = connected_components(links)
+    labelled = whole.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    mixed = labelled.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
+    cells = _cells(labelled.join(mixed, "region"))
+    full = cells.join(nodes, "node").select("region", "node", "n", "component", "side", "block", "sig")
+    further = full.repartition("region").sortWithinPartitions("region").mapInArrow(_by_region(_across), EDGES)
+    further = further.groupBy("a", "b").agg(F.min("chunk").alias("chunk"), F.min("kind").alias("kind")).select("chunk", "a", "b", "kind").checkpoint()
+    links = links.union(_links(rows, further))
 
     # Documents of equal sets are linked to the smallest of them.
     same = real.join(classes.select("set_key", "node"), "set_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))

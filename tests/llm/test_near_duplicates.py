@@ -80,3 +80,20 @@ def test_whole_table(spark):
 def test_empty(spark):
     assert found(spark, []) == []
     assert found(spark, [(3, None, "x")]) == [(3, 0, 3, True)]
+
+
+@pytest.mark.parametrize("region", [256, 16])
+def test_boilerplate_family(spark, rng, monkeypatch, region):
+    """A family just under the limit, the smallest linked with none: its linked pairs are found in whole and in split regions."""
+    monkeypatch.setattr(lsh_forest, "REGION", region)
+    same, rows = " ".join(f"b{k}" for k in range(500)), []
+
+    def own(n, size):
+        return [f"u{n}x{k}" for k in range(size)]
+
+    for n in range(160):
+        tail = own(n // 2 if n > 1 else n + 1000, 14) + own(n + 2000, 40)
+        rows.append((n, same + " " + " ".join(tail), "x"))
+    want = brute(rows)
+    assert sum(kept for *_, kept in want) == 81
+    assert found(spark, rows) == want
