@@ -35,6 +35,16 @@ _APART_WORDS = frozenset(
     "newsletter subscribe subscription signup login signin register search form comment comments commentlist reply replies respond response responses discussion disqus "
     "feedback share sharing social related recommended recommendations trending popular more widget toolbar pagination pager skip legal paywall".split()
 )
+#: Words before and after these in a class or id made of several; with other words ("with-sidebar", "share-price") it is no mark.
+_BEFORE = frozenset("site page main top bottom left right primary secondary global sub mobile desktop the".split())
+_AFTER = frozenset(
+    "box bar container wrapper wrap inner outer area list block section group row item items link links button buttons btn unit slot card cards icon icons title body panel "
+    "posts articles stories news text message left right top bottom primary secondary main mobile desktop count meta reply thread".split()
+)
+#: Names of titles, no mark inside an article.
+_TITLE_WORDS = frozenset("masthead header topbar banner".split())
+#: What a mark costs a block: outside of articles and by its element, and by a name inside an article.
+_APART_COST, _NAMED_COST = 1200, 400
 _MAIN_WORDS = frozenset("article content post entry main story body text".split())
 
 
@@ -47,6 +57,8 @@ class Block:
     apart: bool
     article: bool
     main: bool
+    mark: int = 0
+    inside: bool = False
     text: str = ""
     linked: int = 0
 
@@ -58,6 +70,8 @@ class _Open:
     apart: bool
     article: bool
     main: bool
+    mark: int = 0
+    inside: bool = False
 
 
 @dataclass
@@ -73,24 +87,37 @@ class _Page:
         if text:
             top = self.open[-1] if self.open else _Open("", 0, False, False, False)
             linked = len("".join(" ".join(unescape("".join(self.linked)).split())))
-            self.blocks.append(Block(self.tag, tuple(o.number for o in self.open), top.apart, top.article, top.main, text, linked))
+            self.blocks.append(Block(self.tag, tuple(o.number for o in self.open), top.apart, top.article, top.main, top.mark, top.inside, text, linked))
         self.parts, self.linked = [], []
 
 
+def _names_apart(name: str, inside: bool) -> bool:
+    """Whether one class, id or role says that this is not the article: a word of _APART_WORDS, alone or with _BEFORE and _AFTER."""
+    parts = _WORD.findall(name)
+    while parts and parts[0] in _BEFORE:
+        parts = parts[1:]
+    if not parts or parts[0] not in _APART_WORDS or (inside and parts[0] in _TITLE_WORDS):
+        return False
+    return all(p in _APART_WORDS or p in _AFTER or p.isdigit() for p in parts)
+
+
 def _entered(name: str, attributes: str, above: _Open | None, number: int) -> _Open:
-    words: set[str] = set()
+    names: list[str] = []
     hidden = False
     if attributes and not attributes.isspace():
         for groups in _NAMES.findall(attributes):
-            words.update(_WORD.findall("".join(groups).lower()))
+            names += "".join(groups).lower().split()
         hidden = bool(_HIDDEN.search(attributes))
-    article = name == "article" or (above is not None and above.article)
-    # A header inside an article is its title, one outside is the site's.
-    apart = hidden or name in _APART or bool(words & _APART_WORDS) or (name == "header" and not article)
-    # The whole page or its body may carry names like "has-sidebar".
-    apart = (apart and name not in ("html", "body")) or (above is not None and above.apart)
-    main = name == "main" or bool(words & _MAIN_WORDS) or (above is not None and above.main)
-    return _Open(name, number, apart, article, main)
+    above = above or _Open("", 0, False, False, False)
+    article = name == "article" or above.article
+    # A header inside an article is its title, one outside is the site's. The whole page or its body may be hidden at first.
+    apart = ((hidden or name in _APART or (name == "header" and not article)) and name not in ("html", "body")) or above.apart
+    main = name == "main" or any(w in _MAIN_WORDS for n in names for w in _WORD.findall(n)) or above.main
+    # The outermost container that a name marks; what a mark inside an article says is less certain. Main text ends a mark from outside.
+    mark, inside = (0, False) if name == "main" else (above.mark, above.inside)
+    if name not in ("html", "body") and (not mark or inside) and any(_names_apart(n, above.article) for n in names):
+        mark, inside = mark or number, above.article
+    return _Open(name, number, apart, article, main, mark, inside)
 
 
 def page_blocks(html: str) -> list[Block]:
@@ -144,12 +171,29 @@ def block_score(b: Block) -> int:
     score += min(120, 30 * len(_STOPS.findall(b.text)))
     score -= 400 * b.linked // max(1, len(b.text))
     if b.apart:
-        score -= 1200
+        score -= _APART_COST
+    elif b.mark:
+        score -= _NAMED_COST if b.inside else _APART_COST
     if "©" in b.text:
         score -= 250
     return score
 
 
+def _outweighed(blocks: list[Block]) -> None:
+    """Takes the mark from the container with the most prose, if what no mark covers has less than a quarter of that."""
+    prose: dict[int, int] = {}
+    for b in blocks:
+        if not b.apart and b.tag not in _HEADINGS:
+            unmarked = block_score(b) + (0 if not b.mark else _NAMED_COST if b.inside else _APART_COST)
+            if unmarked > 0 and (not b.inside):
+                prose[b.mark] = prose.get(b.mark, 0) + len(b.text) - b.linked
+    most = max((m for m in prose if m), key=lambda m: (prose[m], -m), default=0)
+    if most and 4 * prose.get(0, 0) < prose[most]:
+        for b in blocks:
+            if b.mark == most:
+                b.mark = 0
+
+
 def _edges(blocks: list[Block]) -> list[tuple[int, int, int]]:
     """Smoothness between neighbours in the page, by their distance in the tree, and between a container's successive blocks."""
     out, last = [], {}
@@ -162,7 +206,7 @@ def _edges(blocks: list[Block]) -> list[tuple[int, int, int]]:
                     break
                 common += 1
             steps = len(a.path) + len(b.path) - 2 * common
-            out.append((i - 1, i, 5 if a.apart != b.apart else 120 // (1 + steps)))
+            out.append((i - 1, i, 5 if (a.apart, a.mark) != (b.apart, b.mark) else 120 // (1 + steps)))
         near = last.get(b.path)
         if near is not None and near < i - 1:
             out.append((near, i, 60))
@@ -240,6 +284,7 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
 def main_text(html: str | None) -> str:
     """The blocks on the content side of the cut, joined by an empty line."""
     blocks = page_blocks(html or "")
+    _outweighed(blocks)
     scores = [block_score(b) for b in blocks]
     if min(scores, default=0) > 0:
         content = [True] * len(blocks)

@@ -60,3 +60,14 @@ def test_real_pages_keep_the_article_only(spark):
         inside = re.search(r"<article>(.*?)(?:</article>|\Z)", r.html, re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"<[^>]*>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1|li|ul|div)\b[^>]*>", inside)]
         assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+@pytest.mark.parametrize("wrapper", ['div class="wrapper with-sidebar"', 'div class="main no-sidebar"', 'div id="read-more-content"', 'section class="legal"', 'div class="sidebar"'])
+def test_wrappers_keep_their_article(wrapper):
+    html = f"<body><nav><a href=x>Home</a></nav><{wrapper}><article><p>{LONG}</p><p>{LONG} {LONG}</p></article></{wrapper.split()[0]}><footer>{LONG}</footer>"
+    assert main_text(html) == f"{LONG}\n\n{LONG} {LONG}"
+
+
+def test_names_inside_an_article():
+    html = f'<article><header class="entry-header"><h1>Title of it</h1></header><p>{LONG}</p><div class="share-price"><p>{LONG}</p></div><div id="response"><p>{LONG}</p></div><div class="share-buttons"><a href=x>Send</a></div></article><div class="site-footer"><p>{LONG}</p></div>'
+    assert main_text(html) == f"Title of it\n\n{LONG}\n\n{LONG}\n\n{LONG}"
