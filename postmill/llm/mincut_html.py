@@ -11,10 +11,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Elements whose inside is never text of the page.
-_DROPPED = "script|style|noscript|template|svg|math|iframe|object|title|textarea|select|button|canvas|audio|video"
+#: Elements whose inside is never text of the page: those of raw text, which only their end tag ends, and those with elements inside.
+_RAW = "script|style|noscript|iframe|title|textarea"
+_DROPPED = frozenset("template svg math object select button canvas audio video".split())
+_FOREIGN = frozenset("svg math".split())
 _TOKEN = re.compile(
-    rf"<!--.*?(?:-->|\Z)|<({_DROPPED})\b(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)"
+    rf"<!--.*?(?:-->|\Z)|<({_RAW})(?![^\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
@@ -72,6 +74,7 @@ class _Open:
     main: bool
     mark: int = 0
     inside: bool = False
+    dropped: bool = False
 
 
 @dataclass
@@ -85,9 +88,10 @@ class _Page:
     def close_block(self) -> None:
         text = " ".join(unescape("".join(self.parts)).split()) if self.parts else ""
         if text:
-            top = self.open[-1] if self.open else _Open("", 0, False, False, False)
+            shown = [o for o in self.open if not o.dropped]
+            top = shown[-1] if shown else _Open("", 0, False, False, False)
             linked = len("".join(" ".join(unescape("".join(self.linked)).split())))
-            self.blocks.append(Block(self.tag, tuple(o.number for o in self.open), top.apart, top.article, top.main, top.mark, top.inside, text, linked))
+            self.blocks.append(Block(self.tag, tuple(o.number for o in shown), top.apart, top.article, top.main, top.mark, top.inside, text, linked))
         self.parts, self.linked = [], []
 
 
@@ -120,11 +124,21 @@ def _entered(name: str, attributes: str, above: _Open | None, number: int) -> _O
     return _Open(name, number, apart, article, main, mark, inside)
 
 
+def _broken(name: str, kinds: set[str]) -> bool:
+    """Whether an element of this name can't be inside open dropped elements of these kinds, so that their end tags are missing."""
+    if "template" in kinds:
+        return False
+    if kinds & _FOREIGN and "foreignobject" not in kinds:
+        return name in _BLOCKS
+    return name in ("article", "main", "body") or (name in ("button", "select") and name in kinds)
+
+
 def page_blocks(html: str) -> list[Block]:
     """The text blocks of a page in order; end tags that are missing or wrong are borne."""
     page, at, link, count = _Page(), 0, False, 0
     for m in _TOKEN.finditer(html):
-        if m.start() > at:
+        dropped = bool(page.open) and page.open[-1].dropped
+        if m.start() > at and not dropped:
             text = html[at : m.start()]
             page.parts.append(text)
             if link:
@@ -134,6 +148,27 @@ def page_blocks(html: str) -> list[Block]:
         if name is None:
             continue
         name, ends = name.lower(), bool(m[2] or m[5])
+        attributes = m[4] or m[7] or ""
+        if dropped and not ends:
+            outer = next(k for k, o in enumerate(page.open) if o.dropped)
+            kinds = {o.name for o in page.open[outer:]}
+            if _broken(name, kinds):
+                # A missing end tag: what can't be inside ends the element.
+                del page.open[outer:]
+                dropped = False
+        if dropped or name in _DROPPED:
+            if not ends:
+                closed = attributes.endswith("/") and (name in _FOREIGN or kinds & _FOREIGN if dropped else name in _FOREIGN)
+                if not closed and (name in _DROPPED or name in _CONTAINERS or name == "foreignobject"):
+                    page.open.append(_Open(name, 0, False, False, False, dropped=True))
+                continue
+            at_name = next((k for k in range(len(page.open) - 1, -1, -1) if page.open[k].name == name), None)
+            if at_name is None:
+                continue
+            if page.open[at_name].dropped:
+                del page.open[at_name:]
+                continue
+            # The end tag of a container around it.
         if name == "a":
             link = not ends
             continue
@@ -153,11 +188,12 @@ def page_blocks(html: str) -> list[Block]:
             if name in ("li", "dd", "dt", "td", "th", "tr") and page.open and page.open[-1].name == name:
                 page.open.pop()
             count += 1
-            page.open.append(_entered(name, m[4] or m[7] or "", page.open[-1] if page.open else None, count))
+            page.open.append(_entered(name, attributes, page.open[-1] if page.open else None, count))
             link = link and name not in ("li", "td", "div", "article", "section")
         if name not in _VOID:
             page.tag = name
-    page.parts.append(html[at:])
+    if not (page.open and page.open[-1].dropped):
+        page.parts.append(html[at:])
     page.close_block()
     return page.blocks
 

@@ -71,3 +71,15 @@ def test_wrappers_keep_their_article(wrapper):
 def test_names_inside_an_article():
     html = f'<article><header class="entry-header"><h1>Title of it</h1></header><p>{LONG}</p><div class="share-price"><p>{LONG}</p></div><div id="response"><p>{LONG}</p></div><div class="share-buttons"><a href=x>Send</a></div></article><div class="site-footer"><p>{LONG}</p></div>'
     assert main_text(html) == f"Title of it\n\n{LONG}\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize(
+    "before",
+    ['<svg class="i"/>', "<math/>", "<svg><path d=x /></svg>", "<svg><svg>in</svg>out</svg>", "<object>a<object>b</object>c</object>", "<svg><circle>"]
+    + [f"<div><{name}>gone</div>" for name in ("button", "select", "object", "canvas", "audio", "video", "template")]
+    + [f"<{name}>gone" for name in ("button", "select", "object", "canvas", "audio", "video")]
+    + ["<template><article><p>gone</p></article></template>", "<button><div>gone</div></button>", "<svg><title>gone</title><foreignObject><div>gone</div></foreignObject></svg>"],
+)
+def test_dropped_elements_end(before):
+    assert main_text(f"<body>{before}<article><p>{LONG}</p><p>a <svg><path/></svg>b</p></article>") == f"{LONG}\n\na b"
+    assert main_text(f"<body><article><p>{LONG}</p></article>{before}") == LONG
