@@ -12,8 +12,17 @@ from pyspark.sql import functions as F
 from postmill.llm.text_arrays import bytes_of, mix, pieces, word_bounds, word_hashes
 from postmill.session import ensure_checkpoint_dir
 
-#: Word positions that each mask reads. Any 13 words of which two are replaced agree in at least one mask somewhere.
-MASKS = ((0, 1, 2, 7, 8, 9), (0, 1, 2, 3, 5, 6), (0, 1, 4, 6, 8, 9), (0, 2, 3, 4, 6, 7))
+#: Word positions that each mask reads. Any 13 to 25 words of which a fifth is replaced agree in at least one mask somewhere.
+MASKS = ((0, 1, 2, 7, 8, 9), (0, 1, 2, 3, 5, 6), (0, 1, 4, 6, 8, 9), (0, 2, 3, 4, 6, 7), (0, 1, 3, 4, 5, 6))
+#: Positions in items of so many words that are read too, so that the same holds for these. Items of under five words are read as a whole.
+SHORT_MASKS = {
+    **{n: (tuple(range(n)),) for n in range(1, 5)},
+    5: ((2, 3, 4), (0, 1, 4), (1, 2, 3)),
+    6: ((2, 3, 4, 5), (0, 1, 4, 5), (0, 1, 2, 3)),
+    7: ((2, 3, 4, 5, 6), (0, 1, 2, 4, 6), (1, 2, 3, 4, 5)),
+    8: ((1, 2, 3, 4, 5, 7),),
+    10: ((1, 2, 3, 4, 5, 9), (3, 5, 6, 7, 8, 9)),
+}
 #: An overlap counts from this many words (all words of shorter items), of which this share must be equal.
 LEAST_WORDS, SIMILARITY = 13, 0.8
 #: Words of the benchmark that are broadcast at a time; a larger benchmark is searched in several passes.
@@ -46,6 +55,10 @@ def masked(words: np.ndarray, mask: tuple[int, ...]) -> np.ndarray:
     return mix(out + np.uint64(sum(1 << p for p in mask)))
 
 
+def from_zero(mask: tuple[int, ...]) -> tuple[int, ...]:
+    return tuple(p - mask[0] for p in mask)
+
+
 @dataclass(frozen=True)
 class SeedBlock:
     """Items' words, and the sorted seed hashes of all masks with the words where they begin."""
@@ -68,12 +81,12 @@ def seed_block(ids: list[int], texts: list[str]) -> SeedBlock:
         here = np.flatnonzero(item[: len(h)] == item[mask[-1] :])
         seeds.append(h[here])
         where.append(here)
-    for k in np.flatnonzero(np.diff(first) < max(m[-1] for m in MASKS) + 1):
-        # Items too short for a mask are found by their whole text.
-        a, b = int(first[k]), int(first[k + 1])
-        if b > a:
-            seeds.append(masked(words[a:b], tuple(range(b - a))))
-            where.append(np.array([a]))
+    for n, masks in SHORT_MASKS.items():
+        for k in np.flatnonzero(np.diff(first) == n):
+            for mask in masks:
+                a = int(first[k]) + mask[0]
+                seeds.append(masked(words[a : int(first[k]) + mask[-1] + 1], from_zero(mask)))
+                where.append(np.array([a]))
     seed, at = np.concatenate(seeds), np.concatenate(where)
     order = np.argsort(seed, kind="stable")
     table = np.zeros(1 << _TABLE_BITS, bool)
@@ -114,7 +127,7 @@ def best_overlap(equal: np.ndarray, similarity: float = SIMILARITY) -> tuple[int
 
 
 def _leaks(block: SeedBlock):
-    masks = list(MASKS) + [tuple(range(n)) for n in sorted({int(n) for n in np.diff(block.first) if 0 < n <= max(m[-1] for m in MASKS)})]
+    masks = list(MASKS) + sorted({from_zero(m) for n in np.unique(np.diff(block.first)) for m in SHORT_MASKS.get(int(n), ())} - set(MASKS))
 
     def verified(words, a, b, i, p):
         """Leaks of one text [a, b): item number, first word, end, equal words."""
@@ -123,7 +136,12 @@ def _leaks(block: SeedBlock):
         for item, shift in np.unique(np.stack([k, i - p], 1), axis=0):
             x, y = int(block.first[item]), int(block.first[item + 1])
             lo, hi = max(x, a - shift), min(y, b - shift)
-            s, e, n = best_overlap(words[lo + shift : hi + shift] == block.words[lo:hi])
+            equal = words[lo + shift : hi + shift] == block.words[lo:hi]
+            if y - x < LEAST_WORDS:
+                # A short item counts as a whole, whichever of its words are replaced.
+                s, e, n = (0, y - x, int(equal.sum())) if hi - lo == y - x and 1000 * int(equal.sum()) >= round(1000 * SIMILARITY) * (y - x) else (0, 0, 0)
+            else:
+                s, e, n = best_overlap(equal)
             if e - s >= min(LEAST_WORDS, y - x) and n > found.get(int(item), (0, 0, 0))[2]:
                 found[int(item)] = (int(lo + shift - a) + s, int(lo + shift - a) + e, n)
         return found
@@ -156,7 +174,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     """doc_id, row, item_id, word_from, word_to, n_equal, similarity: the best overlap of each document with each item it leaks.
 
     Words are runs of letters and digits, A-Z as a-z. An overlap is a stretch of the document's words against as many of the item's,
-    in order, with at least 80 % equal, from 13 words on (the whole item, if shorter); the one with the most equal words is
+    in order, with at least 80 % equal, from 13 words on (the whole item with any of its words replaced, if shorter); the one with the most equal words is
     returned, counted in the document's words. Every seed hit of the whole text is verified. Null and empty texts and items, and
     items without id, leak nothing. ``row`` may name what else a row is told apart by (null if not given); rows that repeat an
     id each give their own leaks. Items that repeat an id count one by one. Other columns are not read.

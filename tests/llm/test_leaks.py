@@ -57,3 +57,26 @@ def test_empty(spark):
     docs, items = spark.createDataFrame([], DOCS), spark.createDataFrame([], ITEMS)
     some = spark.createDataFrame([(1, "a b c", "x")], DOCS)
     assert spaced_seeds.find_leaks(docs, items).count() == spaced_seeds.find_leaks(some, items).count() == 0
+
+
+@pytest.mark.parametrize("n", range(5, 26))
+def test_masks_find_a_fifth_replaced(n):
+    masks = [(m, range(n - m[-1])) for m in spaced_seeds.MASKS] + [(m, (0,)) for m in getattr(spaced_seeds, "SHORT_MASKS", {}).get(n, ())]
+    places = [sum(1 << (o + p) for p in m) for m, offsets in masks for o in offsets]
+    for lost in combinations(range(n), n // 5):
+        gone = sum(1 << p for p in lost)
+        assert any(not gone & p for p in places)
+
+
+def test_short_items_with_any_words_replaced(spark, rng):
+    items, docs, want = [], [], set()
+    for n in range(1, 13):
+        item = [f"i{n}w{k}" for k in range(n)]
+        items.append((n, " ".join(item), "x"))
+        for m in (n // 5, n // 5 + 1):
+            for k, lost in enumerate(combinations(range(n), m)):
+                doc = 10000 * n + 1000 * (m - n // 5) + k
+                docs.append((doc, prose(rng, 3) + " ".join("other" if p in lost else w for p, w in enumerate(item)) + " " + prose(rng, 3), "x"))
+                want |= {(doc, n, n - m)} if m == n // 5 else set()
+    got = spaced_seeds.find_leaks(spark.createDataFrame(docs, DOCS), spark.createDataFrame(items, ITEMS)).collect()
+    assert {(r.doc_id, r.item_id, r.n_equal) for r in got} == want and all(r.similarity >= 0.8 for r in got)
