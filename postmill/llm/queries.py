@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from postmill.llm import centroid_langid, neighbour_quality, ordinal_toxicity
 from postmill.llm.lsh_forest import near_duplicates, near_duplicates_sql
@@ -14,6 +15,7 @@ from postmill.llm.norm_topk import top_inner_products, topk_sql
 from postmill.llm.phrase_automata import dedup_phrases, phrases_sql
 from postmill.llm.spaced_seeds import find_leaks
 from postmill.llm.suffix_dedup import dedup_substrings, substrings_sql
+from postmill.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -84,3 +86,8 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op10_norm_sorted_topk", topk_sql())
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_inner_products(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0")
+
+
+@_query("op11_cholesky_whitening")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
