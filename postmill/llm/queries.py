@@ -12,6 +12,7 @@ from postmill.llm.lsh_forest import near_duplicates, near_duplicates_sql
 from postmill.llm.mincut_html import extract_pages
 from postmill.llm.mixing import mix_sources, mixing_sql
 from postmill.llm.norm_topk import top_inner_products, topk_sql
+from postmill.llm.periodic_runs import find_runs
 from postmill.llm.phrase_automata import dedup_phrases, phrases_sql
 from postmill.llm.spaced_seeds import find_leaks
 from postmill.llm.suffix_dedup import dedup_substrings, substrings_sql
@@ -91,3 +92,28 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("op11_cholesky_whitening")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def _with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id, text; in the documents that op13's contract names, the words from one on are the first few of them, repeated."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    rows = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("w")).withColumn("n", F.size("w"))
+    rows = rows.withColumn("a", F.when(F.col("n") > 0, (F.col("g") % F.col("n")).cast("int")))
+    rows = rows.withColumn("p", (F.lit(1) + F.floor((F.col("n") - F.col("a")) / (F.lit(3) + F.col("g") % 8))).cast("int"))
+    rest = F.col("n") - F.col("a")
+    repeated = F.slice(F.flatten(F.array_repeat(F.slice("w", F.col("a") + 1, F.col("p")), F.ceil(rest / F.col("p")).cast("int"))), F.lit(1), rest)
+    planted = F.concat_ws(" ", F.slice("w", F.lit(1), F.col("a")), repeated)
+    return rows.select("doc_id", F.when(F.col("n") > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@_query("op13_periodic_runs")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_runs(_with_planted_repeats(table(spark, sf_dir, "documents")))
+    # Runs come by start and period, so the first of those with the greatest exponent is the wanted one.
+    better = lambda best, r: best.isNull() | (r["length"] * best["period"] > best["length"] * r["period"])
+    kind = "struct<start:bigint,length:bigint,period:bigint>"
+    best = F.aggregate("runs", F.lit(None).cast(kind), lambda best, r: F.when(better(best, r), r).otherwise(best))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    rows = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), best.alias("best"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    return rows.select("doc_id", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
