@@ -14,6 +14,7 @@ from postmill.llm.mixing import mix_sources, mixing_sql
 from postmill.llm.norm_topk import top_inner_products, topk_sql
 from postmill.llm.periodic_runs import find_runs
 from postmill.llm.phrase_automata import dedup_phrases, phrases_sql
+from postmill.llm.pq_links import linked_vectors
 from postmill.llm.spaced_seeds import find_leaks
 from postmill.llm.suffix_dedup import dedup_substrings, substrings_sql
 from postmill.llm.whitening import whiten
@@ -94,6 +95,11 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").cast("long"))
 
 
+@_query("op12_pq_near_dedup")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linked_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def _with_planted_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, text; in the documents that op13's contract names, the words from one on are the first few of them, repeated."""
     h = F.crc32(F.col("doc_id").cast("string"))
