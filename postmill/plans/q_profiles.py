@@ -100,17 +100,19 @@ WITH v AS (SELECT event_id, user_id, event_type, value, ts FROM events UNION ALL
 l AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY ts DESC) AS rn FROM v) WHERE rn = 1)
 SELECT event_id, user_id, event_type, value FROM l WHERE ts >= (SELECT max(ts) FROM v) - INTERVAL 7 DAY""")
 def _(i):
-    """Events arrive as files, each of them twice, then a tenth of them edited; the last edit counts, and old ones expire on read."""
+    """Events arrive as files, each of them twice, then a tenth of them edited; the last edit counts, and old ones expire."""
+    from postmill.sources.stored import StoredTable
     from postmill.sources.tables import scratch_path
     from postmill.streaming import ingest
 
     folder = scratch_path(i.spark, "stream")
     events = i.table("events").withColumn("ts", c("ts").cast("timestamp"))
     events.unionByName(events).repartition(4, "event_type").write.parquet(f"{folder}/in")
+    table = StoredTable.create(events.limit(0), f"{folder}/table", ["event_id"], "ts", 8)
     edited = events.filter("event_id % 10 = 3").withColumns({"event_type": F.lit("edited"), "value": c("value") + 1000, "ts": c("ts") + F.expr("INTERVAL 1 HOUR")})
     for arrived in (None, edited):
         if arrived is not None:
             arrived.write.mode("append").parquet(f"{folder}/in")
         arrivals = ingest.read_arrivals(i.spark, f"{folder}/in", events.schema)
-        ingest.stream_upsert(arrivals, f"{folder}/out", f"{folder}/progress", "ts").awaitTermination()
-    return ingest.current(i.spark, f"{folder}/out", ["event_id"], "ts", "ts", 7).select("event_id", "user_id", "event_type", "value")
+        ingest.stream_into(arrivals, table, ["event_id"], "ts", f"{folder}/staging", f"{folder}/progress").awaitTermination()
+    return table.read().select("event_id", "user_id", "event_type", "value")

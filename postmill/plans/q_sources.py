@@ -7,6 +7,7 @@ from postmill.operators import rows
 from postmill.plans.fixtures import FIXTURES
 from postmill.plans.registry import query
 from postmill.sources import records, tables, unify
+from postmill.sources.stored import StoredTable
 
 c = F.col
 
@@ -86,15 +87,21 @@ SELECT coalesce(t.k, l.k) AS k, t.n_seen, CASE WHEN l.k IS NOT NULL THEN l.value
   CASE WHEN l.k IS NOT NULL THEN l.kind ELSE t.kind END AS kind FROM upsert_target t FULL JOIN l ON t.k = l.k
 UNION ALL SELECT NULL, NULL, value, kind FROM upsert_batch WHERE k IS NULL""")
 def _(i):
-    return tables.upsert_by_key(i.view("upsert_target"), i.view("upsert_batch"), ["k"], "seq")
+    """The target becomes a table of key buckets; the batch replaces the files that hold one of its keys."""
+    table = StoredTable.create(i.view("upsert_target"), tables.scratch_path(i.spark, "upsert"), ["k"], buckets=16)
+    table.upsert(i.view("upsert_batch"), "seq")
+    return table.read()
 
 
 @query("ttl_expire", """
 SELECT event_id, t FROM (SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN ts END AS t FROM events)
 WHERE t IS NULL OR t >= (SELECT max(ts) FROM events) - INTERVAL 7 DAY""")
 def _(i):
-    df = i.sql("SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN ts END AS t FROM events")
-    return tables.expire(df, "t", i.table("events").agg(F.max("ts")).scalar(), 7)
+    """Files of days that are past go unread; only those across the edge are filtered."""
+    df = i.sql("SELECT event_id, CASE WHEN event_id % 50 <> 0 THEN CAST(ts AS TIMESTAMP) END AS t FROM events")
+    table = StoredTable.create(df, tables.scratch_path(i.spark, "expire"), ts="t")
+    table.expire(i.table("events").agg(F.max("ts")).scalar(), 7)
+    return table.read()
 
 
 @query("export_table_csv", """
