@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from postmill.functions.entities import unescape
 from postmill.functions.vocab import MISSING_WORDS, TRUE_WORDS
 
 # Every kind of white space, no-break blanks included.
@@ -46,24 +47,6 @@ def is_missing_list(items: Column) -> Column:
     return items.isNull() | (F.size(items) == 0)
 
 
-ENTITIES = [
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#039;", "'"), ("&#39;", "'"), ("&#34;", '"'),
-    ("&#160;", " "), ("&laquo;", "«"), ("&raquo;", "»"), ("&mdash;", "—"), ("&ndash;", "–"), ("&bull;", "•"), ("&hellip;", "…"),
-    ("&rsquo;", "’"), ("&#8217;", "’"), ("&#38;", "&"), ("&amp;", "&"),
-]
-
-
-def unescape(text: Column) -> Column:
-    """HTML entities: the common named ones and numeric references of the usual punctuation."""
-    def decode(t: Column) -> Column:
-        out = t
-        for entity, char in ENTITIES:
-            out = F.replace(out, F.lit(entity), F.lit(char))
-        return F.when(F.contains(t, F.lit("&")), out).otherwise(t)
-
-    return let(text, decode)
-
-
 def standardize_missing(text: Column) -> Column:
     """Unescaped and squeezed text, null where it is a missing word."""
     return let(squeeze(unescape(text)), lambda t: F.when(~F.lower(t).isin(MISSING_WORDS), t))

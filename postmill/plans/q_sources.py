@@ -243,69 +243,89 @@ def _(i):
 
 # ---- pages ---------------------------------------------------------------------------
 
-# Every page in the shape of a bank-board vacancy; title, numbers and list come from the page itself.
+# The given pages in the markup of a bank-board vacancy: heading, links and body are the page's own, and so are its unclosed tags.
+FIXTURES["page_parts"] = r"""
+SELECT page_id, url, html, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h1, regexp_extract(html, '(?s)<title>(.*?)</title>', 1) AS title,
+  regexp_extract(html, '(?s)<li><a[^>]*>(.*?)</a>', 1) AS link_1, regexp_extract(html, '(?s)<li><a[^>]*>.*?</a></li><li><a[^>]*>(.*?)</a>', 1) AS link_2,
+  replace(replace(regexp_extract(html, '(?s)<body>(.*)$', 1), '</body>', ''), '</html>', '') AS body
+FROM pages
+"""
 FIXTURES["board_pages"] = """
-SELECT page_id, url, '<html><h1 class="vacancy-single__head__content__title"> Engineer <b>' || substr(url, 8, 12) || '</b> </h1>'
-  || CASE WHEN page_id % 5 = 0 THEN '' ELSE '<div class="vacancy-single__head__content__salary__label">' || (page_id * 1000) || ' ₸</div>' END
-  || '<div class="vacancy-single__head__content__salary__cities">' || CASE page_id % 3 WHEN 0 THEN 'Алматы' WHEN 1 THEN 'Астана' ELSE '' END || '</div>'
-  || '<div class="vacancy-single__head__content__filter-items__label">Полный день</div>'
+SELECT page_id, url, h1, link_1, link_2, body, '<html><h1 class="vacancy-single__head__content__title"> ' || h1 || ' <b>' || substr(url, 8, 12) || '</b> </h1>'
+  || CASE WHEN page_id % 5 = 0 THEN '' ELSE '<div title="class=x" class="big vacancy-single__head__content__salary__label">' || (page_id * 1000) || ' ₸</div>' END
+  || '<div class="vacancy-single__head__content__salary__cities">' || CASE page_id % 3 WHEN 0 THEN link_1 WHEN 1 THEN '<i>Астана</i>' ELSE '' END || '</div>'
+  || '<div class="vacancy-single__head__content__filter-items__label">Полный ' || link_2 || '</div>'
   || CASE WHEN page_id % 4 = 0 THEN '' ELSE '<div class="vacancy-single__head__content__filter-items__label">' || (page_id % 4) || '-6 лет</div>' END
-  || '<div class="vacancy-single__body__desc"><p>Intro ' || length(html) || '</p><div class="in"><ul><li>• Python ' || page_id || '</li><li>Go</li><li>SQL</li></ul></div>'
-  || '<p>- Docker</p></div><div class="end">tail</div></html>' AS html
-FROM pages
+  || '<div class="vacancy-single__body__desc">' || body || '<div class="in"><p>- Docker</p></div></div><div class="end">tail</div></html>' AS html
+FROM page_parts
 """
-TITLE_RX = r"(?s)<h1[^>]*class=\"vacancy-single__head__content__title\"[^>]*>(.*?)</h1>"
 
 
-def div(css: str) -> str:
-    return f"(?s)<div[^>]*class=\"{css}\"[^>]*>(.*?)</div>"
+def decoded_sql(x: str) -> str:
+    """The references that the given pages hold, decoded."""
+    return f"regexp_replace(replace(replace(replace({x}, '&copy;', '©'), '&middot;', '·'), '&quot;', '\"'), '&amp;?', '&', 'g')"
+
+
+def clean_sql(x: str, gap: str = "") -> str:
+    """Tags out, references decoded, squeezed."""
+    return rf"trim(regexp_replace({decoded_sql(f"regexp_replace({x}, '<[^>]+>', '{gap}', 'g')")}, '[\s\x{{a0}}]+', ' ', 'g'))"
 
 
-def clean_sql(x: str) -> str:
-    return rf"trim(regexp_replace(regexp_replace({x}, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+def links_sql(body: str, least: int) -> str:
+    """Texts of the list items of a body, joined."""
+    texts = f"list_transform(regexp_extract_all({body}, '(?s)<li>(.*?)</li>', 1), lambda x: {clean_sql('x')})"
+    return f"list_filter({texts}, lambda x: length(x) > {least})"
 
 
-HEAD = "vacancy-single__head__content"
-LABELS = f"regexp_extract_all(html, '{div(HEAD + '__filter-items__label')}', 1)"
-BODY = "regexp_extract(html, '(?s)<div class=\"vacancy-single__body__desc\">(.*)</div><div class=\"end\">', 1)"
+POSITION = clean_sql("h1 || ' ' || substr(url, 8, 12)")
+BOARD_CITY = f"CASE page_id % 3 WHEN 0 THEN {clean_sql('link_1')} WHEN 1 THEN 'Астана' ELSE '' END"
+BOARD_SALARY = "CASE WHEN page_id % 5 = 0 THEN 'Не указана' ELSE (page_id * 1000) || ' ₸' END"
+FULL = clean_sql("body || ' - Docker'", " ")
 
 
 @query("page_records_board", f"""
-SELECT page_id, url, {clean_sql(f"regexp_extract(html, '{TITLE_RX}', 1)")} AS position,
-  coalesce(nullif({clean_sql(f"regexp_extract(html, '{div(HEAD + '__salary__label')}', 1)")}, ''), 'Не указана') AS salary,
-  coalesce(nullif({clean_sql(f"regexp_extract(html, '{div(HEAD + '__salary__cities')}', 1)")}, ''), 'N/A') AS city,
-  coalesce({LABELS}[1], 'N/A') AS schedule, coalesce({LABELS}[2], 'N/A') AS experience,
-  'Python ' || page_id || ' | SQL | Docker' AS skills_list, {clean_sql(BODY)} AS full_description FROM board_pages""")
+SELECT page_id, url, {POSITION} AS position, {BOARD_SALARY} AS salary, {BOARD_CITY} AS city, {clean_sql("'Полный ' || link_2")} AS schedule,
+  CASE WHEN page_id % 4 = 0 THEN 'N/A' ELSE (page_id % 4) || '-6 лет' END AS experience,
+  array_to_string(list_append({links_sql('body', 2)}, 'Docker'), ' | ') AS skills_list, {FULL} AS full_description FROM board_pages""")
 def _(i):
-    return records.page_records(i.view("board_pages"))
+    return records.page_records(i.dealt("board_pages", "page_id").select("page_id", "url", "html"))
 
 
 @query("page_records_board_v1", f"""
-SELECT page_id, url, {clean_sql(f"regexp_extract(html, '{TITLE_RX}', 1)")} AS title,
-  coalesce(nullif({clean_sql(f"regexp_extract(html, '{div(HEAD + '__salary__label')}', 1)")}, ''), 'Не указана') AS salary_raw,
-  coalesce(nullif({clean_sql(f"regexp_extract(html, '{div(HEAD + '__salary__cities')}', 1)")}, ''), 'N/A') AS city,
-  'полный день' AS schedule, coalesce({LABELS}[2], '') AS experience,
-  'Python ' || page_id || ' | Go | SQL | Docker' AS skills, {clean_sql(BODY)} AS full_description FROM board_pages""")
+SELECT page_id, url, {POSITION} AS title, {BOARD_SALARY} AS salary_raw, {BOARD_CITY} AS city, lower({clean_sql("'Полный ' || link_2")}) AS schedule,
+  CASE WHEN page_id % 4 = 0 THEN '' ELSE (page_id % 4) || '-6 лет' END AS experience,
+  array_to_string(list_append({links_sql('body', 0)}, 'Docker'), ' | ') AS skills, {FULL} AS full_description FROM board_pages""")
+def _(i):
+    return records.page_records_v1(i.dealt("board_pages", "page_id").select("page_id", "url", "html"))
+
+
+ARTICLE = "regexp_extract(html, '(?s)<article>(.*?)</article>', 1)"
+
+
+@query("page_records_given", f"""
+SELECT page_id, url, {clean_sql('h1')} AS position, {clean_sql("regexp_extract(html, '(?s)<div class=.ad.>(.*?)</div>', 1)")} AS salary, {clean_sql('title')} AS city,
+  {clean_sql('link_1')} AS schedule, {clean_sql('link_2')} AS experience, '' AS skills_list, {clean_sql(ARTICLE, ' ')} AS full_description FROM page_parts""")
 def _(i):
-    return records.page_records_v1(i.view("board_pages"))
+    """The given pages as they are, with rules for their own tags."""
+    rules = {"title": ("h1", None), "salary": ("div", "ad"), "city": ("title", None), "labels": ("a", None), "body": ("article", None)}
+    return records.page_records(i.dealt("pages", "page_id").select("page_id", "url", "html"), rules=rules)
 
 
 FIXTURES["career_pages"] = """
-SELECT page_id, url, '<h1>Dev ' || substr(url, 8, 10) || '</h1><span>' || (page_id * 100) || ' - ' || (page_id * 200 + 7) || ' ₸</span><ul><li>Remote</li><li>'
+SELECT page_id, url, h1, body, '<div><span>' || (page_id * 100) || ' - ' || (page_id * 200 + 7) || ' <b>₸</b></span></div><ul><li>Remote</li><li>'
   || CASE page_id % 3 WHEN 0 THEN 'Алматы' WHEN 1 THEN 'Астана' ELSE 'Other' END || '</li><li>Опыт ' || (page_id % 6) || ' лет</li></ul>'
-  || '<h3>О компании</h3><div>Company ' || page_id || '</div><h2>Стек</h2><p>x</p><ul><li>Python</li><li> Page ' || length(html) || ' </li></ul>'
+  || '<h3>О компании</h3><div>Company <i>' || page_id || '</i></div><h2>Стек</h2><p>x</p>' || body
   || CASE WHEN page_id % 2 = 0 THEN '<h2>Тебе предстоит</h2><ul><li>Build</li><li></li><li>Run</li></ul>' ELSE '' END
-  || '<h2>Мы ждем</h2><ul><li>SQL</li></ul>' AS html FROM pages
+  || '<h2><em>Мы</em> ждем</h2><h2>Мы ждем</h2><div><ul><li>SQL<ul><li>joins</li></ul></li></ul></div>' AS html FROM page_parts
 """
 
 
-@query("page_records_career", r"""
-SELECT page_id, url, regexp_extract(html, '<h1>(.*?)</h1>', 1) AS title, (page_id * 100) || ' - ' || (page_id * 200 + 7) || ' ₸' AS salary,
-  page_id * 100 AS salary_from, page_id * 200 + 7 AS salary_to, 'Remote' AS location, 'Опыт ' || (page_id % 6) || ' лет' AS experience,
-  'Company ' || page_id AS company, regexp_extract(html, 'Стек.*?<li>(.*?)</li>', 1) || ' | ' || trim(regexp_extract(html, '<li>( Page .*?)</li>', 1)) AS tech_stack,
-  CASE WHEN page_id % 2 = 0 THEN 'Build | Run' ELSE '' END AS responsibilities, 'SQL' AS requirements, '' AS nice_to_have FROM career_pages""")
+@query("page_records_career", f"""
+SELECT page_id, url, {clean_sql('h1')} AS title, '₸' AS salary, CAST(NULL AS BIGINT) AS salary_from, CAST(NULL AS BIGINT) AS salary_to, 'Remote' AS location,
+  'Опыт ' || (page_id % 6) || ' лет' AS experience, 'Company ' || page_id AS company, array_to_string({links_sql('body', 0)}, ' | ') AS tech_stack,
+  CASE WHEN page_id % 2 = 0 THEN 'Build | Run' ELSE '' END AS responsibilities, 'SQLjoins' AS requirements, '' AS nice_to_have FROM career_pages""")
 def _(i):
-    return records.career_records(i.view("career_pages"))
+    return records.career_records(i.dealt("career_pages", "page_id").select("page_id", "url", "html"))
 
 
 # ---- API items: postings as the JSON a board's list and detail calls return ------------------

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from postmill.functions.text import blank_to_null, squeeze
-from postmill.operators.spread import keep_first
+from postmill.functions.text import squeeze
+from postmill.operators.spread import keep_first, seal
+from postmill.sources import tagtree
 
-# Class names of the bank board's page.
+# Class names of the bank board's page, and words of a schedule.
 BOARD = "vacancy-single__head__content"
-BOARD_TITLE = f"{BOARD}__title"
-BOARD_SALARY = f"{BOARD}__salary__label"
-BOARD_CITY = f"{BOARD}__salary__cities"
-BOARD_LABEL = f"{BOARD}__filter-items__label"
-BOARD_BODY = "vacancy-single__body__desc"
+BOARD_RULES = {
+    "title": ("h1", f"{BOARD}__title"),
+    "salary": ("div", f"{BOARD}__salary__label"),
+    "city": ("div", f"{BOARD}__salary__cities"),
+    "labels": ("div", f"{BOARD}__filter-items__label"),
+    "body": ("div", "vacancy-single__body__desc"),
+}
 SCHEDULE_WORDS = "график|удал|офис|гибк|полный|частич"
 
 
@@ -28,122 +31,122 @@ def clean(html: Column) -> Column:
     return squeeze(strip_tags(html))
 
 
-def _open_tag(tag: str, css: str) -> str:
-    return f'(?is)<{tag}\\b[^>]*class="[^"]*\\b{css}(?![\\w-])[^"]*"[^>]*>'
+def with_tree(pages: DataFrame, html: str) -> DataFrame:
+    """Pages with their tag tree in ``_page``, worked out once."""
+    return seal(pages, {"_page": tagtree.tree(F.col(html))})
 
 
-def first_text(html: Column, tag: str, css: str, default: str) -> Column:
-    """Clean text of the first element of a class."""
-    found = F.regexp_extract(html, _open_tag(tag, css) + f"(.*?)</{tag}>", 1)
-    return F.coalesce(blank_to_null(clean(found)), F.lit(default))
+def _found(page: Column, rule: tuple[str, str | None], default: str) -> Column:
+    """Text of the first element of a rule; the default where there is none."""
+    return F.coalesce(squeeze_or_null(tagtree.text_of(page, tagtree.first(tagtree.select(page, *rule)))), F.lit(default))
 
 
-def all_texts(html: Column, tag: str, css: str) -> Column:
-    found = F.regexp_extract_all(html, F.lit(_open_tag(tag, css) + f"(.*?)</{tag}>"), F.lit(1))
-    return F.transform(found, lambda x: clean(x))
+def squeeze_or_null(text: Column) -> Column:
+    return F.when(text.isNotNull(), squeeze(text))
 
 
-def block(html: Column, css: str) -> Column:
-    """Inner markup of the first div of a class, nested divs included; null when absent.
+def _items(page: Column, body: Column, strip: bool) -> Column:
+    """List items and paragraphs of an element, in the order of the page, with their texts."""
+    inside = tagtree.within(page, body, ["li", "p"])
+    text = lambda e: tagtree.text_of(page, e, "", True) if strip else squeeze(tagtree.text_of(page, e))
+    return F.transform(inside, lambda e: F.struct(e["name"].alias("tag"), text(e).alias("txt")))
 
-    The rest of the page is cut before every opening and closing div; pieces are
-    kept while the nesting depth stays above zero.
-    """
-    rest = F.regexp_extract(html, _open_tag("div", css) + "(.*)$", 1)
-    pieces = F.split(rest, "(?i)(?=<div\\b)|(?=</div>)")
-    zero = F.struct(F.lit(1).alias("depth"), F.lit(0).alias("kept"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        change = F.when(F.lower(piece).startswith("<div"), 1).when(F.lower(piece).startswith("</div"), -1).otherwise(0)
-        depth = F.when(acc["depth"] > 0, acc["depth"] + change).otherwise(F.lit(0))
-        return F.struct(depth.alias("depth"), (acc["kept"] + F.when(depth > 0, 1).otherwise(0)).alias("kept"))
+def _bullets(items: Column, bullets: str, strip: str, ok) -> Column:
+    """Texts of list items, and of paragraphs that start with a bullet."""
+    marked = F.filter(items, lambda x: (x["tag"] == "li") | x["txt"].rlike(f"^[{bullets}]"))
+    texts = F.transform(marked, lambda x: tagtree.squeeze_ends(F.regexp_replace(x["txt"], f"^[{strip}]+", "")))
+    return F.coalesce(F.array_join(F.filter(texts, ok), " | "), F.lit(""))
 
-    kept = F.aggregate(pieces, zero, step, lambda acc: acc["kept"])
-    return F.when(rest != "", F.array_join(F.slice(pieces, F.lit(1), kept), ""))
 
+Rules = Mapping[str, tuple[str, str | None]]
 
-def _items(body: Column) -> Column:
-    pattern = F.lit("(?is)<(li|p)\\b[^>]*>(.*?)</\\1>")
-    tags = F.regexp_extract_all(body, pattern, F.lit(1))
-    texts = F.transform(F.regexp_extract_all(body, pattern, F.lit(2)), lambda x: F.trim(strip_tags(x, "")))
-    return F.arrays_zip(F.transform(tags, lambda t: F.lower(t)).alias("tag"), texts.alias("txt"))
 
+def _board(pages: DataFrame, html: str, rules: Rules, strip: bool) -> tuple[DataFrame, Column]:
+    page, body = F.col("_page"), F.col("_body")
+    found = seal(with_tree(pages, html), {"_body": tagtree.first(tagtree.select(page, *rules["body"]))})
+    labels = F.transform(tagtree.select(page, *rules["labels"]), lambda e: tagtree.text_of(page, e, "", True) if strip else F.lower(squeeze(tagtree.text_of(page, e))))
+    full = squeeze(tagtree.text_of(page, body, " "))
+    return seal(found, {"_labels": labels, "_items": _items(page, body, strip), "_full": F.coalesce(full, F.lit(""))}), page
 
-def _bullets(body: Column, bullets: str, strip: str, ok) -> Column:
-    """Texts of list items, and of paragraphs that start with a bullet."""
-    marked = F.filter(_items(body), lambda x: (x["tag"] == "li") | x["txt"].rlike(f"^[{bullets}]"))
-    texts = F.transform(marked, lambda x: F.trim(F.regexp_replace(x["txt"], f"^[{strip}]+", "")))
-    return F.coalesce(F.array_join(F.filter(texts, ok), " | "), F.lit(""))
 
+def page_records(pages: DataFrame, html: str = "html", rules: Rules = BOARD_RULES) -> DataFrame:
+    """Vacancy pages of a board: head fields, first label = schedule, second = experience, bullets = skills.
 
-def page_records(pages: DataFrame, html: str = "html", url: str = "url") -> DataFrame:
-    """Bank-board vacancy pages: head fields, first label = schedule, second = experience, bullets = skills."""
-    h = F.col(html)
-    with_parts = pages.withColumns({"_labels": all_texts(h, "div", BOARD_LABEL), "_body": block(h, BOARD_BODY)})
-    return with_parts.withColumns({
-        "position": first_text(h, "h1", BOARD_TITLE, "N/A"),
-        "salary": first_text(h, "div", BOARD_SALARY, "Не указана"),
-        "city": first_text(h, "div", BOARD_CITY, "N/A"),
+    ``rules`` name the tag and class (any, if None) of each field. A field whose element is missing has a default, an empty element an
+    empty text. A page that is null or no markup has defaults only. Nested and unclosed tags are read as the tag tree has them.
+    """
+    out, page = _board(pages, html, rules, True)
+    return out.withColumns({
+        "position": _found(page, rules["title"], "N/A"),
+        "salary": _found(page, rules["salary"], "Не указана"),
+        "city": _found(page, rules["city"], "N/A"),
         "schedule": F.coalesce(F.get("_labels", F.lit(0)), F.lit("N/A")),
         "experience": F.coalesce(F.get("_labels", F.lit(1)), F.lit("N/A")),
-        "skills_list": _bullets(F.col("_body"), "•\\-", "•\\- ", lambda x: F.length(x) > 2),
-        "full_description": F.coalesce(clean(F.col("_body")), F.lit("")),
-    }).drop("_labels", "_body", html)
+        "skills_list": _bullets(F.col("_items"), "•\\-", "•\\- ", lambda x: F.length(x) > 2),
+        "full_description": F.col("_full"),
+    }).drop("_labels", "_body", "_items", "_full", "_page", html)
 
 
-def page_records_v1(pages: DataFrame, html: str = "html") -> DataFrame:
+def page_records_v1(pages: DataFrame, html: str = "html", rules: Rules = BOARD_RULES) -> DataFrame:
     """Older reading: the last label with a digit and a year word is the experience, another with a schedule word the schedule."""
-    h = F.col(html)
-    labels = F.transform(all_texts(h, "div", BOARD_LABEL), lambda x: F.lower(x))
-    with_parts = pages.withColumns({"_labels": labels, "_body": block(h, BOARD_BODY)})
+    out, page = _board(pages, html, rules, False)
 
     def is_experience(x: Column) -> Column:
         return x.rlike("\\d") & x.rlike("год|лет")
 
     exp = F.filter("_labels", is_experience)
     plan = F.filter("_labels", lambda x: ~is_experience(x) & x.rlike(SCHEDULE_WORDS))
-    return with_parts.withColumns({
-        "title": first_text(h, "h1", BOARD_TITLE, "N/A"),
-        "salary_raw": first_text(h, "div", BOARD_SALARY, "Не указана"),
-        "city": first_text(h, "div", BOARD_CITY, "N/A"),
+    return out.withColumns({
+        "title": _found(page, rules["title"], "N/A"),
+        "salary_raw": _found(page, rules["salary"], "Не указана"),
+        "city": _found(page, rules["city"], "N/A"),
         "experience": F.coalesce(F.try_element_at(exp, F.lit(-1)), F.lit("")),
         "schedule": F.coalesce(F.try_element_at(plan, F.lit(-1)), F.lit("")),
-        "skills": _bullets(F.col("_body"), "•\\-—", "•\\-— ", lambda x: (x != "") & (F.length(x) < 120)),
-        "full_description": F.coalesce(clean(F.col("_body")), F.lit("")),
-    }).drop("_labels", "_body", html)
+        "skills": _bullets(F.col("_items"), "•\\-—", "•\\-— ", lambda x: (x != "") & (F.length(x) < 120)),
+        "full_description": F.col("_full"),
+    }).drop("_labels", "_body", "_items", "_full", "_page", html)
 
 
+# Headings of the career site's lists, and of the text about the company.
 CAREER_HEADINGS = {
     "tech_stack": "Стек", "responsibilities": "Тебе предстоит", "requirements": "Мы ждем", "nice_to_have": "Будет преимуществом",
 }
+ABOUT = "О компании"
+
 
+def _heading(page: Column, words: str) -> Column:
+    """The innermost element around the first text that holds the words."""
+    return tagtree.around(page, tagtree.first_text_with(page, words))
 
-def list_after(html: Column, heading: str) -> Column:
-    """Items of the first list after a heading text, joined by `` | ``."""
-    ul = F.regexp_extract(html, f"(?is){heading}.*?<ul\\b[^>]*>(.*?)</ul>", 1)
-    items = F.transform(F.regexp_extract_all(ul, F.lit("(?is)<li\\b[^>]*>(.*?)</li>"), F.lit(1)), lambda x: clean(x))
-    return F.array_join(F.filter(items, lambda x: x != ""), " | ")
 
+def list_after(page: Column, heading: str) -> Column:
+    """Items of the first list after the element of a heading text, joined by `` | ``."""
+    items = F.transform(tagtree.children(page, tagtree.following(page, _heading(page, heading), "ul"), "li"), lambda e: squeeze(tagtree.text_of(page, e)))
+    return F.coalesce(F.array_join(F.filter(items, lambda x: x != ""), " | "), F.lit(""))
 
-def career_records(pages: DataFrame, html: str = "html", headings: dict[str, str] | None = None) -> DataFrame:
-    """Career-site pages: title, salary line, first city and experience tags, lists after their headings."""
-    h = F.col(html)
-    tags = F.transform(F.regexp_extract_all(h, F.lit("(?is)<li\\b[^>]*>(.*?)</li>"), F.lit(1)), lambda x: clean(x))
+
+def career_records(pages: DataFrame, html: str = "html", headings: dict[str, str] | None = None, about: str = ABOUT, currency: str = "₸") -> DataFrame:
+    """Career-site pages: title, salary line, first city and experience tags, lists after their headings; '' for what a page lacks."""
+    page = F.col("_page")
+    tags = F.transform(tagtree.select(page, "li"), lambda e: squeeze(tagtree.text_of(page, e)))
     numbers = F.transform(
         F.regexp_extract_all("salary", F.lit("\\d[\\d ]*"), F.lit(0)), lambda x: F.replace(x, F.lit(" "), F.lit("")).try_cast("long")
     )
+    text = lambda e: squeeze(tagtree.text_of(page, e))
+    tagged = lambda words: F.coalesce(F.get(F.filter("_tags", lambda x: x.rlike(words)), F.lit(0)), F.lit(""))
+    out = seal(with_tree(pages, html), {"_tags": tags})
     return (
-        pages.withColumn("_tags", tags)
-        .withColumns({
-            "title": clean(F.regexp_extract(h, "(?is)<h1\\b[^>]*>(.*?)</h1>", 1)),
-            "salary": clean(F.regexp_extract(h, ">([^<>]*₸[^<>]*)<", 1)),
-            "location": F.coalesce(F.get(F.filter("_tags", lambda x: x.rlike("Алматы|Астана|Remote")), F.lit(0)), F.lit("")),
-            "experience": F.coalesce(F.get(F.filter("_tags", lambda x: x.rlike("Опыт|лет")), F.lit(0)), F.lit("")),
-            "company": clean(F.regexp_extract(h, "(?is)О компании.*?<div\\b[^>]*>(.*?)</div>", 1)),
-        } | {name: list_after(h, text) for name, text in (headings or CAREER_HEADINGS).items()})
+        seal(out, {
+            "title": text(tagtree.first(tagtree.select(page, "h1"))),
+            "salary": text(_heading(page, currency)),
+            "location": tagged("Алматы|Астана|Remote"),
+            "experience": tagged("Опыт|лет"),
+            "company": text(tagtree.following(page, _heading(page, about), "div")),
+        } | {name: list_after(page, words) for name, words in (headings or CAREER_HEADINGS).items()})
         .withColumn("_n", numbers)
         .withColumns({"salary_from": F.get("_n", F.lit(0)), "salary_to": F.get("_n", F.lit(1))})
-        .drop("_n", "_tags", html)
+        .drop("_n", "_tags", "_page", html)
     )
 
 
