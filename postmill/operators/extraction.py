@@ -498,18 +498,35 @@ def row_diff(before: DataFrame, after: DataFrame, row_id: str, cols: Sequence[st
 
 # ---- report ----------------------------------------------------------------------------------------------
 
-def enrichment_report(before: DataFrame, after: DataFrame, tracked: Sequence[str], failure_alarm: float = 0.30) -> DataFrame:
-    """(section, measure, value): coverage before and after, statuses, per-source counts, conflicts, failure alarm."""
+def enrichment_report(
+    before: DataFrame, after: DataFrame, tracked: Sequence[str], failure_alarm: float = 0.30,
+    hits: Mapping[str, tuple[Column, Mapping[str, Column]]] | None = None,
+) -> DataFrame:
+    """(section, measure, value): coverage before and after, statuses, per-source counts, hit shares, conflicts, failure alarm.
+
+    ``hits`` names, for each further section, the rows that count (of ``after``) and a condition per field; the value is the percentage
+    of the counted rows that meet it, 0 without any. The alarm is 1 if more than ``failure_alarm`` of the rows failed, or if there are
+    none. Apart from coverage, all of it comes from one pass with combined sums.
+    """
     from postmill.operators.curate import coverage
 
     row = lambda section, measure, value: F.struct(F.lit(section).alias("section"), measure.alias("measure"), value.cast("double").alias("value"))
     out = coverage(before, tracked).select(F.lit("coverage_before").alias("section"), c("column").alias("measure"), c("coverage_pct").alias("value"))
     out = out.unionByName(coverage(after, tracked).select(
         F.lit("coverage_after").alias("section"), c("column").alias("measure"), c("coverage_pct").alias("value")))
+    status = c("llm_merge_status")
     conflicts = F.transform("conflict_flags", lambda f: row("conflicts", f, F.lit(1)))
-    facts = F.concat(F.array(row("status", c("llm_merge_status"), F.lit(1)), row("processed_per_source", c("source"), F.lit(1))), conflicts)
+    of = lambda section, cond: F.when(cond, F.array(row(section, c("source"), F.lit(1)))).otherwise(F.array().cast("array<struct<section:string,measure:string,value:double>>"))
+    facts = F.concat(
+        F.array(row("status", status, F.lit(1)), row("processed_per_source", c("source"), F.lit(1))),
+        of("merged_per_source", F.coalesce(status.isin("auto_merged", "merged_with_review"), F.lit(False))),
+        of("failed_per_source", F.coalesce(status == "failed", F.lit(False))), conflicts)
     counted = after.select(F.inline(facts)).groupBy("section", "measure").agg(F.sum("value").alias("value"))
-    failed = (c("llm_merge_status") == "failed").cast("double")
-    alarm = after.agg(F.avg(failed).alias("f")).select(F.inline(F.array(
-        row("failure", F.lit("share"), c("f")), row("failure", F.lit("alarm"), (c("f") > failure_alarm).cast("int")))))
-    return out.unionByName(counted).unionByName(alarm)
+    sums = {("failure", "share"): F.coalesce(F.avg((status == "failed").cast("double")), F.lit(1.0))}
+    for section, (counts, fields) in (hits or {}).items():
+        n = F.count_if(counts)
+        for field, met in fields.items():
+            sums[section, field] = F.coalesce(F.try_divide(F.count_if(counts & met) * F.lit(100.0), n.cast("double")), F.lit(0.0))
+    one = after.agg(*[col.alias(f"_{k}") for k, col in enumerate(sums.values())])
+    shares = F.array(*[row(section, F.lit(measure), c(f"_{k}")) for k, (section, measure) in enumerate(sums)], row("failure", F.lit("alarm"), (c("_0") > failure_alarm).cast("int")))
+    return out.unionByName(counted).unionByName(one.select(F.inline(shares)))

@@ -161,7 +161,7 @@ def match(
     return out.select(
         "cand_id", "part", "id", "score", "salary_avg_clean", "skills_count", c("match_no").cast("long").alias("match_no"),
         F.filter("skills", mine).alias("matched_skills"),
-        F.slice(F.filter("skills", lambda s: ~mine(s)), 1, 8).alias("missing_skills"),
+        F.filter("skills", lambda s: ~mine(s)).alias("missing_skills"),
     )
 
 
@@ -232,8 +232,18 @@ def salary_position(expected: Column, market: Column) -> Column:
         F.when(e.isNull() | m.isNull() | (e == 0) | (m == 0), "unknown").when(e < m * 0.9, "below").when(e > m * 1.1, "above").otherwise("at"))
 
 
-def token_skills(text: Column, n: int = 20) -> Column:
-    """First items of a free list of skills."""
+def token_skills(text: Column, n: int | None = None) -> Column:
+    """Items of a free list of skills; the first ``n`` only, if given (the published reading takes 20)."""
     parts = F.transform(F.split(F.coalesce(text, F.lit("")), "[,;/\\n]"), lambda x: squeeze(x))
-    return F.slice(F.filter(parts, lambda x: x != ""), 1, n)
+    items = F.filter(parts, lambda x: x != "")
+    return items if n is None else F.slice(items, 1, n)
+
+
+#: Missing skills that are shown of each match, as published; the matches hold all of them.
+SHOWN_SKILLS = 8
+
+
+def shown_skills(skills: Column, n: int = SHOWN_SKILLS) -> Column:
+    """The first few of a list of skills, for display."""
+    return F.slice(skills, 1, n)
 

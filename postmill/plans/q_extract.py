@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postmill.operators import extraction as e
 from postmill.plans.fixtures import FIXTURES
-from postmill.plans.registry import query
+from postmill.plans.registry import ORACLES, query
 
 c = F.col
 NL = "' || chr(10) || '"
@@ -167,10 +167,33 @@ def _(i):
     return e.row_diff(before, after, "doc_id", ["source", "flag"]).select("doc_id", c("patch")["source"].alias("source"), c("patch")["flag"].alias("flag"))
 
 
-@query("enrichment_report")
+CHAT = "source NOT IN ('hh_kz', 'kaspi_jobs', 'kolesa_jobs')"
+COVERED = "round(100.0 * count(*) FILTER (WHERE coalesce(trim(lower({x})), '') NOT IN ('', 'unknown', 'nan', 'none', 'null', '[]')) / count(*), 2)"
+PARSED = [f for f in PREFILL_EXPECTED if not f.startswith("experience")]
+
+
+@query("enrichment_report", f"""
+WITH r AS (SELECT id, company, city, conflicts FROM ({ORACLES['reconcile_fields']})),
+mm AS (SELECT id, company, city, llm_merge_status AS status FROM ({ORACLES['merge_if_missing']})),
+a AS (SELECT mm.*, ads.source, r.company AS r_company, r.city AS r_city, r.conflicts FROM mm JOIN r USING (id) JOIN chat_ads ads USING (id)),
+p AS (SELECT {', '.join(f"{PREFILL_EXPECTED[f]} AS {f}" for f in PARSED)} FROM chat_ads WHERE {WHOLE} AND {CHAT})
+""" + " UNION ALL ".join([
+    *[f"SELECT 'coverage_before' AS section, '{x}' AS measure, {COVERED.format(x=y)}::DOUBLE AS value FROM postings" for x, y in (("company", "company_clean"), ("city", "city_norm"))],
+    *[f"SELECT 'coverage_after', '{x}', {COVERED.format(x=x)}::DOUBLE FROM a" for x in ("company", "city")],
+    "SELECT 'status', status, count(*)::DOUBLE FROM a GROUP BY 2",
+    "SELECT 'processed_per_source', source, count(*)::DOUBLE FROM a GROUP BY 2",
+    "SELECT 'merged_per_source', source, count(*)::DOUBLE FROM a WHERE status <> 'no_missing_targets' GROUP BY 2",
+    "SELECT 'conflicts', f, count(*)::DOUBLE FROM (SELECT unnest(string_split(conflicts, ',')) AS f FROM a WHERE conflicts <> '') GROUP BY 2",
+    "SELECT 'failure', 'share', 0.0::DOUBLE", "SELECT 'failure', 'alarm', 0.0::DOUBLE",
+    *[f"SELECT 'parser_hits', '{f}', round(100.0 * count({f}) / count(*), 6)::DOUBLE FROM p" for f in PARSED],
+    *[f"SELECT 'final_hits', '{x}', round(100.0 * count(r_{x}) FILTER (WHERE r_{x} <> 'unknown') / count(*), 6)::DOUBLE FROM a" for x in ("company", "city")],
+]))
 def _(i):
-    """Checked through its parts (coverage, statuses, conflicts) in the other queries and on fixed rows in the tests."""
     before = i.sql("SELECT id, company_clean AS company, city_norm AS city FROM postings")
-    after = merged(i).join(reconciled(i).select("id", "conflict_flags"), "id")
-    return e.enrichment_report(before, after, ["company", "city"])
-
+    after = merged(i).join(reconciled(i).select("id", "conflict_flags", "prefill", "final_values"), "id")
+    chat = ~c("source").isin("hh_kz", "kaspi_jobs", "kolesa_jobs")
+    filled = lambda x: x.isNotNull() & (x != "unknown")
+    out = e.enrichment_report(before, after, ["company", "city"], hits={
+        "parser_hits": (chat, {f: c("prefill")[f]["confidence"] != "missing" for f in PARSED}),
+        "final_hits": (F.lit(True), {x: filled(c("final_values")[x]) for x in ("company", "city")})})
+    return out.select("section", "measure", F.when(c("section").startswith("coverage"), F.round("value", 2)).otherwise(F.round("value", 6)).alias("value"))

@@ -148,7 +148,7 @@ def _(i):
 
 @query("fallback_token_skills", r"""
 SELECT doc_id, len(f) AS n_items, md5(array_to_string(f, '|')) AS items_md5 FROM (
-  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,;/\n]'), lambda x: trim(regexp_replace(x, '[\s\x{a0}]+', ' ', 'g'))), lambda x: x <> '')[1:20] AS f FROM documents)""")
+  SELECT doc_id, list_filter(list_transform(regexp_split_to_array(text, '[,;/\n]'), lambda x: trim(regexp_replace(x, '[\s\x{a0}]+', ' ', 'g'))), lambda x: x <> '') AS f FROM documents)""")
 def _(i):
     out = i.table("documents").select("doc_id", m.token_skills(c("text")).alias("f"))
     return out.select("doc_id", F.size("f").cast("long").alias("n_items"), F.md5(F.array_join("f", "|")).alias("items_md5"))

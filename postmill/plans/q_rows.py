@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from postmill.operators import curate, rows
 from postmill.operators.analytics import city_bucket
-from postmill.operators.spread import flag_repeats, head_per_key, keep_first
+from postmill.operators.spread import flag_repeats, head_per_key, keep_first, number_rows
 from postmill.plans.fixtures import FIXTURES
 from postmill.plans.registry import query
 
@@ -279,13 +279,14 @@ def _(i):
 
 
 @query("sort_multi_nulls_last", """
-SELECT id, experience_min, salary_avg_clean, n_skills FROM postings LEFT JOIN (SELECT id, count(*) AS n_skills FROM posting_skills GROUP BY 1) USING (id)
-ORDER BY experience_min DESC NULLS LAST, salary_avg_clean DESC NULLS LAST, n_skills DESC NULLS LAST, id LIMIT 100""")
+SELECT id, experience_min, salary_avg_clean, n_skills, row_number() OVER (ORDER BY experience_min DESC NULLS LAST, salary_avg_clean DESC NULLS LAST, n_skills DESC NULLS LAST, id) - 1 AS place
+FROM postings LEFT JOIN (SELECT id, count(*) AS n_skills FROM posting_skills GROUP BY 1) USING (id)""")
 def _(i):
+    """The whole table in order, each row with its place."""
     counts = i.sql("SELECT id, count(*) AS n_skills FROM posting_skills GROUP BY id")
     both = i.sql("SELECT id, experience_min, salary_avg_clean FROM postings").join(counts, "id", "left")
     order = [c(x).desc_nulls_last() for x in ("experience_min", "salary_avg_clean", "n_skills")]
-    return both.orderBy(*order, F.asc("id")).limit(100)
+    return number_rows(both, [*order, F.asc("id")], "place")
 
 
 @query("union_all_sources", """

@@ -193,3 +193,22 @@ def test_curate_whole(spark):
     assert got["a"]["skills_all_clean"] == ["SQL", "PostgreSQL"] and got["a"]["salary_avg_clean"] == 150000.0
     assert got["c"]["header_parse_pattern"] == "title_comma_company" and got["c"]["company_clean"] == "Zeta"
     assert got["c"]["category_filled"] == "qa"
+
+
+def test_all_missing_skills_are_kept(spark):
+    posts = spark.createDataFrame([(1, 100.0)], "id long, salary_avg_clean double")
+    skills = spark.createDataFrame([(1, f"s{n:02}") for n in range(14)], "id long, skill string")
+    mine = spark.createDataFrame([(7, "s03")], "cand_id long, skill string")
+    got = matching.match(spark.createDataFrame([(7,)], "cand_id long"), mine, posts, skills, 3).select("*", matching.shown_skills(F.col("missing_skills")).alias("shown")).first()
+    assert len(got["missing_skills"]) == 13 and len(got["shown"]) == 8
+
+
+def test_report_shares_and_alarm(spark):
+    schema = "id string, city string, llm_merge_status string, source string, conflict_flags array<string>, hit boolean"
+    after = spark.createDataFrame([("a", "x", "failed", "s", [], True), ("b", "x", "failed", "t", [], None), ("c", "x", "auto_merged", "t", [], True)], schema)
+    hits = {"h": (F.col("source") == "t", {"f": F.coalesce(F.col("hit"), F.lit(False))}), "none": (F.col("source") == "z", {"f": F.lit(True)})}
+    got = {(r["section"], r["measure"]): r["value"] for r in extraction.enrichment_report(after, after, ["city"], hits=hits).collect()}
+    assert got["h", "f"] == 50 and got["none", "f"] == 0 and got["failure", "alarm"] == 1
+    assert got["failed_per_source", "s"] == got["failed_per_source", "t"] == got["merged_per_source", "t"] == 1 and ("merged_per_source", "s") not in got
+    empty = {(r["section"], r["measure"]): r["value"] for r in extraction.enrichment_report(after, after.limit(0), ["city"]).collect()}
+    assert empty["failure", "alarm"] == 1
