@@ -64,15 +64,19 @@ def _(i):
     return tables.tag_channels(chat, tables.channel_registry(i.spark), tables.channel_of_file(c("file"))).drop("file")
 
 
-@query("scan_encoding_fallback", "SELECT doc_id, md5('Вакансия №' || doc_id || ' ' || source) AS body_md5 FROM documents")
+@query("scan_encoding_fallback", r"""
+SELECT doc_id, md5('Вакансия №' || doc_id || ' ' || source || ' ' || regexp_replace(coalesce(text, ''), '[^\x01-\x7F]', '', 'g')) AS body_md5 FROM documents""")
 def _(i):
-    """The same text as UTF-8, as UTF-8 with a byte order mark and as windows-1251 bytes, decoded back."""
-    df = i.sql("SELECT doc_id, 'Вакансия №' || doc_id || ' ' || source AS body FROM documents").withColumn(
-        "content",
-        F.when(c("doc_id") % 3 == 0, F.encode("body", "UTF-8"))
-        .when(c("doc_id") % 3 == 1, F.encode(F.concat(F.lit("\uFEFF"), c("body")), "UTF-8"))
-        .otherwise(tables.encode_cyrillic(c("body"))))
-    return tables.decode_text(i.spark, df, "content", "decoded").select("doc_id", F.md5("decoded").alias("body_md5"))
+    """The documents are written as CSV in UTF-8, in UTF-8 with a byte order mark and in windows-1251, and scanned together."""
+    folder = tables.scratch_path(i.spark, "charsets")
+    body = F.concat(F.lit("Вакансия №"), c("doc_id").cast("string"), F.lit(" "), c("source"), F.lit(" "), F.regexp_replace(F.coalesce("text", F.lit("")), r"[^\x01-\x7F]", ""))
+    df = i.table("documents").select("doc_id", body.alias("body"))
+    save = lambda part, name, charset: part.write.option("header", True).option("escape", '"').option("encoding", charset).csv(f"{folder}/{name}")
+    save(df.where("doc_id % 3 = 0"), "plain", "UTF-8")
+    save(df.where("doc_id % 3 = 1").withColumnRenamed("doc_id", "\uFEFFdoc_id"), "marked", "UTF-8")
+    save(df.where("doc_id % 3 = 2").withColumn("body", tables.as_latin(c("body"))), "cyrillic", "ISO-8859-1")
+    found = tables.scan_any_charset(i.spark, f"{folder}/*/*.csv", "doc_id long, body string")
+    return found.select("doc_id", F.md5("body").alias("body_md5"))
 
 
 @query("raw_landing", "SELECT event_id, user_id, event_type, value, props, 'events.parquet' AS _source_file, true AS has_time FROM events")

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -85,9 +85,14 @@ def decode_cyrillic(content: Column) -> Column:
     return F.translate(F.decode(content, "ISO-8859-1"), _LATIN, _CYRILLIC)
 
 
+def as_latin(text: Column) -> Column:
+    """Text of windows-1251's characters → the text whose Latin-1 bytes are its windows-1251 bytes."""
+    return F.translate(text, _CYRILLIC, _LATIN)
+
+
 def encode_cyrillic(text: Column) -> Column:
     """Text → windows-1251 bytes, for texts of its characters."""
-    return F.encode(F.translate(text, _CYRILLIC, _LATIN), "ISO-8859-1")
+    return F.encode(as_latin(text), "ISO-8859-1")
 
 
 def decode_text(spark: SparkSession, df: DataFrame, content: str, out: str) -> DataFrame:
@@ -98,14 +103,38 @@ def decode_text(spark: SparkSession, df: DataFrame, content: str, out: str) -> D
 
 
 def scan_any_charset(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
-    """CSV files of unknown charset: decoded file by file, rewritten once as UTF-8, then scanned.
+    """CSV files with a header, each of unknown charset: UTF-8 (with or without a byte order mark) where the whole file is valid, else windows-1251.
 
-    Only the decode step is per file; the scan that follows splits as usual.
+    Files are read in byte ranges cut at line ends, so a file is the work of many tasks, whatever its size. One pass settles the charset
+    of each file. A quoted value may hold line ends: whether a line begins inside quotes follows from the number of quotes before it, which
+    is summed by range first. Lines that are a record are parsed where they are; only those of longer records meet. Columns follow the schema by
+    position; empty lines are no records; a quote inside a value is doubled.
     """
-    files = spark.read.format("binaryFile").load(path)
-    target = scratch_path(spark, "utf8")
-    decode_text(spark, files, "content", "value").select("value").write.text(target)
-    return read_csv(spark, [target], schema)
+    at = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    raw = spark.read.option("lineSep", "\n").text(path).select(at.alias("at"), F.col("value").cast("binary").alias("bytes"), F.monotonically_increasing_id().alias("no"))
+    valid = raw.groupBy(F.col("at.file").alias("file")).agg(F.bool_and(F.is_valid_utf8(F.col("bytes").cast("string"))).alias("utf8"))
+    # A row per file; which way it joins is left to its measured size.
+    lines = raw.join(valid, F.col("at.file") == F.col("file")).select(
+        "at", "no", F.when(F.col("utf8"), F.col("bytes").cast("string")).otherwise(decode_cyrillic(F.col("bytes"))).alias("line"))
+    quotes = F.regexp_count("line", F.lit('"')).cast("long")
+    ranges = lines.groupBy("at").agg(F.sum(quotes).alias("n"))
+    earlier = Window.partitionBy("at.file").orderBy("at.start").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.select(F.col("at").alias("range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    here = Window.partitionBy("at").orderBy("no").rowsBetween(Window.unboundedPreceding, -1)
+    opened = lines.join(ranges, F.col("at") == F.col("range")).withColumn("seen", F.col("before") + F.coalesce(F.sum(quotes).over(here), F.lit(0)))
+    placed = opened.select("at", "no", "line", (F.col("seen") % 2 == 0).alias("begins"), ((F.col("seen") + quotes) % 2 == 0).alias("ends"))
+
+    # Records are numbered within their file: those that begin in earlier ranges, and in this one up to the line.
+    begun = placed.groupBy("at").agg(F.count_if("begins").alias("n"))
+    begun = begun.select(F.col("at").alias("range"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    so_far = Window.partitionBy("at").orderBy("no").rowsBetween(Window.unboundedPreceding, 0)
+    numbered = placed.join(begun, F.col("at") == F.col("range")).withColumn("record", F.col("before") + F.sum(F.col("begins").cast("long")).over(so_far))
+    single = numbered.where("begins AND ends").select(F.col("at.file").alias("file"), "record", F.col("line").alias("text"))
+    parts = numbered.where("NOT (begins AND ends)").groupBy(F.col("at.file").alias("file"), "record").agg(F.sort_array(F.collect_list(F.struct("at.start", "no", "line"))).alias("p"))
+    several = parts.select("file", "record", F.array_join(F.transform("p", lambda x: x["line"]), "\n").alias("text"))
+    records = single.union(several).where("record > 1").select(F.regexp_replace("text", "\r$", "").alias("text")).where("text <> ''")
+    wanted = schema if isinstance(schema, str) else ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+    return records.select(F.from_csv("text", F.lit(wanted), {"escape": '"', "multiLine": "true", "maxCharsPerColumn": "-1"}).alias("r")).select("r.*")
 
 
 def land(df: DataFrame, source_file: Column, inserted_at: Column) -> DataFrame:
