@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +21,11 @@ LINK = 85
 HASHES, TREES = 64, 16
 #: Values that a region shares: the first depth for all, the further ones for regions of more than REGION sets.
 DEPTHS, REGION = (4, 8, 16, 64), 256
-#: Neighbours in a sorted region with which a set is compared, and the share of equal values from which a pair is confirmed.
-REACH, LIKELY, CERTAIN = 24, 0.62, 0.97
+#: Neighbours in a sorted region with which a set is compared; how far below the wanted similarity the share of equal values may lie for a
+#: pair to be confirmed (five standard deviations of it), and the share from which two sets are taken to be linked with a third alike.
+REACH, BELOW, CERTAIN = 24, 0.23, 0.97
+#: Sets of a block, where a region is compared as a whole.
+BLOCK = 2048
 #: The same for parts of a crowded region, where a set has a common neighbour and as many others in each tree.
 CROWDED_REACH = 3
 
@@ -54,6 +58,11 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
+def set_key(s: np.ndarray) -> bytes | None:
+    """128 bits of a set's hashes; None for the empty set."""
+    return np.array([mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64).tobytes() if len(s) else None
+
+
 def _signed(batches):
     for batch in batches:
         data, at = bytes_of(batch.column("text"))
@@ -63,13 +72,8 @@ def _signed(batches):
             sig = iter(signatures(some)) if some else iter(())
             keys, sigs = [], []
             for s in sets:
-                if len(s):
-                    sums = np.array([mix(s).sum(), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum()], np.uint64)
-                    keys.append(sums.tobytes())
-                    sigs.append(next(sig).tobytes())
-                else:
-                    keys.append(None)
-                    sigs.append(None)
+                keys.append(set_key(s))
+                sigs.append(next(sig).tobytes() if len(s) else None)
             yield pa.record_batch([batch.column("doc_id")[i:j], pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n_shingles", "set_key", "sig"])
 
 
@@ -108,10 +112,10 @@ def rolled_rows(values: np.ndarray, tree: np.ndarray, depth: int) -> np.ndarray:
     return out
 
 
-def _likely(sig_a: np.ndarray, sig_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+def _likely(sig_a: np.ndarray, sig_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, link: int) -> np.ndarray:
     """Share of equal values of pairs; 0 where the sets' sizes rule a link out."""
     share = (sig_a == sig_b).mean(1)
-    return np.where(100 * np.minimum(n_a, n_b) >= LINK * np.maximum(n_a, n_b), share, 0.0)
+    return np.where(100 * np.minimum(n_a, n_b) >= link * np.maximum(n_a, n_b), share, 0.0)
 
 
 def _by_region(pairs: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
@@ -135,7 +139,8 @@ def _by_region(pairs: Callable[[pa.Table], Iterator[pa.RecordBatch]]):
     return run
 
 
-def _pairs(rows: pa.Table):
+def _pairs(rows: pa.Table, link: int):
+    likely = link / 100 - BELOW
     region, tree, node, n, salt = (rows.column(c).to_numpy() for c in ("region", "tree", "node", "n", "salt"))
     sig = _matrix(rows.column("sig"))
     front = np.ascontiguousarray(_turned(sig, tree.astype(np.int64), 8)[:, ::-1]).view(np.uint64)
@@ -146,15 +151,15 @@ def _pairs(rows: pa.Table):
     # The region's smallest set is a hub: pairs with it mostly connect the rest, and recur in other trees.
     by_node = np.lexsort((node, group))
     hub = by_node[heads][group]
-    to_hub = _likely(sig, sig[hub], n, n[hub])
-    star = np.flatnonzero((hub != np.arange(len(hub))) & (to_hub >= LIKELY))
+    to_hub = _likely(sig, sig[hub], n, n[hub], link)
+    star = np.flatnonzero((hub != np.arange(len(hub))) & (to_hub >= likely))
     out = [(star, hub[star], np.zeros(len(star), np.int32))]
     for lag in range(1, REACH + 1):
         i = np.flatnonzero((region[lag:] == region[:-lag]) & ((salt[lag:] == 0) | (lag <= CROWDED_REACH)))
         if not len(i):
             break
         i = i[~((to_hub[i] >= CERTAIN) & (to_hub[i + lag] >= CERTAIN))]
-        i = i[_likely(sig[i], sig[i + lag], n[i], n[i + lag]) >= LIKELY]
+        i = i[_likely(sig[i], sig[i + lag], n[i], n[i + lag], link) >= likely]
         i = i[(hub[i] != i) & (hub[i] != i + lag)]
         out.append((i, i + lag, np.ones(len(i), np.int32)))
     i, j, kind = (np.concatenate(c) for c in zip(*out, strict=True))
@@ -165,28 +170,80 @@ def _pairs(rows: pa.Table):
         yield pa.record_batch({"chunk": chunk[some], "a": a[some], "b": b[some], "kind": kind[some]})
 
 
-def _across(rows: pa.Table):
-    """Pairs of likely links between unlike components in each region: all its sets, or those of two blocks with each other."""
-    region, node, n, component, side, block = (rows.column(c).to_numpy() for c in ("region", "node", "n", "component", "side", "block"))
-    sig = _matrix(rows.column("sig"))
-    order = np.lexsort((node, region))
-    region, node, n, component, side, block, sig = (x[order] for x in (region, node, n, component, side, block, sig))
-    heads = np.flatnonzero(np.append(True, region[1:] != region[:-1]))
-    for lo, hi in zip(heads.tolist(), np.append(heads[1:], len(region)).tolist(), strict=True):
-        apart = block[lo] >= 0
-        left = np.flatnonzero(side[lo:hi] == 0) + lo if apart else np.arange(lo, hi)
-        right = np.flatnonzero(side[lo:hi] == 1) + lo if apart else left
+class _Cell:
+    """Sets of a region, or of two of its blocks, and the likely links between those of them that are in unlike components.
+
+    A pair counts in the first tree in which its ends share a region, so no two cells look at one pair.
+    """
+
+    def __init__(self, rows: pa.Table, link: int):
+        order = np.argsort(rows.column("node").to_numpy(), kind="stable")
+        self.rows, self.link = rows.take(pa.array(order)), link
+        self.node, self.n, self.component, side, block, tree = (self.rows.column(c).to_numpy() for c in ("node", "n", "component", "side", "block", "tree"))
+        self.component, self.tree, self.sig = self.component.copy(), int(tree[0]), _matrix(self.rows.column("sig"))
+        self.apart = block[0] >= 0
+        self.left = np.flatnonzero(side == 0) if self.apart else np.arange(len(self.node))
+        self.right = np.flatnonzero(side == 1) if self.apart else self.left
+
+    def partners(self, k: int) -> np.ndarray:
+        """Sets that the left set number ``k`` is likely linked with, the most likely first; those of its component are left out."""
+        i, j = self.left[k], self.right if self.apart else self.right[k + 1 :]
+        j = j[self.component[j] != self.component[i]]
+        j = j[100 * np.minimum(self.n[j], self.n[i]) >= self.link * np.maximum(self.n[j], self.n[i])]
+        same = self.sig[j] == self.sig[i]
+        share = same.mean(1)
+        near = share >= self.link / 100 - BELOW
+        j, same, share = j[near], same[near], share[near]
+        shared = same.reshape(len(j), TREES, HASHES // TREES)[:, :, : DEPTHS[0]].all(2)
+        first = np.argmax(shared, 1) == self.tree
+        return j[first][np.argsort(-share[first], kind="stable")]
+
+
+def _cells_of(rows: pa.Table, link: int) -> Iterator[_Cell]:
+    order = np.argsort(rows.column("region").to_numpy(), kind="stable")
+    rows = rows.take(pa.array(order))
+    region = rows.column("region").to_numpy()
+    cuts = [0, *(np.flatnonzero(region[1:] != region[:-1]) + 1).tolist(), len(region)]
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        yield _Cell(rows.slice(lo, hi - lo), link)
+
+
+def _asked(rows: pa.Table, link: int):
+    """The rows of each cell that have a likely link with an unlike component there."""
+    for cell in _cells_of(rows, link):
+        some = np.zeros(len(cell.node), bool)
+        for k in range(len(cell.left)):
+            j = cell.partners(k)
+            some[j] = True
+            some[cell.left[k]] |= len(j) > 0
+        if some.any():
+            yield from cell.rows.filter(pa.array(some)).combine_chunks().to_batches()
+
+
+def _joined(rows: pa.Table, link: int):
+    """Links that the full sets confirm and that join components: no more of them than sets."""
+    for cell in _cells_of(rows, link):
+        packed = cell.rows.column("packed")
+        sets = [np.frombuffer(packed[k].as_py(), np.uint64) for k in range(len(cell.node))]
         a, b = [], []
-        for k, i in enumerate(left.tolist()):
-            j = right if apart else right[k + 1 :]
-            j = j[component[j] != component[i]]
-            j = j[100 * np.minimum(n[j], n[i]) >= LINK * np.maximum(n[j], n[i])]
-            j = j[(sig[j] == sig[i]).mean(1) >= LIKELY]
-            a.append(np.maximum(node[j], node[i]))
-            b.append(np.minimum(node[j], node[i]))
-        if sum(map(len, a)):
-            a, b = np.concatenate(a), np.concatenate(b)
-            yield pa.record_batch({"chunk": np.full(len(a), region[lo]), "a": a, "b": b, "kind": np.ones(len(a), np.int32)})
+        for k in range(len(cell.left)):
+            i = int(cell.left[k])
+            for j in cell.partners(k).tolist():
+                if cell.component[j] != cell.component[i] and linked(sets[i], sets[j], link):
+                    cell.component[cell.component == cell.component[j]] = cell.component[i]
+                    a.append(max(cell.node[i], cell.node[j]))
+                    b.append(min(cell.node[i], cell.node[j]))
+        if a:
+            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _keyed_sets(batches):
+    """Key and set of each text."""
+    for batch in batches:
+        data, at = bytes_of(batch.column("text"))
+        for i, j in pieces(at):
+            sets = list(shingle_sets(data[at[i] : at[j]], at[i : j + 1] - at[i]))
+            yield pa.record_batch([batch.column("doc_id")[i:j], pa.array([set_key(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "set_key", "packed"])
 
 
 def _sets(batches):
@@ -199,15 +256,15 @@ def _sets(batches):
             yield pa.record_batch([batch.column("chunk")[i:j], batch.column("doc_id")[i:j], none, pa.array([-1] * (j - i), pa.int32()), pa.array(packed, pa.binary())], names=["chunk", "a", "b", "kind", "packed"])
 
 
-def linked(x: np.ndarray, y: np.ndarray) -> bool:
+def linked(x: np.ndarray, y: np.ndarray, link: int = LINK) -> bool:
     """Whether two sets of distinct sorted hashes are linked."""
     both = np.concatenate([x, y])
     both.sort(kind="stable")
     shared = int((both[1:] == both[:-1]).sum())
-    return 100 * shared >= LINK * (len(x) + len(y) - shared)
+    return 100 * shared >= link * (len(x) + len(y) - shared)
 
 
-def _confirmed(batches):
+def _confirmed(batches, link: int):
     """Links that the full sets confirm; rows come sorted by chunk, a chunk's sets first.
 
     Pairs whose ends are already connected in their chunk need no look: they change no component.
@@ -229,37 +286,40 @@ def _confirmed(batches):
                 sets.setdefault(x, []).append(np.frombuffer(packed, np.uint64))
                 continue
             p, q = root(x), root(y)
-            if p != q and any(linked(s, t) for s in sets.get(x, ()) for t in sets.get(y, ())):
+            if p != q and any(linked(s, t, link) for s in sets.get(x, ()) for t in sets.get(y, ())):
                 parent[max(p, q)] = min(p, q)
                 a.append(x)
                 b.append(y)
         yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _links(rows: DataFrame, edges: DataFrame) -> DataFrame:
+def _links(rows: DataFrame, edges: DataFrame, link: int) -> DataFrame:
     """Those of the pairs ``edges`` that the full sets confirm."""
     compared = edges.select("chunk", F.col("a").alias("doc_id")).union(edges.select("chunk", "b")).distinct()
     sets = rows.join(compared, "doc_id").select("chunk", "doc_id", "text").mapInArrow(_sets, EDGES + ", packed binary")
     met = sets.union(edges.withColumn("packed", F.lit(None).cast("binary")))
-    return met.repartition("chunk").sortWithinPartitions("chunk", "kind", "a", "b").mapInArrow(_confirmed, "a long, b long")
+    return met.repartition("chunk").sortWithinPartitions("chunk", "kind", "a", "b").mapInArrow(partial(_confirmed, link=link), "a long, b long")
+
+
+CELLS = "region long, tree int, node long, component long, side int, block int, n long, set_key binary, sig binary"
 
 
 def _cells(rows: DataFrame) -> DataFrame:
-    """Rows of regions, those of more than REGION sets once for each cell of two blocks; every two sets of a region share a cell."""
-    blocks = F.ceil(F.col("size") / REGION).cast("int")
+    """Rows of regions, those of more than BLOCK sets once for each cell of two blocks; every two sets of a region share a cell."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("node"), blocks).cast("int")
     cell = F.explode(F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(mine, k).alias("p"), F.greatest(mine, k).alias("q"))))
     dealt = rows.withColumn("mine", mine).withColumn("cell", cell)
-    region = F.when(F.col("size") <= REGION, F.col("region")).otherwise(F.xxhash64("region", "cell"))
+    region = F.when(F.col("size") <= BLOCK, F.col("region")).otherwise(F.xxhash64("region", "cell"))
     block = F.when(F.col("cell.p") == F.col("cell.q"), -1).otherwise(F.col("mine"))
-    return dealt.select(region.alias("region"), "node", "component", (F.col("mine") == F.col("cell.q")).cast("int").alias("side"), block.alias("block"))
+    return dealt.select(region.alias("region"), "tree", "node", "component", (F.col("mine") == F.col("cell.q")).cast("int").alias("side"), block.alias("block"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", link: int = LINK) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of ``docs``.
 
     A text's set are its distinct shingles of five lower-cased words (all words, if fewer); texts without words have none and are
-    linked with nothing. Two documents are linked if their sets' similarity is 0.85 or more, which full sets confirm.
+    linked with nothing. Two documents are linked if their sets' similarity is ``link`` percent or more, which full sets confirm.
     component_id is the smallest id that can be reached, kept whether that is the row's own. Rows with one id are one document for
     the links, whatever their texts. A row without id is linked with nothing, has no component, and is kept. Other columns
     are not read. An empty table gives an empty result.
@@ -268,9 +328,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     agree in the first four values of an order form a region; regions of more than REGION nodes are split by more values, in
     the end by a hash, and keep their smallest node as a common neighbour. Within a region, in sorted order, a node is compared with
     its REACH next ones. After these links, all nodes of a region of depth 4 that are in unlike components are compared, whatever its
-    size: a large one in cells of two blocks of about REGION nodes. A pair of similarity s shares a region of depth 4 with probability 1 - (1 - s^4)^16,
-    which at 0.85 is 0.999993. Pairs whose signatures agree in 62 % are confirmed on the full sets, which meet in chunks
-    named after the regions' smallest nodes, so that a group's sets are sent together.
+    size: a large one in cells of two blocks of about BLOCK nodes. A pair of similarity s shares a region of depth 4 with probability 1 - (1 - s^4)^16,
+    which is 0.999993 at 0.85 and 0.9998 at 0.8. Pairs whose signatures agree in all but BELOW of ``link`` are confirmed on the full sets, which meet in
+    chunks named after the regions' smallest nodes, so that a group's sets are sent together. What is left of large regions is confirmed in the
+    cells: nodes without a likely partner in another component go first, then the others' sets come, and a cell puts out only links
+    that join components. So the rows of every step grow with the sets, but for the copies of a region's signatures, one for each BLOCK of its nodes.
     """
     spark = docs.sparkSession
     ensure_checkpoint_dir(spark)
@@ -278,7 +340,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = rows.mapInArrow(_signed, SIGNED).checkpoint()
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = real.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    nodes = classes.select("node", "n", "sig").checkpoint()
+    nodes = classes.select("node", "n", "sig", "set_key").checkpoint()
 
     part = nodes.select("node", "sig").mapInArrow(_regions(DEPTHS[0]), "region long, tree int, node long")
     groups, hubs, whole, salt = None, None, None, F.lit(0).cast("long")
@@ -301,23 +363,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             groups = groups.union(large.select(F.xxhash64("region", chunk).alias("region"), "tree", "node", salt.alias("salt")))
             break
         deeper = DEPTHS[DEPTHS.index(depth) + 1]
-        part = large.select("tree", "node").join(nodes, "node").select("node", "tree", "sig").mapInArrow(_regions(deeper), "region long, tree int, node long")
+        part = large.select("tree", "node").join(nodes.drop("set_key"), "node").select("node", "tree", "sig").mapInArrow(_regions(deeper), "region long, tree int, node long")
     full = groups.join(nodes, "node").select("region", "tree", "node", "n", "salt", "sig")
-    edges = full.repartition("region").sortWithinPartitions("region").mapInArrow(_by_region(_pairs), EDGES)
+    edges = full.repartition("region").sortWithinPartitions("region").mapInArrow(_by_region(partial(_pairs, link=link)), EDGES)
     if hubs is not None:
         edges = edges.union(hubs)
     edges = edges.groupBy("chunk", "a", "b").agg(F.min("kind").alias("kind")).checkpoint()
 
-    links = _links(rows, edges).checkpoint()
+    links = _links(rows, edges, link).checkpoint()
     # What the orders and splits above left apart: pairs of unlike components in the regions of the first depth, all of them.
     found = connected_components(links)
     labelled = whole.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     mixed = labelled.groupBy("region").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("region")
-    cells = _cells(labelled.join(mixed, "region"))
-    full = cells.join(nodes, "node").select("region", "node", "n", "component", "side", "block", "sig")
-    further = full.repartition("region").sortWithinPartitions("region").mapInArrow(_by_region(_across), EDGES)
-    further = further.groupBy("a", "b").agg(F.min("chunk").alias("chunk"), F.min("kind").alias("kind")).select("chunk", "a", "b", "kind").checkpoint()
-    links = links.union(_links(rows, further))
+    cells = _cells(labelled.join(mixed, "region")).join(nodes, "node").select(*[c.split()[0] for c in CELLS.split(", ")])
+    asked = cells.repartition("region").sortWithinPartitions("region").mapInArrow(_by_region(partial(_asked, link=link)), CELLS).checkpoint()
+    compared = rows.join(asked.select(F.col("node").alias("doc_id")).distinct(), "doc_id").select("doc_id", "text")
+    sets = compared.mapInArrow(_keyed_sets, "node long, set_key binary, packed binary").dropDuplicates(["node", "set_key"])
+    full = asked.join(sets, ["node", "set_key"])
+    links = links.union(full.repartition("region").sortWithinPartitions("region").mapInArrow(_by_region(partial(_joined, link=link)), "a long, b long"))
 
     # Documents of equal sets are linked to the smallest of them.
     same = real.join(classes.select("set_key", "node"), "set_key").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))
