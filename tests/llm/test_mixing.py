@@ -41,6 +41,21 @@ def test_targets_and_limits(spark, rows):
         assert abs(part.taken.sum() - part.target.iloc[0]) <= part["size"].max()
 
 
+def test_targets_with_null_and_repeated_ids(spark, rng, monkeypatch):
+    """A third of all ids null, one id on many texts, and one row many times: each source still misses its target by less than a document."""
+    rows = [(None if n % 3 == 0 else 77 if n % 3 == 1 and n < 1500 else n, prose(rng, rng.choice([3, 20, 60])), rng.choice("abcd"), "x") for n in range(3000)]
+    rows += [(5000, "one row " * 6, "a", "x")] * 700 + [(None, "again and again", "b", "x")] * 500
+    got = mix_sources(spark.createDataFrame(rows, SCHEMA).repartition(7))
+    for _, part in got.toPandas().groupby(["target", "source_size"]):
+        assert abs(part.taken.sum() - part.target.iloc[0]) < 60
+        assert (part.taken <= 3 * part["size"]).all()
+    want = sorted(map(tuple, got.collect()), key=str)
+    assert want == by_sql(spark, rows)
+    from postmill.llm import mixing
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 1)
+    assert mixed(spark, rows) == want
+
+
 @pytest.mark.parametrize("rows_", [[], [(1, None, None, "x")], [(1, "a b", "s", "x")], [(1, "", "s", "x"), (2, "a " * 50, "t", "x")]])
 def test_small(spark, rows_):
     assert mixed(spark, rows_) == by_sql(spark, rows_)
