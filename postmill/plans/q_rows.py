@@ -4,9 +4,11 @@ from pyspark.sql import functions as F
 
 from postmill.operators import curate, rows
 from postmill.operators.analytics import city_bucket
+from postmill.operators.listing import write_listing
 from postmill.operators.spread import flag_repeats, head_per_key, keep_first, number_rows
 from postmill.plans.fixtures import FIXTURES
 from postmill.plans.registry import query
+from postmill.sources.tables import scratch_path
 
 c = F.col
 MISSING = "('', 'unknown', 'none', 'null', 'nan', 'n/a', 'na')"
@@ -125,8 +127,21 @@ WITH f AS (SELECT id, title_final, company_clean, salary_avg_clean FROM postings
 SELECT *, (SELECT count(*) FROM f) AS total, CAST(greatest(ceil((SELECT count(*) FROM f) / 12.0), 1) AS BIGINT) AS pages
 FROM f ORDER BY id LIMIT 12 OFFSET 24""")
 def _(i):
-    page = rows.list_jobs(i.view("postings"), 3, 12, "id", category="data", level="junior")
-    return page.select("id", "title_final", "company_clean", "salary_avg_clean", "total", c("pages").cast("long").alias("pages"))
+    """The page and the total come from the stored listing's index; only the folder of the page's rows is read."""
+    df = i.view("postings").where("dedup_keep_for_analytics").select("id", "title_final", "company_clean", "salary_avg_clean", "category_filled", "level_filled")
+    store = write_listing(df, scratch_path(i.spark, "listing"), ["id"], ["category", "level"])
+    return store.page({"category": ["data"], "level": ["junior"]}, 3, 12).select("id", "title_final", "company_clean", "salary_avg_clean", "total", "pages")
+
+
+@query("facet_counts", """
+WITH s AS (SELECT * FROM postings WHERE city_norm IN ('almaty', 'remote') AND quality_tier IN ('A', 'B'))
+SELECT facet, value, count(*) AS n FROM (
+  SELECT unnest(['city', 'category', 'level', 'work_format', 'quality_tier']) AS facet, unnest([city_norm, category_filled, level_filled, work_format_norm, quality_tier]) AS value FROM s)
+WHERE value <> '' GROUP BY 1, 2""")
+def _(i):
+    """Counts of every choice under a selection, from the index alone."""
+    store = write_listing(i.view("postings"), scratch_path(i.spark, "listing"), ["id"], ["city", "category", "level", "work_format", "quality_tier"])
+    return store.facet_counts({"city": ["almaty", "remote"], "quality_tier": ["A", "B"]})
 
 
 @query("analytic_slices", """
