@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.text import contains_any, let, squeeze
-from postmill.operators.spread import attach_group, head_per_key, keep_first
+from postmill.operators.spread import HOT_SHARE, SALTS, attach_group, head_per_key, keep_first
 from postmill.session import ensure_checkpoint_dir
 
 c = F.col
@@ -18,37 +18,77 @@ PROBE = 512
 
 
 def vocabulary_keys(vocab: DataFrame) -> DataFrame:
-    """(skill, key, first_word): one spelling per key, the most frequent; too short words left out."""
+    """(skill, key): one spelling per key, the most frequent; too short words, and keys without a letter or digit, left out."""
     keyed = vocab.withColumn("key", F.lower(F.trim("skill"))).filter(
-        (c("key") != "") & ((F.length("key") > 2) | c("key").isin(SHORT_SKILLS)))
-    one = keep_first(keyed, ["key"], [F.desc("n_mentions"), F.asc("skill")])
-    return one.select("skill", "key", F.regexp_extract("key", f"{WORD}+", 0).alias("word"), (~c("key").rlike(f"^{WORD}+$")).alias("compound"))
+        ((F.length("key") > 2) | c("key").isin(SHORT_SKILLS)) & c("key").rlike(WORD))
+    return keep_first(keyed, ["key"], [F.desc("n_mentions"), F.asc("skill")]).select("skill", "key")
+
+
+#: States of a vocabulary that are broadcast at most (some 100 bytes each).
+BROADCAST_STATES = 200_000
+
+
+def vocabulary_trie(vocab: DataFrame) -> DataFrame:
+    """(state, depth, more, ends): the prefixes of the vocabulary's keys, word by word, as the states of an automaton.
+
+    A state is the text of the first ``depth`` words of a key with what lies between them. ``more`` tells whether a longer state goes on
+    from it; ``ends`` are the keys that are complete there, with what stands before their first and after their last word.
+    """
+    keys = vocabulary_keys(vocab).select("skill", "key", F.regexp_extract_all("key", F.lit(f"{WORD}+"), F.lit(0)).alias("w"), F.split("key", f"{WORD}+", -1).alias("s"))
+    steps = keys.select("skill", "key", "s", F.size("w").alias("n"), F.posexplode("w").alias("at", "word"), "w")
+    inner = F.transform(F.slice("w", F.lit(2), c("at")), lambda x, k: F.concat(F.get(c("s"), k + 1), x))
+    state = F.concat(F.get(c("w"), F.lit(0)), F.array_join(inner, ""))
+    end = F.struct("skill", "key", F.get(c("s"), F.lit(0)).alias("pre"), F.get(c("s"), c("n")).alias("post"))
+    rows = steps.select(state.alias("state"), (c("at") + 1).alias("depth"), (c("at") + 1 < c("n")).alias("more"), F.when(c("at") + 1 == c("n"), end).alias("end"))
+    return rows.groupBy("state", "depth").agg(F.bool_or("more").alias("more"), F.collect_list("end").alias("ends"))
+
+
+def _reach(rows: DataFrame, states: DataFrame, small: bool, spread: str) -> DataFrame:
+    """Rows whose ``state`` the automaton has: states broadcast where their number allows it, else by a join in which frequent states are dealt by ``spread``."""
+    if small:
+        return rows.join(F.broadcast(states), "state")
+    counts = rows.groupBy("state").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.sum("n")).scalar()
+    # At most HOT_SHARE states are above that share of all rows.
+    hot = counts.filter(c("n") > total / F.lit(HOT_SHARE)).select("state", F.lit(True).alias("hot"))
+    dealt = rows.join(F.broadcast(hot), "state", "left").withColumn("salt", F.when(c("hot"), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int")).otherwise(F.lit(0)))
+    copies = states.join(F.broadcast(hot), "state", "left").withColumn("salt", F.explode(F.when(c("hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))))
+    return dealt.drop("hot").join(copies.drop("hot"), ["state", "salt"]).drop("salt")
 
 
 def find_skills(docs: DataFrame, doc_id: str, text: str, vocab: DataFrame, max_hits: int | None = None) -> DataFrame:
-    """(doc_id, skill): skills found as whole words, longest first, with their number; the first ``max_hits`` if given (40 are published).
+    """(doc_id, skill, hit_no): skills found as whole words, longest first, with their number; the first ``max_hits`` if given (40 are published).
 
-    Distinct words of a text meet the first word of each skill in an equi join.
-    A one-word skill is then found; longer ones are verified on the text, which
-    travels once per document. Frequent words are salted against a replicated
-    vocabulary, so neither side needs to fit in one task.
+    The vocabulary is an automaton in a table (``vocabulary_trie``). Every word of a text, with the few words after it, meets the first states by
+    an equi join; those that a longer key may go on from take the next word and meet the states again, once for each further word of the
+    longest key. What stands between the words must be the key's own, and a sign before or after it no part of a word. No pattern is run on
+    a hit, and no text is shuffled: with a vocabulary of up to BROADCAST_STATES states words meet it where they are, beyond it they travel by state.
     """
-    low = F.lower(c(text))
-    words = F.array_distinct(F.concat(F.array(F.lit("")), F.regexp_extract_all(low, F.lit(f"{WORD}+"), F.lit(0))))
-    salt = F.pmod(F.xxhash64(doc_id), F.lit(8)).cast("int").alias("salt")
-    tokens = docs.select(doc_id, F.explode(words).alias("word"), salt)
-    skills = vocabulary_keys(vocab).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    hits = tokens.join(skills, ["word", "salt"]).select(doc_id, "skill", "key", "compound")
-    sure = hits.filter(~c("compound"))
-    pattern = F.concat(F.lit(f"(?<!{WORD})\\Q"), c("key"), F.lit(f"\\E(?!{WORD})"))
-    checked = hits.filter("compound").join(docs.select(doc_id, low.alias("_t")), doc_id).filter(F.regexp_like("_t", pattern)).drop("_t")
-    found = sure.unionByName(checked)
-    longest = [F.desc(F.length("key")), F.asc("key")]
-    if max_hits is None:
-        ranked = found.withColumn("hit_no", F.row_number().over(Window.partitionBy(doc_id).orderBy(*longest)))
-    else:
-        ranked = head_per_key(found, [doc_id], longest, max_hits, "hit_no")
-    return ranked.select(doc_id, "skill", "hit_no")
+    spark = docs.sparkSession
+    ensure_checkpoint_dir(spark)
+    trie = vocabulary_trie(vocab).checkpoint()
+    size = trie.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("depth"), F.lit(1)).alias("depth")).first()
+    depth, small = size["depth"], size["n"] <= BROADCAST_STATES
+    low = F.lower(F.coalesce(c(text), F.lit("")))
+    split = docs.select(c(doc_id).alias("_doc"), F.regexp_extract_all(low, F.lit(f"{WORD}+"), F.lit(0)).alias("w"), F.split(low, f"{WORD}+", -1).alias("s"))
+    units = F.transform("w", lambda x, i: F.struct(
+        x.alias("state"), F.get(c("s"), i).alias("before"), (i == 0).alias("first"), F.slice("w", i + 2, F.lit(depth)).alias("nw"), F.slice("s", i + 2, F.lit(depth + 1)).alias("ns")))
+    rows = split.select("_doc", F.inline(units))
+    found = None
+    for d in range(1, depth + 1):
+        met = _reach(rows, trie.filter(c("depth") == d).drop("depth"), small, "_doc")
+        after = F.get(c("ns"), F.lit(d - 1))
+        pre, post = c("e.pre"), c("e.post")
+        ends = met.select("_doc", "before", "first", "nw", after.alias("after"), F.explode("ends").alias("e")).filter(
+            c("before").endswith(pre) & ((pre == "") | (F.length("before") > F.length(pre)) | c("first"))
+            & c("after").startswith(post) & ((post == "") | (F.length("after") > F.length(post)) | (F.size("nw") < d)))
+        ends = ends.select("_doc", F.struct((-F.length("e.key")).alias("size"), c("e.key").alias("key"), c("e.skill").alias("skill")).alias("hit"))
+        found = ends if found is None else found.unionByName(ends)
+        # On to the next word, from the states that have one.
+        rows = met.filter(c("more") & (F.size("nw") >= d)).select("_doc", F.concat("state", after, F.get(c("nw"), F.lit(d - 1))).alias("state"), "before", "first", "nw", "ns")
+    hits = F.array_sort(F.collect_set("hit"))
+    kept = found.groupBy("_doc").agg((hits if max_hits is None else F.slice(hits, 1, max_hits)).alias("hits"))
+    return kept.select(c("_doc").alias(doc_id), F.posexplode("hits").alias("at", "hit")).select(doc_id, c("hit.skill").alias("skill"), (c("at") + 1).alias("hit_no"))
 
 
 # ---- candidates and postings --------------------------------------------------------------
