@@ -1,16 +1,17 @@
 """The training-data pipeline: from ``documents`` to a clean, deduplicated, decontaminated, mixed corpus.
 
-Each stage reads what its predecessor kept, as a written table, and calls one operator of ``postmill.llm``. Ids, sources and
-languages pass through. All stages but the last return the columns they got. Stages tell rows apart by id and, where an id has
-several texts, by the text's hash, so repeated rows share their fate; rows without id are kept by the near-duplicate stage,
-and judged by their text in the others. Null texts count as empty. An empty table passes as an empty table.
+Each stage reads what its predecessor kept, as a written table, and calls one operator of ``postmill.llm``. All stages but the last
+return the columns they got, whatever others a table has and whatever their names: helpers take names that are free. The last one returns the
+mix's figures with source, lang and text. Stages tell rows apart by id and, where an id has several texts, by the text's hash, so repeated
+rows share their fate; rows without id are kept by the near-duplicate stage, and judged by their text in the others. Null texts count
+as empty. An empty table passes as an empty table. Ids that a stage drops are broadcast up to DROPPED of them, and joined beyond.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from postmill.llm import neighbour_quality
@@ -19,13 +20,36 @@ from postmill.llm.mixing import mix_sources
 from postmill.llm.queries import table
 from postmill.llm.spaced_seeds import find_leaks
 from postmill.llm.suffix_dedup import dedup_substrings
+from postmill.session import ensure_checkpoint_dir
 from postmill.sources.tables import scratch_path
 
-_VERSION = "_text_version"
+#: Similarity, in percent, from which the near-duplicate stage links documents: that of stages on word shingles.
+NEAR = 80
+#: Rows of keys that are broadcast at most (24 bytes each).
+DROPPED = 1_000_000
 
 
-def _versioned(docs: DataFrame) -> DataFrame:
-    return docs.withColumn(_VERSION, F.xxhash64(F.coalesce("text", F.lit(""))))
+def _free(docs: DataFrame, stem: str) -> str:
+    """A column name that ``docs`` does not have."""
+    have = {c.lower() for c in docs.columns}
+    while stem.lower() in have:
+        stem += "_"
+    return stem
+
+
+def _version(docs: DataFrame) -> Column:
+    """What tells the texts of one id apart."""
+    return F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+
+
+def _without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFrame:
+    """The rows of ``docs`` without those whose id and text version (any, if null) ``keys`` (id, version) name, or only them."""
+    ensure_checkpoint_dir(docs.sparkSession)
+    names = [_free(docs, "dropped_id"), _free(docs, "dropped_version")]
+    keys = keys.toDF(*names).checkpoint()
+    keys = F.broadcast(keys) if keys.count() <= DROPPED else keys
+    same = docs["doc_id"].eqNullSafe(F.col(names[0])) & (F.col(names[1]).isNull() | (F.col(names[1]) == _version(docs)))
+    return docs.join(keys, same, how)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,26 +59,29 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates; one row, where rows repeat an id and its text."""
-    dropped = near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_dropped")).distinct()
-    left = docs.join(dropped, F.col("doc_id") == F.col("_dropped"), "left_anti")
+    """The document with the smallest id of each group of near duplicates (NEAR); one row, where rows repeat an id and its text."""
+    none = F.lit(None).cast("long")
+    dropped = near_duplicates(docs, link=NEAR).where(~F.col("kept")).select("doc_id", none).distinct()
+    left = _without(docs, dropped)
     # Rows that repeat an id are copies of one document.
-    with_id = _versioned(left.where("doc_id IS NOT NULL")).dropDuplicates(["doc_id", _VERSION]).drop(_VERSION)
-    return with_id.unionByName(left.where("doc_id IS NULL"))
+    ids = left.where(left["doc_id"].isNotNull()).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", none)
+    once = _without(left, ids)
+    version = _free(docs, "text_version")
+    several = _without(left, ids, "left_semi")
+    return once.unionByName(several.withColumn(version, _version(several)).dropDuplicates(["doc_id", version]).drop(version))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without the bytes of 50-byte strings that an earlier one has; those that lose their last word go."""
-    left = dedup_substrings(docs, rewrite=True).where((F.col("_n_removed") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
-    return left.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(docs.columns)
+    removed = _free(docs, "n_removed")
+    left = dedup_substrings(docs, rewrite=True, removed_col=removed).where((F.col(removed) == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.when(F.col(removed) > 0, F.length("text")).otherwise(F.col("n_chars")).cast("long")).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that leak no benchmark item."""
-    rows = _versioned(docs)
-    leaks = find_leaks(rows, table(spark, sf_dir, "benchmark"), row=F.col(_VERSION))
-    leaking = leaks.select(F.col("doc_id").alias("_leaking"), F.col("row").alias("_row")).distinct()
-    return rows.join(leaking, F.col("_leaking").eqNullSafe(F.col("doc_id")) & (F.col("_row") == F.col(_VERSION)), "left_anti").drop(_VERSION)
+    leaks = find_leaks(docs, table(spark, sf_dir, "benchmark"), row=_version(docs))
+    return _without(docs, leaks.select("doc_id", "row").distinct())
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -61,8 +61,13 @@ def clustered(vectors: np.ndarray, k: int, rounds: int = 20) -> np.ndarray:
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str = "doc_id", text_col: str = "text", per_language: int = SAMPLE_PER_LANGUAGE, k: int = CENTROIDS) -> LanguageModel:
-    """Frequencies from every document of the folds that may be learned from, centroids from a bounded sample of each language."""
-    learn = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col)).select(F.col(text_col).alias("text"))
+    """Frequencies from every labelled document of the folds that may be learned from, centroids from a bounded sample of each language."""
+    learn = docs.where(F.col(id_col).isNotNull() & ~held_out(id_col))
+    if labels is docs:
+        learn = learn.where(F.col(label_col).isNotNull())
+    else:
+        learn = learn.join(labels.where(F.col(label_col).isNotNull()).select(F.col(id_col)).distinct(), id_col, "left_semi")
+    learn = learn.select(F.col(text_col).alias("text"))
     have, n = document_frequencies(learn, _counts, WIDTH)
     idf = inverse_frequency(have, n)
 

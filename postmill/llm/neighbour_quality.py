@@ -42,13 +42,17 @@ class QualityModel:
         return _tf_idf(counts, self.idf)
 
     def scores(self, counts: np.ndarray, k: int = NEIGHBOURS) -> np.ndarray:
-        """Share of label 1 among the ``k`` nearest voters, weighted by cosine; 0.5 without voters."""
+        """Share of label 1 among the ``k`` nearest voters, weighted by cosine; 0.5 without voters.
+
+        Cosines are taken in doubles and rounded, so they don't depend on the texts of a block; of equal ones the first voters count.
+        """
         if not len(self.voters):
             return np.full(len(counts), 0.5)
-        cosine = unit(self.weighted(counts) @ self.axes) @ self.voters.T
+        cosine = np.round(unit(self.weighted(counts).astype(np.float64) @ self.axes) @ self.voters.T.astype(np.float64), 8)
         k = min(k, len(self.voters))
-        near = np.argpartition(cosine, len(self.voters) - k, axis=1)[:, -k:]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1).astype(np.float64), 1e-6) ** 4
+        order = cosine - np.arange(len(self.voters)) * (1e-9 / len(self.voters))
+        near = np.sort(np.argpartition(order, len(self.voters) - k, axis=1)[:, -k:], axis=1)
+        weight = np.maximum(np.take_along_axis(cosine, near, 1), 1e-6) ** 4
         return np.clip((weight * self.labels[near]).sum(1) / weight.sum(1), 0.0, 1.0)
 
 
@@ -86,7 +90,8 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 
     score (0 to 1) is the cosine-weighted share of label 1 among the nearest labelled documents, from the whole text; predicted
     is 1 from a score of 0.3. A null text is empty; an empty text is scored like any other, by the neighbours of a text without
-    words. Only the text is read, so equal texts get equal scores and extra columns don't matter. Null ids are kept.
+    words. Of voters at equal cosines those with the smaller ids count. Only the text is read, so equal texts get equal scores, in
+    whatever batch they come, and extra columns don't matter. Null ids are kept.
     """
 
     def run(batches):
@@ -102,9 +107,13 @@ def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id",
 def filter_quality(docs: DataFrame, model: QualityModel, text_col: str = "text", least: float = GOOD_FROM) -> DataFrame:
     """The rows of ``docs``, with all their columns, whose text scores ``least`` or more; null texts are scored as empty."""
 
+    at = docs.columns.index(text_col)
+
     def run(batches):
         for batch in batches:
-            good = [s >= least for _, _, counts in counted(batch.column(text_col), _counts) for s in model.scores(counts)]
+            good = [s >= least for _, _, counts in counted(batch.column(at), _counts) for s in model.scores(counts)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    # Columns travel under numbers, as names may hold anything.
+    numbered = docs.toDF(*[f"c{n}" for n in range(len(docs.columns))])
+    return numbered.mapInArrow(run, numbered.schema).toDF(*docs.columns)

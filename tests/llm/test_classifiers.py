@@ -7,7 +7,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
-from postmill.llm import centroid_langid, neighbour_quality, ordinal_toxicity, queries
+from postmill.llm import centroid_langid, labelled, neighbour_quality, ordinal_toxicity, queries
 
 SF = "/root/testdata/sf0.01"
 ODD = [(1, None, "x"), (2, "", "x"), (3, " \n\t", "x"), (None, "The of and.", "x"), (4, "12345 !!! ###", "x"), (5, "Que los ciónadora de las " * 40_000, "x"), (6, "日本語", "x"), (6, "日本語", "x")]
@@ -54,6 +54,21 @@ def test_quality_votes_match_brute_force(tables):
         assert got[n] == pytest.approx((weight * model.labels[near]).sum() / weight.sum(), abs=1e-4)
 
 
+def test_quality_of_equal_texts(spark, tables):
+    """Copies among the voters are ties: the first ones count, and equal texts get equal scores in whatever batch they come."""
+    docs, labels = tables
+    model = neighbour_quality.train(docs, labels)
+    some = docs.limit(120).select("text")
+    both = some.unionByName(some).selectExpr("row_number() OVER (ORDER BY text) AS doc_id", "text").repartition(7)
+    got = neighbour_quality.score_quality(both, model).join(both, "doc_id").groupBy("text").agg(F.count_distinct("score").alias("n"))
+    assert got.where("n > 1").isEmpty()
+    import numpy as np
+
+    tied = neighbour_quality.QualityModel(model.idf, model.axes, np.repeat(model.voters[:1], 40, 0), np.array([1.0] * 15 + [0.0] * 25))
+    counts = np.ones((3, neighbour_quality.GRAM_WIDTH + neighbour_quality._EXTRA))
+    assert tied.scores(counts).tolist() == [1.0] * 3
+
+
 def test_toxicity(spark, tables, odd):
     docs, labels = tables
     got = queries.QUERIES["op2_ordinal_toxicity"](spark, SF).join(labels, "doc_id").toPandas()
@@ -91,6 +106,37 @@ def test_language(spark, tables, odd):
     assert centroid_langid.identify(odd, model).toPandas().lang_pred[6] == "und"
 
 
+def test_language_learns_from_labelled_rows_only(spark, tables):
+    """Texts without a language, and those of the held-out fold, change nothing that is learned."""
+    docs, _ = tables
+    docs = docs.select("doc_id", "text", "lang").limit(300)
+    odd = docs.selectExpr("doc_id + 1000000 AS doc_id", "reverse(text) AS text", "CAST(NULL AS STRING) AS lang")
+    held = docs.where(labelled.held_out()).selectExpr("doc_id", "upper(text) AS text", "'xx' AS lang")
+    a, b = centroid_langid.train(docs, docs, "lang"), docs.unionByName(odd).unionByName(held)
+    b = centroid_langid.train(b, b, "lang")
+    assert a.languages == b.languages and (a.idf == b.idf).all() and (a.centroids == b.centroids).all()
+    c = centroid_langid.train(docs.select("doc_id", "text"), docs.select("doc_id", "lang"), "lang")
+    assert (a.idf == c.idf).all() and (a.centroids == c.centroids).all()
+
+
+def test_language_against_a_loop(spark, tables):
+    """The nearest centroid of each text by one cosine at a time; at equal cosines the smaller language."""
+    import numpy as np
+
+    docs, _ = tables
+    model = centroid_langid.train(docs, docs, "lang")
+    texts = [r.text for r in docs.select("text").limit(40).collect()]
+    data, at = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
+    counts = centroid_langid._counts(data, at)
+    got, cosine = model.nearest(counts)
+    vectors = model.vectors(counts)
+    for n in range(len(texts)):
+        every = [float(np.dot(vectors[n].astype(float), c.astype(float))) for c in model.centroids]
+        assert cosine[n] == pytest.approx(max(every), abs=1e-5) and every[int(np.argmax(every))] - max(x for x, k in zip(every, model.of, strict=True) if k == got[n]) < 1e-5
+    twice = centroid_langid.LanguageModel(["a", "b"], np.repeat(model.centroids[:1], 2, 0), np.array([0, 1]), model.idf, np.zeros(2))
+    assert (twice.nearest(counts)[0] == 0).all()
+
+
 def test_nothing_to_learn_or_score(spark, tables, odd):
     docs, labels = tables
     none = docs.limit(0)

@@ -16,7 +16,7 @@ def shingles(text):
     return {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else {tuple(words)} if words else set()
 
 
-def brute(rows):
+def brute(rows, link=85):
     sets: dict = {}
     for doc, text, _ in rows:
         sets.setdefault(doc, []).append(shingles(text))
@@ -28,14 +28,14 @@ def brute(rows):
         return v
 
     for x, y in combinations([d for d in sets if d is not None], 2):
-        if any(s and t and 100 * len(s & t) >= 85 * len(s | t) for s in sets[x] for t in sets[y]):
+        if any(s and t and 100 * len(s & t) >= link * len(s | t) for s in sets[x] for t in sets[y]):
             p, q = root(x), root(y)
             parent[max(p, q)] = min(p, q)
     return sorted(((d, len(shingles(t)), None if d is None else root(d), d is None or root(d) == d) for d, t, _ in rows), key=str)
 
 
-def found(spark, rows):
-    return sorted(map(tuple, lsh_forest.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4)).collect()), key=str)
+def found(spark, rows, link=85):
+    return sorted(map(tuple, lsh_forest.near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(4), link=link).collect()), key=str)
 
 
 def changed(rng, text, n):
@@ -62,6 +62,30 @@ def test_against_brute_force(spark, rows):
     assert found(spark, rows) == brute(rows)
 
 
+def test_another_threshold(spark, rows):
+    assert found(spark, rows, 80) == brute(rows, 80)
+
+
+def test_cells_put_out_a_forest(spark, rng, monkeypatch):
+    """A family whose sets are alike but not linked, in cells of a few sets: no step puts out more rows than its sets, and pairs are found."""
+    monkeypatch.setattr(lsh_forest, "BLOCK", 40)
+    same, rows = " ".join(f"b{k}" for k in range(300)), []
+    for n in range(400):
+        rows.append((n, same + " " + " ".join(f"u{n // 2 if n > 1 else n + 1000}x{k}" for k in range(36)) + f" own{n}", "x"))
+    made = spark.sparkContext.accumulator(0)
+    joined = lsh_forest._joined
+
+    def counted(table, link):
+        for batch in joined(table, link):
+            made.add(batch.num_rows)
+            yield batch
+
+    monkeypatch.setattr(lsh_forest, "_joined", counted)
+    want = brute(rows)
+    assert found(spark, rows) == want and sum(kept for *_, kept in want) == 201
+    assert made.value <= 16 * len(rows)
+
+
 def test_crowded_regions(spark, rng, monkeypatch):
     """Groups far above a region's limit, split at each depth, keep their components."""
     monkeypatch.setattr(lsh_forest, "REGION", 8)

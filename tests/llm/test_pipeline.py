@@ -38,7 +38,7 @@ def test_quality(spark, docs):
 
 def test_near_dedup(spark, docs):
     data = [tuple(r)[:3] for r in docs.collect()]
-    keep = {d for d, _, _, kept in brute(data) if kept}
+    keep = {d for d, _, _, kept in brute(data, corpus_pipeline.NEAR) if kept}
     want = {r for r in rows(docs) if r[0] in keep}
     got = rows(corpus_pipeline.near_dedup(spark, docs, SF))
     assert set(got) == want and len(got) == len(set(got))
@@ -88,3 +88,22 @@ def test_whole_run(spark):
 @pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES])
 def test_empty(spark, docs, stage):
     assert stage(spark, docs.limit(0), SF).count() == 0
+
+
+@pytest.mark.parametrize("stage", [s for _, s in corpus_pipeline.STAGES[:-1]])
+def test_clashing_columns(spark, docs, stage):
+    """Columns with the names of helpers pass, and change nothing."""
+    names = ["dropped_id", "dropped_version", "text_version", "n_removed", "kept", "carried", "absent", "id", "c0", "row", "ver", "_n_removed", "Component", "n", "a.b"]
+    odd = docs
+    for k, name in enumerate(names):
+        odd = odd.withColumn(name, F.lit(f"x{k}"))
+    got = stage(spark, odd, SF)
+    assert got.columns == odd.columns and got.dtypes == odd.dtypes
+    assert all(got.where(F.col(f"`{name}`") != f"x{k}").isEmpty() for k, name in enumerate(names))
+    assert rows(got.select(*COLUMNS)) == rows(stage(spark, docs, SF))
+
+
+def test_many_dropped_ids_are_joined(spark, docs, monkeypatch):
+    want = rows(corpus_pipeline.decontaminate(spark, docs, SF)), rows(corpus_pipeline.near_dedup(spark, docs, SF))
+    monkeypatch.setattr(corpus_pipeline, "DROPPED", 0)
+    assert (rows(corpus_pipeline.decontaminate(spark, docs, SF)), rows(corpus_pipeline.near_dedup(spark, docs, SF))) == want
