@@ -13,15 +13,16 @@ from pyspark.sql import functions as F
 
 #: Elements whose inside is never text of the page: those of raw text, which only their end tag ends, and those with elements inside.
 _RAW = "script|style|noscript|iframe|title|textarea"
-_DROPPED = frozenset("template svg math object select button canvas audio video".split())
-_FOREIGN = frozenset("svg math".split())
+_DROPPED = frozenset("template svg annotation annotation-xml object select button canvas audio video".split())
+_FOREIGN = frozenset(["svg"])
 _TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<({_RAW})(?![^\s/>])(?:[^>\"']++|\"[^\"]*\"|'[^']*')*+>.*?(?:</\1\s*+>|\Z)|<[!?][^>]*+(?:>|\Z)"
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S | re.I,
 )
-_NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-_HIDDEN = re.compile(r"display\s*:\s*none|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.I)
+#: An attribute's name and value; what stands in quotes is no name.
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]++)(?:\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++)))?|\"[^\"]*\"|'[^']*'")
+_NOT_SHOWN = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _STOPS = re.compile(r"[.,;:!?…。，！？]")
 
@@ -35,7 +36,16 @@ _APART_WORDS = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion promoted sidebar side menu nav navbar navigation breadcrumb breadcrumbs "
     "masthead header topbar footer foot contentinfo complementary copyright cookie cookies consent gdpr notice notices alert disclaimer popup modal overlay dialog "
     "newsletter subscribe subscription signup login signin register search form comment comments commentlist reply replies respond response responses discussion disqus "
-    "feedback share sharing social related recommended recommendations trending popular more widget toolbar pagination pager skip legal paywall".split()
+    "feedback share sharing social related recommended recommendations trending popular more widget toolbar pagination pager skip legal paywall "
+    "kommentar kommentare comentario comentarios commentaire commentaires werbung anzeige anzeigen publicidad publicite anuncio anuncios teilen compartir partager "
+    "navegacion seitenleiste seitenspalte hinweis hinweise aviso avisos".split()
+)
+#: Those of them that say as much inside an article as outside: readers' words, notices, adverts and offers.
+_SURE_WORDS = frozenset(
+    "ad ads advert adverts advertisement advertising sponsor sponsored cookie cookies consent gdpr notice notices newsletter subscribe subscription signup signin login "
+    "comment comments commentlist reply replies respond responses discussion disqus related recommended recommendations trending share sharing social "
+    "kommentar kommentare comentario comentarios commentaire commentaires werbung anzeige anzeigen publicidad publicite anuncio anuncios teilen compartir partager "
+    "hinweis hinweise aviso avisos".split()
 )
 #: Words before and after these in a class or id made of several; with other words ("with-sidebar", "share-price") it is no mark.
 _BEFORE = frozenset("site page main top bottom left right primary secondary global sub mobile desktop the".split())
@@ -45,7 +55,7 @@ _AFTER = frozenset(
 )
 #: Names of titles, no mark inside an article.
 _TITLE_WORDS = frozenset("masthead header topbar banner".split())
-#: What a mark costs a block: outside of articles and by its element, and by a name inside an article.
+#: What a mark costs a block: outside of articles, by its element or by one of _SURE_WORDS, and by another name inside an article.
 _APART_COST, _NAMED_COST = 1200, 400
 _MAIN_WORDS = frozenset("article content post entry main story body text".split())
 
@@ -61,6 +71,7 @@ class Block:
     main: bool
     mark: int = 0
     inside: bool = False
+    sure: bool = False
     text: str = ""
     linked: int = 0
 
@@ -74,6 +85,7 @@ class _Open:
     main: bool
     mark: int = 0
     inside: bool = False
+    sure: bool = False
     dropped: bool = False
 
 
@@ -91,7 +103,7 @@ class _Page:
             shown = [o for o in self.open if not o.dropped]
             top = shown[-1] if shown else _Open("", 0, False, False, False)
             linked = len("".join(" ".join(unescape("".join(self.linked)).split())))
-            self.blocks.append(Block(self.tag, tuple(o.number for o in shown), top.apart, top.article, top.main, top.mark, top.inside, text, linked))
+            self.blocks.append(Block(self.tag, tuple(o.number for o in shown), top.apart, top.article, top.main, top.mark, top.inside, top.sure, text, linked))
         self.parts, self.linked = [], []
 
 
@@ -109,19 +121,25 @@ def _entered(name: str, attributes: str, above: _Open | None, number: int) -> _O
     names: list[str] = []
     hidden = False
     if attributes and not attributes.isspace():
-        for groups in _NAMES.findall(attributes):
-            names += "".join(groups).lower().split()
-        hidden = bool(_HIDDEN.search(attributes))
+        given: dict[str, str] = {}
+        for key, *values in _ATTRIBUTE.findall(attributes):
+            if key:
+                given.setdefault(key.lower(), "".join(values))
+        names = " ".join(given.get(k, "") for k in ("class", "id", "role")).lower().split()
+        hidden = "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or bool(_NOT_SHOWN.search(given.get("style", "")))
     above = above or _Open("", 0, False, False, False)
     article = name == "article" or above.article
     # A header inside an article is its title, one outside is the site's. The whole page or its body may be hidden at first.
     apart = ((hidden or name in _APART or (name == "header" and not article)) and name not in ("html", "body")) or above.apart
     main = name == "main" or any(w in _MAIN_WORDS for n in names for w in _WORD.findall(n)) or above.main
     # The outermost container that a name marks; what a mark inside an article says is less certain. Main text ends a mark from outside.
-    mark, inside = (0, False) if name == "main" else (above.mark, above.inside)
-    if name not in ("html", "body") and (not mark or inside) and any(_names_apart(n, above.article) for n in names):
-        mark, inside = mark or number, above.article
-    return _Open(name, number, apart, article, main, mark, inside)
+    mark, inside, sure = (0, False, False) if name == "main" else (above.mark, above.inside, above.sure)
+    if name not in ("html", "body") and (not mark or (inside and not sure)):
+        marks = [n for n in names if _names_apart(n, above.article)]
+        if marks:
+            mark, inside = mark or number, above.article
+            sure = above.article and any(_SURE_WORDS & set(_WORD.findall(n)) for n in marks)
+    return _Open(name, number, apart, article, main, mark, inside, sure)
 
 
 def _broken(name: str, kinds: set[str]) -> bool:
@@ -205,11 +223,12 @@ def block_score(b: Block) -> int:
     score += 150 if b.tag == "h1" else 60 if b.tag in _HEADINGS else 100 if b.tag == "p" else 50 if b.tag in ("blockquote", "pre", "figcaption", "td") else 0
     score += min(250, len(b.text) * 5 // 4)
     score += min(120, 30 * len(_STOPS.findall(b.text)))
-    score -= 400 * b.linked // max(1, len(b.text))
+    # A list of links is a menu, but in an article it may be its references.
+    score -= (250 if b.article else 400) * b.linked // max(1, len(b.text))
     if b.apart:
         score -= _APART_COST
     elif b.mark:
-        score -= _NAMED_COST if b.inside else _APART_COST
+        score -= _NAMED_COST if b.inside and not b.sure else _APART_COST
     if "©" in b.text:
         score -= 250
     return score
@@ -220,7 +239,7 @@ def _outweighed(blocks: list[Block]) -> None:
     prose: dict[int, int] = {}
     for b in blocks:
         if not b.apart and b.tag not in _HEADINGS:
-            unmarked = block_score(b) + (0 if not b.mark else _NAMED_COST if b.inside else _APART_COST)
+            unmarked = block_score(b) + (0 if not b.mark else _NAMED_COST if b.inside and not b.sure else _APART_COST)
             if unmarked > 0 and (not b.inside):
                 prose[b.mark] = prose.get(b.mark, 0) + len(b.text) - b.linked
     most = max((m for m in prose if m), key=lambda m: (prose[m], -m), default=0)

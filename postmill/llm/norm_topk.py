@@ -186,7 +186,8 @@ def top_inner_products(df: DataFrame, queries, id_col: str = "vec_id", vector_co
     ``queries`` is a condition on ``vec_id``; candidates are all rows but those with the query's own id. Components are
     floor(scale * x). Vectors that are null or hold null or non-finite components, and null ids, take no part; shorter
     vectors are read as if zeros followed. Rows that repeat id and vector count once. Of equal vectors a query can only meet the
-    ``top`` + 1 smallest ids, so only those are candidates. An empty table, or one vector alone, gives an empty result.
+    ``top`` + 1 smallest ids, so only those are candidates. An empty table, or one vector alone, gives an empty result. Scores are longs: a
+    vector whose scaled length is 2^31.5 or more is an error that says so, as its product with itself, the largest score there can be, fits none.
 
     Candidates are sorted into blocks by falling length. The longest ``SEED_ROWS`` give each query a threshold; a block of
     queries then goes only to the candidate blocks whose longest vector can reach one of its thresholds.
@@ -194,7 +195,11 @@ def top_inner_products(df: DataFrame, queries, id_col: str = "vec_id", vector_co
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     vectors = integer_vectors(df, id_col, vector_col, scale).checkpoint()
-    shape = vectors.agg(F.max(F.size("v")).alias("width"), F.count("*").alias("n")).first()
+    # In doubles, as the squares of large components don't fit a long.
+    norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x.cast("double") * x.cast("double"))
+    shape = vectors.agg(F.max(F.size("v")).alias("width"), F.count("*").alias("n"), F.max(norm).alias("longest")).first()
+    if (shape["longest"] or 0.0) >= 2.0**63:
+        raise ValueError("a vector is too long: its inner product with itself does not fit a long")
     width, out = max(shape["width"] or 1, 1), "query_id long, rank int, vec_id long, score long"
     if not shape["n"]:
         return spark.createDataFrame([], out)
@@ -202,7 +207,6 @@ def top_inner_products(df: DataFrame, queries, id_col: str = "vec_id", vector_co
     lead = max(1, width // 4)
 
     few = Window.partitionBy("v").orderBy("vec_id")
-    norm = F.aggregate("v", F.lit(0.0), lambda t, x: t + x * x)
     candidates = vectors.withColumn("nth", F.row_number().over(few)).where(F.col("nth") <= top + 1).select("vec_id", "v", norm.alias("norm"))
     parts = max(1, -(-shape["n"] // BLOCK_ROWS))
     sorted_ = candidates.repartitionByRange(parts, F.col("norm").desc(), "vec_id").sortWithinPartitions(F.col("norm").desc(), "vec_id").select("vec_id", "v", F.spark_partition_id().alias("part"))

@@ -83,3 +83,52 @@ def test_names_inside_an_article():
 def test_dropped_elements_end(before):
     assert main_text(f"<body>{before}<article><p>{LONG}</p><p>a <svg><path/></svg>b</p></article>") == f"{LONG}\n\na b"
     assert main_text(f"<body><article><p>{LONG}</p></article>{before}") == LONG
+
+
+P2 = f"{LONG} {LONG}"
+SHAPES = {
+    # Readers' words, notices and offers inside an article, however long.
+    f'<article><p>{LONG}</p><section class="comments"><p>{P2}</p><p>{P2}</p></section></article>': LONG,
+    f'<article><p>{LONG}</p><div id="kommentare"><div class="kommentar"><p>{P2}</p></div></div></article>': LONG,
+    f'<article><div class="notice"><p>{P2}</p></div><p>{LONG}</p><div class="newsletter"><p>{P2}</p></div></article>': LONG,
+    f'<article><p>{LONG}</p><div class="related posts"><p>{P2}</p></div></article>': LONG,
+    # Values of attributes are no names.
+    f'<article><section title="The hidden cost of it"><p>{LONG}</p></section><div aria-label="a hidden gem"><p>{P2}</p></div></article>': f"{LONG}\n\n{P2}",
+    f"<article><p data-x='class=\"comments\"'>{LONG}</p><div title=' class=ad '><p>{P2}</p></div></article>": f"{LONG}\n\n{P2}",
+    f'<article><div hidden><p>{P2}</p></div><div style="color: red; display : none"><p>{P2}</p></div><div aria-hidden="true"><p>{P2}</p></div><p>{LONG}</p></article>': LONG,
+    f'<article><div HIDDEN="" class=x><p>{P2}</p></div><p>{LONG}</p></article>': LONG,
+    f"<article><div aria-hidden=false><p>{LONG}</p></div></article>": LONG,
+    # Formulas are text, their sources are not.
+    f"<article><p>{LONG} So <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds.</p></article>": f"{LONG} So x=2 holds.",
+    f"<article><p>{LONG} <math><semantics><mi>y</mi><annotation encoding='tex'>\\y</annotation></semantics></math>.</p></article>": f"{LONG} y.",
+    # An article may be another element's fallback.
+    f'<body><object data="x.swf"><article><p>{LONG}</p></article></object>': LONG,
+    # A list of references.
+    f"<article><p>{LONG}</p><ul><li><a href=a>First reference, 2001</a><li><a href=b>Second reference, 2002</a><li><a href=c>Third one</a><li><a href=d>Fourth one</a></ul></article>":
+        f"{LONG}\n\nFirst reference, 2001\n\nSecond reference, 2002\n\nThird one\n\nFourth one",
+    f"<nav><ul><li><a href=a>Home</a><li><a href=b>About the site</a></ul></nav><ul><li><a href=a>Home</a><li><a href=b>About</a></ul><article><p>{LONG}</p></article>": LONG,
+    # More shapes.
+    f'<article><blockquote><p>{LONG}</p></blockquote><figure><img src=x><figcaption>{LONG}</figcaption></figure></article>': f"{LONG}\n\n{LONG}",
+    f"<article><h2>One</h2><p>{LONG}</p><h2>Two</h2><pre>code  here</pre><p>{P2}</p></article>": f"One\n\n{LONG}\n\nTwo\n\ncode here\n\n{P2}",
+    f"<article><table><tr><td>{LONG}<td>{P2}</table></article>": f"{LONG}\n\n{P2}",
+    f'<div class="entry-content"><p>{LONG}</p><p>{P2}</p></div><div class="sidebar"><p>{LONG}</p></div>': f"{LONG}\n\n{P2}",
+    f'<main><p>{LONG}</p></main><div role="complementary"><p>{P2}</p></div>': LONG,
+    f'<div role="banner"><p>{LONG}</p></div><article><p>{P2}</p></article><div role="contentinfo">{LONG}</div>': P2,
+    f"<article><p>{LONG}<p>{P2}<form><p>{LONG}</p></form></article>": f"{LONG}\n\n{P2}",
+    f"<article><p>{LONG}</p><aside><p>{P2}</p></aside><p>{P2}</p></article>": f"{LONG}\n\n{P2}",
+    f'<div class="cookie-consent"><p>{P2}</p></div><article><p>{LONG}</p></article>': LONG,
+    f"<article><dl><dt>Term<dd>{LONG}</dl></article>": f"Term\n\n{LONG}",
+    f'<article><p>{LONG}</p><div class="publicidad">{P2}</div><div class="anzeige"><p>{P2}</p></div></article>': LONG,
+    f"<article><details><summary>More of it</summary><p>{LONG}</p></details></article>": f"More of it\n\n{LONG}",
+}
+
+
+@pytest.mark.parametrize("html", list(SHAPES))
+def test_page_shapes(html):
+    assert main_text(html) == SHAPES[html]
+
+
+def test_a_sentence_elsewhere_changes_nothing():
+    """A mark inside an article does not depend on how much prose the rest of the page has."""
+    html = f'<article><p>{LONG}</p><section class="comments">' + f"<p>{P2}</p>" * 30 + "</section></article>"
+    assert main_text(html) == main_text(html.replace("<article>", f"<article><p>{P2}</p>", 1)).replace(f"{P2}\n\n", "", 1) == LONG

@@ -47,3 +47,12 @@ def test_few(spark):
     assert found(spark, [(20, [1.0], "x")]) == []
     rows = [(20, [1.0], "x"), (40, [2.0], "x"), (41, [-1.0], "x")]
     assert found(spark, rows) == brute(rows, 20)
+
+
+def test_long_vectors(spark):
+    """Components whose squares sum to nearly 2^63 are scored exactly; longer vectors are refused."""
+    rows = [(20 * n, [4.0e6 + 100.0 * n] * 64, "x") for n in range(5)]
+    assert found(spark, rows) == brute(rows, 20)
+    for big in (1e8, 1e30):
+        with pytest.raises(ValueError, match="too long"):
+            found(spark, [(20, [big] * 64, "x"), (21, [1.0] * 64, "x")])
