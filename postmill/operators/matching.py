@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +29,8 @@ def vocabulary_keys(vocab: DataFrame) -> DataFrame:
 
 #: States of a vocabulary that are broadcast at most (some 100 bytes each).
 BROADCAST_STATES = 200_000
+#: Bits of the table of words that longer keys begin with.
+FIRST_BITS = 1 << 16
 
 
 def vocabulary_trie(vocab: DataFrame) -> DataFrame:
@@ -56,25 +61,48 @@ def _reach(rows: DataFrame, states: DataFrame, small: bool, spread: str) -> Data
     return dealt.drop("hot").join(copies.drop("hot"), ["state", "salt"]).drop("salt")
 
 
+def _first_words(states: DataFrame) -> Callable[[Column], Column]:
+    """A test that holds for the given states and for few other words: a bit per hash, FIRST_BITS of them (8 KB)."""
+    at = F.xxhash64("state").bitwiseAND(F.lit(FIRST_BITS - 1))
+    words = states.select(at.alias("p")).groupBy(F.shiftright("p", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(p & 63 AS INT))")).alias("b")).collect()
+    bits = [0] * (FIRST_BITS >> 6)
+    for r in words:
+        bits[r["w"]] = r["b"]
+    table = F.from_json(F.lit(json.dumps(bits)), "array<bigint>")
+
+    def may(word: Column) -> Column:
+        p = F.xxhash64(word).bitwiseAND(F.lit(FIRST_BITS - 1))
+        return F.getbit(F.get(table, F.shiftright(p, 6).cast("int")), p.bitwiseAND(63).cast("int")) == 1
+
+    return may
+
+
 def find_skills(docs: DataFrame, doc_id: str, text: str, vocab: DataFrame, max_hits: int | None = None) -> DataFrame:
     """(doc_id, skill, hit_no): skills found as whole words, longest first, with their number; the first ``max_hits`` if given (40 are published).
 
-    The vocabulary is an automaton in a table (``vocabulary_trie``). Every word of a text, with the few words after it, meets the first states by
-    an equi join; those that a longer key may go on from take the next word and meet the states again, once for each further word of the
-    longest key. What stands between the words must be the key's own, and a sign before or after it no part of a word. No pattern is run on
-    a hit, and no text is shuffled: with a vocabulary of up to BROADCAST_STATES states words meet it where they are, beyond it they travel by state.
+    The vocabulary is an automaton in a table (``vocabulary_trie``). The distinct words of a text meet the keys of one word by an equi join.
+    A word that longer keys, or keys with signs, begin with goes on with the few words after it: it takes the next one and meets the
+    states again, once for each further word of the longest key. What stands between the words must be the key's own, and a sign before or
+    after it no part of a word. No pattern is run on a hit, and no text is shuffled: with a vocabulary of up to BROADCAST_STATES states words
+    meet it where they are, beyond it they travel by state.
     """
-    spark = docs.sparkSession
-    ensure_checkpoint_dir(spark)
+    ensure_checkpoint_dir(docs.sparkSession)
     trie = vocabulary_trie(vocab).checkpoint()
     size = trie.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("depth"), F.lit(1)).alias("depth")).first()
     depth, small = size["depth"], size["n"] <= BROADCAST_STATES
+    signed = lambda e: (e["pre"] != "") | (e["post"] != "")
+    firsts = trie.filter(c("depth") == 1)
+    plain = firsts.select("state", F.inline(F.filter("ends", lambda e: ~signed(e)))).drop("pre", "post")
+    opening = _first_words(firsts.filter(c("more") | F.exists("ends", signed)))
+
     low = F.lower(F.coalesce(c(text), F.lit("")))
     split = docs.select(c(doc_id).alias("_doc"), F.regexp_extract_all(low, F.lit(f"{WORD}+"), F.lit(0)).alias("w"), F.split(low, f"{WORD}+", -1).alias("s"))
-    units = F.transform("w", lambda x, i: F.struct(
-        x.alias("state"), F.get(c("s"), i).alias("before"), (i == 0).alias("first"), F.slice("w", i + 2, F.lit(depth)).alias("nw"), F.slice("s", i + 2, F.lit(depth + 1)).alias("ns")))
+    hit = F.struct((-F.length("key")).alias("size"), "key", "skill").alias("hit")
+    found = _reach(split.select("_doc", F.explode(F.array_distinct("w")).alias("state")), plain, small, "_doc").select("_doc", hit)
+    places = F.filter(F.transform("w", lambda x, i: F.when(opening(x), i)), lambda i: i.isNotNull())
+    units = F.transform(places, lambda i: F.struct(
+        F.get(c("w"), i).alias("state"), F.get(c("s"), i).alias("before"), (i == 0).alias("first"), F.slice("w", i + 2, F.lit(depth)).alias("nw"), F.slice("s", i + 2, F.lit(depth + 1)).alias("ns")))
     rows = split.select("_doc", F.inline(units))
-    found = None
     for d in range(1, depth + 1):
         met = _reach(rows, trie.filter(c("depth") == d).drop("depth"), small, "_doc")
         after = F.get(c("ns"), F.lit(d - 1))
@@ -82,8 +110,7 @@ def find_skills(docs: DataFrame, doc_id: str, text: str, vocab: DataFrame, max_h
         ends = met.select("_doc", "before", "first", "nw", after.alias("after"), F.explode("ends").alias("e")).filter(
             c("before").endswith(pre) & ((pre == "") | (F.length("before") > F.length(pre)) | c("first"))
             & c("after").startswith(post) & ((post == "") | (F.length("after") > F.length(post)) | (F.size("nw") < d)))
-        ends = ends.select("_doc", F.struct((-F.length("e.key")).alias("size"), c("e.key").alias("key"), c("e.skill").alias("skill")).alias("hit"))
-        found = ends if found is None else found.unionByName(ends)
+        found = found.unionByName(ends.select("_doc", "e.key", "e.skill").select("_doc", hit))
         # On to the next word, from the states that have one.
         rows = met.filter(c("more") & (F.size("nw") >= d)).select("_doc", F.concat("state", after, F.get(c("nw"), F.lit(d - 1))).alias("state"), "before", "first", "nw", "ns")
     hits = F.array_sort(F.collect_set("hit"))
