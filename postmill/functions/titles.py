@@ -98,6 +98,7 @@ def company_suspicious(text: Column) -> Column:
 
 # ---- description -------------------------------------------------------------------
 
+# Patterns of contacts and signs that are taken out of descriptions.
 URL = r"(?iu)https?://\S+|www\.\S+|t\.me/\S+|telegram\.me/\S+"
 EMAIL_ADDRESS = r"(?U)\b[\w.\-+%]+@[\w.\-]+\.[A-Za-z]{2,}\b"
 HANDLE = r"(?U)(?<!\w)@\w{3,}"
@@ -153,14 +154,20 @@ def _clean_description(text: Column, original: Column) -> Column:
 
 # ---- headers -------------------------------------------------------------------------
 
-SECTION_WORDS = (
-    r"(?iU)\bтребования\s*[:\-]|\bобязанности\s*[:\-]|\bусловия\s*[:\-]|\brequirements\s*[:\-]|"
-    r"\bresponsibilities\s*[:\-]|\babout the role\b"
-)
+# Words that begin a section of a message.
+SECTIONS = [
+    r"\bтребования\s*[:\-]",
+    r"\bобязанности\s*[:\-]",
+    r"\bусловия\s*[:\-]",
+    r"\brequirements\s*[:\-]",
+    r"\bresponsibilities\s*[:\-]",
+    r"\babout the role\b",
+]
+SECTION_WORDS = "(?iU)" + "|".join(SECTIONS)
 
 
 def header_window(text: Column, max_len: int = 900) -> Column:
-    """First four lines up to the first section word, squeezed, at most ``max_len`` characters."""
+    """First four lines up to the first section word, squeezed, at most ``max_len`` characters (published: 900)."""
     head = let(F.translate(text, "\r", "\n"), lambda t: let(
         F.regexp_instr(t, F.lit(SECTION_WORDS)), lambda at: F.when(at > 0, F.substring(t, F.lit(1), at - 1)).otherwise(t)))
     lines = F.slice(F.split(head, "\n"), 1, 4)
@@ -209,6 +216,7 @@ HEADER_PATTERNS = [
      rf"(?isU)(?:мы\s+ищем|ищем|we are looking for)\s+({_T}{{4,120}}?)(?:\s+в\s+нашу\s+команду|\!|\.|$)", 1, -1, 0),
     ("company_hiring_only", 0.8, r"(?isU)(?:компания\s+)?([^.]{2,120}?)\s+ищет\b", 0, 1, 0),
 ]
+# Fixed value: a company by its legal form.
 LEGAL_FORM = r'(?isU)(?:т[оo]{2}|ао|ип)\s*["«]?[A-Za-zА-Яа-яЁё0-9&"«»()./\-+ ]{2,90}'
 
 
@@ -242,6 +250,7 @@ def header_city(text: Column) -> Column:
     return city(text)
 
 
+# Titles named in the running text.
 TITLE_IN_TEXT = [
     rf"(?iu)(?:ищем|нужен|нужна|требуется|vacancy|position|role)\s+({_T}{{4,80}})",
     rf"(?iU)\b({_T}{{4,80}})\s+(?:в команду|to join the team)\b",

@@ -285,26 +285,91 @@ PROMO_PHRASES = [
 
 # Extraction records: category aliases by category, and words searched in order when no alias fits.
 EXTRACTION_CATEGORY_ALIASES = {
-    "software_engineering": [
-        "backend", "backend_developer", "backend_engineer", "frontend", "frontend_developer", "frontend_engineer", "fullstack",
-        "full_stack", "fullstack_developer", "mobile", "android", "ios", "software", "software_engineer", "software_developer",
-        "web_development", "web", "engineering"],
-    "data": [
-        "data_engineer", "data_analyst", "data_scientist", "ml", "ai", "ml_engineer", "machine_learning",
-        "machine_learning_engineer", "artificial_intelligence", "bi", "bi_analyst", "business_intelligence"],
-    "qa": ["test", "testing", "quality_assurance", "test_automation", "sdet"],
-    "devops": ["sre", "platform", "platform_engineering", "cloud", "cloud_engineering", "infrastructure", "infra"],
-    "product": ["product_manager", "product_owner"],
-    "management": [
-        "project_management", "project_manager", "engineering_manager", "delivery_manager", "team_lead", "leadership"],
-    "analytics": ["business_analyst", "system_analyst", "systems_analyst", "product_analyst", "analyst"],
-    "design": ["ux", "ui", "ui_ux", "ux_ui", "product_design", "product_designer", "graphic_design", "motion_design"],
-    "security": ["cybersecurity", "information_security", "infosec", "soc"],
-    "support": ["customer_support", "technical_support", "helpdesk", "service_desk"],
-    "marketing": ["smm", "performance_marketing", "digital_marketing", "growth"],
-    "sales": ["sales_manager", "business_development", "account_executive"],
-    "hr": ["recruiting", "recruiter", "talent_acquisition"],
-    "finance": ["accounting", "accountant", "financial_analyst", "finops"],
+    "backend": "software_engineering",
+    "backend_developer": "software_engineering",
+    "backend_engineer": "software_engineering",
+    "frontend": "software_engineering",
+    "frontend_developer": "software_engineering",
+    "frontend_engineer": "software_engineering",
+    "fullstack": "software_engineering",
+    "full_stack": "software_engineering",
+    "fullstack_developer": "software_engineering",
+    "mobile": "software_engineering",
+    "android": "software_engineering",
+    "ios": "software_engineering",
+    "software": "software_engineering",
+    "software_engineer": "software_engineering",
+    "software_developer": "software_engineering",
+    "web_development": "software_engineering",
+    "web": "software_engineering",
+    "engineering": "software_engineering",
+    "data_engineer": "data",
+    "data_analyst": "data",
+    "data_scientist": "data",
+    "ml": "data",
+    "ai": "data",
+    "ml_engineer": "data",
+    "machine_learning": "data",
+    "machine_learning_engineer": "data",
+    "artificial_intelligence": "data",
+    "bi": "data",
+    "bi_analyst": "data",
+    "business_intelligence": "data",
+    "test": "qa",
+    "testing": "qa",
+    "quality_assurance": "qa",
+    "test_automation": "qa",
+    "sdet": "qa",
+    "sre": "devops",
+    "platform": "devops",
+    "platform_engineering": "devops",
+    "cloud": "devops",
+    "cloud_engineering": "devops",
+    "infrastructure": "devops",
+    "infra": "devops",
+    "product_manager": "product",
+    "product_owner": "product",
+    "project_management": "management",
+    "project_manager": "management",
+    "engineering_manager": "management",
+    "delivery_manager": "management",
+    "team_lead": "management",
+    "leadership": "management",
+    "business_analyst": "analytics",
+    "system_analyst": "analytics",
+    "systems_analyst": "analytics",
+    "product_analyst": "analytics",
+    "analyst": "analytics",
+    "ux": "design",
+    "ui": "design",
+    "ui_ux": "design",
+    "ux_ui": "design",
+    "product_design": "design",
+    "product_designer": "design",
+    "graphic_design": "design",
+    "motion_design": "design",
+    "cybersecurity": "security",
+    "information_security": "security",
+    "infosec": "security",
+    "soc": "security",
+    "customer_support": "support",
+    "technical_support": "support",
+    "helpdesk": "support",
+    "service_desk": "support",
+    "smm": "marketing",
+    "performance_marketing": "marketing",
+    "digital_marketing": "marketing",
+    "growth": "marketing",
+    "sales_manager": "sales",
+    "business_development": "sales",
+    "account_executive": "sales",
+    "recruiting": "hr",
+    "recruiter": "hr",
+    "talent_acquisition": "hr",
+    "accounting": "finance",
+    "accountant": "finance",
+    "financial_analyst": "finance",
+    "finops": "finance",
 }
 EXTRACTION_CATEGORY_WORDS = [
     ("software_engineering", [

@@ -103,6 +103,7 @@ def prefill_experience(text: Column) -> Column:
 
 SALARY_CLAUSE = r"(?iu)(?:зарплата|salary)[^\n]{0,80}"
 SALARY_AMOUNT = r"(?iU)(?:от|до)?\s*\d[\d\s]*(?:\s*[-–—]\s*\d[\d\s]*)?\s*(?:₸|тг|тенге|usd|\$|eur|€|rub|rur|руб)\b"
+# Fixed value: a clause on years of experience.
 EXPERIENCE_CLAUSE = (
     r"(?iu)(?:опыт(?: работы)?|experience).{0,20}?(\d+(?:[.,]\d+)?(?:\s*[-–—]\s*\d+(?:[.,]\d+)?)?)\s*(?:\+)?\s*(?:г|лет|years?)"
 )
@@ -180,7 +181,7 @@ def _one_of(text: Column, allowed: Sequence[str], aliases: Mapping[str, str] | N
 def extraction_category(text: Column) -> Column:
     """Category by name, alias, or the first word list that hits; 'other' for the rest, 'unknown' for nothing."""
     spaced = F.regexp_replace(F.replace(F.lower(F.trim(text)), F.lit("&"), F.lit(" and ")), "[/.\\-]", " ")
-    alias = {a: cat for cat, names in v.EXTRACTION_CATEGORY_ALIASES.items() for a in names}
+    alias = v.EXTRACTION_CATEGORY_ALIASES
     return let(F.replace(squeeze(spaced), F.lit(" "), F.lit("_")), lambda key: F.when(key == "", "unknown").when(
         key.isin([*v.CATEGORIES, "unknown"]), key).otherwise(F.coalesce(lookup(key, alias), first_hit(key, v.EXTRACTION_CATEGORY_WORDS, F.lit("other")))))
 
@@ -218,6 +219,7 @@ def validate_extraction(df: DataFrame, json_col: str, out: str = "extraction") -
     return seal(parsed, {out: record, "extraction_ok": ok}).drop("_x")
 
 
+# Fixed value: amounts of money in running text.
 MONEY_IN_TEXT = (
     r"(?iU)\b\d[\d\s,.–—-]*(?:-\s*\d[\d\s,.–—-]*)?\s*(?:₸|тг|тенге|usd|eur|kzt|rub|rur|руб|\$|€|₽)\b"
     r"(?:\s*(?:per|/|в|в\s+месяц|в\s+год|месяц|год|hour|week|month|year))?"
@@ -418,6 +420,7 @@ def confidence(df: DataFrame, source: str = "source", extraction: str = "extract
     }).drop("_s")
 
 
+# Text fields that a merge may fill.
 MERGE_TEXT = [
     "title_normalized", "company", "city", "category", "level", "employment", "work_format", "english_level", "requirements_clean",
     "responsibilities_clean", "salary_raw", "currency", "salary_period",

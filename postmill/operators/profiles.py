@@ -129,7 +129,7 @@ def repo_score(df: DataFrame) -> DataFrame:
 
 
 def repo_bullets(df: DataFrame) -> DataFrame:
-    """Two or three template sentences per repository."""
+    """Two or three template sentences per repository; the sentences are fixed values."""
     stack = F.coalesce(F.nullif(F.array_join(F.slice("stack_signals", 1, 5), ", "), F.lit("")), F.lit("public technologies"))
     return df.withColumn("resume_bullets", F.array_compact(F.array(
         F.format_string("Built and maintained a %s project focused on %s.", c("project_type"), F.lower("business_goal")),
