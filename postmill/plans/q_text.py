@@ -9,6 +9,7 @@ from postmill.functions.lists import parse_list
 from postmill.operators import curate
 from postmill.plans.fixtures import FIXTURES
 from postmill.plans.q_rows import sq
+from postmill.plans.q_sources import links_sql
 from postmill.plans.registry import query
 from postmill.sources import unify
 
@@ -364,12 +365,12 @@ def _(i):
     return out.select("source_id", "description_raw", "city", "work_format", "currency", "salary_avg")
 
 
-@query("unify_bank_board", """
+@query("unify_bank_board", f"""
 SELECT page_id, 'Kaspi.kz' AS company, CASE WHEN page_id % 5 = 0 THEN CAST(NULL AS DOUBLE) ELSE CAST(page_id * 1000 AS DOUBLE) END AS salary_from,
-  CASE WHEN page_id % 5 = 0 THEN 'UNKNOWN' ELSE 'KZT' END AS currency, 'Python ' || page_id || ' | SQL | Docker' AS skills_raw FROM pages""")
+  CASE WHEN page_id % 5 = 0 THEN 'UNKNOWN' ELSE 'KZT' END AS currency, array_to_string(list_append({links_sql('body', 2)}, 'Docker'), ' | ') AS skills_raw FROM board_pages""")
 def _(i):
     from postmill.sources.records import page_records
-    p = page_records(i.view("board_pages"))
+    p = page_records(i.dealt("board_pages", "page_id").select("page_id", "html"))
     raw = p.select(c("page_id"), c("position").alias("Position"), c("salary").alias("Salary"), c("city").alias("City"), c("schedule").alias("Schedule"), c("experience").alias("Experience"),
                    c("skills_list").alias("Skills_List"), c("full_description").alias("Full_Description"), F.concat(F.lit("https://x.example/vacancy/a-"), c("page_id")).alias("URL"))
     out = unify.unify_bank(raw)
