@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from postmill.operators import extraction as e
 from postmill.plans.fixtures import FIXTURES
 from postmill.plans.registry import ORACLES, query
+from postmill.session import ensure_checkpoint_dir
 
 c = F.col
 NL = "' || chr(10) || '"
@@ -190,7 +191,10 @@ p AS (SELECT {', '.join(f"{PREFILL_EXPECTED[f]} AS {f}" for f in PARSED)} FROM c
 ]))
 def _(i):
     before = i.sql("SELECT id, company_clean AS company, city_norm AS city FROM postings")
+    # Both rule chains run once; the report reads their rows several times.
+    ensure_checkpoint_dir(i.spark)
     after = merged(i).join(reconciled(i).select("id", "conflict_flags", "prefill", "final_values"), "id")
+    after = after.select("id", "company", "city", "source", "llm_merge_status", "conflict_flags", "prefill", "final_values").checkpoint()
     chat = ~c("source").isin("hh_kz", "kaspi_jobs", "kolesa_jobs")
     filled = lambda x: x.isNotNull() & (x != "unknown")
     out = e.enrichment_report(before, after, ["company", "city"], hits={
