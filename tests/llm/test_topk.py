@@ -56,3 +56,28 @@ def test_long_vectors(spark):
     for big in (1e8, 1e30):
         with pytest.raises(ValueError, match="too long"):
             found(spark, [(20, [big] * 64, "x"), (21, [1.0] * 64, "x")])
+
+
+def test_rounds(spark, rows, monkeypatch):
+    """Many rounds, in each precision that scores need, find what brute force finds."""
+    for name, value in {"BLOCK_ROWS": 60, "QUERY_ROWS": 16, "SEED_ROWS": 25, "STEP": 20, "QUERY_STEP": 5, "GROWTH": 4}.items():
+        monkeypatch.setattr(norm_topk, name, value)
+    for scale in (1.0, 50.0, 1e5):
+        some = [(i, None if v is None else [None if x is None else float(np.float32(x)) * scale for x in v], s) for i, v, s in rows]
+        assert found(spark, some) == brute(some, 20)
+
+
+def test_memory():
+    """Pairs that all reach the threshold are not gathered component by component."""
+    import tracemalloc
+
+    g = np.random.default_rng(1)
+    q, c = g.integers(-64, 64, (1024, 512)).astype(np.int8), g.integers(-64, 64, (4096, 512)).astype(np.int8)
+    c = c[np.argsort(-(c.astype(np.int64) ** 2).sum(1), kind="stable")]
+    tracemalloc.start()
+    who, ids, score = norm_topk.search_block(q, np.arange(-1024, 0), np.full(1024, np.iinfo(np.int64).min), c, np.arange(4096), 20)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200e6
+    full = q.astype(np.int64) @ c.astype(np.int64).T
+    assert (who == np.repeat(np.arange(1024), 20)).all() and (score.reshape(-1, 20) == -np.sort(-full, axis=1)[:, :20]).all()
