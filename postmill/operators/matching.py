@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from postmill.functions.text import contains_any, let, squeeze
-from postmill.operators.spread import HOT_SHARE, SALTS, attach_group, head_per_key, keep_first
+from postmill.operators.setsearch import best_sets
+from postmill.operators.spread import HOT_SHARE, SALTS, head_per_key, keep_first
 from postmill.session import ensure_checkpoint_dir
 
 c = F.col
@@ -17,7 +18,6 @@ c = F.col
 # Two-letter skills that may be looked for in text.
 SHORT_SKILLS = ["ai", "bi", "ci", "ml", "nlp", "qa", "ui", "ux", "go", "c#", "c++", "1c", "hr"]
 WORD = "[\\p{L}\\p{N}_]"
-PROBE = 512
 
 
 def vocabulary_keys(vocab: DataFrame) -> DataFrame:
@@ -120,10 +120,6 @@ def find_skills(docs: DataFrame, doc_id: str, text: str, vocab: DataFrame, max_h
 
 # ---- candidates and postings --------------------------------------------------------------
 
-def _jaccard(both: Column, a: Column, b: Column) -> Column:
-    return both / (a + b - both)
-
-
 def _set_id(part: str, keys: str) -> Column:
     """Name of a part's skill set, safe to stand for it: SHA-256 of its JSON text."""
     return F.sha2(F.to_json(F.struct(c(part).alias("p"), c(keys).alias("k"))), 256)
@@ -147,81 +143,56 @@ def match(
     """Best ``top_n`` postings per candidate by Jaccard of skills, then salary, skill count and id.
 
     ``cands`` has one row per (cand_id[, part]); with parts (roles, say) a candidate
-    only meets postings of its part. Exact, without comparing all pairs:
+    only meets postings of its part. Exact, and no pair of sets is ever a row:
 
     * equal skill sets are matched once, for candidates and for postings (both kept in
       the checkpoint folder, as several steps read them);
-    * a bounded probe of posting sets gives each candidate set a score it can surely
-      reach ``top_n`` times; only posting sets that can score as much are compared,
-      found by an equi join on the rarest skills of both (length and prefix filter);
-    * candidates short of matches are filled with the best postings of score 0,
+    * sets are compared in blocks (``setsearch``), which put out the few best of each candidate set;
+    * candidate sets short of matches are filled with the best postings of score 0,
       of which twice ``top_n`` per part are enough.
     """
     part_c = c(cand_part) if cand_part else F.lit("")
     part_p = c(posting_part) if posting_part else F.lit("")
     best_first = [c("salary_avg_clean").desc_nulls_last(), c("skills_count").desc_nulls_last(), F.asc("id")]
+    ensure_checkpoint_dir(postings.sparkSession)
 
-    # Postings with their set; equal sets share a signature and keep their best top_n postings.
+    # Postings with their set; equal sets share a signature and keep their best 2 * top_n postings, in one row.
     spelled = posting_skills.groupBy("id").agg(F.sort_array(F.collect_set("skill")).alias("skills"))
     empty = F.array().cast("array<string>")
     p = postings.withColumn("part", part_p).filter(c("part").isNotNull()).join(spelled, "id", "left").select(
         "id", "part", "salary_avg_clean", F.coalesce("skills", empty).alias("skills"))
-    p = p.withColumn("keys", F.array_sort(F.array_distinct(F.transform("skills", lambda x: F.lower(x))))).withColumns({
-        "skills_count": F.size("skills").cast("long"), "psig": _set_id("part", "keys")})
-    ensure_checkpoint_dir(postings.sparkSession)
-    heads = head_per_key(p, ["part", "psig"], best_first, top_n, "in_sig").checkpoint()
-    psets = heads.filter("in_sig = 1").select(
-        "part", "psig", c("keys").alias("pkeys"), F.size("keys").alias("pn"), c("salary_avg_clean").alias("best_salary"),
-        c("skills_count").alias("best_count"), c("id").alias("best_id")).filter("pn > 0")
+    keys = F.array_sort(F.array_distinct(F.transform("skills", lambda x: F.lower(x))))
+    p = p.withColumn("keys", keys).withColumns({"skills_count": F.size("skills").cast("long"), "psig": F.unhex(_set_id("part", "keys"))})
+    heads = head_per_key(p.drop("keys"), ["part", "psig"], best_first, 2 * top_n, "in_sig").withColumn("keys", keys)
+    sets = heads.groupBy("part", "psig").agg(
+        F.min_by("keys", "in_sig").alias("keys"), F.sort_array(F.collect_list(F.struct("in_sig", "id", "salary_avg_clean", "skills_count", "skills"))).alias("heads"))
+    sets = sets.drop("psig").withColumn("no", F.monotonically_increasing_id()).checkpoint()
+    lean = F.transform("heads", lambda x: F.struct(x["in_sig"].alias("in_sig"), x["id"].alias("id"), x["salary_avg_clean"].alias("salary_avg_clean"), x["skills_count"].alias("skills_count")))
 
     # Candidates with their set; equal sets are matched once.
     cs = cands.withColumn("part", part_c).join(
         cand_skills.select("cand_id", F.lower("skill").alias("key")).groupBy("cand_id").agg(F.sort_array(F.collect_set("key")).alias("ckeys")),
-        "cand_id", "left").withColumn("ckeys", F.coalesce("ckeys", empty)).withColumn("csig", _set_id("part", "ckeys"))
-    csets = keep_first(cs.select("part", "csig", "ckeys"), ["csig"], [F.asc("csig")]).withColumn("cn", F.size("ckeys"))
-
-    # A score each candidate set reaches top_n times: the top_n-th best over a bounded probe per part.
-    # Parts are a closed set of roles, so the probes are one small value.
-    probe = head_per_key(psets, ["part"], [F.desc("pn"), F.asc("psig")], PROBE, "probe_no")
-    probes = probe.groupBy("part").agg(F.collect_list("pkeys").alias("sets"))
-    by_part = probes.agg(F.map_from_entries(F.collect_list(F.struct("part", "sets")))).scalar()
-    scores = F.sort_array(F.transform(F.try_element_at(c("_m"), c("part")), lambda k: _jaccard(
-        F.size(F.array_intersect(k, c("ckeys"))), F.size(k), c("cn"))), asc=False)
-    # Heavy on few bytes: a fixed number of partitions keeps it from being run in one task.
-    csets = csets.repartition(int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions")), "csig").withColumn("_m", by_part).withColumn(
-        "floor", F.coalesce(F.get(scores, F.lit(top_n - 1)), F.lit(0.0))).drop("_m").checkpoint()
-
-    # Rare skills first; a posting set that reaches the floor shares one of its leading skills.
-    exploded = psets.select("part", "psig", "pn", F.explode("pkeys").alias("key"))
-    by_rarity = attach_group(exploded, ["key"], [F.count(F.lit(1)).alias("freq")], "psig")
-    ranked = by_rarity.groupBy("part", "psig", "pn").agg(F.sort_array(F.collect_list(F.struct("freq", "key"))).alias("o"))
-    index = ranked.select("part", "psig", "pn", F.posexplode("o.key").alias("pos", "key")).withColumn(
-        "salt", F.pmod(F.xxhash64("psig"), F.lit(8)).cast("int"))
-    # The same holds on the candidate's side, in the same order of skills; those that no posting has come first, and go.
-    freqs = exploded.groupBy("key").agg(F.count(F.lit(1)).alias("freq"))
-    asked = csets.select("part", "csig", "cn", "floor", F.explode("ckeys").alias("key")).join(freqs, "key", "left")
-    order = F.sort_array(F.collect_list(F.struct(F.coalesce("freq", F.lit(0)).alias("freq"), "key")))
-    least = F.greatest(F.ceil(c("floor") * c("cn") - 1e-9), F.lit(1))
-    leading = asked.groupBy("part", "csig", "cn", "floor").agg(order.alias("o")).select("part", "csig", "cn", "floor", F.posexplode("o").alias("cpos", "k"))
-    wants = leading.filter((c("cpos") <= c("cn") - least) & (c("k.freq") > 0)).select(
-        "part", "csig", "cn", "floor", c("k.key").alias("key")).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(7))))
-    need = F.greatest(F.ceil(c("floor") * (c("cn") + c("pn")) / (1 + c("floor")) - 1e-9), F.lit(1))
-    can_reach = (c("pn") >= c("floor") * c("cn") - 1e-9) & (c("pn") * c("floor") <= c("cn") + 1e-9) & (c("pos") <= c("pn") - need)
-    pairs = index.join(wants, ["part", "key", "salt"]).filter(can_reach).select("csig", "psig").distinct()
-
-    scored = pairs.join(csets.select("csig", "ckeys", "cn"), "csig").join(psets, "psig").withColumn(
-        "both", F.size(F.array_intersect("ckeys", "pkeys"))).withColumn("score", _jaccard(c("both"), c("cn"), c("pn")))
-    sig_order = [F.desc("score"), c("best_salary").desc_nulls_last(), c("best_count").desc_nulls_last(), F.asc("best_id")]
-    top_sigs = head_per_key(scored, ["csig"], sig_order, top_n, "sig_no").select("csig", "psig", "score")
-    hits = top_sigs.join(heads, "psig").select("csig", "id", "score", "salary_avg_clean", "skills_count", "skills", "keys")
-
-    # Score 0: the best postings overall, minus those that share a skill.
-    best = head_per_key(p, ["part"], best_first, 2 * top_n, "best_no")
-    fill = best.groupBy("part").agg(F.collect_list(F.struct("id", "salary_avg_clean", "skills_count", "skills", "keys")).alias("f"))
-    zeros = csets.join(fill, "part").select("csig", "ckeys", F.inline("f")).filter(~F.arrays_overlap("ckeys", "keys")).select(
-        "csig", "id", F.lit(0.0).alias("score"), "salary_avg_clean", "skills_count", "skills", "keys")
+        "cand_id", "left").withColumn("ckeys", F.coalesce("ckeys", empty)).withColumn("csig", F.unhex(_set_id("part", "ckeys"))).select("cand_id", "part", "ckeys", "csig").checkpoint()
+    csets = keep_first(cs.select("part", "csig", "ckeys"), ["csig"], [F.asc("csig")]).withColumn("no", F.monotonically_increasing_id()).checkpoint()
+
+    first = F.get("heads", F.lit(0))
+    offered = sets.select("no", "part", "keys", first["salary_avg_clean"].alias("salary_avg_clean"), first["skills_count"].alias("skills_count"), first["id"].alias("id"))
+    pairs = best_sets(csets.select("no", "part", c("ckeys").alias("keys")), offered, best_first, top_n)
+    ranked = pairs.join(offered.select(c("no").alias("offer_no"), "salary_avg_clean", "skills_count", "id"), "offer_no")
+    top_sets = head_per_key(ranked, ["ask_no"], [F.desc("score"), *best_first], top_n, "set_no").select("ask_no", "offer_no", "score", "set_no").checkpoint()
+    hits = top_sets.join(sets.select(c("no").alias("offer_no"), F.slice(lean, 1, top_n).alias("h")), "offer_no").select("ask_no", "offer_no", "score", F.inline("h"))
+
+    # Score 0: the best postings overall, minus those that share a skill, for sets with fewer than top_n sets above it.
+    best = head_per_key(sets.select("part", "no", "keys", F.inline(lean)), ["part"], best_first, 2 * top_n, "best_no")
+    fill = best.groupBy("part").agg(F.collect_list(F.struct("no", "in_sig", "id", "salary_avg_clean", "skills_count", "keys")).alias("f"))
+    short = csets.join(top_sets.filter(c("set_no") == top_n).select(c("ask_no").alias("no")), "no", "left_anti")
+    zeros = short.select(c("no").alias("ask_no"), "part", "ckeys").join(fill, "part").select("ask_no", "ckeys", F.inline("f")).filter(~F.arrays_overlap("ckeys", "keys")).select(
+        "ask_no", c("no").alias("offer_no"), F.lit(0.0).alias("score"), "in_sig", "id", "salary_avg_clean", "skills_count")
     order = [F.desc("score"), *best_first]
-    final = head_per_key(hits.unionByName(zeros), ["csig"], order, top_n, "match_no")
+    final = head_per_key(hits.unionByName(zeros), ["ask_no"], order, top_n, "match_no")
+    skills = F.element_at("heads", c("in_sig"))["skills"].alias("skills")
+    final = final.join(sets.select(c("no").alias("offer_no"), "heads"), "offer_no").select("ask_no", "id", "score", "salary_avg_clean", "skills_count", "match_no", skills)
+    final = final.join(csets.select(c("no").alias("ask_no"), "csig"), "ask_no").drop("ask_no")
 
     out = cs.select("cand_id", "part", "csig", "ckeys").join(final, "csig")
     mine = lambda s: F.array_contains(c("ckeys"), F.lower(s))
