@@ -7,6 +7,7 @@ from postmill.functions import money as m
 from postmill.operators import salary as s
 from postmill.plans.fixtures import FIXTURES
 from postmill.plans.registry import query
+from postmill.session import ensure_checkpoint_dir
 
 c = F.col
 
@@ -161,7 +162,10 @@ WITH {V3_CTE.strip()}
 SELECT 'salary' AS mart, id, f AS salary_from_clean, quality AS salary_parse_quality, CAST(NULL AS VARCHAR) AS review_category FROM r WHERE usable AND dedup_keep_for_analytics
 UNION ALL SELECT 'review', id, NULL, quality, review_category FROM r WHERE review""")
 def _(i):
-    df = repaired(i)
+    # The repair runs once; each mart reads its rows.
+    ensure_checkpoint_dir(i.spark)
+    marts = ["id", "salary_from_clean", "salary_parse_quality", "salary_manual_review_category", "salary_manual_review_flag", "usable_for_salary_analytics"]
+    df = repaired(i).select(*marts).checkpoint()
     null = F.lit(None)
     return s.salary_mart(df).select(
         F.lit("salary").alias("mart"), "id", "salary_from_clean", "salary_parse_quality", null.cast("string").alias("review_category")
