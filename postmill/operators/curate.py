@@ -393,8 +393,12 @@ def column_values(df: DataFrame, cols: Sequence[str], max_distinct: int = 40, n:
 
 
 def header_audit(df: DataFrame, order: str) -> dict[str, DataFrame]:
-    """Chat rows: match summary, counts and five examples per pattern, most frequent unresolved headers, 50 samples."""
-    chat = df.filter(~c("source").isin(v.STRUCTURED_SOURCES))
+    """Chat rows: match summary, counts and five examples per pattern, most frequent unresolved headers, 50 samples.
+
+    The chat rows are kept in the checkpoint folder, so the rules before the audit run once, whatever reads of it are used.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    chat = df.filter(~c("source").isin(v.STRUCTURED_SOURCES)).checkpoint()
     matched = c("header_parse_pattern") != "no_match"
     bad = c("title_final").isNull() | c("company_clean").isNull()
     window = t.header_window(c("description_clean_v2"), 220)

@@ -74,3 +74,24 @@ def test_shared_folder_is_asked_for(spark, monkeypatch):
 def test_postings_are_narrowed(spark):
     df = spark.createDataFrame([(1, "a", None), (2, "a", 5.0), (3, "a", 50.0), (4, "b", 50.0)], "id long, city_norm string, salary_avg_clean double")
     assert sorted(r.id for r in matching.narrow_postings(df, city="a", salary_min=10).collect()) == [1, 3]
+
+
+def test_rules_run_once(spark, monkeypatch):
+    """Audits and marts read the rows of a rule chain, not the chain again."""
+    from pyspark.sql import functions as F
+
+    from postmill.operators import curate
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def once(x):
+        seen.add(1)
+        return x
+
+    rows = [(k, "chat", f"text {k}", "a" if k % 2 else "no_match", None if k % 3 else "t", "c") for k in range(40)]
+    df = spark.createDataFrame(rows, "id long, source string, description_clean_v2 string, p string, title_final string, company_clean string")
+    audit = curate.header_audit(df.withColumn("header_parse_pattern", once(F.col("p"))), "id")
+    assert [audit[x].count() for x in ("summary", "patterns", "examples", "samples")] == [1, 1, 5, 26]
+    assert audit["summary"].first().matched_rows == 20 and audit["patterns"].first().n_rows == 20
+    assert seen.value == 40
