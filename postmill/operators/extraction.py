@@ -30,8 +30,8 @@ MISSING = v.MISSING_WORDS_PREFILL
 
 def _found(value: Column, source: str, confidence: str) -> Column:
     """struct<value, source, confidence> for a value that is there, else null."""
-    return F.when(value.isNotNull(), F.struct(
-        value.cast("string").alias("value"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence")))
+    return let(value.cast("string"), lambda x: F.when(x.isNotNull(), F.struct(
+        x.alias("value"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))))
 
 
 def _label(text: Column, field: str) -> Column:
@@ -286,28 +286,35 @@ def reconcile(df: DataFrame, prefill_col: str = "prefill", extraction: str = "ex
     agreement of a weaker rule with the extraction raises the confidence.
     """
     e = c(extraction)
-    chosen, flags = [], []
 
-    def pick(value: Column, source: Column, confidence: Column) -> Column:
-        return F.struct(value.alias("value"), source.alias("source"), confidence.alias("confidence"))
+    def pick(value: Column, source: Column, confidence: Column, differs: Column) -> Column:
+        return F.struct(value.alias("value"), source.alias("source"), confidence.alias("confidence"), differs.alias("differs"))
 
-    for field in PREFILL_FIELDS + EXTRACTOR_FIRST + ["english_mention", "english_level"]:
-        ext = _as_text(e, field)
-        no_ext = _missing(ext)
-        external = F.when(no_ext, pick(ext, F.lit("missing"), F.lit("missing"))).otherwise(pick(ext, F.lit("llm_semantic"), F.lit("medium_confidence")))
-        if field not in PREFILL_FIELDS:
-            chosen += [F.lit(field), external]
-            continue
+    no = F.lit(False)
+
+    def external(ext: Column, no_ext: Column) -> Column:
+        return F.when(no_ext, pick(ext, F.lit("missing"), F.lit("missing"), no)).otherwise(pick(ext, F.lit("llm_semantic"), F.lit("medium_confidence"), no))
+
+    def judge(field: str) -> Column:
+        """The choice of a field, and whether both sides differ; they are compared once, and only where both say something."""
         p = c(prefill_col)[field]
-        level = F.coalesce(p["confidence"], F.lit("missing"))
-        same = _same(p["value"], ext)
-        differs = (level != "missing") & ~no_ext & ~same
-        agreed = (level == "medium_confidence") & ~no_ext & same
-        ruled = pick(p["value"], p["source"], level)
-        chosen += [F.lit(field), F.when(agreed, pick(ext, F.lit("parser_confirmed_by_llm"), F.lit("high_confidence"))).when(
-            level != "missing", ruled).otherwise(external)]
-        flags.append(F.when(differs, F.lit(field)))
-    staged = seal(df, {"_final": F.create_map(*chosen), "conflict_flags": F.array_sort(F.array_compact(F.array(*flags)))})
+        ext = _as_text(e, field)
+        known = F.struct(p["value"].alias("value"), p["source"].alias("source"), F.coalesce(p["confidence"], F.lit("missing")).alias("level"), ext.alias("ext"), _missing(ext).alias("no_ext"))
+
+        def choose(x: Column) -> Column:
+            said = x["level"] != "missing"
+            return let(F.when(said & ~x["no_ext"], _same(x["value"], x["ext"])), lambda same: F.when(
+                (x["level"] == "medium_confidence") & F.coalesce(same, no), pick(x["ext"], F.lit("parser_confirmed_by_llm"), F.lit("high_confidence"), no)).when(
+                said, pick(x["value"], x["source"], x["level"], F.coalesce(~same, no))).otherwise(external(x["ext"], x["no_ext"])))
+
+        return let(known, choose)
+
+    chosen = [x for f in PREFILL_FIELDS for x in (F.lit(f), judge(f))]
+    for f in [*EXTRACTOR_FIRST, "english_mention", "english_level"]:
+        ext = _as_text(e, f)
+        chosen += [F.lit(f), external(ext, _missing(ext))]
+    judged = seal(df, {"_final": F.create_map(*chosen)})
+    staged = seal(judged, {"conflict_flags": F.array_sort(F.map_keys(F.map_filter("_final", lambda k, x: x["differs"])))})
     part = lambda name: F.transform_values("_final", lambda k, x: x[name])
     return staged.withColumns({
         "final_values": part("value"), "final_sources": part("source"), "final_confidence": part("confidence"), "review_flags": c("conflict_flags"),

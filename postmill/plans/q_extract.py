@@ -89,8 +89,12 @@ def _(i):
     return out.select("id", c("extraction.city").alias("city"), F.array_join("extraction.hard_skills", "|").alias("hard_skills"), c("extraction.salary_raw").alias("salary_raw"))
 
 
-def reconciled(i):
-    return e.reconcile(e.prefill(e.sanitize(checked(i), "text"), "text"))
+def sanitized(i):
+    return e.sanitize(checked(i), "text")
+
+
+def reconciled(clean):
+    return e.reconcile(e.prefill(clean, "text"))
 
 
 @query("reconcile_fields", f"""
@@ -100,7 +104,7 @@ SELECT id, {m({0: "'Acme ' || n", 2: "'beta ' || n"}).replace("'beta '", "'Beta
 FROM chat_ads WHERE {WHOLE} AND v <> 3
 UNION ALL SELECT id, NULL, NULL, 'missing', 'missing', 'missing', 'missing', CASE WHEN n * 1000 = 700000 THEN 'salary_to' WHEN n * 1000 < 700000 THEN 'salary_to' ELSE 'salary_from,salary_to' END FROM chat_ads WHERE v = 3""")
 def _(i):
-    out = reconciled(i)
+    out = reconciled(sanitized(i))
     return out.select("id", c("final_values")["company"].alias("company"), c("final_values")["city"].alias("city"), c("final_sources")["company"].alias("company_source"),
                       c("final_sources")["city"].alias("city_source"), c("final_sources")["employment"].alias("employment_source"),
                       c("final_confidence")["employment"].alias("employment_conf"), F.array_join("conflict_flags", ",").alias("conflicts"))
@@ -111,7 +115,7 @@ SELECT id, {m({0: "'almaty'", 1: "'remote'", 2: "'astana'"})} AS city, {m({0: "'
   {m({5: "false"})} AS english_required, {m({4: "'internship_level_review'", 5: "'english_level_reset_without_mention,english_required_reset_without_mention'"}, "''")} AS fixes,
   {m({4: "'internship_level_consistency'", 2: "'city'", 1: "'salary_raw'", 3: "'salary_to'"}, "''")} AS review_flags FROM chat_ads WHERE {WHOLE}""")
 def _(i):
-    out = e.validate_record(e.final_record(reconciled(i)))
+    out = e.validate_record(e.final_record(reconciled(sanitized(i))))
     return out.select("id", "city", "employment", "english_level", "english_required", F.array_join("validation_fixes", ",").alias("fixes"), F.array_join("review_flags", ",").alias("review_flags"))
 
 
@@ -125,8 +129,8 @@ def _(i):
     return out.select("id", "extraction_confidence", "signal_count", "major_signal_count")
 
 
-def merged(i):
-    base = e.confidence(e.sanitize(checked(i), "text")).join(i.sql(
+def merged(i, clean):
+    base = e.confidence(clean).join(i.sql(
         """SELECT id, CASE WHEN id % 4 = 0 THEN 'unknown' ELSE company_clean END AS company, city_norm AS city, CASE WHEN id % 2 = 0 THEN category_filled END AS category,
            CAST(NULL AS STRING) AS title_normalized, CAST(salary_from_clean AS BIGINT) AS salary_from, CAST(NULL AS BIGINT) AS salary_to, CAST(NULL AS ARRAY<STRING>) AS hard_skills,
            '' AS extraction_method, 0.2 AS llm_confidence FROM postings"""), "id")
@@ -148,7 +152,7 @@ SELECT id, CASE WHEN m_company THEN 'beta ' || n ELSE b_company END AS company,
   CASE WHEN NOT (m_category OR m_city OR m_company OR m_hard OR m_from OR m_to OR m_title) THEN 'no_missing_targets' WHEN v = 1 THEN 'auto_merged' ELSE 'merged_with_review' END AS llm_merge_status
 FROM f""")
 def _(i):
-    return merged(i).select("id", "company", "city", "salary_from", F.array_join("merged_fields", ",").alias("merged_fields"), "llm_merge_status")
+    return merged(i, sanitized(i)).select("id", "company", "city", "salary_from", F.array_join("merged_fields", ",").alias("merged_fields"), "llm_merge_status")
 
 
 @query("join_patch", """
@@ -191,9 +195,10 @@ p AS (SELECT {', '.join(f"{PREFILL_EXPECTED[f]} AS {f}" for f in PARSED)} FROM c
 ]))
 def _(i):
     before = i.sql("SELECT id, company_clean AS company, city_norm AS city FROM postings")
-    # Both rule chains run once; the report reads their rows several times.
+    # Every rule chain runs once: both branches read the checked records, and the report reads their rows several times.
     ensure_checkpoint_dir(i.spark)
-    after = merged(i).join(reconciled(i).select("id", "conflict_flags", "prefill", "final_values"), "id")
+    clean = sanitized(i).select("id", "source", "text", "extraction").checkpoint()
+    after = merged(i, clean).join(reconciled(clean).select("id", "conflict_flags", "prefill", "final_values"), "id")
     after = after.select("id", "company", "city", "source", "llm_merge_status", "conflict_flags", "prefill", "final_values").checkpoint()
     chat = ~c("source").isin("hh_kz", "kaspi_jobs", "kolesa_jobs")
     filled = lambda x: x.isNotNull() & (x != "unknown")
