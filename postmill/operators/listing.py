@@ -12,6 +12,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from postmill.operators.rows import FACET_COLUMNS
 from postmill.operators.spread import number_rows
@@ -40,24 +41,26 @@ def write_listing(df: DataFrame, path: str, order: Sequence[str], facets: Sequen
     placed = numbered.withColumn("block", F.floor(F.col("row_no") / block).cast("long"))
     placed.repartitionByRange("row_no").sortWithinPartitions("row_no").write.mode("overwrite").partitionBy("block").parquet(f"{path}/rows")
     spark = df.sparkSession
-    rows = spark.read.parquet(f"{path}/rows")
+    # The schema is given, as a listing without rows has no file to tell it.
+    rows = spark.read.schema(placed.schema).parquet(f"{path}/rows")
     pairs = F.array(F.struct(F.lit(ALL).alias("facet"), F.lit(ALL).alias("value")), *[
         F.struct(F.lit(x).alias("facet"), F.trim(F.col(column).cast("string")).alias("value")) for x, column in columns.items()])
     entries = rows.select("row_no", F.inline(pairs)).where("value IS NOT NULL AND value <> ''")
     # Values are combined where they lie; a chunk's bits meet once for each value.
     index = entries.select("facet", "value", *_bits()).groupBy("facet", "value", "chunk").agg(F.bitmap_construct_agg("bit").alias("bits"))
     index.write.mode("overwrite").partitionBy("facet").parquet(f"{path}/index")
-    return Listing(spark, path, block)
+    return Listing(spark, path, block, placed.schema)
 
 
 class Listing:
     """Counts and pages of a stored listing under a selection: facet → values, of which any will do; facets without values don't narrow."""
 
-    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK):
-        self.spark, self.path, self.block = spark, path, block
+    def __init__(self, spark: SparkSession, path: str, block: int = BLOCK, schema: StructType | None = None):
+        self.spark, self.path, self.block, self.schema = spark, path, block, schema
 
     def rows(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/rows")
+        reader = self.spark.read if self.schema is None else self.spark.read.schema(self.schema)
+        return reader.parquet(f"{self.path}/rows")
 
     def index(self) -> DataFrame:
         return self.spark.read.schema("facet string, value string, chunk long, bits binary").parquet(f"{self.path}/index")
