@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from postmill.llm.components import connected_components
 from postmill.llm.text_arrays import bytes_of, mix, pieces, rolled, word_bounds, word_hashes
-from postmill.session import ensure_checkpoint_dir
+from postmill.session import compact_checkpoint, ensure_checkpoint_dir
 
 SHINGLE_WORDS = 5
 #: Links need 100 * intersection >= LINK * union.
@@ -340,13 +340,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = rows.mapInArrow(_signed, SIGNED).checkpoint()
     real = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = real.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"), F.first("sig").alias("sig"))
-    nodes = classes.select("node", "n", "sig", "set_key").checkpoint()
+    docs_n = signed.count()
+    nodes = compact_checkpoint(classes.select("node", "n", "sig", "set_key"), docs_n)
 
     part = nodes.select("node", "sig").mapInArrow(_regions(DEPTHS[0]), "region long, tree int, node long")
     groups, hubs, whole, salt = None, None, None, F.lit(0).cast("long")
     for depth in DEPTHS:
         sizes = part.groupBy("region").agg(F.count("*").alias("size"), F.min("node").alias("least")).where("size > 1")
-        crowded = part.join(sizes, "region").checkpoint()
+        crowded = compact_checkpoint(part.join(sizes, "region"), docs_n * TREES)
         whole = crowded if depth == DEPTHS[0] else whole
         small = crowded.where(F.col("size") <= REGION).select("region", "tree", "node", salt.alias("salt"))
         groups = small if groups is None else groups.union(small)
@@ -368,7 +369,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     edges = full.repartition("region").sortWithinPartitions("region").mapInArrow(_by_region(partial(_pairs, link=link)), EDGES)
     if hubs is not None:
         edges = edges.union(hubs)
-    edges = edges.groupBy("chunk", "a", "b").agg(F.min("kind").alias("kind")).checkpoint()
+    edges = compact_checkpoint(edges.groupBy("chunk", "a", "b").agg(F.min("kind").alias("kind")), docs_n * TREES)
 
     links = _links(rows, edges, link).checkpoint()
     # What the orders and splits above left apart: pairs of unlike components in the regions of the first depth, all of them.

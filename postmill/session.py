@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows for which a checkpoint gets a file.
+FILE_ROWS = 1 << 15
 
 
 def local_session(cpus: int | str = "*", partitions: int = 8, memory: str = "16g") -> SparkSession:
@@ -40,3 +43,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     target = shared or tempfile.mkdtemp(prefix="postmill-checkpoint-")
     sc.setCheckpointDir(target)
     return target
+
+
+def compact_checkpoint(frame: DataFrame, rows: int) -> DataFrame:
+    """``frame`` on a checkpoint, in a file for each FILE_ROWS of about ``rows`` rows, and in no more files than ``frame`` has partitions.
+
+    Each file of a checkpoint makes its executor start two processes where Hadoop's native library is missing (chmod of the file and of its
+    checksum), so small tables should not have as many files as shuffles have partitions.
+    """
+    ensure_checkpoint_dir(frame.sparkSession)
+    return frame.coalesce(max(1, -(-rows // FILE_ROWS))).checkpoint()

@@ -2,10 +2,13 @@ from __future__ import annotations
 
 import re
 from itertools import combinations
+from pathlib import Path
 
 import pytest
 
 from postmill.llm import lsh_forest
+from postmill.llm.components import connected_components
+from postmill.session import ensure_checkpoint_dir
 from tests.llm.conftest import WORDS, prose
 
 SCHEMA = "doc_id long, text string, component_id string"
@@ -121,3 +124,22 @@ def test_boilerplate_family(spark, rng, monkeypatch, region):
     want = brute(rows)
     assert sum(kept for *_, kept in want) == 81
     assert found(spark, rows) == want
+
+
+def test_small_rounds_have_few_files(spark):
+    """The rounds of a small edge table are written in a file each, not in one for each shuffle partition."""
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    folder = Path(ensure_checkpoint_dir(spark).removeprefix("file:"))
+    rounds = set(folder.iterdir())
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "32")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.createDataFrame([(k + 1, k) for k in range(40)] + [(101, 100)], "a long, b long")
+        got = {tuple(r) for r in connected_components(edges).collect()}
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert got == {(k, 0) for k in range(41)} | {(100, 100), (101, 100)}
+    files = [len(list(x.glob("part-*"))) for x in set(folder.iterdir()) - rounds]
+    # Only the edges themselves are written before their number is known.
+    assert len(files) > 2 and sum(n > 1 for n in files) <= 1
