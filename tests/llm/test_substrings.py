@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import cProfile
 import hashlib
 import tracemalloc
 
@@ -83,6 +84,40 @@ def test_suffix_order(rng):
         assert [raw[i : i + 64] for i in order] == sorted(raw[i : i + 64] for i in range(len(raw)))
 
 
+def test_ranks_are_those_of_the_depth(rng):
+    """Ranks are equal for equal first bytes only, also with room; refinement used to go on to 64 bytes, at every position."""
+    for alphabet in (1, 2, 40, 256):
+        stretch = [rng.randrange(alphabet) for _ in range(90)]
+        sizes, text = [], []
+        for _ in range(30):
+            a, b = rng.randrange(20), rng.randrange(60, 91)
+            text += [*stretch[a:b], *(rng.randrange(alphabet) for _ in range(5))]
+            sizes.append(b - a + 5)
+        raw = bytes(text)
+        text, ends = np.array(text, np.uint8), np.repeat(np.cumsum(sizes), sizes)
+        room = ends - np.arange(len(text))
+        for depth in (3, 50, 64):
+            for at, given in ((range(len(raw)), None), (np.flatnonzero(room >= depth).tolist(), room)):
+                order, rank = suffix_dedup.suffix_array(text, depth, given)
+                keys = [raw[i : i + depth] for i in at]
+                assert sorted(order.tolist()) == list(at) and [raw[i : i + depth] for i in order] == sorted(keys)
+                # As many ranks as there are strings, and as many pairs of both.
+                assert len(set(keys)) == len({int(rank[i]) for i in at}) == len({(k, int(rank[i])) for k, i in zip(keys, at, strict=True)})
+    assert len(suffix_dedup.suffix_array(text[:0], 50)[0]) == 0
+
+
+def test_long_runs_are_walked_in_parts(rng):
+    """One run of 4096 windows in a shard took 4096 steps over all its arrays: 94 708 calls."""
+    text = np.array([rng.randrange(97, 123) for _ in range(4145)], np.uint8)
+    n = np.array([4096, 4096, *[11] * 200])
+    at = np.append(0, np.cumsum(n + 49))
+    s = Stretches(np.arange(202), np.zeros(202, np.int64), np.zeros(202, np.int64), n, at, np.concatenate([text, text, *[text[k : k + 60] for k in range(200)]]))
+    profile = cProfile.Profile()
+    hit = profile.runcall(suffix_dedup.later_windows, s)
+    assert not hit[:4096].any() and hit[4096:].all()
+    assert sum(e.callcount for e in profile.getstats()) < 10_000
+
+
 @pytest.mark.parametrize(("later", "size"), [(suffix_dedup.later_windows, 50), (phrase_automata.later_windows, 13)])
 def test_sub_shards_meet(rng, later, size):
     """A hash with more stretches than a sub-shard takes gives the same windows."""
