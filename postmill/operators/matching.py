@@ -161,7 +161,7 @@ def match(
     empty = F.array().cast("array<string>")
     p = postings.withColumn("part", part_p).filter(c("part").isNotNull()).join(spelled, "id", "left").select(
         "id", "part", "salary_avg_clean", F.coalesce("skills", empty).alias("skills"))
-    keys = F.array_sort(F.array_distinct(F.transform("skills", lambda x: F.lower(x))))
+    keys = F.sort_array(F.array_distinct(F.transform("skills", lambda x: F.lower(x))))
     p = p.withColumn("keys", keys).withColumns({"skills_count": F.size("skills").cast("long"), "psig": F.unhex(_set_id("part", "keys"))})
     heads = head_per_key(p.drop("keys"), ["part", "psig"], best_first, 2 * top_n, "in_sig").withColumn("keys", keys)
     sets = heads.groupBy("part", "psig").agg(
@@ -192,14 +192,16 @@ def match(
     final = head_per_key(hits.unionByName(zeros), ["ask_no"], order, top_n, "match_no")
     skills = F.element_at("heads", c("in_sig"))["skills"].alias("skills")
     final = final.join(sets.select(c("no").alias("offer_no"), "heads"), "offer_no").select("ask_no", "id", "score", "salary_avg_clean", "skills_count", "match_no", skills)
+    final = final.withColumn("low", F.transform("skills", lambda x: F.lower(x)) == c("skills"))
     final = final.join(csets.select(c("no").alias("ask_no"), "csig"), "ask_no").drop("ask_no")
 
     out = cs.select("cand_id", "part", "csig", "ckeys").join(final, "csig")
+    # Skills in lower case are keys as they are; in others each is looked for by its key.
     mine = lambda s: F.array_contains(c("ckeys"), F.lower(s))
     return out.select(
         "cand_id", "part", "id", "score", "salary_avg_clean", "skills_count", c("match_no").cast("long").alias("match_no"),
-        F.filter("skills", mine).alias("matched_skills"),
-        F.filter("skills", lambda s: ~mine(s)).alias("missing_skills"),
+        F.when(c("low"), F.array_intersect("skills", "ckeys")).otherwise(F.filter("skills", mine)).alias("matched_skills"),
+        F.when(c("low"), F.array_except("skills", "ckeys")).otherwise(F.filter("skills", lambda s: ~mine(s))).alias("missing_skills"),
     )
 
 

@@ -1,8 +1,9 @@
 """Best sets per set by Jaccard, exactly, in blocks: no pair of sets is ever a row, only what can be among the best is.
 
 Sets of both sides are packed into blocks by part and size, with the block's own words. Every asked set first gets a score that it
-surely reaches, from the largest sets of its part; a pair of blocks meets only where the sizes allow one of these scores. Inside a pair of
-blocks, tiles of overlaps are matrix products over the frequent common words, and the rest are added word by word.
+surely reaches, from the largest sets of its part; a pair of blocks meets only where the sizes allow one of these scores. An asked block meets
+its offered blocks in one task, the largest sets first, so that its scores rise and fewer of the smaller sets count. Inside a pair of
+blocks, overlaps of tiles are counted bits of the frequent common words, and the rest are added word by word.
 """
 
 from __future__ import annotations
@@ -18,8 +19,12 @@ from postmill.session import ensure_checkpoint_dir
 
 #: Sets of a block at most, asked and offered; the largest sets of a part that give the first scores.
 ASKED_ROWS, OFFERED_ROWS, SEEDS = 8192, 16384, 2048
-#: Asked and offered sets of a tile, and words that are compared as columns of a matrix.
-ASKED_STEP, OFFERED_STEP, DENSE = 1024, 4096, 512
+#: Asked sets of a block at least, but for the last ones.
+LEAST_ROWS = 1024
+#: Asked and offered sets of a tile, offered sets of a size that make a tile of their own, and words that are compared as bits.
+ASKED_STEP, OFFERED_STEP, LEAST_STEP, DENSE = 256, 1024, 128, 512
+#: Tasks at most in which asked blocks meet offered ones.
+MOST_TASKS = 4096
 PACKED = "ids binary, sizes binary, codes binary, words array<string>"
 
 
@@ -48,15 +53,20 @@ class _Block:
         return at[keep], dim[keep]
 
 
-def _tile(entries: tuple[np.ndarray, np.ndarray], n: int, width: int) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
-    """Rows as a matrix of the frequent words, with a free last column, and the entries of the others by word."""
-    at, dim = entries
-    dense = np.zeros((n, width + 1), np.float32)
-    front = dim < width
-    dense[at[front], dim[front]] = 1
-    at, dim = at[~front], dim[~front]
-    order = np.argsort(dim, kind="stable")
-    return dense, (at[order], dim[order])
+def _bits(at: np.ndarray, dim: np.ndarray, n: int, width: int) -> np.ndarray:
+    """Frequent words of each set as bits, 64 to a lane."""
+    out = np.zeros((n, max(1, -(-width // 64))), np.uint64)
+    np.add.at(out, (at, dim >> 6), np.uint64(1) << (dim & 63).astype(np.uint64))
+    return out
+
+
+def _tiles(sizes: np.ndarray) -> list[slice]:
+    """Cuts of falling sizes: of OFFERED_STEP sets at most, and where the size changes if that leaves no tiny tile."""
+    cuts = [0]
+    for end in [*(np.flatnonzero(np.diff(sizes)) + 1).tolist(), len(sizes)]:
+        if end - cuts[-1] >= LEAST_STEP or end == len(sizes):
+            cuts += [*range(cuts[-1] + OFFERED_STEP, end, OFFERED_STEP), end]
+    return [slice(x, y) for x, y in zip(cuts, cuts[1:])]
 
 
 def search(c: _Block, floor: np.ndarray, p: _Block, top: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -74,55 +84,73 @@ def search(c: _Block, floor: np.ndarray, p: _Block, top: int) -> tuple[np.ndarra
         p_dims[k], c_dims[i] = d, d
     width = min(len(both_have), DENSE)
     by_size = np.argsort(-p.sizes, kind="stable")
-    tiles = [by_size[a : a + OFFERED_STEP] for a in range(0, len(by_size), OFFERED_STEP)]
-    packed = [_tile(p.entries(p_dims, rows), len(rows), width) for rows in tiles]
+    sizes = p.sizes[by_size]
+    o_at, o_dim = p.entries(p_dims, by_size)
+    offered = _bits(o_at[o_dim < width], o_dim[o_dim < width], len(by_size), width)
+    o_at, o_dim = o_at[o_dim >= width], o_dim[o_dim >= width]
+    order = np.argsort(o_dim, kind="stable")
+    o_at, o_dim = o_at[order], o_dim[order]
+    s_at, s_dim = c.entries(c_dims, np.arange(len(c.ids)))
+    asked = _bits(s_at[s_dim < width], s_dim[s_dim < width], len(c.ids), width)
+    s_at, s_dim = s_at[s_dim >= width], s_dim[s_dim >= width]
+
+    tiles = []
+    for cut in _tiles(sizes):
+        mine = (o_at >= cut.start) & (o_at < cut.stop)
+        tiles.append((by_size[cut], sizes[cut], offered[cut], o_at[mine] - cut.start, o_dim[mine]))
     out = []
     for a in range(0, len(c.ids), ASKED_STEP):
-        rows = np.arange(a, min(a + ASKED_STEP, len(c.ids)))
+        rows = slice(a, min(a + ASKED_STEP, len(c.ids)))
         cn, f = c.sizes[rows], floor[rows].astype(np.float64)
-        dense, (s_at, s_dim) = _tile(c.entries(c_dims, rows), len(rows), width)
+        bits, own = asked[rows], slice(*np.searchsorted(s_at, [rows.start, rows.stop]))
+        words = s_at[own] - a, s_dim[own]
         held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-        for cols, (offered, (o_at, o_dim)) in zip(tiles, packed, strict=True):
-            pn = p.sizes[cols]
+        for cols, pn, tile, t_at, t_dim in tiles:
             if not (pn[0] >= f * cn - 1e-9).any():
                 break  # the rest is smaller still
             live = np.flatnonzero((pn[0] >= f * cn - 1e-9) & (pn[-1] * f <= cn + 1e-9))
             if not len(live):
                 continue
-            new = live[f[live] == 0]
+            both = _overlap(bits, tile, *words, t_at, t_dim, live)
+            new = np.flatnonzero(f[live] == 0)
             if len(new) and len(cols) >= top:
-                both = _overlap(dense[new], offered, s_at, s_dim, o_at, o_dim, new, len(rows)).astype(np.float64)
-                score = both / (cn[new, None] + pn - both)
-                f[new] = np.partition(score, len(cols) - top, axis=1)[:, len(cols) - top]
-            # Shared words >= r * (both sizes): the offered size goes into the product as one more column.
-            r = f / (1 + f)
-            dense[:, width], offered[:, width] = -r, pn
-            s = _overlap(dense[live], offered, s_at, s_dim, o_at, o_dim, live, len(rows))
-            dense[:, width] = offered[:, width] = 0
-            slack = 1e-3 + 1e-5 * (cn[live] + pn[0])
-            i, j = np.nonzero(s >= np.where(f[live] > 0, r[live] * cn[live] - slack, 0.5).astype(np.float32)[:, None])
-            both = np.rint(s[i, j] + r[live][i] * pn[j])
+                first = both[new, : max(top, LEAST_STEP)].astype(np.float64)
+                score = first / (cn[live[new], None] + pn[: first.shape[1]] - first)
+                f[live[new]] = np.partition(score, score.shape[1] - top, axis=1)[:, score.shape[1] - top]
+            # Shared words >= f / (1 + f) * (both sizes), by the least size of the tile; what is left is settled by its score.
+            r = f[live] / (1 + f[live])
+            need = np.maximum(np.ceil(r * (cn[live] + pn[-1]) - 1e-6), 1)
+            hits = np.flatnonzero(both >= np.minimum(need, np.iinfo(both.dtype).max).astype(both.dtype)[:, None])
+            i, j = np.divmod(hits, len(cols))
+            both = both.ravel()[hits].astype(np.float64)
             i = live[i]
             score = both / (cn[i] + pn[j] - both)
-            keep = (both > 0) & (score >= f[i])
+            keep = score >= f[i]
+            if not keep.any():
+                continue
             held = _heads(*(np.concatenate(x) for x in zip(held, (i[keep], cols[j[keep]], score[keep]), strict=True)), top)
-            full = np.flatnonzero(np.bincount(held[0], minlength=len(rows)) == top)
+            full = np.flatnonzero(np.bincount(held[0], minlength=len(cn)) == top)
             f[full] = np.maximum(f[full], held[2][np.searchsorted(held[0], full, side="right") - 1])
         out.append((held[0] + a, held[1], held[2]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-def _overlap(dense, offered, s_at, s_dim, o_at, o_dim, live, n) -> np.ndarray:
-    out = dense @ offered.T
+def _overlap(bits, tile, s_at, s_dim, o_at, o_dim, live) -> np.ndarray:
+    """Shared words of the ``live`` asked sets and a tile: bits of the frequent words, a lane at a time, then the others word by word."""
+    mine = bits if len(live) == len(bits) else bits[live]
+    out = np.bitwise_count(mine[:, :1] & tile[:, 0])
+    for lane in range(1, bits.shape[1]):
+        out = np.add(out, np.bitwise_count(mine[:, lane : lane + 1] & tile[:, lane]), dtype=np.uint16)
     if len(s_dim) and len(o_dim):
-        place = np.full(n, -1)
+        place = np.full(len(bits), -1)
         place[live] = np.arange(len(live))
         row, dim = place[s_at], s_dim
         row, dim = row[row >= 0], dim[row >= 0]
         lo, hi = (np.searchsorted(o_dim, dim, side=s) for s in ("left", "right"))
         size = hi - lo
         j = o_at[np.repeat(lo - np.cumsum(size) + size, size) + np.arange(size.sum())]
-        np.add.at(out, (np.repeat(row, size), j), np.float32(1))
+        out = out.astype(np.int32)
+        np.add.at(out, (np.repeat(row, size), j), 1)
     return out
 
 
@@ -192,13 +220,36 @@ def _ask(rows: int, seeds: dict[str, tuple], top: int):
 
 
 def _compare(top: int):
+    """Each asked block (it has floors) comes before the offered blocks that it meets, which come by falling size: floors rise from block to block."""
+
+    def met(c: _Block, held: list[np.ndarray]):
+        return pa.record_batch({"ask_no": c.ids[held[0]], "offer_no": held[1], "score": held[2]})
+
     def run(batches):
+        c = None
         for batch in batches:
             for row in range(batch.num_rows):
                 get = lambda name: batch.column(name)[row].as_py()  # noqa: B023, E731
-                c, p = (_Block(*(get(f"{s}_{n}") for n in NAMES)) for s in "cp")
-                who, what, score = search(c, np.frombuffer(get("floors"), np.float64), p, top)
-                yield pa.record_batch({"ask_no": c.ids[who], "offer_no": p.ids[what], "score": score})
+                block = _Block(*(get(n) for n in NAMES))
+                if (floors := get("floors")) is not None:
+                    if c is not None:
+                        yield met(c, held)
+                    c, floor, best = block, np.frombuffer(floors, np.float64).copy(), np.zeros((len(block.ids), top))
+                    held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+                    continue
+                who, what, score = search(c, floor, block, top)
+                if not len(who):
+                    continue
+                new = np.zeros_like(best)
+                order = np.argsort(who, kind="stable")
+                new[who[order], np.arange(len(who)) - np.searchsorted(who[order], who[order])] = score[order]
+                best = np.partition(np.hstack([best, new]), top, axis=1)[:, top:]
+                floor = np.maximum(floor, best[:, 0])
+                held = [np.concatenate(x) for x in zip(held, (who, block.ids[what], score), strict=True)]
+                keep = held[2] >= floor[held[0]]
+                held = [x[keep] for x in held]
+        if c is not None:
+            yield met(c, held)
 
     return run
 
@@ -207,7 +258,8 @@ def best_sets(asked: DataFrame, offered: DataFrame, ties: Sequence[Column], top:
     """(ask_no, offer_no, score): pairs of sets of one part that share a word, among them each asked set's ``top`` by score and ``ties``.
 
     Both tables have (no, part, keys), of distinct keys, and must give the same rows whenever they are read; ``offered`` may have further columns that
-    ``ties`` reads. Rows without part or keys take no part. Each pair of blocks gives at most ``top`` rows for an asked set.
+    ``ties`` reads. Rows without part or keys take no part. Each pair of blocks gives at most ``top`` rows for an asked set, and only those that
+    reach the ``top`` best scores of all its blocks are left.
     """
     spark = asked.sparkSession
     ensure_checkpoint_dir(spark)
@@ -222,14 +274,21 @@ def best_sets(asked: DataFrame, offered: DataFrame, ties: Sequence[Column], top:
     dealt = max(1, min(-(-n_offered // OFFERED_ROWS) + 32, -(-n_offered // 256)))
     p = offered.withColumn("_n", size).repartitionByRange(dealt, "part", F.desc("_n"), "no").sortWithinPartitions("part", *ties).select("no", "part", "keys")
     p = p.mapInArrow(_offer, "part string, hi int, lo int, " + ", ".join(f"p_{x}" for x in PACKED.split(", "))).withColumn("p_no", F.monotonically_increasing_id()).checkpoint()
-    rows = min(ASKED_ROWS, max(ASKED_STEP, -(-n_asked // tasks)))
-    q = asked.withColumn("_n", size).repartitionByRange(max(1, -(-n_asked // rows)), "part", "_n", "no").sortWithinPartitions("part", "_n", "no").select("no", "part", "keys")
+    rows = min(ASKED_ROWS, max(LEAST_ROWS, -(-n_asked // tasks)))
+    blocks = max(1, -(-n_asked // rows))
+    q = asked.withColumn("_n", size).repartitionByRange(blocks, "part", "_n", "no").sortWithinPartitions("part", "_n", "no").select("no", "part", "keys")
     q = q.mapInArrow(_ask(rows, seeds, top), "part string, least double, most double, floors binary, " + ", ".join(f"c_{x}" for x in PACKED.split(", "))).withColumn("c_no", F.monotonically_increasing_id()).checkpoint()
 
+    # An asked block and the offered blocks that it meets go to one task, dealt by number so that size in bytes does not choose how many run.
+    # Where asked blocks are fewer than tasks, lanes share the offered ones.
+    lanes = -(-tasks // blocks)
     meet = (F.col("hi") >= F.col("least")) & (F.col("lo") <= F.col("most"))
     pairs = q.select("c_no", "part", "least", "most").join(p.select("p_no", "part", "hi", "lo"), "part").filter(meet).select("c_no", "p_no")
-    work = pairs.join(p.drop("part", "hi", "lo"), "p_no").join(q.drop("part", "least", "most"), "c_no")
-    return work.mapInArrow(_compare(top), "ask_no long, offer_no long, score double")
+    met = pairs.join(p, "p_no").select("c_no", F.pmod("p_no", F.lit(lanes)).cast("int").alias("lane"), "hi", "lo", F.lit(None).cast("binary").alias("floors"), *(F.col(f"p_{n}").alias(n) for n in NAMES))
+    none = F.lit(None).cast("int")
+    work = q.select("c_no", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"), none.alias("hi"), none.alias("lo"), "floors", *(F.col(f"c_{n}").alias(n) for n in NAMES)).unionByName(met)
+    work = work.repartition(min(MOST_TASKS, 2 * blocks * lanes), "c_no", "lane").sortWithinPartitions("c_no", "lane", F.desc_nulls_first("hi"), F.desc("lo"))
+    return work.select("floors", *NAMES).mapInArrow(_compare(top), "ask_no long, offer_no long, score double")
 
 
 def _seed_blocks(seeds: DataFrame) -> list[pa.RecordBatch]:

@@ -203,6 +203,15 @@ def test_all_missing_skills_are_kept(spark):
     assert len(got["missing_skills"]) == 13 and len(got["shown"]) == 8
 
 
+def test_skills_of_any_spelling_are_matched(spark):
+    posts = spark.createDataFrame([(1, 100.0), (2, 50.0)], "id long, salary_avg_clean double")
+    skills = spark.createDataFrame([(1, "SQL"), (1, "sql"), (1, "Go"), (2, "go"), (2, "rust")], "id long, skill string")
+    mine = spark.createDataFrame([(7, "Sql"), (7, "GO")], "cand_id long, skill string")
+    got = {r["id"]: r for r in matching.match(spark.createDataFrame([(7,)], "cand_id long"), mine, posts, skills, 3).collect()}
+    assert got[1]["matched_skills"] == ["Go", "SQL", "sql"] and got[1]["missing_skills"] == [] and got[1]["score"] == 1.0
+    assert got[2]["matched_skills"] == ["go"] and got[2]["missing_skills"] == ["rust"]
+
+
 def test_report_shares_and_alarm(spark):
     schema = "id string, city string, llm_merge_status string, source string, conflict_flags array<string>, hit boolean"
     after = spark.createDataFrame([("a", "x", "failed", "s", [], True), ("b", "x", "failed", "t", [], None), ("c", "x", "auto_merged", "t", [], True)], schema)

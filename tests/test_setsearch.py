@@ -53,3 +53,22 @@ def test_empty(spark):
     some = spark.createDataFrame([(1, "", ["x"]), (2, "", [])], "no long, part string, keys array<string>")
     for a, b in ((none, some), (some, none), (none, none)):
         assert setsearch.best_sets(a, b, [F.asc("no")], 5).count() == 0
+
+
+def test_scores_rise_from_block_to_block(spark):
+    """Offered blocks with lower scores than those an asked set has reached give it no rows, whatever the number of blocks."""
+    asked = spark.range(200).select(F.col("id").alias("no"), F.lit("").alias("part"), F.array(F.lit("x"), F.concat(F.lit("a"), "id")).alias("keys"))
+    words = F.transform(F.sequence(F.lit(0), F.col("id") % 12), lambda k: F.when(k == 0, F.lit("x")).otherwise(F.concat_ws("_", F.lit("b"), "id", k)))
+    offered = spark.range(3000).select(F.col("id").alias("no"), F.lit("").alias("part"), words.alias("keys"))
+    got = setsearch.best_sets(asked, offered, [F.asc("no")], 5).collect()
+    assert {r["score"] for r in got} == {0.5} and len(got) <= 200 * 5 * 3
+    assert {(a, 12 * k) for a in range(200) for k in range(5)} <= {(r["ask_no"], r["offer_no"]) for r in got}
+
+
+def test_words_beyond_the_bits(spark):
+    """Sets with more words than a block counts as bits, and with more shared words than a byte holds."""
+    words = [f"w{k}" for k in range(900)]
+    asked = spark.createDataFrame([(1, "", words[:700]), (2, "", words[100:400])], "no long, part string, keys array<string>")
+    offered = spark.createDataFrame([(k, "", words[k : 600 + k]) for k in range(9)], "no long, part string, keys array<string>")
+    got = {(r["ask_no"], r["offer_no"]): r["score"] for r in setsearch.best_sets(asked, offered, [F.asc("no")], 3).collect()}
+    assert got[1, 0] == 600 / 700 and got[2, 0] == 300 / 600 and {k for _, k in got} == {0, 1, 2}
