@@ -5,7 +5,7 @@ The external extractor itself is outside; its results come in as JSON rows.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -26,12 +26,33 @@ LIST_FIELDS = ["hard_skills", "soft_skills", "tech_stack"]
 MISSING = v.MISSING_WORDS_PREFILL
 
 
+# Rules run as compiled projections: what is named several times is a column of its own before it, since ``let`` and generators are
+# evaluated expression by expression, row by row.
+
+def sealed(df: DataFrame, cols: Mapping[str, Column]) -> DataFrame:
+    """``seal`` of columns that are worked out in a projection; the generator only passes them on."""
+    keep = [name for name in df.columns if name not in cols]
+    return df.select(*keep, F.struct(*[col.alias(name) for name, col in cols.items()]).alias("_row")).select(*keep, F.inline(F.array("_row")))
+
+
+def _chain(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: Column | None = None) -> Column:
+    """``first_hit`` of a text that is a column."""
+    out = F.lit(None).cast("string") if default is None else default
+    for value, words in reversed(rules):
+        out = F.when(contains_any(text, words), F.lit(value)).otherwise(out)
+    return out
+
+
+def _some(items: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(items)``, or no items where there are none."""
+    return F.when(F.size(items) > 0, use(items)).otherwise(F.array().cast("array<string>"))
+
+
 # ---- prefill ---------------------------------------------------------------------------------
 
 def _found(value: Column, source: str, confidence: str) -> Column:
-    """struct<value, source, confidence> for a value that is there, else null."""
-    return let(value.cast("string"), lambda x: F.when(x.isNotNull(), F.struct(
-        x.alias("value"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence"))))
+    """struct<value, source, confidence> for a value that is there, else null; ``value`` is a column."""
+    return F.when(value.isNotNull(), F.struct(value.cast("string").alias("value"), F.lit(source).alias("source"), F.lit(confidence).alias("confidence")))
 
 
 def _label(text: Column, field: str) -> Column:
@@ -39,13 +60,13 @@ def _label(text: Column, field: str) -> Column:
     return F.nullif(squeeze(F.regexp_extract(text, rf"(?imU)^(?:{v.PREFILL_LABELS[field]})\s*[:\-]\s*(.+)$", 1)), F.lit(""))
 
 
-def label_city(text: Column) -> Column:
-    return let(F.lower(squeeze(text)), lambda t: F.when(F.length(t) >= 2, first_hit(t, v.CITY_WORDS, F.lit("other"))).otherwise(
-        first_hit(t, v.CITY_WORDS)))
+def _city(low: Column) -> Column:
+    """City of a lower-case text that is a column."""
+    return _chain(low, v.CITY_WORDS, F.when(F.length(low) >= 2, F.lit("other")))
 
 
-def _lower_hit(text: Column, rules) -> Column:
-    return first_hit(F.lower(squeeze(text)), rules)
+def label_city(text: Column) -> Column:
+    return let(F.lower(squeeze(text)), _city)
 
 
 def prefill_currency(text: Column) -> Column:
@@ -111,22 +132,23 @@ EXPERIENCE_CLAUSE = (
 
 def prefill(df: DataFrame, text: str, out: str = "prefill") -> DataFrame:
     """Map of field → struct<value, source, confidence>: label lines first, then rules inside the text."""
-    t = F.coalesce(c(text), F.lit(""))
-    staged = df.withColumns({
+    t, low = c("_t"), c("_low")
+    labels = {"_lc": "city", "_lm": "employment", "_lf": "work_format"}
+    staged = df.withColumn("_t", F.coalesce(c(text), F.lit(""))).withColumns({
         "_ls": prefill_salary(_label(t, "salary_raw")), "_le": prefill_experience(_label(t, "experience")),
         "_clause": F.coalesce(F.nullif(F.regexp_extract(t, SALARY_CLAUSE, 0), F.lit("")), F.regexp_extract(t, SALARY_AMOUNT, 0)),
-        "_ee": prefill_experience(F.regexp_extract(t, EXPERIENCE_CLAUSE, 0)),
-        "_lc": label_city(_label(t, "city")),
-        "_lm": _lower_hit(_label(t, "employment"), v.EMPLOYMENT_WORDS), "_lf": _lower_hit(_label(t, "work_format"), v.PREFILL_WORK_FORMAT_WORDS),
-    }).withColumn("_ms", prefill_salary(F.nullif(c("_clause"), F.lit(""))))
+        "_ee": prefill_experience(F.regexp_extract(t, EXPERIENCE_CLAUSE, 0)), "_low": F.lower(squeeze(t)), "_co": _label(t, "company"),
+        "_place": F.when(t.rlike(r"(?iU)(?:#алматы|\bалматы\b|\balmaty\b)"), "almaty").when(
+            t.rlike(r"(?iU)(?:#астана|\bастана\b|\bastana\b|\bnur-sultan\b)"), "astana"),
+        **{name: F.lower(squeeze(_label(t, field))) for name, field in labels.items()},
+    }).withColumns({
+        "_ms": prefill_salary(F.nullif(c("_clause"), F.lit(""))), "_lc": _city(c("_lc")), "_lm": _chain(c("_lm"), v.EMPLOYMENT_WORDS),
+        "_lf": _chain(c("_lf"), v.PREFILL_WORK_FORMAT_WORDS), "_im": _chain(low, v.EMPLOYMENT_WORDS),
+        "_if": F.when(contains_any(low, ["удаленный/гибрид", "удалённый/гибрид", "remote/hybrid"]), "hybrid").otherwise(_chain(low, v.PREFILL_WORK_FORMAT_WORDS)),
+    })
     has_label = c("_ls.raw").isNotNull()
     small = (F.greatest(c("_ms.lo"), c("_ms.hi")) < 1000) & c("_ms.currency").isNull()
     no_label_exp = c("_le.lo").isNull() & c("_le.hi").isNull()
-    place = F.when(t.rlike(r"(?iU)(?:#алматы|\bалматы\b|\balmaty\b)"), "almaty").when(
-        t.rlike(r"(?iU)(?:#астана|\bастана\b|\bastana\b|\bnur-sultan\b)"), "astana")
-    low = F.lower(squeeze(t))
-    either = F.when(contains_any(low, ["удаленный/гибрид", "удалённый/гибрид", "remote/hybrid"]), "hybrid").otherwise(
-        first_hit(low, v.PREFILL_WORK_FORMAT_WORDS))
 
     def two(label: Column, label_source: str, inside: Column) -> Column:
         return F.coalesce(_found(label, label_source, "high_confidence"), _found(inside, "regex_in_text", "medium_confidence"))
@@ -139,15 +161,15 @@ def prefill(df: DataFrame, text: str, out: str = "prefill") -> DataFrame:
 
     missing = F.struct(F.lit(None).cast("string").alias("value"), F.lit("missing").alias("source"), F.lit("missing").alias("confidence"))
     fields = {
-        "company": _found(_label(t, "company"), "rule_label", "high_confidence"),
-        "city": two(c("_lc"), "normalized_label", place),
-        "employment": two(c("_lm"), "normalized_label", _lower_hit(t, v.EMPLOYMENT_WORDS)),
-        "work_format": two(c("_lf"), "normalized_label", either),
+        "company": _found(c("_co"), "rule_label", "high_confidence"),
+        "city": two(c("_lc"), "normalized_label", c("_place")),
+        "employment": two(c("_lm"), "normalized_label", c("_im")),
+        "work_format": two(c("_lf"), "normalized_label", c("_if")),
         "salary_raw": money("raw"), "salary_from": money("lo"), "salary_to": money("hi"), "currency": money("currency"),
         "experience_min": years("lo"), "experience_max": years("hi"),
     }
     pairs = [x for name, col in fields.items() for x in (F.lit(name), F.coalesce(col, missing))]
-    return seal(staged, {out: F.create_map(*pairs)}).drop("_ls", "_le", "_clause", "_ee", "_lc", "_lm", "_lf", "_ms")
+    return sealed(staged, {out: F.create_map(*pairs)}).drop("_t", "_low", "_co", "_place", "_ls", "_le", "_clause", "_ee", "_lc", "_lm", "_lf", "_ms", "_im", "_if")
 
 
 def prefill_hints(col: Column) -> Column:
@@ -167,23 +189,36 @@ NOT_SAID = ["unknown", "null", "none", "n/a", "not specified"]
 
 
 def _said(text: Column) -> Column:
-    return let(squeeze(text), lambda t: F.when((t != "") & ~F.lower(t).isin(NOT_SAID), t))
+    return let(squeeze(text), _meant)
+
 
+def _meant(t: Column) -> Column:
+    """A squeezed text, unless it says that nothing is known."""
+    return F.when((t != "") & ~F.lower(t).isin(NOT_SAID), t)
 
-def _one_of(text: Column, allowed: Sequence[str], aliases: Mapping[str, str] | None = None) -> Column:
-    def pick(key: Column) -> Column:
-        value = F.coalesce(lookup(key, dict(aliases)), key) if aliases else key
-        return F.when(value.isin(list(allowed)), value).otherwise(F.lit("unknown"))
 
-    return let(F.replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), F.lit(" "), F.lit("_")), pick)
+def _one_of(key: Column, allowed: Sequence[str]) -> Column:
+    return F.when(key.isin(list(allowed)), key).otherwise(F.lit("unknown"))
+
+
+def _enum_key(text: Column, aliases: Mapping[str, str] | None = None) -> Column:
+    key = F.replace(F.lower(F.trim(F.coalesce(text, F.lit("")))), F.lit(" "), F.lit("_"))
+    return F.coalesce(lookup(key, dict(aliases)), key) if aliases else key
+
+
+def _category_key(text: Column) -> Column:
+    spaced = F.regexp_replace(F.replace(F.lower(F.trim(text)), F.lit("&"), F.lit(" and ")), "[/.\\-]", " ")
+    return F.replace(squeeze(spaced), F.lit(" "), F.lit("_"))
+
+
+def _category_of(key: Column) -> Column:
+    return F.when(key == "", "unknown").when(key.isin([*v.CATEGORIES, "unknown"]), key).otherwise(
+        F.coalesce(lookup(key, v.EXTRACTION_CATEGORY_ALIASES), _chain(key, v.EXTRACTION_CATEGORY_WORDS, F.lit("other"))))
 
 
 def extraction_category(text: Column) -> Column:
     """Category by name, alias, or the first word list that hits; 'other' for the rest, 'unknown' for nothing."""
-    spaced = F.regexp_replace(F.replace(F.lower(F.trim(text)), F.lit("&"), F.lit(" and ")), "[/.\\-]", " ")
-    alias = v.EXTRACTION_CATEGORY_ALIASES
-    return let(F.replace(squeeze(spaced), F.lit(" "), F.lit("_")), lambda key: F.when(key == "", "unknown").when(
-        key.isin([*v.CATEGORIES, "unknown"]), key).otherwise(F.coalesce(lookup(key, alias), first_hit(key, v.EXTRACTION_CATEGORY_WORDS, F.lit("other")))))
+    return let(_category_key(text), _category_of)
 
 
 def validate_extraction(df: DataFrame, json_col: str, out: str = "extraction") -> DataFrame:
@@ -191,32 +226,37 @@ def validate_extraction(df: DataFrame, json_col: str, out: str = "extraction") -
 
     ``extraction_ok`` is false for rows the strict schema rejects: broken JSON, or a negative number.
     """
-    parsed = df.withColumn("_x", F.from_json(json_col, EXTRACTION))
-    x = c("_x")
-    items = lambda col: distinct_ignore_case(F.filter(F.transform(F.coalesce(col, F.array().cast("array<string>")), _said), lambda i: i.isNotNull()))
+    x, k = c("_x"), c("_k")
+    texts = ("title_normalized", "company", "city", "requirements_clean", "responsibilities_clean", "salary_raw")
+    aliases = {"english_level": v.EXTRACTION_ENGLISH_ALIASES, "salary_period": v.EXTRACTION_PERIOD_ALIASES}
+    parsed = df.withColumn("_x", F.from_json(json_col, EXTRACTION)).withColumn("_k", F.struct(
+        *[squeeze(x[n]).alias(n) for n in texts], _category_key(x["category"]).alias("category"), F.upper(F.trim(x["currency"])).alias("currency"),
+        *[_enum_key(x[n], aliases.get(n)).alias(n) for n in ("level", "employment", "work_format", "english_level", "salary_period")],
+        *[x[n].try_cast("double").alias(n) for n in ("experience_min", "experience_max")],
+        *[x[n].try_cast("double").try_cast("long").alias(n) for n in ("salary_from", "salary_to")]))
+    items = lambda col: _some(col, lambda xs: distinct_ignore_case(F.filter(F.transform(xs, _said), lambda i: i.isNotNull())))
     low = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.least(a, b)).otherwise(a)
     high = lambda a, b: F.when(a.isNotNull() & b.isNotNull(), F.greatest(a, b)).otherwise(b)
-    e_lo, e_hi = x["experience_min"].try_cast("double"), x["experience_max"].try_cast("double")
-    s_lo, s_hi = x["salary_from"].try_cast("double").try_cast("long"), x["salary_to"].try_cast("double").try_cast("long")
+    e_lo, e_hi, s_lo, s_hi = (k[n] for n in ("experience_min", "experience_max", "salary_from", "salary_to"))
     negative = F.coalesce(F.least(e_lo, e_hi, s_lo.cast("double"), s_hi.cast("double")) < 0, F.lit(False))
     confidence = F.least(F.greatest(F.coalesce(x["llm_confidence"].try_cast("double"), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     record = F.struct(
         x["id"].alias("id"),
-        *[_said(x[n]).alias(n) for n in ("title_normalized", "company", "city")],
-        extraction_category(x["category"]).alias("category"), _one_of(x["level"], v.LEVELS).alias("level"),
-        _one_of(x["employment"], v.EMPLOYMENTS).alias("employment"), _one_of(x["work_format"], v.WORK_FORMATS).alias("work_format"),
+        *[_meant(k[n]).alias(n) for n in texts[:3]],
+        _category_of(k["category"]).alias("category"), _one_of(k["level"], v.LEVELS).alias("level"),
+        _one_of(k["employment"], v.EMPLOYMENTS).alias("employment"), _one_of(k["work_format"], v.WORK_FORMATS).alias("work_format"),
         low(e_lo, e_hi).alias("experience_min"), high(e_lo, e_hi).alias("experience_max"),
         x["english_mention"].alias("english_mention"), x["english_required"].alias("english_required"),
-        _one_of(x["english_level"], v.ENGLISH_LEVELS, v.EXTRACTION_ENGLISH_ALIASES).alias("english_level"),
-        *[_said(x[n]).alias(n) for n in ("requirements_clean", "responsibilities_clean")],
+        _one_of(k["english_level"], v.ENGLISH_LEVELS).alias("english_level"),
+        *[_meant(k[n]).alias(n) for n in texts[3:5]],
         *[items(x[n]).alias(n) for n in LIST_FIELDS],
-        _said(x["salary_raw"]).alias("salary_raw"), low(s_lo, s_hi).alias("salary_from"), high(s_lo, s_hi).alias("salary_to"),
-        F.when(F.upper(F.trim(x["currency"])).isin(v.EXTRACTION_CURRENCIES), F.upper(F.trim(x["currency"]))).otherwise(F.lit("unknown")).alias("currency"),
-        _one_of(x["salary_period"], ["hour", "week", "month", "year"], v.EXTRACTION_PERIOD_ALIASES).alias("salary_period"),
+        _meant(k["salary_raw"]).alias("salary_raw"), low(s_lo, s_hi).alias("salary_from"), high(s_lo, s_hi).alias("salary_to"),
+        F.when(k["currency"].isin(v.EXTRACTION_CURRENCIES), k["currency"]).otherwise(F.lit("unknown")).alias("currency"),
+        _one_of(k["salary_period"], ["hour", "week", "month", "year"]).alias("salary_period"),
         x["salary_gross"].alias("salary_gross"), confidence.alias("llm_confidence"),
     )
     ok = F.coalesce(F.try_parse_json(json_col).isNotNull(), F.lit(False)) & ~negative
-    return seal(parsed, {out: record, "extraction_ok": ok}).drop("_x")
+    return sealed(parsed, {out: record, "extraction_ok": ok}).drop("_x", "_k")
 
 
 # Fixed value: amounts of money in running text.
@@ -231,7 +271,7 @@ def _canon(items: Column, programming: Column) -> Column:
         low = F.lower(s)
         return F.coalesce(lookup(low, v.EXTRACTION_SKILL_ALIASES), F.when((low == "js") & programming, F.lit("JavaScript")), s)
 
-    return distinct_ignore_case(F.filter(F.transform(items, lambda s: name(squeeze(s))), lambda s: s != ""))
+    return F.when(items.isNotNull(), _some(items, lambda xs: distinct_ignore_case(F.filter(F.transform(xs, lambda s: name(squeeze(s))), lambda s: s != ""))))
 
 
 def sanitize(df: DataFrame, text: str, extraction: str = "extraction") -> DataFrame:
@@ -239,7 +279,7 @@ def sanitize(df: DataFrame, text: str, extraction: str = "extraction") -> DataFr
     e = c(extraction)
     programming = contains_any(F.lower(F.coalesce(c(text), F.lit(""))), v.EXTRACTION_JS_WORDS)
     texts = F.transform(F.regexp_extract_all(F.coalesce(c(text), F.lit("")), F.lit(MONEY_IN_TEXT), F.lit(0)), lambda m: F.btrim(m, F.lit(" .,-;:")))
-    staged = df.withColumns({"_js": programming, "_money": texts})
+    staged = df.withColumns({"_js": programming, "_money": texts, "_place": F.lower(squeeze(e["city"]))})
     has_raw = (F.length(squeeze(e["salary_raw"])) >= 2) & e["salary_raw"].isNotNull()
     has_any = e["salary_from"].isNotNull() | e["salary_to"].isNotNull() | (e["currency"] != "unknown")
 
@@ -251,7 +291,7 @@ def sanitize(df: DataFrame, text: str, extraction: str = "extraction") -> DataFr
 
     from_text = F.when(F.size("_money") == 1, F.get("_money", F.lit(0))).otherwise(
         F.coalesce(F.get(F.filter("_money", fits), F.lit(0)), F.get("_money", F.lit(0))))
-    city = F.when(F.coalesce(e["city"], F.lit("")) != "", first_hit(F.lower(squeeze(e["city"])), v.CITY_WORDS, F.lit("other")))
+    city = F.when(F.coalesce(e["city"], F.lit("")) != "", _chain(c("_place"), v.CITY_WORDS, F.lit("other")))
     changed = {
         "city": city, "salary_raw": F.when(~has_raw & has_any, F.coalesce(from_text, e["salary_raw"])).otherwise(e["salary_raw"]),
         **{n: _canon(e[n], c("_js")) for n in LIST_FIELDS},
@@ -259,7 +299,7 @@ def sanitize(df: DataFrame, text: str, extraction: str = "extraction") -> DataFr
     out = e
     for name, col in changed.items():
         out = out.withField(name, col)
-    return seal(staged, {extraction: out}).drop("_js", "_money")
+    return sealed(staged, {extraction: out}).drop("_js", "_money", "_place")
 
 
 # ---- reconcile --------------------------------------------------------------------------------------
@@ -285,40 +325,34 @@ def reconcile(df: DataFrame, prefill_col: str = "prefill", extraction: str = "ex
     Rule fields win where a label gave them, and where both differ (then flagged);
     agreement of a weaker rule with the extraction raises the confidence.
     """
-    e = c(extraction)
+    e, no = c(extraction), F.lit(False)
+    others = [*EXTRACTOR_FIRST, "english_mention", "english_level"]
+    fields = PREFILL_FIELDS + others
+    p, ext, no_ext, same, final = (lambda f, kind=kind: c(f"_{kind}_{f}") for kind in ("p", "ext", "no", "same", "final"))
 
     def pick(value: Column, source: Column, confidence: Column, differs: Column) -> Column:
         return F.struct(value.alias("value"), source.alias("source"), confidence.alias("confidence"), differs.alias("differs"))
 
-    no = F.lit(False)
-
-    def external(ext: Column, no_ext: Column) -> Column:
-        return F.when(no_ext, pick(ext, F.lit("missing"), F.lit("missing"), no)).otherwise(pick(ext, F.lit("llm_semantic"), F.lit("medium_confidence"), no))
-
-    def judge(field: str) -> Column:
-        """The choice of a field, and whether both sides differ; they are compared once, and only where both say something."""
-        p = c(prefill_col)[field]
-        ext = _as_text(e, field)
-        known = F.struct(p["value"].alias("value"), p["source"].alias("source"), F.coalesce(p["confidence"], F.lit("missing")).alias("level"), ext.alias("ext"), _missing(ext).alias("no_ext"))
-
-        def choose(x: Column) -> Column:
-            said = x["level"] != "missing"
-            return let(F.when(said & ~x["no_ext"], _same(x["value"], x["ext"])), lambda same: F.when(
-                (x["level"] == "medium_confidence") & F.coalesce(same, no), pick(x["ext"], F.lit("parser_confirmed_by_llm"), F.lit("high_confidence"), no)).when(
-                said, pick(x["value"], x["source"], x["level"], F.coalesce(~same, no))).otherwise(external(x["ext"], x["no_ext"])))
-
-        return let(known, choose)
-
-    chosen = [x for f in PREFILL_FIELDS for x in (F.lit(f), judge(f))]
-    for f in [*EXTRACTOR_FIRST, "english_mention", "english_level"]:
-        ext = _as_text(e, f)
-        chosen += [F.lit(f), external(ext, _missing(ext))]
-    judged = seal(df, {"_final": F.create_map(*chosen)})
-    staged = seal(judged, {"conflict_flags": F.array_sort(F.map_keys(F.map_filter("_final", lambda k, x: x["differs"])))})
-    part = lambda name: F.transform_values("_final", lambda k, x: x[name])
-    return staged.withColumns({
+    def external(f: str) -> Column:
+        return F.when(no_ext(f), pick(ext(f), F.lit("missing"), F.lit("missing"), no)).otherwise(pick(ext(f), F.lit("llm_semantic"), F.lit("medium_confidence"), no))
+
+    def choose(f: str) -> Column:
+        level = F.coalesce(p(f)["confidence"], F.lit("missing"))
+        return F.when((level == "medium_confidence") & ~no_ext(f) & F.coalesce(same(f), no), pick(ext(f), F.lit("parser_confirmed_by_llm"), F.lit("high_confidence"), no)).when(
+            level != "missing", pick(p(f)["value"], p(f)["source"], level, ~no_ext(f) & F.coalesce(~same(f), no))).otherwise(external(f))
+
+    # Both sides of each field, then whether the extraction says something, and whether both say the same where the rules do.
+    sides = df.withColumns({f"_ext_{f}": _as_text(e, f) for f in fields} | {f"_p_{f}": c(prefill_col)[f] for f in PREFILL_FIELDS})
+    compared = sides.withColumns(
+        {f"_no_{f}": _missing(ext(f)) for f in fields}
+        | {f"_same_{f}": F.when(F.coalesce(p(f)["confidence"], F.lit("missing")) != "missing", _same(p(f)["value"], ext(f))) for f in PREFILL_FIELDS})
+    chosen = sealed(compared, {f"_final_{f}": choose(f) for f in PREFILL_FIELDS} | {f"_final_{f}": external(f) for f in others})
+    flags = F.array_compact(F.array(*[F.when(final(f)["differs"], F.lit(f)) for f in sorted(PREFILL_FIELDS)]))
+    part = lambda name: F.create_map(*[x for f in fields for x in (F.lit(f), final(f)[name])])
+    staged = chosen.withColumn("conflict_flags", flags).withColumns({
         "final_values": part("value"), "final_sources": part("source"), "final_confidence": part("confidence"), "review_flags": c("conflict_flags"),
-    }).drop("_final")
+    })
+    return staged.drop(*[x for x in staged.columns if x.startswith(("_ext_", "_p_", "_no_", "_same_", "_final_"))])
 
 
 def final_record(df: DataFrame, extraction: str = "extraction") -> DataFrame:
@@ -341,13 +375,19 @@ def validate_record(df: DataFrame) -> DataFrame:
         fixes.append((cond, name))
         return cond
 
+    # Both currencies, the city and the lists, each read once.
+    empty = F.array().cast("array<string>")
+    df = df.withColumns({
+        "_cur": F.upper(squeeze(c("currency"))), "_raw": F.upper(squeeze(c("salary_raw"))), "_place": F.lower(squeeze(c("city"))),
+        **{f"_{n}": _some(c(n), lambda xs: distinct_ignore_case(F.filter(F.transform(xs, squeeze), lambda x: x != ""))) for n in LIST_FIELDS},
+    }).withColumns({"_cur": _chain(c("_cur"), v.PREFILL_CURRENCY_WORDS), "_raw": _chain(c("_raw"), v.PREFILL_CURRENCY_WORDS), "_place": _city(c("_place"))})
     new: dict[str, Column] = {}
     for lo, hi, word in (("salary_from", "salary_to", "salary"), ("experience_min", "experience_max", "experience")):
         a = F.when(~fix(c(lo) < 0, f"{lo}_negative_to_null"), c(lo))
         b = F.when(~fix(c(hi) < 0, f"{hi}_negative_to_null"), c(hi))
         swap = fix(a > b, f"{word}_range_swapped")
         new[lo], new[hi] = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
-    cur, from_raw = prefill_currency(c("currency")), prefill_currency(c("salary_raw"))
+    cur, from_raw = c("_cur"), c("_raw")
     fix(cur.isNull() & from_raw.isNotNull(), "currency_normalized_from_salary_raw")
     new["currency"] = F.coalesce(cur, from_raw)
     silent = c("english_mention") == F.lit(False)
@@ -359,18 +399,17 @@ def validate_record(df: DataFrame) -> DataFrame:
     for field, allowed in (("employment", v.EMPLOYMENTS), ("work_format", v.WORK_FORMATS)):
         bad = fix(~c(field).isin([*allowed, "unknown"]), f"{field}_out_of_enum")
         new[field] = F.when(bad, F.lit("unknown")).otherwise(c(field))
-    city = label_city(c("city"))
+    city = c("_place")
     moved = fix(city.isNotNull() & (city != c("city")), "city_normalized")
     new["city"] = F.when(moved, city).otherwise(c("city"))
     for field in LIST_FIELDS:
-        items = distinct_ignore_case(F.filter(F.transform(F.coalesce(c(field), F.array().cast("array<string>")), squeeze), lambda x: x != ""))
-        new[field] = items
+        items = new[field] = c(f"_{field}")
         fix(c(field).isNotNull() & (items != c(field)), f"{field}_deduplicated")
     odd_level = fix((c("employment") == "internship") & ~c("level").isin("intern", "junior", "unknown"), "internship_level_review")
-    flags = F.coalesce(c("review_flags"), F.array().cast("array<string>"))
+    flags = F.coalesce(c("review_flags"), empty)
     new["review_flags"] = F.array_sort(F.when(odd_level, F.array_union(flags, F.array(F.lit("internship_level_consistency")))).otherwise(flags))
     new["validation_fixes"] = F.array_sort(F.array_distinct(F.array_compact(F.array(*[F.when(cond, F.lit(n)) for cond, n in fixes]))))
-    return seal(df, new)
+    return sealed(df, new).drop("_cur", "_raw", "_place", *[f"_{n}" for n in LIST_FIELDS])
 
 
 # ---- confidence and merge --------------------------------------------------------------------------------

@@ -131,6 +131,30 @@ def test_extraction_cases(spark):
     assert got["parser_extractor_conflict_city"]["conflict_flags"] == ["city"]
 
 
+def test_rules_are_projections(spark):
+    """Rules on single values are no lambdas, which Spark evaluates expression by expression; lists and salary texts have the few there are."""
+    df = spark.createDataFrame([(t, r) for t, r, _ in CASES.values()], "text string, record string")
+    checked = extraction.sanitize(extraction.validate_extraction(df, "record"), "text")
+    done = extraction.validate_record(extraction.final_record(extraction.reconcile(extraction.prefill(checked, "text"))))
+    done = done.select("city", "employment", "english_level", "english_required", "validation_fixes", "review_flags")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 100_000)
+    try:
+        plan = done._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert plan.count("lambdafunction(") < 100
+
+
+def test_same_sides_that_say_nothing_do_not_differ(spark):
+    """A label that both sides give as a missing word is the rule's value, and no conflict; no list at all stays no list."""
+    rows = [("Company: unknown", record(company="none", hard_skills=None)), ("Company: Beta", record(company=" BETA ", hard_skills=[]))]
+    df = spark.createDataFrame(rows, "text string, record string")
+    checked = extraction.sanitize(extraction.validate_extraction(df, "record"), "text")
+    got = extraction.reconcile(extraction.prefill(checked, "text")).select("*", F.col("final_values")["company"].alias("v"), F.col("final_sources")["company"].alias("s")).collect()
+    assert [(r["v"], r["s"], r["conflict_flags"]) for r in got] == [("unknown", "rule_label", []), ("Beta", "rule_label", [])]
+    assert [r["extraction"]["hard_skills"] for r in got] == [[], []]
+
+
 def test_enrichment_report(spark):
     before = spark.createDataFrame([("a", None), ("b", "unknown")], "id string, city string")
     after = spark.createDataFrame([("a", "almaty", "auto_merged", "s", ["city"]), ("b", None, "failed", "s", [])],
