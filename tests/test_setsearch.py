@@ -72,3 +72,15 @@ def test_words_beyond_the_bits(spark):
     offered = spark.createDataFrame([(k, "", words[k : 600 + k]) for k in range(9)], "no long, part string, keys array<string>")
     got = {(r["ask_no"], r["offer_no"]): r["score"] for r in setsearch.best_sets(asked, offered, [F.asc("no")], 3).collect()}
     assert got[1, 0] == 600 / 700 and got[2, 0] == 300 / 600 and {k for _, k in got} == {0, 1, 2}
+
+
+def test_scores_rise_within_each_part(spark):
+    """With parts, each asked set has the few best of its own part, however many blocks the part has."""
+    part = F.when(F.col("id") % 2 == 0, F.lit("data")).otherwise(F.lit("qa"))
+    asked = spark.range(100).select(F.col("id").alias("no"), part.alias("part"), F.array(F.lit("x"), F.concat(F.lit("a"), "id")).alias("keys"))
+    words = F.transform(F.sequence(F.lit(0), F.col("id") % 15), lambda k: F.when(k == 0, F.lit("x")).otherwise(F.concat_ws("_", F.lit("b"), "id", k)))
+    offered = spark.range(6000).select(F.col("id").alias("no"), part.alias("part"), words.alias("keys"))
+    got = setsearch.best_sets(asked, offered, [F.asc("no")], 5).collect()
+    assert {r["score"] for r in got} == {0.5} and len(got) <= 100 * 5 * 3
+    want = {(a, o) for a in range(100) for o in [o for o in range(0, 6000, 15) if o % 2 == a % 2][:5]}
+    assert want <= {(r["ask_no"], r["offer_no"]) for r in got}
